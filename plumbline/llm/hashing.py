@@ -1,0 +1,15 @@
+"""Keyed hashes shared by the operators' Python tasks."""
+
+from __future__ import annotations
+
+import numpy as np
+
+_U = np.uint64
+
+
+def mix64(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit finaliser (xor-shift and multiply) of x + seed; a bijection for each seed."""
+    x = x.astype(_U) + _U((seed * 0x9E3779B97F4A7C15) % (1 << 64))
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
