@@ -22,6 +22,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.llm.bpe_units import ByteVocabulary, Memo, Pretokens, groups, load_vocabulary, units
 
@@ -155,3 +156,22 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """docs with n_tokens and ids (array of int) added and text as its ids decode; n_chars, if there, follows."""
+    docs = docs.drop("n_tokens", "ids")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = codec(path)
+            encoded = use.encode_all([t or "" for t in batch.column(place).to_pylist()])
+            offsets = np.cumsum([0, *(len(e) // 4 for e in encoded)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4")))
+            columns = [pa.array([use.decode(e) for e in encoded], pa.string()) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(offsets).astype(np.int64)), ids], [*batch.schema.names, "n_tokens", "ids"])
+
+    schema = docs.select("*", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("ids")).schema
+    done = docs.mapInArrow(run, schema)
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

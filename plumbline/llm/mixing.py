@@ -100,16 +100,42 @@ def _thresholds(items: DataFrame, budgets: DataFrame) -> DataFrame:
     return settled
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """docs' doc_id with size, source_size, target, copies and taken (= copies * size)."""
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    items = materialize(docs.select("doc_id", key.alias("key"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h")), "mix-items")
+def source_key(source: Column) -> Column:
+    """A key that orders sources by code point, null last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
+def mix_plan(items: DataFrame, weights: Sequence[float], share: float, repeats: int) -> DataFrame:
+    """One row a source: key, source_size, target, whole (copies of all) and edge (one more below this hash)."""
     targets = source_targets(items, weights, share, repeats)
     #: Whole copies come first; what is left is the threshold's budget.
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(repeats))).otherwise(F.lit(1)).cast("long")
-    targets = materialize(targets.withColumn("whole", whole).withColumn("budget", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))), "mix-targets")
+    ratio = F.try_divide(F.col("target"), F.col("source_size"))
+    whole = F.coalesce(F.least(F.floor(ratio), F.lit(repeats)), F.lit(1)).cast("long")
+    targets = targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = materialize(targets, "mix-targets")
     budgets = targets.filter((F.col("budget") > 0) & (F.col("whole") < repeats)).select("key", "budget")
     edges = _thresholds(items.select("key", "h", "size"), budgets)
-    plan = targets.join(edges, "key", "left").select("key", "source_size", "target", "whole", "edge")
-    copies = F.col("whole") + F.when(F.col("h") < F.col("edge"), 1).otherwise(0)
-    return items.join(plan, "key").select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken"))
+    return targets.join(edges, "key", "left").select("key", "source_size", "target", "whole", "edge")
+
+
+def _copies() -> Column:
+    return (F.col("whole") + F.when(F.col("h") < F.col("edge"), 1).otherwise(0)).cast("int")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """Every row's doc_id with size, source_size, target, copies and taken (= copies * size)."""
+    items = docs.select("doc_id", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    items = materialize(items, "mix-items")
+    mixed = items.join(mix_plan(items, weights, share, repeats), "key").withColumn("copies", _copies())
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The rows of docs as often as the mix takes them. Texts meet only the sources' plan, not each other."""
+    own = {"key": "__key", "h": "__h"}
+    items = docs.select(source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    plan = mix_plan(materialize(items, "mix-items"), weights, share, repeats).select(F.col("key").alias("__key"), F.struct("whole", "edge").alias("__plan"))
+    keyed = docs.withColumns({own["key"]: source_key(F.col("source")), own["h"]: id_hash(F.col("doc_id"))}).join(plan, own["key"])
+    copies = F.col("__plan.whole") + F.when(F.col(own["h"]) < F.col("__plan.edge"), 1).otherwise(0)
+    taken = keyed.withColumn("__copies", copies.cast("int")).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, quality_classifier, simhash, url_filters
+from plumbline.llm import bpe, imatch, mixing, quality_classifier, quality_rules, simhash, surrogates, token_counts, token_files, url_filters
+from plumbline.sources.scratch import scratch_path
 from plumbline.sources.tables import table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
+#: Stands for the secret that a real run would pass.
+SURROGATE_KEY = b"key of the synthetic tables"
+
 
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file."""
@@ -33,6 +37,24 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the token files, and a checksum of its ids, as read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "token-files")
+    shards = token_files.write_token_files(docs, tokenizer_path("word_bpe_49k.json"), folder)
+    return token_files.read_token_digests(shards, folder)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdicts."""
+    return quality_rules.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -44,11 +66,36 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_pii(docs, SURROGATE_KEY, counts=True)
+
+
+def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, against its edited text's and the next document's."""
+    return imatch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op6_source_mixing, op7_simhash_near_dedup, op10_bpe_round_trip)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_quality_classifier,
+        op3_token_files,
+        op4_token_counts,
+        op5_quality_rules,
+        op6_source_mixing,
+        op7_simhash_near_dedup,
+        op8_pii_surrogates,
+        op9_imatch_fingerprints,
+        op10_bpe_round_trip,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -123,3 +123,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of docs, whole, with one document (the smallest doc_id) of each component.
+
+    Repeated rows of that doc_id stay once. Rows without doc_id cannot be chosen by id: they stay, one a text.
+    """
+    found = materialize(near_duplicates(docs.filter(F.col("doc_id").isNotNull()), words, distance).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
+    kept = docs.join(found.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not found.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    nameless = docs.filter(F.col("doc_id").isNull())
+    return kept if nameless.isEmpty() else kept.unionByName(nameless.dropDuplicates(["text"]))
