@@ -52,14 +52,12 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, rep
     capped = ranked.select("key", "source_size", weight.alias("w"), (repeats * F.col("source_size")).cast("double").alias("cap"))
     capped = capped.withColumn("level", F.col("cap") / F.col("w"))
     both = running_before(capped, ["level", "key"], {"caps_before": F.col("cap"), "w_before": F.col("w")}, "mix-level")
-    all_ = capped.agg((share * F.sum("source_size")).alias("total"), F.sum("w").alias("w_all"), F.lit(1).alias("one"))
-    both = both.withColumn("one", F.lit(1)).join(F.broadcast(all_), "one")  # all_ is one row
-    own = F.try_divide(F.col("total") - F.col("caps_before"), F.col("w_all") - F.col("w_before"))
+    total, w_all = both.agg(share * F.sum("source_size"), F.sum("w")).first()  # two numbers
+    own = F.try_divide(F.lit(total) - F.col("caps_before"), F.lit(w_all) - F.col("w_before"))
     #: The first source in this order that its cap does not stop sets the level of all after it.
-    first = F.min(F.when(own <= F.col("level"), F.struct("level", "key", own.alias("common"))))["common"]
-    common = both.agg(first.alias("common"), F.lit(1).alias("one"))
-    target = F.when(F.col("common").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("common") * F.col("w")))
-    return both.join(F.broadcast(common), "one").select("key", "source_size", target.alias("target"))
+    (first,) = both.agg(F.min(F.when(own <= F.col("level"), F.struct("level", "key", own.alias("common"))))["common"]).first()
+    target = F.col("cap") if first is None else F.least("cap", F.lit(first) * F.col("w"))
+    return both.select("key", "source_size", target.alias("target"))
 
 
 def _thresholds(items: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -118,24 +116,22 @@ def mix_plan(items: DataFrame, weights: Sequence[float], share: float, repeats:
     return targets.join(edges, "key", "left").select("key", "source_size", "target", "whole", "edge")
 
 
-def _copies() -> Column:
-    return (F.col("whole") + F.when(F.col("h") < F.col("edge"), 1).otherwise(0)).cast("int")
+def _copies(h: str, whole: str, edge: str) -> Column:
+    return (F.col(whole) + F.when(F.col(h) < F.col(edge), 1).otherwise(0)).cast("int")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
     """Every row's doc_id with size, source_size, target, copies and taken (= copies * size)."""
     items = docs.select("doc_id", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
     items = materialize(items, "mix-items")
-    mixed = items.join(mix_plan(items, weights, share, repeats), "key").withColumn("copies", _copies())
+    mixed = items.join(mix_plan(items, weights, share, repeats), "key").withColumn("copies", _copies("h", "whole", "edge"))
     return mixed.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
     """The rows of docs as often as the mix takes them. Texts meet only the sources' plan, not each other."""
-    own = {"key": "__key", "h": "__h"}
     items = docs.select(source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
     plan = mix_plan(materialize(items, "mix-items"), weights, share, repeats).select(F.col("key").alias("__key"), F.struct("whole", "edge").alias("__plan"))
-    keyed = docs.withColumns({own["key"]: source_key(F.col("source")), own["h"]: id_hash(F.col("doc_id"))}).join(plan, own["key"])
-    copies = F.col("__plan.whole") + F.when(F.col(own["h"]) < F.col("__plan.edge"), 1).otherwise(0)
-    taken = keyed.withColumn("__copies", copies.cast("int")).filter("__copies > 0")
+    keyed = docs.withColumns({"__key": source_key(F.col("source")), "__h": id_hash(F.col("doc_id"))}).join(plan, "__key")
+    taken = keyed.withColumn("__copies", _copies("__h", "__plan.whole", "__plan.edge")).filter("__copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)

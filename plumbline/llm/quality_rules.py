@@ -102,18 +102,17 @@ def grouped(rows: DataFrame, min_rows: int) -> DataFrame:
     sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = sizes.filter(F.col("n") < min_rows)
     langs = small.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    rest = langs.filter(F.col("n_lang") < min_rows).agg(F.coalesce(F.sum("n_lang"), F.lit(0)).alias("n_rest"), F.lit(1).alias("one"))
+    (n_rest,) = langs.filter(F.col("n_lang") < min_rows).agg(F.coalesce(F.sum("n_lang"), F.lit(0))).first()  # one number
     plan = (
         sizes.alias("a")
         .join(langs.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
-        .select("a.lang", "a.source", "n", "n_lang", F.lit(1).alias("one"))
-        .join(F.broadcast(rest), "one")  # one row
+        .select("a.lang", "a.source", "n", "n_lang")
         .select(
             "lang",
             "source",
             F.when(F.col("n") >= min_rows, F.to_json(F.struct(F.lit(1).alias("k"), "lang", "source")))
             .when(F.col("n_lang") >= min_rows, F.to_json(F.struct(F.lit(2).alias("k"), "lang")))
-            .when(F.col("n_rest") >= min_rows, F.lit("rest"))
+            .when(F.lit(n_rest >= min_rows), F.lit("rest"))
             .alias("g"),
         )
     )
