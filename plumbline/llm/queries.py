@@ -98,4 +98,29 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES = ", ".join(f"('{verdict}', '{text[: text.index('/')]}', '{text[text.index('/') :]}')" for verdict, text in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": rf"""
+WITH tails AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
+ parts AS (SELECT page_id, translate(regexp_extract(tail, '^([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM tails),
+ rules(verdict, host, path) AS (VALUES {_RULES}),
+ fits AS (SELECT page_id, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS best
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits USING (page_id)""",
+    "op6_source_mixing": r"""
+WITH items AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+ sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM items GROUP BY source),
+ weighed AS (SELECT *, [5.0, 2.0, 1.0][n % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM sources),
+ levels AS (SELECT *, cap / w AS level, sum(cap) OVER o - cap AS caps_before, sum(w) OVER o - w AS w_before, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(w) OVER () AS w_all FROM weighed
+  WINDOW o AS (ORDER BY cap / w, n ROWS UNBOUNDED PRECEDING)),
+ common AS (SELECT arg_min((total - caps_before) / (w_all - w_before), (level, n)) AS c FROM levels WHERE (total - caps_before) / (w_all - w_before) <= level),
+ targets AS (SELECT source, source_size, CASE WHEN c IS NULL THEN cap ELSE least(cap, c * w) END AS target FROM levels, common),
+ plans AS (SELECT *, CASE WHEN source_size = 0 THEN 1 ELSE least(floor(target / source_size), 2) END AS whole FROM targets),
+ budgets AS (SELECT *, CASE WHEN whole < 2 THEN target - whole * source_size ELSE 0 END AS budget FROM plans),
+ hashes AS (SELECT source, h, sum(size) AS g FROM items GROUP BY source, h),
+ sums AS (SELECT *, sum(g) OVER (PARTITION BY source ORDER BY h ROWS UNBOUNDED PRECEDING) AS cum FROM hashes)
+SELECT i.doc_id, i.size, b.source_size, b.target,
+ ((b.whole + CASE WHEN b.budget > 0 AND (s.cum < b.budget OR s.cum - s.g < b.budget AND 2 * (b.budget - (s.cum - s.g)) >= s.g) THEN 1 ELSE 0 END) * i.size)::BIGINT AS taken
+FROM items i JOIN budgets b ON i.source IS NOT DISTINCT FROM b.source JOIN sums s ON s.source IS NOT DISTINCT FROM i.source AND s.h = i.h""",
+}
