@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import materials as M
 from plumbline.functions import orientation as O
+from plumbline.functions import sequences as S
 from plumbline.functions import tensors as T
 from plumbline.jobs import reduced_model
 from plumbline.operators import linalg, relational, spatial, statistics
@@ -575,6 +576,61 @@ def neighbour_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "cosine", "relative")
 
 
+_CORNERS = [tuple((i * a % 97 + 1) / 97 for a in (31, 57, 83)) for i in range(1, 65)]
+
+
+@query(f"""WITH p AS ({_POINTS}), c(a, b, c) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in _CORNERS)}),
+ s AS (SELECT a, b, c, avg((x / {_BOX} <= a AND y / {_BOX} <= b AND z / {_BOX} <= c)::INT) AS share FROM p, c GROUP BY 1, 2, 3) SELECT round(max(abs(share - a * b * c)), 8) AS discrepancy FROM s""")
+def star_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the points are from uniform, over 64 stated boxes."""
+    return rounded(spatial.star_discrepancy(points(spark, sf_dir), _BOX, _CORNERS), 8, "discrepancy")
+
+
+@query(f"""SELECT count(*) AS fibres, sum((x - abs(ux) * 5 < 0 OR x + abs(ux) * 5 > {_BOX} OR y - abs(uy) * 5 < 0 OR y + abs(uy) * 5 > {_BOX} OR z - abs(uz) * 5 < 0 OR z + abs(uz) * 5 > {_BOX})::INT)::BIGINT AS crossing
+ FROM ({_POINTS}) JOIN ({_DIRECTIONS}) ON vec_id = id % 500""")
+def crossing_fibres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fibres of length 10 around the points that leave the box."""
+    fibres = points(spark, sf_dir).withColumn("vec_id", F.col("id") % 500).join(directions(spark, sf_dir), "vec_id")
+    return spatial.crossing_count(fibres, _BOX, 10.0)
+
+
+# Designs: part k takes point k of a Sobol sequence.
+
+
+def _sobol_sql(dimension: int) -> str:
+    out = "0"
+    for k, v in enumerate(S.directions(dimension)):
+        out = f"xor({out}, CASE WHEN g & {1 << k} <> 0 THEN {v} ELSE 0 END)"
+    return f"{out} / {float(1 << S.BITS)}::DOUBLE"
+
+
+_NINE = (*M.BOX, "u", "v")
+
+
+@query(
+    "WITH g AS (SELECT p_partkey, xor(p_partkey, p_partkey >> 1) AS g FROM part) SELECT p_partkey, "
+    + ", ".join(f"{M.BOX[n][0]}::DOUBLE + ({_sobol_sql(d)}) * {M.BOX[n][1] - M.BOX[n][0]!r}::DOUBLE AS {n}" if n in M.BOX else f"{_sobol_sql(d)} AS {n}" for d, n in enumerate(_NINE))
+    + " FROM g"
+)
+def sobol_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pool of materials and two orientation coordinates from a Sobol sequence."""
+    unit = {n: S.sobol(F.col("p_partkey"), d) for d, n in enumerate(_NINE)}
+    columns = [M.from_unit(c, n).alias(n) if n in M.BOX else c.alias(n) for n, c in unit.items()]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey")).select("p_partkey", *columns)
+
+
+@query()
+def sobol_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool as designs: folded orientation, grid size, first broken rule, and ids of the operable ones."""
+    pool = sobol_pool(spark, sf_dir)
+    designs = pool.select("*", *(c.alias(n) for n, c in O.folded_triangle(F.col("u"), F.col("v")).items()))
+    reason = O.reject_reason()
+    designs = designs.withColumn("reject_reason", F.when(reason != "", reason).otherwise(M.reject_reason()))
+    designs = designs.withColumn("nvox", S.ceil_to_multiple(F.lit(2.0) * (5.0 + 20.0 * F.col("u")) * 6.0, 8))
+    numbered = relational.numbered_where(designs, ["p_partkey"], F.col("reject_reason") == "", "design_id", "designs")
+    return numbered.select("p_partkey", *M.BOX, "a11", "a22", "a33", "nvox", "reject_reason", "design_id")
+
+
 # Models, selections and streams. SQL cannot express these but for the first and the last.
 
 

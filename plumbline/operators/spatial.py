@@ -8,8 +8,11 @@ further apart than two cells is ever made.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +95,34 @@ def occupancy(points: DataFrame, box: float, cells: int) -> DataFrame:
     return points.groupBy(*(cell_of(F.col(c), cells, box).alias(f"c{c}") for c in "xyz")).agg(F.count("*").alias("points"))
 
 
+def star_discrepancy(points: DataFrame, box: float, corners: Sequence[tuple[float, float, float]]) -> DataFrame:
+    """Largest gap between a corner box's share of points and of the volume, over a stated set of corners in [0, 1].
+
+    Each task counts its points in every box; a box's partial counts are summed.
+    """
+    unit = np.array(corners, dtype=float)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inside, n = np.zeros(len(unit), dtype=np.int64), 0
+        for frame in frames:
+            at = frame[["x", "y", "z"]].to_numpy(dtype=float) / box
+            n += len(at)
+            for k in range(0, len(at), 4096):
+                inside += (at[k : k + 4096, None, :] <= unit[None]).all(axis=2).sum(axis=0)
+        yield pd.DataFrame({"corner": np.arange(len(unit)), "inside": inside, "n": n})
+
+    counts = points.select("x", "y", "z").mapInPandas(run, "corner int, inside long, n long").groupBy("corner").agg(F.sum("inside").alias("inside"), F.sum("n").alias("n"))
+    volumes = F.element_at(F.array(*(F.lit(float(v)) for v in unit.prod(axis=1))), F.col("corner") + 1)
+    return counts.agg(F.max(F.abs(F.try_divide("inside", "n") - volumes)).alias("discrepancy"))
+
+
+def crossing_count(fibres: DataFrame, box: float, length: float) -> DataFrame:
+    """Number of fibres (x, y, z, ux, uy, uz) with an end outside of the box."""
+    ends = [F.col(c) + F.col(f"u{c}") * F.lit(s * length / 2) for c in "xyz" for s in (-1.0, 1.0)]
+    out = reduce(lambda a, b: a | b, [(e < 0) | (e > box) for e in ends])
+    return fibres.agg(F.count("*").alias("fibres"), F.coalesce(F.sum(out.cast("long")), F.lit(0)).alias("crossing"))
+
+
 def interface_density(voxels: DataFrame, n: int) -> DataFrame:
     """Share of the periodic grid's faces between voxels of different phase. voxels: ix, iy, iz, phase on n^3.
 

@@ -72,3 +72,18 @@ def test_bounds_hold_their_order(spark):
     b = M.hashin_shtrikman(M.bulk("Em", "nu_m"), M.shear("Em", "nu_m"), M.bulk("Ef_L", "nu_LT"), M.shear("Ef_L", "nu_LT"), F.lit(0.3))
     out = rows.select(*(c.alias(n) for n, c in b.items()), M.bulk("Em", "nu_m").alias("k1"), M.bulk("Ef_L", "nu_LT").alias("k2")).collect()
     assert all(r.k1 < r.K_low < r.K_high < r.k2 and r.G_low < r.G_high for r in out)
+
+
+def test_sobol_points(spark):
+    from plumbline.functions import sequences as S
+
+    n, dimensions = 256, 11
+    rows = spark.range(n).select(*(S.sobol(F.col("id"), d).alias(f"d{d}") for d in range(dimensions))).collect()
+    points = np.array([list(r) for r in rows])
+    assert points[0].tolist() == [0.0] * dimensions and points[1].tolist() == [0.5] * dimensions
+    assert points[2, :3].tolist() == [0.75, 0.25, 0.25] and points[3, :3].tolist() == [0.25, 0.75, 0.75]
+    for d in range(dimensions):
+        assert sorted(points[:, d]) == [k / n for k in range(n)]
+    shifted = spark.range(n).select(S.sobol(F.col("id"), 1, 12345).alias("x"), S.ceil_to_multiple(F.col("id").cast("double"), 8).alias("m")).collect()
+    assert len({r.x for r in shifted}) == n and all(0 <= r.x < 1 for r in shifted)
+    assert [r.m for r in shifted[:10]] == [0, 8, 8, 8, 8, 8, 8, 8, 8, 16]
