@@ -681,6 +681,33 @@ def reduced_model_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduced_model.rank_curve(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model, [0, 4, 8, 16, 24])
 
 
+@query()
+def reduced_model_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each material's error and its bound with a small model."""
+    model = reduced_model.assemble(snapshots(spark, sf_dir), "v", "label", 24)
+    return reduced_model.certified(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model, 12)
+
+
+@query()
+def reduced_model_sensitivities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and largest norm of the outputs' derivative by each coefficient."""
+    model = reduced_model.assemble(snapshots(spark, sf_dir), "v", "label", 24)
+    slopes = reduced_model.sensitivities(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model)
+    return slopes.groupBy("term").agg(F.avg("norm").alias("mean_norm"), F.max("norm").alias("max_norm"))
+
+
+@query()
+def inverse_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients found back from every material's answer."""
+    model = reduced_model.assemble(snapshots(spark, sf_dir), "v", "label", 24)
+    rows = M.coefficients(materials(spark, sf_dir))
+    answers = reduced_model.answer(rows, "material_id", list(COEFFICIENTS), model)
+    bounds = rows.agg(*(F.min(c).alias(f"low_{c}") for c in COEFFICIENTS), *(F.max(c).alias(f"high_{c}") for c in COEFFICIENTS)).first()
+    low, high = ([0.9 * bounds[f"low_{c}"] for c in COEFFICIENTS], [1.1 * bounds[f"high_{c}"] for c in COEFFICIENTS])
+    names = [f"c{i}{j}" for i in range(1, 7) for j in range(1, 7)]
+    return reduced_model.identify(answers, "material_id", names, model, low, high)
+
+
 @query()
 def adaptive_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots chosen in batches, each the worst represented so far."""

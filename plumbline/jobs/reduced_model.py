@@ -135,3 +135,95 @@ def adaptive_selection(candidates: DataFrame, key: str, vector: str, batch: int,
         fresh = vt[s > max(s[0], 1.0) * 1e-12]
         basis = fresh if basis is None else np.vstack([basis, fresh])
     return spark.createDataFrame(chosen, f"position int, {key} long, score double")
+
+
+def _by_batch(rows: DataFrame, key: str, columns: list[str], schema: str, make) -> DataFrame:
+    """make(keys, array of columns) for each batch of rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield make(frame[key].to_numpy(), frame[columns].to_numpy(dtype=float))
+
+    return rows.select(key, *columns).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+
+
+def certified(materials: DataFrame, key: str, coefficients: list[str], model: ReducedModel, rank: int) -> DataFrame:
+    """key, error and bound (both relative) of the model cut to ``rank``, effectivity, and whether the bound fails.
+
+    The output's error is the residual's energy in K^-1; with each term's smallest eigenvalue known, sum q_k
+    min_k is below K's, and the residual's squared norm over it is a bound that needs no full solve. Needs
+    q >= 0.
+    """
+    lowest = np.array([np.linalg.eigvalsh(k)[0] for k in model.stiffness])
+
+    def make(keys: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+        small = ReducedModel(model.stiffness[:, :rank, :rank], model.loads[:, :rank], model.constants)
+        truth, coarse = model.solve(q)[0], small.solve(q)[0]
+        k, b = np.einsum("nq,qij->nij", q, model.stiffness), np.einsum("nq,qij->nij", q, model.loads)
+        x = np.zeros_like(b)
+        x[:, :rank] = np.linalg.solve(k[:, :rank, :rank], b[:, :rank])
+        left = b - k @ x
+        bound = np.einsum("nij,nij->n", left, left) / np.maximum(q @ lowest, 1e-300)
+        size = np.maximum(np.linalg.norm(coarse, axis=(1, 2)), 1e-300)
+        error = np.linalg.norm(coarse - truth, axis=(1, 2)) / size
+        bound = bound / size
+        return pd.DataFrame({key: keys, "error": error, "bound": bound, "effectivity": bound / np.maximum(error, 1e-15), "violated": error > bound * (1 + 1e-9) + 1e-12})
+
+    return _by_batch(materials, key, coefficients, "error double, bound double, effectivity double, violated boolean", make)
+
+
+def sensitivities(materials: DataFrame, key: str, coefficients: list[str], model: ReducedModel) -> DataFrame:
+    """key, term and 36 columns s11..s66: the output's derivative by each coefficient, and its norm."""
+    names = [f"s{i + 1}{j + 1}" for i in range(LOADS) for j in range(LOADS)]
+
+    def make(keys: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+        slopes = _slopes(model, q)
+        table = pd.DataFrame(slopes.reshape(-1, LOADS * LOADS), columns=names)
+        table.insert(0, "term", np.tile(np.arange(TERMS, dtype=np.int32), len(keys)))
+        table.insert(0, key, np.repeat(keys, TERMS))
+        return table.assign(norm=np.linalg.norm(slopes, axis=(2, 3)).ravel())
+
+    return _by_batch(materials, key, coefficients, "term int, " + ", ".join(f"{n} double" for n in (*names, "norm")), make)
+
+
+def _slopes(model: ReducedModel, q: np.ndarray) -> np.ndarray:
+    """(n, 7, 6, 6): D_k - B_k^T X - X^T B_k + X^T K_k X with X = K^-1 B."""
+    x = np.linalg.solve(np.einsum("nq,qij->nij", q, model.stiffness), np.einsum("nq,qij->nij", q, model.loads))
+    cross = np.einsum("qri,nrj->nqij", model.loads, x)
+    inner = np.einsum("nri,qrs,nsj->nqij", x, model.stiffness, x, optimize=True)
+    return model.constants[None] - cross - cross.swapaxes(2, 3) + inner
+
+
+def identify(targets: DataFrame, key: str, outputs: list[str], model: ReducedModel, low: list[float], high: list[float], rounds: int = 60) -> DataFrame:
+    """key, q0..q6, misfit (relative) and steps: coefficients in a box whose answers fit 36 target columns.
+
+    Damped Gauss-Newton from the box's centre with steps cut to the box, all rows of a batch at once; a row's
+    damping falls when a step helps and grows when it does not.
+    """
+    lower, upper = np.array(low, dtype=float), np.array(high, dtype=float)
+    names = [f"q{k}" for k in range(TERMS)]
+
+    def make(keys: np.ndarray, flat: np.ndarray) -> pd.DataFrame:
+        goal = flat.reshape(-1, LOADS, LOADS)
+        size = np.maximum(np.linalg.norm(flat, axis=1), 1e-300)
+        q = np.tile((lower + upper) / 2, (len(keys), 1))
+        gap = (model.solve(q)[0] - goal).reshape(len(q), -1) / size[:, None]
+        damping, steps = np.full(len(q), 1e-3), np.zeros(len(q), dtype=np.int32)
+        for _ in range(rounds):
+            active = (np.linalg.norm(gap, axis=1) > 1e-12) & (damping < 1e12)
+            if not active.any():
+                break
+            slope = _slopes(model, q).reshape(len(q), TERMS, -1) / size[:, None, None] * (upper - lower)[None, :, None]
+            normal = slope @ slope.swapaxes(1, 2)
+            scale = np.einsum("nii->ni", normal) + 1e-12
+            move = np.linalg.solve(normal + damping[:, None, None] * np.einsum("ni,ij->nij", scale, np.eye(TERMS)), -(slope @ gap[:, :, None]))[:, :, 0]
+            tried = np.clip(q + move * (upper - lower), lower, upper)
+            new = (model.solve(tried)[0] - goal).reshape(len(q), -1) / size[:, None]
+            better = active & (np.linalg.norm(new, axis=1) < np.linalg.norm(gap, axis=1))
+            q[better], gap[better] = tried[better], new[better]
+            damping = np.where(active, np.where(better, np.maximum(damping / 5, 1e-14), damping * 4), damping)
+            steps += active
+        return pd.DataFrame({key: keys} | {n: q[:, k] for k, n in enumerate(names)} | {"misfit": np.linalg.norm(gap, axis=1), "steps": steps})
+
+    return _by_batch(targets, key, outputs, ", ".join(f"{n} double" for n in names) + ", misfit double, steps int", make)

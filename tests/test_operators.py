@@ -125,6 +125,18 @@ def test_reduced_model_answers(spark):
         assert np.isclose(r.c12, (d - b.T @ np.linalg.inv(k) @ b)[0, 1]) and r.residual < 1e-10 and r.least_eigenvalue > 0
     curve = {r["rank"]: r for r in reduced_model.rank_curve(table, "id", names, model, [0, 3, 6]).collect()}
     assert curve[0].error_max >= curve[3].error_max >= curve[6].error_max and curve[6].error_max < 1e-12
+    bounds = reduced_model.certified(table, "id", names, model, 3).collect()
+    assert not any(r.violated for r in bounds) and all(r.bound >= r.error > 0 for r in bounds)
+    slopes = {(r.id, r.term): r.s12 for r in reduced_model.sensitivities(table, "id", names, model).collect()}
+    for k in range(7):
+        up, down = q.copy(), q.copy()
+        up[:, k] += 1e-6
+        down[:, k] -= 1e-6
+        step = (model.solve(up)[0] - model.solve(down)[0])[:, 0, 1] / 2e-6
+        assert np.allclose([slopes[i, k] for i in range(9)], step, rtol=1e-5, atol=1e-8)
+    answers = reduced_model.answer(table, "id", names, model)
+    found = reduced_model.identify(answers, "id", [f"c{i}{j}" for i in range(1, 7) for j in range(1, 7)], model, [0.05] * 7, [1.2] * 7)
+    assert all(r.misfit < 1e-6 and np.allclose([r[n] for n in names], q[r.id], rtol=1e-3, atol=1e-3) for r in found.collect())
     picked = reduced_model.adaptive_selection(rows, "id", "v", 3, 10, 1e-8).orderBy("position").collect()
     assert len(picked) == len({r.id for r in picked}) == 12
     assert picked[0].id == int(np.argmax([np.linalg.norm(r.v) for r in rows.orderBy("id").collect()]))
