@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 #: Lower and upper bound of each sampled parameter.
 BOX = {"Em": (1.1, 4.4), "nu_m": (0.35, 0.42), "Ef_L": (72.0, 395.0), "Ef_T": (6.0, 23.0), "G_LT": (8.0, 30.0), "nu_LT": (0.20, 0.26), "nu_TT": (0.35, 0.40)}
 
+#: Names of the rules of a valid material, in the order in which they are tried.
+REASONS = (
+    "Em_non_positive",
+    "nu_m_out_of_isotropic_range",
+    "fiber_modulus_non_positive",
+    "Ef_L_less_than_Ef_T",
+    "nu_TT_out_of_ti_range",
+    "fiber_compliance_not_positive_definite",
+)
+
 
 def from_unit(unit: Column, name: str) -> Column:
     """A unit value placed in the parameter's box."""
@@ -75,15 +85,15 @@ def reject_reason() -> Column:
     between = lambda c: (F.col(c) > -1.0) & (F.col(c) < 0.5)
     k = F.col("nu_LT") * F.col("nu_LT") * F.col("Ef_T") / F.col("Ef_L")
     definite = (k < 1.0) & (1.0 - F.col("nu_TT") - 2.0 * k > 0.0)
-    return (
-        F.when(F.col("Em") <= 0, "Em_non_positive")
-        .when(~between("nu_m"), "nu_m_out_of_isotropic_range")
-        .when(F.least("Ef_L", "Ef_T", "G_LT") <= 0, "fiber_modulus_non_positive")
-        .when(F.col("Ef_L") < F.col("Ef_T"), "Ef_L_less_than_Ef_T")
-        .when(~between("nu_TT"), "nu_TT_out_of_ti_range")
-        .when(~definite, "fiber_compliance_not_positive_definite")
-        .otherwise("")
+    broken = (
+        F.col("Em") <= 0,
+        ~between("nu_m"),
+        F.least("Ef_L", "Ef_T", "G_LT") <= 0,
+        F.col("Ef_L") < F.col("Ef_T"),
+        ~between("nu_TT"),
+        ~definite,
     )
+    return F.coalesce(*(F.when(rule, name) for rule, name in zip(broken, REASONS, strict=True)), F.lit(""))
 
 
 def hashin_shtrikman(k1: Column, g1: Column, k2: Column, g2: Column, share2: Column) -> dict[str, Column]:

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 #: Names of the three axes.
 AXES = ("x", "y", "z")
+#: Parts of a label, each with the bounds of its first and second word; the third is between them.
+DENSITY = (("dilute", 0.13), ("dense", 0.25), "mid-vf")
+LENGTH = (("short", 10.0), ("long", 20.0), "medium-ar")
+SPATIAL = (("uniform", 0.10), ("clustered", 0.50), "mild-cluster")
+ALIGNED, PLANAR = 0.65, 0.10
 
 
 def folded_triangle(u: Column, v: Column, digits: int = 6) -> dict[str, Column]:
@@ -39,15 +44,15 @@ def anisotropy(*diagonal: Column) -> Column:
 
 def morphology_label(fraction: Column, aspect: Column, cluster: Column, *diagonal: Column) -> Column:
     """density_length_spatial_orientation, by fixed thresholds; the first axis wins a tie."""
-    density = F.when(fraction <= 0.13, "dilute").when(fraction >= 0.25, "dense").otherwise("mid-vf")
-    length = F.when(aspect <= 10, "short").when(aspect >= 20, "long").otherwise("medium-ar")
-    spatial = F.when(cluster >= 0.5, "clustered").when(cluster <= 0.1, "uniform").otherwise("mild-cluster")
+    parts = []
+    for value, ((low_word, low), (high_word, high), middle) in zip((fraction, aspect, cluster), (DENSITY, LENGTH, SPATIAL), strict=True):
+        parts.append(F.when(value <= low, low_word).when(value >= high, high_word).otherwise(middle))
     axes, all_ = F.array(*map(F.lit, AXES)), F.array(*diagonal)
     axis = lambda c: F.element_at(axes, F.array_position(all_, c).cast("int"))
     most, least = F.greatest(*diagonal), F.least(*diagonal)
     orient = (
-        F.when(most >= 0.65, F.concat(F.lit("aligned-"), axis(most)))
-        .when(least <= 0.10, F.concat(F.lit("planar-normal-"), axis(least)))
+        F.when(most >= ALIGNED, F.concat(F.lit("aligned-"), axis(most)))
+        .when(least <= PLANAR, F.concat(F.lit("planar-normal-"), axis(least)))
         .otherwise("triaxial")
     )
-    return F.concat_ws("_", density, length, spatial, orient)
+    return F.concat_ws("_", *parts, orient)
