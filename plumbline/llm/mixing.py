@@ -113,7 +113,8 @@ def mix_plan(items: DataFrame, weights: Sequence[float], share: float, repeats:
     targets = materialize(targets, "mix-targets")
     budgets = targets.filter((F.col("budget") > 0) & (F.col("whole") < repeats)).select("key", "budget")
     edges = _thresholds(items.select("key", "h", "size"), budgets)
-    return targets.join(edges, "key", "left").select("key", "source_size", "target", "whole", "edge")
+    #: Written, so that its size is known before it meets the documents: a short plan then never moves them.
+    return materialize(targets.join(edges, "key", "left").select("key", "source_size", "target", "whole", "edge"), "mix-plan")
 
 
 def _copies(h: str, whole: str, edge: str) -> Column:
