@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import slices
 from plumbline.sources.scratch import materialize
 
 BITS = 64
@@ -62,7 +63,7 @@ def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [fingerprint(text.as_py(), words) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
@@ -130,8 +131,10 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame
 
     Repeated rows of that doc_id stay once. Rows without doc_id cannot be chosen by id: they stay, one a text.
     """
-    found = materialize(near_duplicates(docs.filter(F.col("doc_id").isNotNull()), words, distance).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
-    kept = docs.join(found.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    least = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), words, distance).filter("doc_id = component_id")
+    found = materialize(least.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
+    #: The kept ids grow with the documents, so both are dealt by doc_id whatever their size.
+    kept = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not found.filter("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     nameless = docs.filter(F.col("doc_id").isNull())
