@@ -102,7 +102,7 @@ class Pretokens:
 class Memo:
     """Results by unit, for at most ``most`` units: when full it starts anew, which costs time only."""
 
-    def __init__(self, make: Callable[[list[str]], list], most: int = 600_000) -> None:
+    def __init__(self, make: Callable[[list[str]], list], most: int = 250_000) -> None:
         self.make, self.most, self.known = make, most, {}
 
     def learn(self, found: set[str]) -> dict:

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import slices
+
 #: Classes of letters that stand for each other.
 LETTERS = (
     "aeiou",
@@ -83,7 +85,7 @@ class Surrogates:
 
     def __init__(self, key: bytes) -> None:
         self.key = blake2b(key, digest_size=32).digest()
-        self.of = lru_cache(maxsize=100_000)(self._of)
+        self.of = lru_cache(maxsize=20_000)(self._of)
 
     def _round(self, value: int, tweak: bytes, n: int, mask: int) -> int:
         digest = blake2b(tweak + bytes([n]) + value.to_bytes((value.bit_length() + 7) // 8, "little"), key=self.key)
@@ -235,7 +237,7 @@ def surrogate_collisions(docs: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = surrogates(key)
         seal = lambda *parts: blake2b("\0".join(parts).encode("utf-8"), key=use.key, digest_size=16).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             seen = {m for text in batch.column("text").to_pylist() if text for m in use.replace(text)[1]}
             rows = sorted((kind, seal(kind, new), seal(kind, old)) for kind, old, new in seen)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "surrogate", "entity"])
@@ -253,7 +255,7 @@ def replace_pii(docs: DataFrame, key: bytes, counts: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = surrogates(key)
-        for batch in batches:
+        for batch in slices(batches):
             done = [(None, []) if t is None else use.replace(t) for t in batch.column(place).to_pylist()]
             columns = [pa.array([d[0] for d in done], pa.string()) if i == place else c for i, c in enumerate(batch.columns)]
             names = list(batch.schema.names)
