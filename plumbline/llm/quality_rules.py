@@ -11,7 +11,8 @@ distance is at most that of a chi-squared variable; texts beyond ``cutoff`` time
 Only texts that pass the base rules enter the estimates.
 
 Each step is a grouped aggregation with partial sums on the map side; what returns to the rows are the few
-numbers of their group, by an equi-join that adaptive execution can split where a group is hot. Quantiles
+numbers of their group, by an equi-join on the group and a salt, so that a hot group's rows are dealt to many
+tasks. Quantiles
 are approximate with a fixed accuracy (exact for groups of fewer rows than that), and their state is bounded.
 
 Groups of fewer than ``min_rows`` texts share one estimate with the language's other small groups, these
@@ -21,7 +22,7 @@ FLOORS are the smallest scatter taken for each statistic, so that a group whose
 (no symbols at all, say) does not reject on a trifle.
 
 Defined results: null texts have no words. Null languages and sources are groups of their own. Repeated rows
-stay. An empty table gives no rows. Other columns stay, those named like the result's are replaced.
+stay. An empty table gives no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ WORD_BREAK = r"[\\x20\\x09-\\x0D]+"
 FLOORS = {"f_length": 0.08, "f_symbols": 0.06, "f_repeats": 0.15, "f_lines": 0.1, "f_capitals": 0.06, "f_marks": 0.06}
 FEATURES = tuple(FLOORS)
 ACCURACY = 10_000
+#: A group's rows meet its few numbers in this many tasks, if those are too many groups for a broadcast.
+SALTS = 16
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -142,9 +145,14 @@ def _cholesky(estimates: DataFrame) -> DataFrame:
     return estimates.select("g", *(f"m_{f}" for f in FEATURES), *names)
 
 
+def _with_group(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """rows (with g and salt) joined to their group's numbers, a hot group's rows in SALTS parts."""
+    return rows.join(numbers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
+
+
 def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance to their group's estimate, by forward substitution."""
-    joined = rows.join(estimates, "g")
+    joined = _with_group(rows, estimates)
     for i, a in enumerate(FEATURES):
         left = F.col(a) - F.col(f"m_{a}")
         for k in range(i):
@@ -163,7 +171,8 @@ def mcd_estimates(rows: DataFrame, core: float, steps: int) -> DataFrame:
     """One row a group g: centre, factor of the scatter, and median squared distance (median2)."""
     quantile = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(ACCURACY))
     centre = rows.groupBy("g").agg(*(quantile(f, 0.5).alias(f"m_{f}") for f in FEATURES))
-    away = rows.join(centre, "g").select("g", *(F.abs(F.col(f) - F.col(f"m_{f}")).alias(f) for f in FEATURES))
+    centre = materialize(centre, "mcd-centre")
+    away = _with_group(rows, centre).select("g", *(F.abs(F.col(f) - F.col(f"m_{f}")).alias(f) for f in FEATURES))
     scale = away.groupBy("g").agg(*(F.pow(1.4826 * quantile(f, 0.5), 2).alias(f"c_{f}_{f}") for f in FEATURES))
     start = centre.join(scale, "g")
     for i, a in enumerate(FEATURES):
@@ -172,8 +181,8 @@ def mcd_estimates(rows: DataFrame, core: float, steps: int) -> DataFrame:
     estimates = materialize(_cholesky(start), "mcd-start")
     for _ in range(steps):
         placed = _distance(rows, estimates)
-        limits = placed.groupBy("g").agg(quantile("d2", core).alias("limit"))
-        inner = placed.join(limits, "g").filter(F.col("d2") <= F.col("limit"))
+        limits = materialize(placed.groupBy("g").agg(quantile("d2", core).alias("limit")), "mcd-limits")
+        inner = _with_group(placed, limits).filter(F.col("d2") <= F.col("limit"))
         estimates = materialize(_cholesky(inner.groupBy("g").agg(*_moments())), "mcd-step")
     medians = _distance(rows, estimates).groupBy("g").agg(quantile("d2", 0.5).alias("median2"))
     return materialize(estimates.join(medians, "g"), "mcd")
@@ -186,13 +195,13 @@ def judge_quality(docs: DataFrame, min_words: int = 50, min_rows: int = 200, cor
     rows = materialize(features(stats).withColumn("base_failed", failed), "quality-stats")
     rows = materialize(grouped(rows, min_rows), "quality-groups")
     unjudged = F.col("base_failed") | F.col("g").isNull()
-    judged = rows.filter(~unjudged)
-    estimates = mcd_estimates(judged.select("g", *FEATURES), core, steps)
+    judged = rows.filter(~unjudged).withColumn("salt", F.pmod(F.hash("doc_id", *FEATURES), F.lit(SALTS)))
+    estimates = mcd_estimates(judged.select("g", "salt", *FEATURES), core, steps)
     d = len(FEATURES)
     #: Floors can only make distances smaller, so a median below the expected one is not scaled up.
     scale = chi2_quantile(0.0, d) / F.greatest("median2", F.lit(chi2_quantile(0.0, d)))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    placed = _distance(judged, estimates.drop("median2")).join(estimates.select("g", "median2"), "g")
+    placed = _with_group(_distance(judged, estimates.drop("median2")), estimates.select("g", "median2"))
     accepted = placed.select(*base, (F.col("d2") * scale).alias("distance")).withColumn("kept", F.col("distance") <= cutoff * chi2_quantile(3.0902, d))
     others = rows.filter(unjudged).select(*base, F.lit(None).cast("double").alias("distance"), (~F.col("base_failed")).alias("kept"))
     return accepted.unionByName(others)
