@@ -7,8 +7,8 @@ one signature of a text: its distinct lexicon terms, sorted and hashed. Each ran
 lexicon gives one more. Subsets come in groups: a group's subsets are disjoint random shares of the lexicon
 (1/4, 1/16, ... of it each), so that short and long texts each meet subsets in which they have few terms.
 
-Bound of what is broadcast: the sum of all document frequencies D is known, and a lexicon of terms that are
-in at least f documents has at most D / f terms. The band's lower end is raised until D / f is within
+Bound of what is broadcast: the sum D of the band's document frequencies is known, and a lexicon of terms that
+are in at least f documents has at most D / f terms. The band's lower end is raised until D / f is within
 ``max_lexicon`` (8 bytes a term), whatever the data.
 
 A fingerprint is the signatures in a fixed order, eight hex digits each; a subset in which a text has no term
@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import slices
 from plumbline.llm.bpe_units import groups
 from plumbline.operators.ordered import PART, shuffle_partitions
 from plumbline.sources.scratch import materialize
@@ -139,7 +140,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = TermMemo()
         for batch in batches:
-            for group in groups([t or "" for t in batch.column("text").to_pylist()], 16_000_000):
+            for group in groups([t or "" for t in batch.column("text").to_pylist()], 48_000_000):
                 terms, counts = np.unique(np.concatenate([memo.terms(t) for t in group]), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"term": pa.array(terms.view(np.int64)), "df": pa.array(counts.astype(np.int64))})
 
@@ -148,10 +149,12 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 def build_lexicon(docs: DataFrame, least: float = 1e-4, most: float = 0.02, max_lexicon: int = 1 << 21) -> np.ndarray:
     """Sorted hashes of the terms in the band, at most max_lexicon of them."""
-    counts = materialize(document_frequencies(docs), "term-df")
-    n, total = docs.count(), counts.agg(F.sum("df")).first()[0] or 0
-    low, high = max(2, least * n, total / max_lexicon), max(2, most * n)
-    kept = counts.filter((F.col("df") >= low) & (F.col("df") <= high)).select("term").toPandas()["term"]
+    n = docs.count()
+    low, high = max(2, least * n), max(2, most * n)
+    #: Only the band is written: most terms of a corpus are in one document.
+    band = materialize(document_frequencies(docs).filter((F.col("df") >= low) & (F.col("df") <= high)), "term-df")
+    total = band.agg(F.sum("df")).first()[0] or 0
+    kept = band.filter(F.col("df") >= total / max_lexicon).select("term").toPandas()["term"]
     return np.sort(kept.to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -180,7 +183,7 @@ def fingerprints(docs: DataFrame, least: float = 1e-4, most: float = 0.02, max_l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fingerprint, last, rows = Fingerprinter(shared.value), None, []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
                 own = fingerprint(text)
@@ -199,7 +202,7 @@ def fingerprints(docs: DataFrame, least: float = 1e-4, most: float = 0.02, max_l
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fingerprint = Fingerprinter(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 64):
             rows = []
             for row in batch.to_pylist():
                 text, after = row["text"], row["after"]
