@@ -29,6 +29,7 @@ import re
 import tempfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import slices
 from plumbline.llm.bpe_units import Memo, groups
 from plumbline.operators.ordered import shuffle_partitions
 from plumbline.sources.scratch import materialize
 
 NULL_ID = -(1 << 63)
+#: Words that a task remembers, of about 200 bytes each.
+MEMO = 900_000
 #: Separators that Python's split() takes for white space and the pre-tokenizer does not.
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[^\t-\r ]+")
@@ -58,11 +62,11 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo = Memo(self._encode_words)
+        self.memo = Memo(self._encode_words, MEMO)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [array("I", e.ids).tobytes() for e in encoded]
 
     def encode_all(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
@@ -96,7 +100,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 1, wid
         store.create_dir(root, recursive=True)
         attempt = f"{root}/attempt-{uuid.uuid4().hex}"
         ids, ends, total, out = [], [], 0, None
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             out = out or store.open_output_stream(f"{attempt}.bin")
