@@ -11,7 +11,7 @@ Bound of what is broadcast: the sum D of the band's document frequencies is know
 are in at least f documents has at most D / f terms. The band's lower end is raised until D / f is within
 ``max_lexicon`` (8 bytes a term), whatever the data.
 
-A fingerprint is the signatures in a fixed order, eight hex digits each; a subset in which a text has no term
+A fingerprint is the signatures in a fixed order, six hex digits each; a subset in which a text has no term
 gives dashes. Likeness of two fingerprints is the share of equal signatures among those that at least one of
 them has. A text without any lexicon term uses all its terms as its lexicon, one without terms its
 characters; such fingerprints start with ``-`` and equal only fingerprints of their kind.
@@ -43,7 +43,7 @@ from plumbline.sources.scratch import materialize
 #: (one subset's share of the lexicon is 1 / share, number of subsets); shares are powers of two, and each
 #: group reads bits of the term's hash that no other group reads.
 GROUPS = ((4, 4), (16, 16), (64, 24), (256, 16), (1024, 8))
-SIZE = 8
+SIZE = 6
 EMPTY = "-" * SIZE
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»…“”„‘’–—"
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -79,7 +79,7 @@ class TermMemo(dict):
 
 
 def _signature(terms: bytes) -> str:
-    return xxhash.xxh32_hexdigest(terms, 7)
+    return xxhash.xxh32_hexdigest(terms, 7)[:SIZE]
 
 
 class Fingerprinter:
@@ -95,7 +95,7 @@ class Fingerprinter:
         terms = self.all_terms.terms(text)
         if len(terms):
             return "-" + signatures(terms)[1:]
-        return "-" + hashlib.sha256(text.encode("utf-8")).hexdigest()[: SIZE - 1]
+        return "-" + hashlib.sha256(text.encode("utf-8")).hexdigest()[: 4 * SIZE - 1]
 
 
 def signatures(found: np.ndarray) -> str:
