@@ -131,7 +131,12 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame
 
     Repeated rows of that doc_id stay once. Rows without doc_id cannot be chosen by id: they stay, one a text.
     """
-    least = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), words, distance).filter("doc_id = component_id")
+    return _first_rows(docs, near_duplicates(docs.filter(F.col("doc_id").isNotNull()), words, distance))
+
+
+def _first_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its component_id in named, once each, and those without doc_id, one a text."""
+    least = named.filter("doc_id = component_id")
     found = materialize(least.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
     #: The kept ids grow with the documents, so both are dealt by doc_id whatever their size.
     kept = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
