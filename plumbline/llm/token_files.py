@@ -90,9 +90,27 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 1, width: int = 2) -> DataFrame:
-    """Write the shards to folder (a URI) and return one row a shard: shard, n_docs, n_tokens, base."""
+def id_width(path: str, end: int) -> int:
+    """Bytes an id: 2 if the vocabulary's ids and the end id are below 65,536, else 4."""
+    from tokenizers import Tokenizer
+
+    highest = max(Tokenizer.from_file(path).get_vocab().values(), default=0)
+    if not 0 <= end < 1 << 32:
+        raise ValueError(f"end id {end} does not fit in 32 bits")
+    return 2 if max(highest, end) < 1 << 16 else 4
+
+
+def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 1, width: int | None = None) -> DataFrame:
+    """Write the shards to folder (a URI) and return one row a shard: shard, n_docs, n_tokens, width, base.
+
+    width: bytes an id, the vocabulary's if not given; one that is too small for it is refused.
+    """
+    least = id_width(path, end)
+    width = least if width is None else width
+    if width not in (2, 4) or width < least:
+        raise ValueError(f"ids of this vocabulary need {least} bytes, not {width}")
     kind = np.dtype(f"<u{width}")
+    top = np.iinfo(kind).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -107,6 +125,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 1, wid
             ids += [NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
             for encoded in encoder(path).encode_all([t or "" for t in batch.column("text").to_pylist()], end):
                 tokens = np.frombuffer(encoded, dtype="<u4")
+                if tokens.max() > top:
+                    raise ValueError(f"id {tokens.max()} does not fit in {width} bytes")
                 out.write(tokens.astype(kind).tobytes())
                 total += len(tokens)
                 ends.append(total)
@@ -123,7 +143,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 1, wid
     dealt = rows.repartitionByRange(shuffle_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     shards = materialize(dealt.mapInArrow(run, "shard int, n_docs long, n_tokens long"), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    return shards.withColumns({"width": F.lit(width), "base": F.coalesce(F.sum("n_tokens").over(before), F.lit(0))})
 
 
 def map_shard(folder: str, shard: int, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,12 +165,12 @@ def map_shard(folder: str, shard: int, width: int = 2) -> tuple[np.ndarray, np.n
     return flat, index[:, 0], index[:, 1]
 
 
-def read_token_digests(shards: DataFrame, folder: str, width: int = 2, rows: int = 8192) -> DataFrame:
+def read_token_digests(shards: DataFrame, folder: str, rows: int = 8192) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document of the files. shards: what writing returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
+            for shard, width, base in zip(*(batch.column(name).to_pylist() for name in ("shard", "width", "base")), strict=True):
                 flat, ids, ends = map_shard(folder, shard, width)
                 starts = np.r_[0, ends[:-1]]
                 for at in range(0, len(ids), rows):
@@ -165,5 +185,5 @@ def read_token_digests(shards: DataFrame, folder: str, width: int = 2, rows: int
                         }
                     )
 
-    dealt = shards.select("shard", "base").repartition(shuffle_partitions(shards), "shard")
+    dealt = shards.select("shard", "width", "base").repartition(shuffle_partitions(shards), "shard")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
