@@ -1,27 +1,42 @@
 """SimHash near-duplicates: fingerprints, links by multi-index hashing, components.
 
-A text's fingerprint is 64 bits; bit b is 1 if it is set in over half of the XXH64 values (seed 42) of the
-text's word shingles. Words: A-Z lower-cased, runs without \\x20, \\x09-\\x0D. Fewer words than a shingle
-has: the whole sequence is the one shingle. No words: fingerprint zero.
-
-Links (Hamming distance of 2 or less): the fingerprint is cut into segments, and each distinct fingerprint
-enumerates, segment by segment, the ball of radius 1 of that segment beside its other segments as they are.
-Two fingerprints share one of these entries exactly if they differ in 2 bits or fewer: with both bits in one
-segment they meet half-way in that segment's balls, with one bit in each of two segments either one's ball
-holds what the other has there. An entry is shared by at most 65 distinct fingerprints, which bounds each
-group whatever the data; each member is linked to the entry's smallest fingerprint and the link's complete
-distance is verified. So n distinct fingerprints give 65 n entries and no pairs are expanded.
-
-Equal fingerprints are one node from the start. Components come from alternating large-star and small-star
-rounds over the links, each round a scratch table in the cluster's shared folder.
-
-Defined results: null and empty texts have fingerprint zero and are linked like any other. Component ids are
-the smallest doc_id reachable; null ids are ignored unless the component has no other. Repeated rows stay.
-An empty table gives no rows. Other columns play no part.
+Words: A-Z lower-cased, runs without \\x20, \\x09-\\x0D. A shingle is some words in a row; fewer words than a
+shingle has: the whole sequence is the one shingle. A fingerprint's bit is 1 if it is set in over half of the
+XXH64 values (seed 42) of the shingles. No words: fingerprint zero.
+
+Two uses, both by segment tables, small balls in each segment, and verification of the complete distance:
+
+- ``near_duplicates``: 64-bit fingerprints over all shingles, repeats included, linked at ``distance`` or fewer
+  differing bits. All such links are found, see ``multi_index``.
+- ``similar_copies``: links of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+  A short fingerprint is too coarse for that: at 0.8 every bit differs with a probability of 0.15. So the
+  fingerprint has SEGMENTS x WIDTH bits over the set, each shingle once (XXH64 and mixes of it for further
+  words). Table s has each set under its segment s and under the ball of radius 1 of that segment, so two sets
+  meet in table s if their segments s differ in 2 bits or fewer. The complete distance is verified (at most
+  LIMIT, four standard deviations above what 0.8 gives), then the similarity itself on the sets, held as 32 bits
+  a shingle. Distances up to 3 SEGMENTS - 1 are found for certain, larger ones if one of the segments is near:
+  at similarity 0.8, 0.85 and 0.9 expect 95, 99 and 99.9 %. WIDTH is meant for up to some 10^8 distinct sets; for
+  more, raise it with the logarithm of their number (and SEGMENTS with it), so that entries stay short.
+
+Hot entries of ``similar_copies``: no pairs of an entry's whole group are expanded. First each set meets its
+entries' smallest one, and the smallest that is near by distance is verified. After that only pairs of different
+components are left: in each entry, the sets outside its largest component meet the entry's other components,
+and only those whose sizes allow the similarity. So every pair that shares an entry is in one component, has
+been compared, or cannot be similar.
+
+Equal fingerprints, or equal sets, are one node from the start; a set's number is 64 bits of its hash (two of 13
+million sets share one with a probability below 1e-5). Components come from alternating large-star and
+small-star rounds over the links, each round a scratch table in the cluster's shared folder.
+
+Defined results: null and empty texts have no words; by fingerprint they are linked like any other, by
+similarity they are one node without links. Component ids are the smallest doc_id reachable; null ids are
+ignored unless the component has no other. Repeated rows stay. An empty table gives no rows. Other columns play
+no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,32 +46,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.batches import slices
-from plumbline.sources.scratch import materialize
+from plumbline.llm.multi_index import components, mixed, near_links
+from plumbline.sources.scratch import materialize, release
 
-BITS = 64
 SEED = 42
-SEGMENTS = 4
+#: The long fingerprint's segments, and the 64-bit words that hold them.
+WIDTH, SEGMENTS, LONGS = 26, 12, 5
+LIMIT = 72
+#: Hashes whose bits are counted at a time.
+CHUNK = 1 << 14
 _LITTLE = np.dtype("<u8")
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The fingerprint of one text, as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, in order, repeats included."""
     parts = (text or "").encode("utf-8").lower().split()
     if not parts:
-        return 0
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        starts, at = [0], 0
-        for part in parts:
-            at += len(part) + 1
-            starts.append(at)
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[words:])]
-    bits = np.unpackbits(np.array(hashes, dtype=_LITTLE).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(ones, bitorder="little").view("<i8")[0])
+        return np.empty(0, _LITTLE)
+    joined, starts, at = b" ".join(parts), [0], 0
+    for part in parts:
+        at += len(part) + 1
+        starts.append(at)
+    digest = xxhash.xxh64_intdigest
+    ends = starts[words:] or [at]
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends)], dtype=_LITTLE)
+
+
+def majority(hashes: np.ndarray, longs: int = 1) -> np.ndarray:
+    """64-bit words whose bits are set in over half of the hashes (of the hashes' k-th mix for the k-th word)."""
+    ones = np.zeros(64 * longs, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK]
+        words = np.stack([mixed(part + np.uint64(k)) if k else part for k in range(longs)], axis=1).astype(_LITTLE)
+        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(_LITTLE)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The fingerprint of one text, as a signed 64-bit integer."""
+    return int(majority(shingle_hashes(text, words)).view("<i8")[0])
 
 
 def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -71,70 +99,139 @@ def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def segment_ball(fp: Column, segments: int = SEGMENTS) -> Column:
-    """fp itself and, segment by segment, fp with one of the segment's bits changed."""
-    width = BITS // segments
-    entries = [fp]
-    for s in range(segments):
-        for bit in range(width * s, width * (s + 1)):
-            mask = 1 << bit
-            entries.append(fp.bitwiseXOR(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-    return F.array(*entries)
-
-
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """u, v with u > v for distinct fingerprints (column fp): enough links to connect all that are near.
-
-    Balls of radius 1 find distances up to 2.
-    """
-    if not 0 <= distance <= 2:
-        raise ValueError("balls of radius 1 find distances up to 2")
-    entries = fps.select("fp", F.explode(segment_ball(F.col("fp"))).alias("entry"))
-    least = F.min("fp").over(Window.partitionBy("entry"))
-    near = entries.select("fp", least.alias("v")).filter(F.col("fp") != F.col("v"))
-    return near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= distance).select(F.col("fp").alias("u"), "v").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node reachable) for all nodes of edges (u, v), by star contraction."""
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
-    while True:
-        #: Large star: larger neighbours move to the smallest neighbour or the node itself.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        #: Small star: smaller neighbours and the node move to the smallest of them.
-        large = materialize(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "small-star")
-        #: Done when every node has one link and no root is linked itself: then all links are final stars.
-        loose = small.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u").unionByName(small.select(F.col("v").alias("u")).distinct().join(small.select("u").distinct(), "u"))
-        edges = small
-        if loose.isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (columns doc_id, text)."""
     docs = materialize(with_fingerprint(docs, words), "fingerprints")
     nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
-    roots = materialize(components(links(nodes.select("fp"), distance)), "fp-roots")
+    roots = materialize(components(near_links(nodes.select("fp"), distance, segments)), "fp-roots")
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of docs, whole, with one document (the smallest doc_id) of each component.
+def with_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node, fingerprint words f0.., size and set (sorted 32-bit shingle hashes) of every row of docs."""
+    names = ["node", *(f"f{k}" for k in range(LONGS)), "size", "set"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            nodes, prints, sizes, sets = [], [], [], []
+            for text in batch.column("text"):
+                hashes = np.unique(shingle_hashes(text.as_py(), words))
+                nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED))
+                prints.append(majority(hashes, LONGS))
+                small = np.unique((hashes >> np.uint64(32)).astype("<u4"))
+                sizes.append(len(small))
+                sets.append(small.tobytes())
+            table = np.array(prints, dtype=np.uint64).reshape(-1, LONGS).view(np.int64)
+            columns = [batch.column("doc_id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), *(pa.array(c) for c in table.T.copy()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    longs = ", ".join(f"{n} long" for n in names[:-2])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {longs}, size int, set binary")
+
+
+def segment_entries(nodes: DataFrame) -> DataFrame:
+    """node and entry (segment number and value) for every segment's ball of radius 1."""
+    masks = np.array([0, *(1 << b for b in range(WIDTH))], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            prints = np.stack([batch.column(f"f{k}").to_numpy() for k in range(LONGS)], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * WIDTH]
+            values = bits.reshape(-1, SEGMENTS, WIDTH) @ (np.int64(1) << np.arange(WIDTH, dtype=np.int64))
+            tables = np.arange(SEGMENTS, dtype=np.int64) << WIDTH
+            entries = (values[:, :, None] ^ masks) | tables[None, :, None]
+            node = np.repeat(batch.column("node").to_numpy(), SEGMENTS * len(masks))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(entries.reshape(-1).astype(np.int32))], ["node", "entry"])
+
+    return nodes.mapInArrow(run, "node long, entry int")
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.expr(" + ".join(f"bit_count({a}.f{k} ^ {b}.f{k})" for k in range(LONGS)))
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose complete fingerprints are near."""
+    left, right = nodes.withColumnRenamed("node", "u").alias("a"), nodes.withColumnRenamed("node", "v").alias("b")
+    return pairs.join(left, "u").join(right, "v").filter(_distance("a", "b") <= LIMIT).select("u", "v")
+
+
+def similar_pairs(pairs: DataFrame, feats: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are similar. feats: node and set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                a, b = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = materialize(feats.join(used, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "copy-sets")
+    x, y = sets.select(F.col("node").alias("u"), F.col("set").alias("x")), sets.select(F.col("node").alias("v"), F.col("set").alias("y"))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def cross_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u > v) of different components in an entry of three nodes or more, of sizes that allow the similarity.
+
+    Sizes are classed by powers of 1 / similarity; sets in classes that are not neighbours cannot be similar.
+    """
+    size_class = F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity)) if similarity < 1 else F.col("size")
+    rooted = shared.filter("n > 2").join(roots, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
+    counts = rooted.groupBy("entry", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("entry").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1")
+    classed = rooted.join(main.drop("k"), "entry").join(nodes.select("node", size_class.cast("int").alias("class")), "node")
+    open_ = materialize(classed, "copy-open")
+    a = open_.filter("root <> main").withColumn("class", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1))).alias("a")
+    b = open_.alias("b")
+    met = a.join(b, (F.col("a.entry") == F.col("b.entry")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") > F.col("b.node"))))
+    return met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+
+
+def similar_links(feats: DataFrame, similarity: float) -> DataFrame:
+    """Verified links u, v: enough to connect all sets that are similar and share an entry. feats: see ``with_sets``."""
+    nodes = materialize(feats.filter("size > 0").select("node", "size", *(f"f{k}" for k in range(LONGS))).distinct(), "copy-nodes")
+    entry = Window.partitionBy("entry")
+    shared = segment_entries(nodes).select("entry", "node", F.min("node").over(entry).alias("v"), F.count("*").over(entry).alias("n")).filter("n > 1")
+    shared = materialize(shared, "copy-entries")
+    near = materialize(near_pairs(shared.filter("node <> v").select(F.col("node").alias("u"), "v").distinct(), nodes), "copy-near")
+    first = materialize(near.groupBy("u").agg(F.min("v").alias("v")), "copy-first")
+    done = materialize(similar_pairs(first, feats.select("node", "set"), similarity), "copy-links")
+    roots = materialize(components(done), "copy-roots")
+    rest = near.unionByName(near_pairs(cross_pairs(shared, roots, nodes, similarity), nodes)).distinct().join(first, ["u", "v"], "left_anti")
+    x, y = roots.select(F.col("node").alias("u"), F.col("root").alias("x")), roots.select(F.col("node").alias("v"), F.col("root").alias("y"))
+    rest = rest.join(x, "u", "left").join(y, "v", "left").filter(F.coalesce("x", "u") != F.coalesce("y", "v")).select("u", "v")
+    rest = materialize(rest, "copy-rest")
+    release(shared, near, first, roots)
+    return done.unionByName(similar_pairs(rest, feats.select("node", "set"), similarity))
+
+
+def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of every row of docs (columns doc_id, text), by the similarity of shingle sets."""
+    feats = materialize(with_sets(docs, words), "copy-feats")
+    roots = materialize(components(similar_links(feats, similarity)), "copy-components")
+    ids = feats.groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = materialize(ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "copy-rooted")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return feats.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, whole, with one document (the smallest doc_id) of each component of similar copies.
 
     Repeated rows of that doc_id stay once. Rows without doc_id cannot be chosen by id: they stay, one a text.
     """
-    return _first_rows(docs, near_duplicates(docs.filter(F.col("doc_id").isNotNull()), words, distance))
+    return first_rows(docs, similar_copies(docs.filter(F.col("doc_id").isNotNull()), words, similarity))
 
 
-def _first_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
+def first_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is its component_id in named, once each, and those without doc_id, one a text."""
     least = named.filter("doc_id = component_id")
     found = materialize(least.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")

@@ -11,7 +11,7 @@ def test_stages_and_run(spark):
     scores = {r.doc_id: r.score for r in quality_classifier.score_quality(docs, quality_classifier.train(docs, labels)).collect()}
     kept = docs.filter(docs.doc_id.isin([i for i, s in scores.items() if s >= 0.3])).collect()
     kept = spark.createDataFrame(kept, docs.schema)
-    least = {r.doc_id: r.component_id for r in simhash.near_duplicates(kept).collect()}
+    least = {r.doc_id: r.component_id for r in simhash.similar_copies(kept, 5, 0.8).collect()}
     kept = spark.createDataFrame([r for r in kept.collect() if least[r.doc_id] == r.doc_id], docs.schema)
     use = surrogates.surrogates(SURROGATE_KEY)
     rows = [(r.doc_id, use.replace(r.text)[0], r.lang, r.source) for r in kept.collect()]

@@ -1,8 +1,10 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from plumbline.llm import multi_index as M
 from plumbline.llm import simhash as S
 
 
@@ -48,20 +50,63 @@ def test_whole_result_against_brute_force(spark):
     assert all(r.component_id == least[root[int(r.fingerprint, 16)]] for r in got)
 
 
-def test_chains_of_fingerprints(spark):
-    rng = random.Random(9)
+def chains(rng, count, steps):
     values = {0}
-    for _ in range(40):
+    for _ in range(count):
         at = rng.getrandbits(64)
         for _ in range(rng.randint(1, 25)):
             values.add(at)
-            for _ in range(rng.choice([1, 2, 2, 3])):
+            for _ in range(rng.choice(steps)):
                 at ^= 1 << rng.randrange(64)
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    root = {r.node: r.root for r in S.components(S.links(fps)).collect()}
-    expected = brute_components(signed, lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2)
-    assert {v: root.get(v, v) for v in signed} == expected
+    return sorted(v - (1 << 64) if v >> 63 else v for v in values)
+
+
+def all_links(values, distance):
+    return {(max(a, b), min(a, b)) for i, a in enumerate(values) for b in values[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance}
+
+
+def found_links(spark, values, *args):
+    fps = spark.createDataFrame([(v,) for v in values], "fp long").repartition(3)
+    return {(r.u, r.v) for r in M.near_links(fps, *args).collect()}
+
+
+@pytest.mark.parametrize(("distance", "segments"), [(0, 1), (2, 2), (2, 3), (3, 2), (3, 4), (6, 4)])
+def test_all_links_at_any_distance(spark, distance, segments):
+    values = chains(random.Random(9), 40, [1, 2, 2, 3, 5])
+    expected = all_links(values, distance)
+    assert found_links(spark, values, distance, segments) == expected and (distance == 0 or len(expected) > 100)
+
+
+@pytest.mark.parametrize(("distance", "segments"), [(2, 2), (3, 3)])
+def test_crowded_entries_lose_nothing(spark, distance, segments):
+    rng = random.Random(4)
+    base = rng.getrandbits(63)
+    values = {base ^ sum(1 << b for b in rng.sample(range(20), rng.randint(0, 6))) for _ in range(250)}
+    values |= {base ^ (1 << 45) ^ (1 << b) for b in range(30)} | {rng.getrandbits(63) for _ in range(50)}
+    values = sorted(values)
+    assert found_links(spark, values, distance, segments, 8) == found_links(spark, values, distance, segments) == all_links(values, distance)
+
+
+def test_components_of_links(spark):
+    values = chains(random.Random(9), 40, [1, 2, 2, 3])
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    root = {r.node: r.root for r in M.components(M.near_links(fps, 2, 2)).collect()}
+    expected = brute_components(values, lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2)
+    assert {v: root.get(v, v) for v in values} == expected
+
+
+def test_tables_are_keyed_by_segments_and_candidates_are_dropped(spark):
+    base = 0x0123456789ABCDEF
+    #: The first two agree in their lower half only, the first and the third are near.
+    values = [base, base ^ (0xFFFF << 40), base ^ 1]
+    start = spark.createDataFrame([(0, v, -1, 2) for v in values], "entry long, fp long, free long, left int")
+    by_parts = {n: {r.entry for r in M.expanded(start, n, False).collect()} for n in (1, 2, 4)}
+    assert len({frozenset(e) for e in by_parts.values()}) == 3 and [len(e) for e in by_parts.values()] == [3, 4, 7]
+    looked, tables = M.expanded(start, 2, True), M.expanded(start, 2, False)
+    assert looked.count() == 3 * 2 * 33
+    met = {(r.u, r.v) for r in looked.selectExpr("entry", "fp u").join(tables.selectExpr("entry", "fp v"), "entry").filter("u > v").collect()}
+    kept = {(r.u, r.v) for r in M.verified(looked, tables, 2).collect()}
+    assert kept == {(max(base, base ^ 1), min(base, base ^ 1))} and met > kept and len(met) == 3
 
 
 def test_empty_and_one_of_each(spark):
@@ -74,7 +119,5 @@ def test_empty_and_one_of_each(spark):
 
 
 def test_bad_distance(spark):
-    import pytest
-
     with pytest.raises(ValueError):
-        S.links(spark.range(1).select(F.col("id").alias("fp")), 3)
+        M.near_links(spark.range(1).select(F.col("id").alias("fp")), -1, 2)
