@@ -39,7 +39,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a scratch table and return it as read back: one evaluation, short lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _paths[back] = path
     return back
