@@ -1,37 +1,47 @@
 """I-Match document fingerprints from several randomised lexicon subsets.
 
 Terms are lower-cased white-space words without leading and trailing punctuation, held as 64-bit hashes. The
-lexicon keeps terms within a band of inverse document frequency, counted over all documents: in at most
-``most`` of all documents, and in at least ``least`` of them (and in at least two). The full lexicon gives
-one signature of a text: its distinct lexicon terms, sorted and hashed. Each randomised subset of the
-lexicon gives one more. Subsets come in groups: a group's subsets are disjoint random shares of the lexicon
-(1/4, 1/16, ... of it each), so that short and long texts each meet subsets in which they have few terms.
-
-Bound of what is broadcast: the sum D of the band's document frequencies is known, and a lexicon of terms that
-are in at least f documents has at most D / f terms. The band's lower end is raised until D / f is within
-``max_lexicon`` (8 bytes a term), whatever the data.
-
-A fingerprint is the signatures in a fixed order, six hex digits each; a subset in which a text has no term
-gives dashes. Likeness of two fingerprints is the share of equal signatures among those that at least one of
-them has. A text without any lexicon term uses all its terms as its lexicon, one without terms its
-characters; such fingerprints start with ``-`` and equal only fingerprints of their kind.
-
-The edited text of a document ends in the next document's beginning. Documents are dealt by ranges of
-doc_id and sorted; a task streams its range with one document of look-back, and only a range's first and
+lexicon keeps terms within a band of inverse document frequency: in at most ``most`` of the distinct texts (so that
+a large group of copies does not push its own terms out), and in at least ``least`` of them, copies counted (and in
+two at least). The full lexicon gives one signature of a text: its distinct lexicon terms, sorted and hashed.
+Each randomised subset of the lexicon gives one more. Subsets come in groups: a group's subsets are disjoint
+random shares of the lexicon (1/4, 1/16, ... of it each), so that short and long texts each meet subsets in which
+they have few terms.
+
+Document frequencies over distinct texts, without moving texts: over all rows they are sums of partial counts.
+With S rows more than distinct texts, a term in c rows is in c - S to c texts, so only terms between the band's
+upper end and S rows above it are in doubt. Those, and no others, are counted again, once for each distinct text.
+
+Bound of what is broadcast (8 bytes a term): all document frequencies add up to D, the number of distinct terms of
+a text times the number of texts, so at most D / f terms are in f texts or more. For the terms in doubt f is the
+band's upper end; for the lexicon its lower end, which is D / ``max_lexicon`` at least. Both ends are shares of the
+number of texts, so neither bound grows with the corpus.
+
+A fingerprint is the signatures in a fixed order, eight hex digits each; a subset in which a text has no term
+gives dashes. The lexicon's signatures come first, then a few of all terms, likewise in random shares. Likeness
+of two fingerprints is the share of equal signatures among those that at least one of them has, over the lexicon's
+part, or over the part of all terms if one of the texts has no lexicon term. A text without any term has the hash
+of its characters in that part.
+
+The edited text of a document ends in the next document's beginning. Documents are dealt by ranges of doc_id,
+compressed, and sorted; a task streams its range with one document of look-back, and only a range's first and
 last documents meet in a second step, one row a range.
 
-Defined results: null is an empty text. Null doc_ids come first, equal ones are ordered by text. A single
-document is its own next one. Repeated rows stay. An empty table gives no rows. Extra columns play no part.
+Defined results: null is an empty text. Null doc_ids come first, equal ones are ordered by their texts' XXH64. A
+single document is its own next one. Repeated rows stay. An empty table gives no rows. Extra columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +53,12 @@ from plumbline.sources.scratch import materialize
 #: (one subset's share of the lexicon is 1 / share, number of subsets); shares are powers of two, and each
 #: group reads bits of the term's hash that no other group reads.
 GROUPS = ((4, 4), (16, 16), (64, 24), (256, 16), (1024, 8))
-SIZE = 6
+#: The same for the part of all terms.
+ALL_GROUPS = ((2, 2), (8, 8))
+SIZE = 8
 EMPTY = "-" * SIZE
+#: Digits of the lexicon's part.
+SPLIT = SIZE * (1 + sum(n for _, n in GROUPS))
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»…“”„‘’–—"
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -56,52 +70,67 @@ def term_hash(word: str) -> int:
 
 
 class TermMemo(dict):
-    """Hashes by word, found when first asked for; 0 for words that do not count."""
+    """Hashes by word, found when first asked for; 0 for words that have no term. Starts anew when it is full."""
 
-    def __init__(self, lexicon: frozenset[int] | None = None, most: int = 500_000) -> None:
+    def __init__(self, most: int = 500_000) -> None:
         super().__init__()
-        self.lexicon, self.most = lexicon, most
+        self.most = most
 
     def __missing__(self, word: str) -> int:
-        found = term_hash(word)
-        if self.lexicon is not None and found not in self.lexicon:
-            found = 0
-        self[word] = found
+        found = self[word] = term_hash(word)
         return found
 
-    def terms(self, text: str) -> np.ndarray:
-        """Sorted distinct term hashes of a text, those that count."""
+    def terms(self, text: str) -> set[int]:
+        """Distinct term hashes of a text."""
         if len(self) > self.most:
             self.clear()
         found = set(map(self.__getitem__, set(text.lower().split())))
         found.discard(0)
-        return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+        return found
 
 
-def _signature(terms: bytes) -> str:
-    return xxhash.xxh32_hexdigest(terms, 7)[:SIZE]
+class Chosen(dict):
+    """Whether a term hash is among the sorted ones, found when first asked for."""
+
+    def __init__(self, hashes: np.ndarray, most: int = 500_000) -> None:
+        super().__init__()
+        self.hashes, self.most = array("Q", hashes.astype(np.uint64).tobytes()), most
+
+    def __missing__(self, term: int) -> bool:
+        if len(self) > self.most:
+            self.clear()
+        at = bisect_left(self.hashes, term)
+        found = self[term] = at < len(self.hashes) and self.hashes[at] == term
+        return found
+
+
+def _sorted(terms: set[int] | list[int]) -> np.ndarray:
+    return np.sort(np.fromiter(terms, dtype=np.uint64, count=len(terms)))
 
 
 class Fingerprinter:
-    """Fingerprints of texts for one lexicon (term hashes)."""
+    """Fingerprints of texts for one lexicon (sorted term hashes)."""
 
     def __init__(self, lexicon: np.ndarray) -> None:
-        self.lexicon_terms, self.all_terms = TermMemo(frozenset(lexicon.tolist())), TermMemo()
+        self.memo, self.chosen = TermMemo(), Chosen(lexicon)
 
     def __call__(self, text: str) -> str:
-        found = self.lexicon_terms.terms(text)
-        if len(found):
-            return signatures(found)
-        terms = self.all_terms.terms(text)
-        if len(terms):
-            return "-" + signatures(terms)[1:]
-        return "-" + hashlib.sha256(text.encode("utf-8")).hexdigest()[: 4 * SIZE - 1]
+        terms = self.memo.terms(text)
+        inside = list(filter(self.chosen.__getitem__, terms))
+        first = signatures(_sorted(inside), GROUPS) if inside else "-" * SPLIT
+        if terms:
+            return first + signatures(_sorted(terms), ALL_GROUPS)
+        return first + hashlib.sha256(text.encode("utf-8")).hexdigest()[:SIZE] + EMPTY * sum(n for _, n in ALL_GROUPS)
 
 
-def signatures(found: np.ndarray) -> str:
+def _signature(terms: bytes) -> str:
+    return xxhash.xxh32_hexdigest(terms, 7)
+
+
+def signatures(found: np.ndarray, shares: tuple[tuple[int, int], ...]) -> str:
     """Signature of all of found and those of the random subsets, in order."""
     out, bits = [_signature(found.astype("<u8").tobytes())], 0
-    for share, subsets in GROUPS:
+    for share, subsets in shares:
         subset = (found >> np.uint64(bits)) & np.uint64(share - 1)
         bits += share.bit_length() - 1
         parts = [EMPTY] * subsets
@@ -118,16 +147,13 @@ def signatures(found: np.ndarray) -> str:
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of equal signatures among those that a or b has."""
+    """Share of equal signatures among those that a or b has, in the lexicon's part or in that of all terms."""
     if a == b:
         return 1.0
-    if a[0] == "-" or b[0] == "-":
-        if a[0] != b[0]:
-            return 0.0
+    lexicon = a[0] != "-" and b[0] != "-"
     both = equal = 0
-    n = max(len(a), len(b))
-    for i in range(0, n, SIZE):
-        x, y = a[i : i + SIZE] or EMPTY, b[i : i + SIZE] or EMPTY
+    for i in range(0, SPLIT, SIZE) if lexicon else range(SPLIT, len(a), SIZE):
+        x, y = a[i : i + SIZE], b[i : i + SIZE]
         if x != EMPTY or y != EMPTY:
             both += 1
             equal += x == y
@@ -141,21 +167,51 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         memo = TermMemo()
         for batch in batches:
             for group in groups([t or "" for t in batch.column("text").to_pylist()], 48_000_000):
-                terms, counts = np.unique(np.concatenate([memo.terms(t) for t in group]), return_counts=True)
+                found = [np.fromiter(own, dtype=np.uint64, count=len(own)) for own in map(memo.terms, group)]
+                terms, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"term": pa.array(terms.view(np.int64)), "df": pa.array(counts.astype(np.int64))})
 
     return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def distinct_frequencies(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """term and df over the distinct texts of docs, for the wanted terms (sorted hashes) that any text has."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, chosen = TermMemo(), Chosen(shared.value)
+        for batch in slices(batches):
+            found = [[t for t in memo.terms(text) if chosen[t]] if text else [] for text in batch.column("text").to_pylist()]
+            places = [np.searchsorted(shared.value, _sorted(own)).astype(np.int32) for own in found]
+            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "terms": pa.array(places, pa.list_(pa.int32()))})
+
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "h long, terms array<int>").dropDuplicates(["h"])
+    counts = texts.select(F.explode("terms").alias("place")).groupBy("place").agg(F.count("*").alias("df"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = shared.value[batch.column("place").to_numpy()]
+            yield pa.RecordBatch.from_pydict({"term": pa.array(terms.view(np.int64)), "df": batch.column("df")})
+
+    return counts.mapInArrow(name, "term long, df long")
+
+
+def _hashes(terms: DataFrame) -> np.ndarray:
+    return np.sort(terms.select("term").toPandas()["term"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
 def build_lexicon(docs: DataFrame, least: float = 1e-4, most: float = 0.02, max_lexicon: int = 1 << 21) -> np.ndarray:
     """Sorted hashes of the terms in the band, at most max_lexicon of them."""
-    n = docs.count()
+    rows, n = docs.agg(F.count("*"), F.countDistinct(F.xxhash64("text"))).first()
     low, high = max(2, least * n), max(2, most * n)
-    #: Only the band is written: most terms of a corpus are in one document.
-    band = materialize(document_frequencies(docs).filter((F.col("df") >= low) & (F.col("df") <= high)), "term-df")
+    #: Only what may be in the band is written: most terms of a corpus are in one document.
+    some = materialize(document_frequencies(docs).filter((F.col("df") >= low) & (F.col("df") <= high + rows - n)), "term-df")
+    sure, doubt = some.filter(F.col("df") <= high), some.filter(F.col("df") > high)
+    band = sure
+    if rows > n and not doubt.isEmpty():
+        band = sure.unionByName(materialize(distinct_frequencies(docs, _hashes(doubt)).filter(F.col("df") <= high), "term-doubt"))
     total = band.agg(F.sum("df")).first()[0] or 0
-    kept = band.filter(F.col("df") >= total / max_lexicon).select("term").toPandas()["term"]
-    return np.sort(kept.to_numpy(dtype=np.int64).view(np.uint64))
+    return _hashes(band.filter(F.col("df") >= total / max_lexicon))
 
 
 def edited_text(text: str, after: str) -> str:
@@ -174,48 +230,61 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (hash of the text) and text, compressed, of every row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        for batch in slices(batches):
+            texts = pa.array([press.compress((t or "").encode("utf-8")) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), texts], ["doc_id", "tie", "text"])
+
+    tied = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+    return tied.mapInArrow(run, "doc_id long, tie long, text binary")
+
+
 def fingerprints(docs: DataFrame, least: float = 1e-4, most: float = 0.02, max_lexicon: int = 1 << 21) -> DataFrame:
     """Each document's fingerprint, its edited text's, and likeness to that and to the next document's."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, least, most, max_lexicon))
     names = [*(x.split()[0] for x in SCHEMA.split(", ")), "place", "text"]
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fingerprint, last, rows = Fingerprinter(shared.value), None, []
+        fingerprint, last, rows, plain = Fingerprinter(shared.value), None, [], zstandard.ZstdDecompressor()
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = text or ""
+            for doc_id, kept in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = plain.decompress(kept).decode("utf-8")
                 own = fingerprint(text)
                 if last is None:
                     #: The range's first document, for the range before.
-                    rows.append((doc_id, None, None, None, None, None, None, 1, text))
+                    rows.append((doc_id, None, None, None, None, None, None, 1, kept))
                 else:
-                    rows.append((*_row(*last, text, own, fingerprint), 0, None))
-                last = doc_id, text, own
+                    rows.append((*_row(*last[:3], text, own, fingerprint), 0, None))
+                last = doc_id, text, own, kept
                 if len(rows) >= 2048:
                     yield _batch(rows, names, kinds)
                     rows = []
         if last is not None:
-            rows.append((last[0], None, None, None, None, None, None, 2, last[1]))
+            rows.append((last[0], None, None, None, None, None, None, 2, last[3]))
             yield _batch(rows, names, kinds)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fingerprint = Fingerprinter(shared.value)
+        fingerprint, plain = Fingerprinter(shared.value), zstandard.ZstdDecompressor()
         for batch in slices(batches, 64):
             rows = []
             for row in batch.to_pylist():
-                text, after = row["text"], row["after"]
+                text, after = (plain.decompress(row[c]).decode("utf-8") for c in ("text", "after"))
                 rows.append(_row(row["doc_id"], text, fingerprint(text), after, fingerprint(after), fingerprint))
             if rows:
                 yield _batch(rows, names[:-2], kinds[:-2])
 
-    dealt = docs.repartitionByRange(shuffle_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    done = materialize(dealt.mapInArrow(run, f"{SCHEMA}, place int, text string").withColumn(PART, F.spark_partition_id()), "imatch")
+    dealt = packed(docs).repartitionByRange(shuffle_partitions(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    done = materialize(dealt.mapInArrow(run, f"{SCHEMA}, place int, text binary").withColumn(PART, F.spark_partition_id()), "imatch")
     ends = done.filter("place > 0").select(PART, "place", "doc_id", "text")
+    #: One number a range goes through the window; the texts are joined to its result.
     order = Window.orderBy(PART)
-    firsts = ends.filter("place = 1").select(PART, "text")
-    firsts = firsts.select((F.lag(PART).over(order)).alias("before"), F.max(PART).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("final"), F.col("text").alias("after"))
-    firsts = firsts.select(F.coalesce("before", "final").alias(PART), "after")
+    parts = ends.filter("place = 1").select(PART).select(F.lag(PART).over(order).alias("before"), F.max(PART).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("final"), PART)
+    firsts = parts.join(ends.filter("place = 1").select(PART, F.col("text").alias("after")), PART).select(F.coalesce("before", "final").alias(PART), "after")
     tails = ends.filter("place = 2").drop("place").join(firsts, PART).select("doc_id", "text", "after").repartition(shuffle_partitions(docs))
     return done.filter("place = 0").select(*names[:-2]).unionByName(tails.mapInArrow(close, SCHEMA))

@@ -3,23 +3,29 @@
 Base: a text fails with fewer than ``min_words`` words or if over half of its words stand in three-word
 windows that the text holds twice or more.
 
-The method: each text gives a vector of transformed statistics (FEATURES). Per group of language and source a
-minimum-covariance-determinant estimate of centre and scatter is found by concentration steps: from medians
-and deviations, take the share ``core`` of the group's texts with the smallest distances, estimate mean and
-covariance from them, and again, ``steps`` times. Distances are scaled so that a group's median squared
-distance is at most that of a chi-squared variable; texts beyond ``cutoff`` times its 0.999 quantile are rejected.
-Only texts that pass the base rules enter the estimates.
-
-Each step is a grouped aggregation with partial sums on the map side; what returns to the rows are the few
-numbers of their group, by an equi-join on the group and a salt, so that a hot group's rows are dealt to many
-tasks. Quantiles
-are approximate with a fixed accuracy (exact for groups of fewer rows than that), and their state is bounded.
-
-Groups of fewer than ``min_rows`` texts share one estimate with the language's other small groups, these
-again with all small languages' texts if they are too few, and if those are too few nothing is rejected.
-
-FLOORS are the smallest scatter taken for each statistic, so that a group whose texts are all alike in one
-(no symbols at all, say) does not reject on a trifle.
+The method: each text gives a vector of transformed statistics (FEATURES). Per group of language and source, per
+language, and over all texts, a minimum-covariance-determinant estimate of centre and scatter is found: from two
+starts (the share ``core`` of the texts that are nearest to the medians in units of the median deviation, by the
+sum of squares and by the largest part) concentration steps follow: mean and covariance of the texts inside,
+distances to those, the share ``core`` with the smallest distances inside, and again until no determinant falls any
+more (``steps`` at most). The start that ends with the smaller determinant is taken. Only texts that pass the base
+rules enter.
+
+An estimate from few texts is uncertain, so each is shrunk towards its parent's: as if ``prior`` texts of the
+parent (the language's, over all texts, and last a wide scatter, WIDE) had been seen besides its own. So no size
+decides whether a group is judged; a table of very few texts is judged by WIDE and loses none.
+
+Scatters are scaled so that the median squared distance is that of a chi-squared variable (never down), and
+FLOORS are added, the scatter that is granted to any group: in one whose texts are all alike in a statistic,
+a text may depart from them by about 4.7 floors (a quarter of its words repeated, one symbol or mark in twenty
+words, one repeated line in 25 words, a fifth more letters a word).
+
+Verdict: squared Mahalanobis distances beyond the chi-squared variable's 0.999 quantile are rejected.
+
+Each step is a grouped aggregation with partial sums on the map side; quantiles come from counts by bucket
+(of 1/64 of an octave, or 1/256 of a statistic), so they are the same for any partitioning and no state grows with
+a group. What returns to the rows are the few numbers of their group, by an equi-join on the group and a salt, so
+that a hot group's rows are dealt to many tasks.
 
 Defined results: null texts have no words. Null languages and sources are groups of their own. Repeated rows
 stay. An empty table gives no rows. Other columns play no part.
@@ -27,18 +33,22 @@ stay. An empty table gives no rows. Other columns play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.sources.scratch import materialize
 
 WORD_BREAK = r"[\\x20\\x09-\\x0D]+"
-#: Transformed statistic -> smallest standard deviation taken for it.
-FLOORS = {"f_length": 0.08, "f_symbols": 0.06, "f_repeats": 0.15, "f_lines": 0.1, "f_capitals": 0.06, "f_marks": 0.06}
+#: Transformed statistic -> standard deviation granted to any group, and that of a table without texts.
+FLOORS = {"f_length": 0.04, "f_symbols": 0.048, "f_repeats": 0.105, "f_lines": 0.042, "f_capitals": 0.04, "f_marks": 0.048}
+WIDE = {"f_length": 0.4, "f_symbols": 0.3, "f_repeats": 0.4, "f_lines": 0.2, "f_capitals": 0.3, "f_marks": 0.3}
 FEATURES = tuple(FLOORS)
-ACCURACY = 10_000
+#: Buckets in a unit of a statistic, and in an octave of squared distances.
+FINE, OCTAVE = 256, 64
 #: A group's rows meet its few numbers in this many tasks, if those are too many groups for a broadcast.
 SALTS = 16
+STARTS = 2
+_CELLS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -99,66 +109,57 @@ def features(stats: DataFrame) -> DataFrame:
     )
 
 
-def grouped(rows: DataFrame, min_rows: int) -> DataFrame:
-    """rows with column g: the group whose estimate they use, null if all are too few. Needs lang, source, base_failed."""
-    passed = rows.filter(~F.col("base_failed"))
-    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") < min_rows)
-    langs = small.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    (n_rest,) = langs.filter(F.col("n_lang") < min_rows).agg(F.coalesce(F.sum("n_lang"), F.lit(0))).first()  # one number
-    plan = (
-        sizes.alias("a")
-        .join(langs.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
-        .select("a.lang", "a.source", "n", "n_lang")
-        .select(
-            "lang",
-            "source",
-            F.when(F.col("n") >= min_rows, F.to_json(F.struct(F.lit(1).alias("k"), "lang", "source")))
-            .when(F.col("n_lang") >= min_rows, F.to_json(F.struct(F.lit(2).alias("k"), "lang")))
-            .when(F.lit(n_rest >= min_rows), F.lit("rest"))
-            .alias("g"),
-        )
-    )
-    match = F.col("r.lang").eqNullSafe(F.col("p.lang")) & F.col("r.source").eqNullSafe(F.col("p.source"))
-    return rows.alias("r").join(plan.alias("p"), match, "left").select("r.*", "p.g")
+def quantile_bucket(rows: DataFrame, keys: list[str], bucket: Column, *shares: float) -> DataFrame:
+    """keys and b0, b1, ...: the first bucket up to which a share of a group's rows is."""
+    counts = rows.groupBy(*keys, bucket.alias("__b")).agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)  # a bounded number of buckets
+    placed = counts.withColumns({"__c": F.sum("__n").over(upto), "__t": F.sum("__n").over(Window.partitionBy(*keys))})
+    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("__c") >= F.lit(p) * F.col("__t"), F.col("__b"))).alias(f"b{k}") for k, p in enumerate(shares)))
+
+
+def octave(d2: Column) -> Column:
+    """Bucket of a squared distance."""
+    return F.floor(F.log2(F.greatest(d2, F.lit(1e-6))) * OCTAVE)
+
+
+def octave_end(bucket: Column) -> Column:
+    """Upper end of a bucket of squared distances."""
+    return F.pow(F.lit(2.0), (bucket + 1) / F.lit(float(OCTAVE)))
+
+
+def with_numbers(rows: DataFrame, numbers: DataFrame, *keys: str) -> DataFrame:
+    """rows (with salt) joined to their group's numbers, a hot group's rows in SALTS parts."""
+    return rows.join(numbers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"])
 
 
 def _moments() -> list[Column]:
-    out = [F.avg(f).alias(f"m_{f}") for f in FEATURES]
-    for i, a in enumerate(FEATURES):
-        for b in FEATURES[: i + 1]:
-            out.append(F.covar_pop(a, b).alias(f"c_{a}_{b}"))
-    return out
+    out = [F.count("*").alias("n"), *(F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES))]
+    return out + [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in _CELLS]
 
 
-def _cholesky(estimates: DataFrame) -> DataFrame:
-    """Adds the lower triangular factor l_i_j of each group's covariance with the floors' variances added."""
-    names = {}
+def with_factor(estimates: DataFrame) -> DataFrame:
+    """Adds the lower triangular factor l{i}_{j} of the scatter with the floors' variances added, and half_log_det."""
     for i, a in enumerate(FEATURES):
-        for j, b in enumerate(FEATURES[: i + 1]):
-            left = F.col(f"c_{a}_{b}") + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))
+        for j in range(i + 1):
+            left = F.col(f"c{i}_{j}") + F.lit(FLOORS[a] ** 2 if i == j else 0.0)
             for k in range(j):
-                left = left - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            name = f"l_{i}_{j}"
-            names[name] = None
-            estimates = estimates.withColumn(name, F.sqrt(F.greatest(left, F.lit(FLOORS[a] ** 2 / 2))) if i == j else left / F.col(f"l_{j}_{j}"))
-    return estimates.select("g", *(f"m_{f}" for f in FEATURES), *names)
+                left = left - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+            estimates = estimates.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(left, F.lit(FLOORS[a] ** 2 / 2))) if i == j else left / F.col(f"l{j}_{j}"))
+    return estimates.withColumn("half_log_det", sum((F.log(f"l{i}_{i}") for i in range(1, len(FEATURES))), F.log("l0_0")))
 
 
-def _with_group(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """rows (with g and salt) joined to their group's numbers, a hot group's rows in SALTS parts."""
-    return rows.join(numbers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
+_FACTOR = [f"m{i}" for i in range(len(FEATURES))] + [f"l{i}_{j}" for i, j in _CELLS]
 
 
-def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def with_distance(rows: DataFrame, estimates: DataFrame, *keys: str) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance to their group's estimate, by forward substitution."""
-    joined = _with_group(rows, estimates)
+    joined = with_numbers(rows, estimates.select(*keys, *_FACTOR), *keys)
     for i, a in enumerate(FEATURES):
-        left = F.col(a) - F.col(f"m_{a}")
+        left = F.col(a) - F.col(f"m{i}")
         for k in range(i):
-            left = left - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
-        joined = joined.withColumn(f"z_{i}", left / F.col(f"l_{i}_{i}"))
-    d2 = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, len(FEATURES))), F.col("z_0") * F.col("z_0"))
+            left = left - F.col(f"l{i}_{k}") * F.col(f"z{k}")
+        joined = joined.withColumn(f"z{i}", left / F.col(f"l{i}_{i}"))
+    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(FEATURES))), F.col("z0") * F.col("z0"))
     return joined.select(*rows.columns, d2.alias("d2"))
 
 
@@ -167,41 +168,85 @@ def chi2_quantile(p_normal: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + p_normal * (2 / (9 * d)) ** 0.5) ** 3
 
 
-def mcd_estimates(rows: DataFrame, core: float, steps: int) -> DataFrame:
-    """One row a group g: centre, factor of the scatter, and median squared distance (median2)."""
-    quantile = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(ACCURACY))
-    centre = rows.groupBy("g").agg(*(quantile(f, 0.5).alias(f"m_{f}") for f in FEATURES))
-    centre = materialize(centre, "mcd-centre")
-    away = _with_group(rows, centre).select("g", *(F.abs(F.col(f) - F.col(f"m_{f}")).alias(f) for f in FEATURES))
-    scale = away.groupBy("g").agg(*(F.pow(1.4826 * quantile(f, 0.5), 2).alias(f"c_{f}_{f}") for f in FEATURES))
-    start = centre.join(scale, "g")
-    for i, a in enumerate(FEATURES):
-        for b in FEATURES[:i]:
-            start = start.withColumn(f"c_{a}_{b}", F.lit(0.0))
-    estimates = materialize(_cholesky(start), "mcd-start")
-    for _ in range(steps):
-        placed = _distance(rows, estimates)
-        limits = materialize(placed.groupBy("g").agg(quantile("d2", core).alias("limit")), "mcd-limits")
-        inner = _with_group(placed, limits).filter(F.col("d2") <= F.col("limit"))
-        estimates = materialize(_cholesky(inner.groupBy("g").agg(*_moments())), "mcd-step")
-    medians = _distance(rows, estimates).groupBy("g").agg(quantile("d2", 0.5).alias("median2"))
-    return materialize(estimates.join(medians, "g"), "mcd")
+def group_key(level: int) -> Column:
+    """Key of a row's group: over all texts (0), of its language (1), of its language and source (2)."""
+    return F.to_json(F.struct(F.lit(level).alias("k"), *(["lang"] if level else []), *(["source"] if level == 2 else [])))
+
 
+def middles(rows: DataFrame) -> DataFrame:
+    """g, medians m{i} and median deviations s{i} (with the floors as the least)."""
 
-def judge_quality(docs: DataFrame, min_words: int = 50, min_rows: int = 200, core: float = 0.75, steps: int = 3, cutoff: float = 2.0) -> DataFrame:
-    """Every row's counts, base_failed, distance (squared, scaled; null if not judged) and kept."""
+    def medians(tall: DataFrame) -> DataFrame:
+        found = quantile_bucket(tall, ["g", "i"], F.floor(F.col("x") * FINE), 0.5)
+        return found.select("g", "i", ((F.col("b0") + 0.5) / FINE).alias("m"))
+
+    tall = rows.select("g", "salt", F.posexplode(F.array(*FEATURES)).alias("i", "x"))
+    centre = materialize(medians(tall), "mcd-centre")
+    away = with_numbers(tall, centre, "g", "i").select("g", "i", F.abs(F.col("x") - F.col("m")).alias("x"))
+    both = centre.join(medians(away).withColumnRenamed("m", "s"), ["g", "i"])
+    floors = F.element_at(F.array(*(F.lit(v) for v in FLOORS.values())), F.col("i") + 1)
+    both = both.withColumn("s", F.greatest(1.4826 * F.col("s"), floors))
+    wide = [F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(FEATURES)) for c in ("m", "s")]
+    return materialize(both.groupBy("g").agg(*wide), "mcd-middles")
+
+
+def mcd_estimates(rows: DataFrame, core: float, steps: int) -> DataFrame:
+    """One row a group g: n, centre m{i} and scatter c{i}_{j} with the least determinant, scaled. rows: g, salt, FEATURES."""
+    parts = [F.pow((F.col(f) - F.col(f"m{i}")) / F.col(f"s{i}"), 2) for i, f in enumerate(FEATURES)]
+    starts = F.array(sum(parts[1:], parts[0]), F.greatest(*parts))
+    placed = with_numbers(rows, middles(rows), "g").select("g", "salt", *FEATURES, F.posexplode(starts).alias("start", "d2"))
+    both = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    keys, before = ["g", "start"], None
+    for _ in range(steps):
+        limits = materialize(quantile_bucket(placed, keys, octave(F.col("d2")), core), "mcd-limits")
+        inner = with_numbers(placed, limits, *keys).filter(octave(F.col("d2")) <= F.col("b0"))
+        estimates = materialize(with_factor(inner.groupBy(*keys).agg(*_moments())), "mcd-step")
+        placed = with_distance(both, estimates, *keys)
+        if before is not None:
+            falls = estimates.alias("a").join(before.alias("b"), keys).agg(F.max(F.col("b.half_log_det") - F.col("a.half_log_det"))).first()[0]  # one number
+            if falls is None or falls < 1e-3:
+                break
+        before = estimates
+    best = estimates.groupBy("g").agg(F.min_by(F.struct("start", *(c for c in estimates.columns if c not in keys)), F.struct("half_log_det", "start")).alias("e"))
+    best = materialize(best.select("g", "e.*").drop("start"), "mcd-best")
+    typical = quantile_bucket(with_distance(rows, best, "g"), ["g"], octave(F.col("d2")), 0.5)
+    counts = rows.groupBy("g").agg(F.count("*").alias("n_all"))
+    scale = F.greatest(octave_end(F.col("b0")) / F.lit(chi2_quantile(0.0, len(FEATURES))), F.lit(1.0))
+    scaled = best.join(typical, "g").join(counts, "g").withColumn("scale", scale)
+    return scaled.select("g", F.col("n_all").alias("n"), *(f"m{i}" for i in range(len(FEATURES))), *((F.col(f"c{i}_{j}") * F.col("scale")).alias(f"c{i}_{j}") for i, j in _CELLS))
+
+
+def shrunk(own: DataFrame, parent: DataFrame | None, prior: float, on: list[str]) -> DataFrame:
+    """own's estimates as if ``prior`` texts of the parent's had been seen too; without a parent, of scatter WIDE."""
+    d = range(len(FEATURES))
+    if parent is None:
+        names = [f"c{i}_{j}" for i, j in _CELLS]
+        wide = [F.lit(WIDE[FEATURES[i]] ** 2 if i == j else 0.0) for i, j in _CELLS]
+        share = F.col("n") / (F.col("n") + F.lit(prior))
+        return own.withColumns({name: share * F.col(name) + (1 - share) * w for name, w in zip(names, wide, strict=True)})
+    joined = own.alias("a").join(parent.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on] or F.lit(True))
+    share = F.col("a.n") / (F.col("a.n") + F.lit(prior))
+    gap = [F.col(f"a.m{i}") - F.col(f"b.m{i}") for i in d]
+    centre = [(F.col(f"b.m{i}") + share * gap[i]).alias(f"m{i}") for i in d]
+    scatter = [(share * F.col(f"a.c{i}_{j}") + (1 - share) * F.col(f"b.c{i}_{j}") + share * (1 - share) * gap[i] * gap[j]).alias(f"c{i}_{j}") for i, j in _CELLS]
+    return joined.select("a.g", "a.lang", "a.source", "a.n", *centre, *scatter)
+
+
+def judge_quality(docs: DataFrame, min_words: int = 50, core: float = 0.75, steps: int = 12, prior: float = 50.0) -> DataFrame:
+    """Every row's counts, base_failed, distance (squared; null if not judged) and kept."""
     stats = statistics(docs, "doc_id", "lang", "source")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = materialize(features(stats).withColumn("base_failed", failed), "quality-stats")
-    rows = materialize(grouped(rows, min_rows), "quality-groups")
-    unjudged = F.col("base_failed") | F.col("g").isNull()
-    judged = rows.filter(~unjudged).withColumn("salt", F.pmod(F.hash("doc_id", *FEATURES), F.lit(SALTS)))
-    estimates = mcd_estimates(judged.select("g", "salt", *FEATURES), core, steps)
-    d = len(FEATURES)
-    #: Floors can only make distances smaller, so a median below the expected one is not scaled up.
-    scale = chi2_quantile(0.0, d) / F.greatest("median2", F.lit(chi2_quantile(0.0, d)))
+    judged = rows.filter(~F.col("base_failed")).withColumn("salt", F.pmod(F.hash("doc_id", *FEATURES), F.lit(SALTS)))
+    levels = F.explode(F.array(*(F.struct(group_key(k).alias("g"), F.lit(k).alias("level"), F.when(F.lit(k > 0), F.col("lang")).alias("lang"), F.when(F.lit(k > 1), F.col("source")).alias("source")) for k in range(3))))
+    tall = judged.select(levels.alias("k"), "salt", *FEATURES).select("k.*", "salt", *FEATURES)
+    names = tall.select("g", "level", "lang", "source").distinct()
+    found = materialize(mcd_estimates(tall.select("g", "salt", *FEATURES), core, steps).join(names, "g"), "mcd")
+    level = [found.filter(F.col("level") == k).drop("level") for k in range(3)]
+    by_lang = shrunk(level[1], shrunk(level[0], None, prior, []), prior, [])
+    final = materialize(with_factor(shrunk(level[2], by_lang, prior, ["lang"])), "mcd-shrunk")
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    placed = _with_group(_distance(judged, estimates.drop("median2")), estimates.select("g", "median2"))
-    accepted = placed.select(*base, (F.col("d2") * scale).alias("distance")).withColumn("kept", F.col("distance") <= cutoff * chi2_quantile(3.0902, d))
-    others = rows.filter(unjudged).select(*base, F.lit(None).cast("double").alias("distance"), (~F.col("base_failed")).alias("kept"))
+    placed = with_distance(judged.select(*base, "salt", group_key(2).alias("g"), *FEATURES), final, "g")
+    accepted = placed.select(*base, F.col("d2").alias("distance"), (F.col("d2") <= chi2_quantile(3.0902, len(FEATURES))).alias("kept"))
+    others = rows.filter("base_failed").select(*base, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return accepted.unionByName(others)
