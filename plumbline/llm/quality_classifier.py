@@ -1,24 +1,24 @@
 """Quality by compression: zstandard dictionaries of good and bad labelled texts.
 
-Three normalised differences of compressed sizes, each (b - a) / (b + a), describe a text:
+Two views of a text are compressed whole, in pieces of PIECE bytes: the text itself, and its shape, where letters
+are a or A, digits 0 and all else stays (characters beyond Latin-1 are ``?``), so that what is told by layout
+needs no vocabulary. For each view there are two dictionaries, trained on pieces of all chosen good and all chosen
+bad texts, and two normalised differences (b - a) / (b + a):
 
-- words: its size with the dictionary of bad texts (b) against the one with that of good texts (a);
-- shapes: the same for its shape, where letters are a or A, digits 0 and all else stays (characters beyond
-  Latin-1 are ``?``), so that what is told by layout needs no vocabulary;
-- redundancy: its plain size (b) against its compressed size without a dictionary (a), which tells texts
-  that repeat themselves.
+- of its size with the dictionary of bad texts (b) against the one with that of good texts (a);
+- of its plain size (b) against its size with the dictionary of good texts (a), which tells texts that good ones
+  do not explain, or that repeat themselves.
 
-Texts are compressed whole, in pieces of PIECE bytes, so that the later part of a long text meets the
-dictionary too and not only its own beginning. The score is a logistic function of the three, fitted on
-labelled texts that are in no dictionary.
+The score is a logistic function of the four, fitted on labelled texts that are in no dictionary.
 
-Bounds of the sample, all parameters: up to ``per_class`` texts of each label, the ones with the smallest
-hash of their id, and ``max_bytes`` of them; every second one goes to its dictionary, the others to the fit.
-Dictionaries that are compared get equally many bytes. The model is four dictionaries of up to
-``dict_bytes`` and four numbers; it is sent to the tasks with the function.
+Bounds of the sample, all parameters: up to ``per_class`` texts of each label, the ones with the smallest hash of
+their id, and in that order as many as fit into ``max_bytes`` together (one that does not fit is passed over); of
+three, two go to their label's dictionary and one to the fit. Sizes are looked at first, so only texts of the
+sample reach the driver. The model is four dictionaries of up to ``dict_bytes`` and five numbers; it is sent to the
+tasks with the function. Where a sample is too small to train a dictionary, its texts are the dictionary.
 
 Defined results: null and empty texts have no differences (all 0) and score what the fit gives there. If a
-label has fewer than four texts to learn from, all texts score 0.5. Repeated rows stay. An empty table gives
+label has fewer than six texts to learn from, all texts score 0.5. Repeated rows stay. An empty table gives
 no rows. Extra columns play no part.
 """
 
@@ -54,32 +54,37 @@ def shape_view(text: str) -> bytes:
 VIEWS: tuple[Callable[[str], bytes], ...] = (words_view, shape_view)
 
 
-def _compressor(content: bytes | None) -> Callable[[bytes], bytes]:
-    if content is None:
-        return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
-    kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def pieces(data: bytes) -> list[bytes]:
+    """data in pieces of PIECE bytes."""
+    return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+
+
+def _compressor(content: bytes) -> Callable[[bytes], bytes]:
+    kept = zstandard.ZstdCompressionDict(content)
     kept.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(dict_data=kept, write_content_size=False).compress
+    return zstandard.ZstdCompressor(dict_data=kept, write_content_size=False, write_dict_id=False).compress
+
+
+def dictionary(texts: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the pieces of all texts, or their last bytes where there are too few."""
+    try:
+        return zstandard.train_dictionary(size, [p for t in texts for p in pieces(t)]).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(texts)[-size:]
 
 
 def differ(dictionaries: tuple[tuple[bytes, bytes], ...]) -> Callable[[str | None], tuple[float, ...]]:
     """A function that gives a text's differences. dictionaries: (good, bad) for each view."""
     pairs = [tuple(map(_compressor, pair)) for pair in dictionaries]
-    plain = _compressor(None)
-
-    def of(b: int, a: int) -> float:
-        return (b - a) / (b + a)
 
     def measure(text: str | None) -> tuple[float, ...]:
         if not text:
-            return (0.0,) * (len(VIEWS) + 1)
+            return (0.0,) * (2 * len(VIEWS))
         out = []
         for view, (good, bad) in zip(VIEWS, pairs, strict=True):
             data = view(text)
-            pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-            out.append(of(sum(len(bad(p)) for p in pieces), sum(len(good(p)) for p in pieces)))
-        data = words_view(text)
-        out.append(of(len(data), sum(len(plain(data[i : i + PIECE])) for i in range(0, len(data), PIECE))))
+            a, b = (sum(len(press(p)) for p in pieces(data)) for press in (good, bad))
+            out += [(b - a) / (b + a), (len(data) - a) / (len(data) + a)]
         return tuple(out)
 
     return measure
@@ -125,34 +130,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 24 << 20, dict_bytes: int = 256 << 10) -> CompressionModel:
-    """A model from the labelled documents that are not held out."""
+def chosen_texts(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> tuple[list[str], list[str]]:
+    """Bad and good texts of the sample, each in the order of their ids' hash."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = [usable.filter(F.col("quality") == q).orderBy(*order).limit(per_class) for q in (0, 1)]
-    picked = picked[0].unionByName(picked[1])
-    #: At most 2 * per_class ids are broadcast, and as many texts come back.
-    sample = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(picked), "doc_id")
-    size = F.octet_length("text")
-    kept = sample.filter(size <= max_bytes // (2 * per_class) * 8).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class)
+    picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class ids
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")).filter("size > 0")
+    sizes = own.select("doc_id", "h", "size").join(picked, "doc_id").orderBy(*order, "h", "quality").limit(2 * per_class).collect()
+    left, wanted = max_bytes, {}
+    for r in sizes:
+        key = (r.doc_id, r.h, r.quality)
+        if r["size"] <= left and key not in wanted:
+            left -= r["size"]
+            wanted[key] = len(wanted)
     texts: tuple[list[str], list[str]] = ([], [])
-    total = 0
-    for row in kept.toLocalIterator():
-        total += len(row.text.encode("utf-8"))
-        if total > max_bytes:
-            break
-        texts[row.quality].append(row.text)
-    if min(map(len, texts)) < 4:
+    if wanted:
+        rows = docs.sparkSession.createDataFrame([(*k, n) for k, n in wanted.items()], "doc_id long, h long, quality int, n int")
+        found = {r.n: r for r in own.join(F.broadcast(rows), ["doc_id", "h"]).select("n", "quality", "text").dropDuplicates(["n"]).collect()}
+        for n in sorted(found):
+            texts[found[n].quality].append(found[n].text)
+    return texts
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 24 << 20, dict_bytes: int = 256 << 10) -> CompressionModel:
+    """A model from the labelled documents that are not held out."""
+    texts = chosen_texts(docs, labels, per_class, max_bytes)
+    if min(map(len, texts)) < 6:
         return CompressionModel((), ())
-    dictionaries = []
-    for view in VIEWS:
-        bad, good = (b"\n".join(map(view, t[::2])) for t in texts)
-        most = min(dict_bytes, len(bad), len(good))
-        dictionaries.append((good[:most], bad[:most]))
-    measure = differ(tuple(dictionaries))
-    x = np.array([measure(t) for part in texts for t in part[1::2]])
-    y = np.array([float(q) for q, part in enumerate(texts) for _ in part[1::2]])
-    return CompressionModel(tuple(dictionaries), fit_logistic(x, y))
+    parts = [([t for i, t in enumerate(part) if i % 3], part[::3]) for part in texts]
+    dictionaries = tuple((dictionary([view(t) for t in parts[1][0]], dict_bytes), dictionary([view(t) for t in parts[0][0]], dict_bytes)) for view in VIEWS)
+    measure = differ(dictionaries)
+    x = np.array([measure(t) for _, rest in parts for t in rest])
+    y = np.array([float(q) for q, (_, rest) in enumerate(parts) for _ in rest])
+    return CompressionModel(dictionaries, fit_logistic(x, y))
 
 
 def score_quality(docs: DataFrame, model: CompressionModel) -> DataFrame:
