@@ -2,17 +2,23 @@
 
 A host's canonical key is its labels in reverse, each ended by a dot: ``www.example.net`` becomes
 ``net.example.www.``. A rule for a host and its subdomains then is the interval of all keys that start with
-the rule's key, and such intervals are disjoint or nested. Distinct hosts and rules are sorted together by
-key; in one pass the sweep keeps a stack with a slot for each number of labels. A rule that opens takes its
-slot; a slot is closed as soon as the key has left the rule's interval. Ranges of keys are swept in parallel:
+the rule's key, and such intervals are disjoint or nested. Distinct hosts and the rules' hosts are sorted together
+by key; in one pass the sweep keeps a stack with a slot for each number of labels. A host with rules that opens
+takes its slot; a slot is closed as soon as the key has left its interval. Ranges of keys are swept in parallel:
 each range's last stack is one row, from which the stack that the next range starts with follows.
 
-Only distinct hosts enter the sweep, so a host with a third of all pages is one row there. The stack comes
-back to the pages through an equi-join on the host, which adaptive execution can split for such a host.
+What a slot holds of a host with rules does not grow with their number: its key and the distinct lengths of their
+paths (no more than the longest path has characters). The rules themselves stay
+in a table keyed by (host key, path). Each distinct (host, path) of the pages asks it for the prefixes of its path
+of those lengths under each open host, an equi-join, and the longest rule found comes back.
+
+Only distinct hosts enter the sweep and distinct (host, path) the look-up, so a host with a third of all pages is
+one row in the first; what comes back to the pages is an equi-join on both, which adaptive execution can split.
 
 Defined results: a null url, or one without ``://``, has empty host and path, and no rule fits an empty host
 (but one for the empty host, which fits all). Equal rules count once. Of fitting rules the longest wins, then
-the smaller text. Repeated pages keep their rows. Columns named like the result's are replaced.
+the smaller text, then the smaller verdict. Repeated pages keep their rows. Columns named like the result's are
+replaced.
 """
 
 from __future__ import annotations
@@ -50,36 +56,39 @@ def host_key(host: Column) -> Column:
     )
 
 
-def open_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each row of hosts (column host, distinct): the array of rules open at its key, longest first."""
-    text = F.concat("host", "path")
-    grouped = (
-        rules.select(host_key(F.col("host")).alias("key"), F.struct((-F.length(text)).alias("order"), text.alias("rule"), "path", "verdict").alias("r"))
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_set("r")).alias("rules"))
-    )
+def open_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """host (distinct, from hosts) and open: key and path lengths of each host with rules whose interval holds it."""
+    grouped = rules.select(host_key(F.col("host")).alias("key"), F.length("path").alias("n")).groupBy("key").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    kind = "array<struct<key:string,lengths:array<int>>>"
     depth = F.length("key") - F.length(F.translate("key", ".", ""))
     deepest = grouped.agg(F.max(depth)).first()[0]
     if deepest is None:
-        return hosts.select("host", F.lit(None).cast("array<struct<order:int,rule:string,path:string,verdict:string>>").alias("open"))
-    events = grouped.select("key", F.lit(None).cast("string").alias("host"), depth.alias("depth"), "rules").unionByName(
-        hosts.select(host_key(F.col("host")).alias("key"), "host", F.lit(None).cast("int").alias("depth"), F.lit(None).cast(grouped.schema["rules"].dataType).alias("rules"))
+        return hosts.select("host", F.array().cast(kind).alias("open"))
+    events = grouped.select("key", F.lit(None).cast("string").alias("host"), depth.alias("depth"), "lengths").unionByName(
+        hosts.select(host_key(F.col("host")).alias("key"), "host", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<int>").alias("lengths"))
     )
     parted = range_parts(events, ["key"], "url-sweep")
     sweep = Window.partitionBy(PART).orderBy("key", F.col("depth").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     slots = [f"slot{d}" for d in range(deepest + 1)]
-    opens = [F.when(F.col("depth") == d, F.struct("key", "rules")) for d in range(deepest + 1)]
+    opens = [F.when(F.col("depth") == d, F.struct("key", "lengths")) for d in range(deepest + 1)]
     closing = parted.groupBy(PART).agg(*(F.max(o).alias(s) for o, s in zip(opens, slots, strict=True)))
     carried = closing.select(PART, *(F.last(s, ignorenulls=True).over(before).alias(f"{s}_in") for s in slots))
     swept = parted.select(PART, "key", "host", *(F.last(o, ignorenulls=True).over(sweep).alias(s) for o, s in zip(opens, slots, strict=True)))
     stack = [F.coalesce(s, f"{s}_in") for s in slots]
-    still_open = [F.when(F.col("key").startswith(s["key"]), s["rules"]).otherwise(F.array().cast(grouped.schema["rules"].dataType)) for s in stack]
-    return (
-        swept.filter(F.col("host").isNotNull())
-        .join(carried, PART, "left")
-        .select("host", F.sort_array(F.concat(*(F.coalesce(x, F.array().cast(grouped.schema["rules"].dataType)) for x in still_open))).alias("open"))
-    )
+    still_open = F.array(*(F.when(F.col("key").startswith(s["key"]), s) for s in stack))
+    return swept.filter(F.col("host").isNotNull()).join(carried, PART, "left").select("host", F.filter(still_open, lambda s: s.isNotNull()).alias("open"))
+
+
+def best_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path (distinct, from places), rule and verdict, for those that a rule fits."""
+    text = F.concat("host", "path")
+    table = rules.groupBy(host_key(F.col("host")).alias("key"), F.col("path").alias("prefix")).agg(F.min(F.struct((-F.length(text)).alias("order"), text.alias("rule"), "verdict")).alias("r"))
+    opened = places.join(open_hosts(places.select("host").distinct(), rules), "host")
+    asked = opened.select("host", "path", F.explode("open").alias("o")).select("host", "path", F.col("o.key").alias("key"), F.explode(F.filter("o.lengths", lambda n: n <= F.length("path"))).alias("n"))
+    asked = asked.select("host", "path", "key", F.expr("left(path, n)").alias("prefix"))
+    found = asked.join(table, ["key", "prefix"]).groupBy("host", "path").agg(F.min("r").alias("r"))
+    return found.select("host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -88,12 +97,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules: table of verdict, host, path, of any size.
     """
     host, path = url_host_path(F.col(url))
-    split = pages.withColumns({"host": host, "path": path})
-    stacks = open_rules(split.select("host").distinct(), rules.select("verdict", "host", "path"))
-    best = F.get(F.filter("__open", lambda r: F.col("path").startswith(r["path"])), F.lit(0))
-    return (
-        split.join(stacks.withColumnRenamed("open", "__open"), "host", "left")
-        .withColumn("__best", best)
-        .withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.verdict", F.lit(default))})
-        .drop("__open", "__best")
-    )
+    split = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict")
+    best = best_rules(split.select("host", "path").distinct(), rules.select("verdict", "host", "path"))
+    return split.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).select(*split.columns, "rule", "verdict")

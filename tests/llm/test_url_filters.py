@@ -41,6 +41,14 @@ def test_random_nested_rules(spark):
     check(spark, urls, rules)
 
 
+def test_many_rules_of_one_host(spark):
+    rng = random.Random(7)
+    paths = sorted({"/" + "/".join(rng.choice("abcd") for _ in range(rng.randint(0, 6))) for _ in range(400)})
+    rules = [(rng.choice(["block", "allow"]), "com" + p) for p in paths] + [("block", "a.com/a/b"), ("allow", "b.a.com/")]
+    urls = [f"http://{rng.choice(['', 'a.', 'b.a.', 'x.b.a.'])}com{rng.choice(paths)}{rng.choice(['', '/', 'z'])}" for _ in range(300)]
+    check(spark, urls, rules)
+
+
 def test_empty_tables_and_clashing_columns(spark):
     none = spark.createDataFrame([], "page_id long, url string, host string, rule int")
     assert U.judge_urls(none, U.rules_table(spark, URL_RULES)).count() == 0
