@@ -75,20 +75,24 @@ class Codec:
     def __init__(self, path: str) -> None:
         self.vocabulary: ByteVocabulary = load_vocabulary(path)
         self.split = Pretokens(path, self.vocabulary.special)
-        self.words = Memo(lambda new: [self._word(w) for w in new])
-        self.memo = Memo(lambda new: [self._unit(u) for u in new])
+        self.memo = Memo(lambda new: [self._unit(u) for u in new], 600_000)
 
     def _word(self, word: str) -> bytes:
         ids = self.vocabulary.byte_ids
         return array("I", merge_word([ids[b] for b in word.encode("utf-8")], self.vocabulary)).tobytes()
 
     def _unit(self, unit: str) -> bytes:
+        """A unit's ids; a pre-token that is a part of it is remembered as if it were a unit, which it may be too."""
         words = self.split.plain(unit)
-        known = self.words.known
+        if len(words) == 1:
+            return self._word(unit)
+        known, out = self.memo.known, []
         for word in words:
-            if word not in known:
-                known = self.words.learn(set(words))
-        return known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words))
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self.memo.older.get(word) or self._word(word)
+            out.append(ids)
+        return b"".join(out)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""

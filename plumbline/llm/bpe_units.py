@@ -100,19 +100,28 @@ class Pretokens:
 
 
 class Memo:
-    """Results by unit, for at most ``most`` units: when full it starts anew, which costs time only."""
+    """Results by unit, for about ``most`` units in two generations.
+
+    What is asked for moves to the younger one; when that has half of ``most`` it becomes the older one, whose
+    units nobody asked for meanwhile are forgotten. Forgetting costs time only.
+    """
 
     def __init__(self, make: Callable[[list[str]], list], most: int = 250_000) -> None:
-        self.make, self.most, self.known = make, most, {}
+        self.make, self.most = make, most
+        self.known: dict = {}
+        self.older: dict = {}
 
     def learn(self, found: set[str]) -> dict:
         """A dict that has all of found."""
         known = self.known
-        new = [u for u in found if u not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known = self.known = {}
-                new = list(found)
+        missing = [u for u in found if u not in known]
+        if missing:
+            if 2 * (len(known) + len(missing)) > self.most:
+                self.older, self.known = known, {}
+                known, missing = self.known, list(found)
+            older = self.older
+            known.update((u, older[u]) for u in missing if u in older)
+            new = [u for u in missing if u not in known]
             known.update(zip(new, self.make(new), strict=True))
         return known
 

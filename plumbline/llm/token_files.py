@@ -11,8 +11,9 @@ A shard's base, the number of ids in all shards before it, is the prefix sum of
 shard. The shards in order of their numbers are the whole in ascending doc_id order.
 
 A file is written under a name of its own attempt and then renamed, so that a task that runs again, here or
-elsewhere, leaves one whole file. The folder may be in any store that pyarrow reaches by URI; files of stores
-that cannot be mapped are copied to the reading task's temporary folder first.
+elsewhere, leaves one whole file. What failed attempts left is deleted, by the task itself or, if its executor was
+lost, at the end. The folder may be in any store that pyarrow reaches by URI; where files cannot be mapped, the
+bytes of some documents at a time are read from their place in the store.
 
 Encoding is the tokenizers library's without added special tokens, plus one end id a document. Words
 (runs without ASCII white space, which that pre-tokenizer never joins) are encoded once and kept in a bounded
@@ -26,7 +27,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 import zlib
 from array import array
@@ -44,6 +44,7 @@ from plumbline.operators.ordered import shuffle_partitions
 from plumbline.sources.scratch import materialize
 
 NULL_ID = -(1 << 63)
+SUFFIXES = ("bin", "idx")
 #: Words that a task remembers, of about 200 bytes each.
 MEMO = 900_000
 #: Separators that Python's split() takes for white space and the pre-tokenizer does not.
@@ -117,70 +118,90 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 1, wid
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         attempt = f"{root}/attempt-{uuid.uuid4().hex}"
-        ids, ends, total, out = [], [], 0, None
-        for batch in slices(batches):
-            if not batch.num_rows:
-                continue
-            out = out or store.open_output_stream(f"{attempt}.bin")
-            ids += [NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
-            for encoded in encoder(path).encode_all([t or "" for t in batch.column("text").to_pylist()], end):
-                tokens = np.frombuffer(encoded, dtype="<u4")
-                if tokens.max() > top:
-                    raise ValueError(f"id {tokens.max()} does not fit in {width} bytes")
-                out.write(tokens.astype(kind).tobytes())
-                total += len(tokens)
-                ends.append(total)
-        if out is None:
-            return
-        out.close()
-        with store.open_output_stream(f"{attempt}.idx") as index:
-            index.write(np.column_stack([np.array(ids, dtype="<i8"), np.array(ends, dtype="<i8")]).tobytes())
-        for suffix in ("bin", "idx"):
-            store.move(f"{attempt}.{suffix}", f"{root}/shard-{shard:05d}.{suffix}")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+        n, total, out, index = 0, 0, None, None
+        try:
+            for batch in slices(batches):
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    out, index = (store.open_output_stream(f"{attempt}.{suffix}") for suffix in SUFFIXES)
+                ends = []
+                for encoded in encoder(path).encode_all([t or "" for t in batch.column("text").to_pylist()], end):
+                    tokens = np.frombuffer(encoded, dtype="<u4")
+                    if tokens.max() > top:
+                        raise ValueError(f"id {tokens.max()} does not fit in {width} bytes")
+                    out.write(tokens.astype(kind).tobytes())
+                    total += len(tokens)
+                    ends.append(total)
+                ids = [NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
+                index.write(np.column_stack([np.array(ids, dtype="<i8"), np.array(ends, dtype="<i8")]).tobytes())
+                n += len(ids)
+            if out is None:
+                return
+            out.close()
+            index.close()
+            for suffix in SUFFIXES:
+                store.move(f"{attempt}.{suffix}", f"{root}/shard-{shard:05d}.{suffix}")
+        except BaseException:
+            clear_attempts(folder, os.path.basename(attempt))
+            raise
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(shuffle_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     shards = materialize(dealt.mapInArrow(run, "shard int, n_docs long, n_tokens long"), "token-shards")
+    clear_attempts(folder)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumns({"width": F.lit(width), "base": F.coalesce(F.sum("n_tokens").over(before), F.lit(0))})
 
 
-def map_shard(folder: str, shard: int, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's ids, doc_ids and ends, memory-mapped."""
+def clear_attempts(folder: str, name: str = "attempt-") -> None:
+    """Delete files of attempts whose names start with ``name``."""
+    from pyarrow import fs
+
+    store, root = _store(folder)
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(name):
+            store.delete_file(info.path)
+
+
+def shard_parts(folder: str, shard: int, width: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, starts and ends (in the shard) of up to ``rows`` documents, and their token ids from the first start on.
+
+    Local files are memory-mapped; of others only these documents' bytes are read.
+    """
     store, root = _store(folder)
-    name = f"{root}/shard-{shard:05d}"
+    name, kind = f"{root}/shard-{shard:05d}", f"<u{width}"
     if store.type_name == "local":
-        flat, index = np.memmap(f"{name}.bin", dtype=f"<u{width}", mode="r"), np.memmap(f"{name}.idx", dtype="<i8", mode="r").reshape(-1, 2)
-    else:
-        kept = tempfile.mkdtemp()
-        for suffix in ("bin", "idx"):
-            with store.open_input_stream(f"{name}.{suffix}") as source, open(f"{kept}/{suffix}", "wb") as sink:
-                while chunk := source.read(1 << 22):
-                    sink.write(chunk)
-        flat, index = np.memmap(f"{kept}/bin", dtype=f"<u{width}", mode="r"), np.memmap(f"{kept}/idx", dtype="<i8", mode="r").reshape(-1, 2)
-        for suffix in ("bin", "idx"):
-            os.unlink(f"{kept}/{suffix}")
-        os.rmdir(kept)
-    return flat, index[:, 0], index[:, 1]
-
-
-def read_token_digests(shards: DataFrame, folder: str, rows: int = 8192) -> DataFrame:
+        flat, index = np.memmap(f"{name}.bin", dtype=kind, mode="r"), np.memmap(f"{name}.idx", dtype="<i8", mode="r").reshape(-1, 2)
+        for at in range(0, len(index), rows):
+            ends = index[at : at + rows, 1]
+            starts = np.r_[index[at - 1, 1] if at else 0, ends[:-1]]
+            yield index[at : at + rows, 0], starts, ends, flat[starts[0] : ends[-1]]
+        return
+    with store.open_input_file(f"{name}.bin") as tokens, store.open_input_file(f"{name}.idx") as index:
+        before = 0
+        for at in range(0, index.size(), 16 * rows):
+            part = np.frombuffer(index.read_at(min(16 * rows, index.size() - at), at), dtype="<i8").reshape(-1, 2)
+            starts = np.r_[before, part[:-1, 1]]
+            before = int(part[-1, 1])
+            yield part[:, 0], starts, part[:, 1], np.frombuffer(tokens.read_at(width * (before - int(starts[0])), width * int(starts[0])), dtype=kind)
+
+
+def read_token_digests(shards: DataFrame, folder: str, rows: int = 4096) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document of the files. shards: what writing returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, width, base in zip(*(batch.column(name).to_pylist() for name in ("shard", "width", "base")), strict=True):
-                flat, ids, ends = map_shard(folder, shard, width)
-                starts = np.r_[0, ends[:-1]]
-                for at in range(0, len(ids), rows):
-                    here = slice(at, at + rows)
-                    crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(starts[here], ends[here], strict=True)]
+                for ids, starts, ends, flat in shard_parts(folder, shard, width, rows):
+                    first = starts[0]
+                    crc = [zlib.crc32(flat[a - first : b - first].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "doc_id": pa.array(np.array(ids[here]), pa.int64(), mask=ids[here] == NULL_ID),
-                            "start": pa.array(starts[here] + base, pa.int64()),
-                            "n_tokens": pa.array(ends[here] - starts[here], pa.int64()),
+                            "doc_id": pa.array(np.array(ids), pa.int64(), mask=ids == NULL_ID),
+                            "start": pa.array(starts + base, pa.int64()),
+                            "n_tokens": pa.array(ends - starts, pa.int64()),
                             "ids_crc32": pa.array(crc, pa.int64()),
                         }
                     )
