@@ -1,7 +1,7 @@
 """I-Match document fingerprints from several randomised lexicon subsets.
 
-Terms are lower-cased white-space words without leading and trailing punctuation, held as 64-bit hashes. The
-lexicon keeps terms within a band of inverse document frequency: in at most ``most`` of the distinct texts (so that
+Terms are lower-cased white-space words without leading and trailing punctuation, held as hashes of 63 bits (the
+lowest bit is left for a mark). The lexicon keeps terms within a band of inverse document frequency: in at most ``most`` of the distinct texts (so that
 a large group of copies does not push its own terms out), and in at least ``least`` of them, copies counted (and in
 two at least). The full lexicon gives one signature of a text: its distinct lexicon terms, sorted and hashed.
 Each randomised subset of the lexicon gives one more. Subsets come in groups: a group's subsets are disjoint
@@ -10,7 +10,9 @@ they have few terms.
 
 Document frequencies over distinct texts, without moving texts: over all rows they are sums of partial counts.
 With S rows more than distinct texts, a term in c rows is in c - S to c texts, so only terms between the band's
-upper end and S rows above it are in doubt. Those, and no others, are counted again, once for each distinct text.
+upper end and S rows above it are in doubt. For those, what copies have added is counted and taken off: a text in
+k rows has added k - 1. A bitmap of fixed size (2 ** BITMAP bits, by hash) tells most texts that have no copy, which
+are then not looked at again; texts that it cannot tell cost time only.
 
 Bound of what is broadcast (8 bytes a term): all document frequencies add up to D, the number of distinct terms of
 a text times the number of texts, so at most D / f terms are in f texts or more. For the terms in doubt f is the
@@ -50,11 +52,12 @@ from plumbline.llm.bpe_units import groups
 from plumbline.operators.ordered import PART, shuffle_partitions
 from plumbline.sources.scratch import materialize
 
+BITMAP = 26
 #: (one subset's share of the lexicon is 1 / share, number of subsets); shares are powers of two, and each
 #: group reads bits of the term's hash that no other group reads.
 GROUPS = ((4, 4), (16, 16), (64, 24), (256, 16), (1024, 8))
 #: The same for the part of all terms.
-ALL_GROUPS = ((2, 2), (8, 8))
+ALL_GROUPS = ((8, 8),)
 SIZE = 8
 EMPTY = "-" * SIZE
 #: Digits of the lexicon's part.
@@ -64,72 +67,84 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def term_hash(word: str) -> int:
-    """Hash of a word's term; 0 if nothing but punctuation is in it."""
+    """Hash of a word's term, an even number; 0 if nothing but punctuation is in it."""
     term = word.strip(PUNCTUATION)
-    return xxhash.xxh64_intdigest(term.encode("utf-8"), 0) or 1 if term else 0
+    return xxhash.xxh64_intdigest(term.encode("utf-8"), 0) & ~1 or 2 if term else 0
 
 
 class TermMemo(dict):
-    """Hashes by word, found when first asked for; 0 for words that have no term. Starts anew when it is full."""
+    """Hashes by word, found when first asked for, in two generations; 0 for words that have no term.
 
-    def __init__(self, most: int = 500_000) -> None:
+    The hash of a term that is among ``marked`` (sorted hashes) is given plus 1; with ``only`` others give 0.
+    """
+
+    def __init__(self, marked: np.ndarray | None = None, only: bool = False, most: int = 500_000) -> None:
         super().__init__()
-        self.most = most
+        self.marked = None if marked is None else array("Q", marked.astype(np.uint64).tobytes())
+        self.only, self.most, self.older = only, most, {}
 
     def __missing__(self, word: str) -> int:
-        found = self[word] = term_hash(word)
+        found = self.older.get(word)
+        if found is None:
+            found = term_hash(word)
+            if found and self.marked is not None:
+                at = bisect_left(self.marked, found)
+                inside = at < len(self.marked) and self.marked[at] == found
+                found = found + inside if inside or not self.only else 0
+        if 2 * len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
         return found
 
-    def terms(self, text: str) -> set[int]:
-        """Distinct term hashes of a text."""
-        if len(self) > self.most:
-            self.clear()
+    def terms(self, text: str) -> np.ndarray:
+        """Sorted distinct hashes of a text's terms."""
         found = set(map(self.__getitem__, set(text.lower().split())))
         found.discard(0)
-        return found
-
-
-class Chosen(dict):
-    """Whether a term hash is among the sorted ones, found when first asked for."""
-
-    def __init__(self, hashes: np.ndarray, most: int = 500_000) -> None:
-        super().__init__()
-        self.hashes, self.most = array("Q", hashes.astype(np.uint64).tobytes()), most
-
-    def __missing__(self, term: int) -> bool:
-        if len(self) > self.most:
-            self.clear()
-        at = bisect_left(self.hashes, term)
-        found = self[term] = at < len(self.hashes) and self.hashes[at] == term
-        return found
+        return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
 
 
-def _sorted(terms: set[int] | list[int]) -> np.ndarray:
-    return np.sort(np.fromiter(terms, dtype=np.uint64, count=len(terms)))
+#: This process's memo of plain hashes; a task that runs here later finds its words known.
+_plain = TermMemo()
+_ONE = np.uint64(1)
 
 
 class Fingerprinter:
     """Fingerprints of texts for one lexicon (sorted term hashes)."""
 
     def __init__(self, lexicon: np.ndarray) -> None:
-        self.memo, self.chosen = TermMemo(), Chosen(lexicon)
+        self.memo = TermMemo(lexicon)
 
     def __call__(self, text: str) -> str:
-        terms = self.memo.terms(text)
-        inside = list(filter(self.chosen.__getitem__, terms))
-        first = signatures(_sorted(inside), GROUPS) if inside else "-" * SPLIT
-        if terms:
-            return first + signatures(_sorted(terms), ALL_GROUPS)
+        found = self.memo.terms(text)
+        marks = found & _ONE
+        terms = found ^ marks
+        inside = terms[marks.astype(bool)]
+        first = signatures(inside, GROUPS) if len(inside) else "-" * SPLIT
+        if len(terms):
+            return first + signatures(terms, ALL_GROUPS)
         return first + hashlib.sha256(text.encode("utf-8")).hexdigest()[:SIZE] + EMPTY * sum(n for _, n in ALL_GROUPS)
 
 
+_fingerprinters: dict[bytes, Fingerprinter] = {}
+
+
+def fingerprinter(lexicon: np.ndarray) -> Fingerprinter:
+    """This process's fingerprints for a lexicon; only the last one's memo is kept."""
+    key = hashlib.sha256(lexicon.tobytes()).digest()
+    if key not in _fingerprinters:
+        _fingerprinters.clear()
+        _fingerprinters[key] = Fingerprinter(lexicon)
+    return _fingerprinters[key]
+
+
 def _signature(terms: bytes) -> str:
     return xxhash.xxh32_hexdigest(terms, 7)
 
 
 def signatures(found: np.ndarray, shares: tuple[tuple[int, int], ...]) -> str:
     """Signature of all of found and those of the random subsets, in order."""
-    out, bits = [_signature(found.astype("<u8").tobytes())], 0
+    out, bits = [_signature(found.astype("<u8").tobytes())], 1
     for share, subsets in shares:
         subset = (found >> np.uint64(bits)) & np.uint64(share - 1)
         bits += share.bit_length() - 1
@@ -164,36 +179,48 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     """term (hash as long) and df over all rows of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = TermMemo()
         for batch in batches:
             for group in groups([t or "" for t in batch.column("text").to_pylist()], 48_000_000):
-                found = [np.fromiter(own, dtype=np.uint64, count=len(own)) for own in map(memo.terms, group)]
-                terms, counts = np.unique(np.concatenate(found), return_counts=True)
+                terms, counts = np.unique(np.concatenate(list(map(_plain.terms, group))), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"term": pa.array(terms.view(np.int64)), "df": pa.array(counts.astype(np.int64))})
 
     return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def distinct_frequencies(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """term and df over the distinct texts of docs, for the wanted terms (sorted hashes) that any text has."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def copied_texts(copies: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** BITMAP bits, by the text hashes h of copies."""
+    place = F.pmod(F.col("h"), F.lit(1 << BITMAP))
+    packed_ = copies.select(F.bitmap_bucket_number(place + 1).alias("b"), F.bitmap_bit_position(place + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = np.zeros((1 << BITMAP) // 8, dtype=np.uint8)
+    for r in packed_.collect():  # one row in 2 ** 15 bits
+        out[4096 * (r.b - 1) : 4096 * r.b] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def added_by_copies(docs: DataFrame, copies: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """term and added: in how many rows more than distinct texts a wanted term (sorted hashes) is.
+
+    copies: h and k (rows) of the texts that have any.
+    """
+    shared, bitmap = (docs.sparkSession.sparkContext.broadcast(x) for x in (wanted, copied_texts(copies)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, chosen = TermMemo(), Chosen(shared.value)
+        memo = TermMemo(shared.value, only=True)
         for batch in slices(batches):
-            found = [[t for t in memo.terms(text) if chosen[t]] if text else [] for text in batch.column("text").to_pylist()]
-            places = [np.searchsorted(shared.value, _sorted(own)).astype(np.int32) for own in found]
-            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "terms": pa.array(places, pa.list_(pa.int32()))})
+            place = batch.column("h").to_numpy() % (1 << BITMAP)
+            kept = batch.filter(pa.array((bitmap.value[place >> 3] >> (place & 7) & 1).astype(bool)))
+            places = [np.searchsorted(shared.value, memo.terms(text) ^ _ONE).astype(np.int32) for text in kept.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept.column("h"), pa.array(places, pa.list_(pa.int32()))], ["h", "terms"])
 
     texts = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "h long, terms array<int>").dropDuplicates(["h"])
-    counts = texts.select(F.explode("terms").alias("place")).groupBy("place").agg(F.count("*").alias("df"))
+    added = texts.join(copies, "h").select(F.explode("terms").alias("place"), (F.col("k") - 1).alias("k")).groupBy("place").agg(F.sum("k").alias("added"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms = shared.value[batch.column("place").to_numpy()]
-            yield pa.RecordBatch.from_pydict({"term": pa.array(terms.view(np.int64)), "df": batch.column("df")})
+            yield pa.RecordBatch.from_pydict({"term": pa.array(terms.view(np.int64)), "added": batch.column("added")})
 
-    return counts.mapInArrow(name, "term long, df long")
+    return added.mapInArrow(name, "term long, added long")
 
 
 def _hashes(terms: DataFrame) -> np.ndarray:
@@ -201,15 +228,17 @@ def _hashes(terms: DataFrame) -> np.ndarray:
 
 
 def build_lexicon(docs: DataFrame, least: float = 1e-4, most: float = 0.02, max_lexicon: int = 1 << 21) -> np.ndarray:
-    """Sorted hashes of the terms in the band, at most max_lexicon of them."""
-    rows, n = docs.agg(F.count("*"), F.countDistinct(F.xxhash64("text"))).first()
+    """Sorted hashes of the terms in the band, at most max_lexicon of them. docs: no text is null."""
+    hashes = docs.groupBy(F.xxhash64("text").alias("h")).agg(F.count("*").alias("k"))
+    rows, n = hashes.agg(F.coalesce(F.sum("k"), F.lit(0)), F.count("*")).first()
     low, high = max(2, least * n), max(2, most * n)
     #: Only what may be in the band is written: most terms of a corpus are in one document.
     some = materialize(document_frequencies(docs).filter((F.col("df") >= low) & (F.col("df") <= high + rows - n)), "term-df")
-    sure, doubt = some.filter(F.col("df") <= high), some.filter(F.col("df") > high)
-    band = sure
+    band, doubt = some.filter(F.col("df") <= high), some.filter(F.col("df") > high)
     if rows > n and not doubt.isEmpty():
-        band = sure.unionByName(materialize(distinct_frequencies(docs, _hashes(doubt)).filter(F.col("df") <= high), "term-doubt"))
+        added = added_by_copies(docs, materialize(hashes.filter("k > 1"), "copied-texts"), _hashes(doubt))
+        fewer = doubt.join(added, "term").select("term", (F.col("df") - F.col("added")).alias("df")).filter(F.col("df") <= high)
+        band = band.unionByName(materialize(fewer, "term-doubt"))
     total = band.agg(F.sum("df")).first()[0] or 0
     return _hashes(band.filter(F.col("df") >= total / max_lexicon))
 

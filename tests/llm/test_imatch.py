@@ -10,13 +10,13 @@ from plumbline.llm import imatch as I
 def brute_terms(text):
     strip = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…“”„‘’–—"
     words = {w.strip(strip) for w in text.lower().split()} - {""}
-    return {xxhash.xxh64(w.encode(), seed=0).intdigest() or 1 for w in words}
+    return {xxhash.xxh64(w.encode(), seed=0).intdigest() // 2 * 2 or 2 for w in words}
 
 
 def brute_signatures(terms, shares):
     """Every signature is a hash of a sorted set, in plain Python: (share, subsets) groups read bits from the right."""
     hash_ = lambda found: xxhash.xxh32(b"".join(t.to_bytes(8, "little") for t in sorted(found)), seed=7).hexdigest() if found else "-" * 8
-    out, low = [hash_(terms)], 0
+    out, low = [hash_(terms)], 1
     for share, subsets in shares:
         out += [hash_({t for t in terms if t >> low & (share - 1) == k}) for k in range(subsets)]
         low += share.bit_length() - 1
@@ -26,7 +26,7 @@ def brute_signatures(terms, shares):
 def brute_fingerprint(text, lexicon):
     terms = brute_terms(text)
     first = brute_signatures(terms & lexicon, [(4, 4), (16, 16), (64, 24), (256, 16), (1024, 8)])
-    return first, brute_signatures(terms, [(2, 2), (8, 8)]) if terms else [hashlib.sha256(text.encode()).hexdigest()[:8], *["-" * 8] * 10]
+    return first, brute_signatures(terms, [(8, 8)]) if terms else [hashlib.sha256(text.encode()).hexdigest()[:8], *["-" * 8] * 8]
 
 
 def brute_likeness(a, b):
