@@ -77,7 +77,7 @@ def coefficients(materials: DataFrame) -> DataFrame:
 
 
 def reject_reason() -> Column:
-    """The first rule that a material breaks, or empty.
+    """The first rule that a material breaks, or empty. A parameter that is null or NaN is ``<name>_missing``, before all.
 
     A compliance is positive definite if its shear terms are positive and its axial block's leading minors are;
     with positive moduli that leaves the block's determinant.
@@ -93,7 +93,8 @@ def reject_reason() -> Column:
         ~between("nu_TT"),
         ~definite,
     )
-    return F.coalesce(*(F.when(rule, name) for rule, name in zip(broken, REASONS, strict=True)), F.lit(""))
+    missing = [F.when(F.col(c).isNull() | F.isnan(c), f"{c}_missing") for c in BOX]
+    return F.coalesce(*missing, *(F.when(rule, name) for rule, name in zip(broken, REASONS, strict=True)), F.lit(""))
 
 
 def hashin_shtrikman(k1: Column, g1: Column, k2: Column, g2: Column, share2: Column) -> dict[str, Column]:

@@ -12,11 +12,29 @@ DENSITY = (("dilute", 0.13), ("dense", 0.25), "mid-vf")
 LENGTH = (("short", 10.0), ("long", 20.0), "medium-ar")
 SPATIAL = (("uniform", 0.10), ("clustered", 0.50), "mild-cluster")
 ALIGNED, PLANAR = 0.65, 0.10
+#: Names of the rules of a valid diagonal, in the order in which they are tried.
+REASONS = (
+    "a11_missing",
+    "a22_missing",
+    "a33_missing",
+    "a11_negative",
+    "a22_negative",
+    "a33_negative",
+    "a11_greater_than_one",
+    "a22_greater_than_one",
+    "a33_greater_than_one",
+    "a11_plus_a22_greater_than_one",
+    "orientation_trace_not_one",
+)
 
 
 def folded_triangle(u: Column, v: Column, digits: int = 6) -> dict[str, Column]:
-    """Diagonal of a second-order orientation tensor from two unit values: points beyond u + v = 1 are mirrored."""
-    inside = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    """Diagonal of a second-order orientation tensor from two unit values: points beyond u + v = 1 are mirrored.
+
+    A null or NaN gives nulls.
+    """
+    present = u.isNotNull() & v.isNotNull() & ~F.isnan(u) & ~F.isnan(v)
+    inside = lambda c: F.when(present, F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
     mirror = inside(u) + inside(v) > 1.0
     a11 = F.when(mirror, 1.0 - inside(u)).otherwise(inside(u))
     a22 = F.when(mirror, 1.0 - inside(v)).otherwise(inside(v))
@@ -27,13 +45,15 @@ def folded_triangle(u: Column, v: Column, digits: int = 6) -> dict[str, Column]:
 
 def reject_reason(a11: str = "a11", a22: str = "a22", a33: str = "a33") -> Column:
     """The first rule that a diagonal breaks, or empty."""
-    chain = None
-    for bound, holds in (("negative", lambda c: c < 0), ("greater_than_one", lambda c: c > 1)):
-        for name in (a11, a22, a33):
-            chain = (F if chain is None else chain).when(holds(F.col(name)), f"{name}_{bound}")
-    chain = chain.when(F.col(a11) + F.col(a22) > 1.0 + 1e-6, f"{a11}_plus_{a22}_greater_than_one")
-    trace = F.col(a11) + F.col(a22) + F.col(a33)
-    return chain.when(F.abs(trace - 1.0) > 1e-6 + 1e-5, "orientation_trace_not_one").otherwise("")
+    first, second, third = (F.col(c).cast("double") for c in (a11, a22, a33))
+    holds = (
+        *(c.isNull() | F.isnan(c) for c in (first, second, third)),
+        *(c < 0 for c in (first, second, third)),
+        *(c > 1 for c in (first, second, third)),
+        first + second > 1.0 + 1e-6,
+        F.abs(first + second + third - 1.0) > 1e-6 + 1e-5,
+    )
+    return F.coalesce(*(F.when(rule, name) for rule, name in zip(holds, REASONS, strict=True)), F.lit(""))
 
 
 def anisotropy(*diagonal: Column) -> Column:

@@ -64,25 +64,29 @@ def engineering_constants(rows: DataFrame, flat: str, key: str) -> DataFrame:
     return rows.select(key, flat).mapInPandas(run, schema)
 
 
+def mandel_rotations(first: np.ndarray) -> np.ndarray:
+    """(n, 6, 6): Mandel matrices of rotations that bring axis 1 to the unit vectors of first; they are orthogonal."""
+    scale = np.sqrt([1, 1, 1, 2, 2, 2])
+    helper = np.where(np.abs(first[:, :1]) > 0.9, [[0.0, 1.0, 0.0]], [[1.0, 0.0, 0.0]])
+    second = helper - first * np.einsum("ni,ni->n", helper, first)[:, None]
+    second /= np.linalg.norm(second, axis=1, keepdims=True)
+    turn = np.stack([first, second, np.cross(first, second)], axis=2)
+    q = np.empty((len(first), 6, 6))
+    for a, (i, j) in enumerate(PAIRS):
+        for b, (k, m) in enumerate(PAIRS):
+            both = turn[:, i, k] * turn[:, j, m] + turn[:, i, m] * turn[:, j, k]
+            q[:, a, b] = 0.5 * both * scale[a] * scale[b]
+    return q
+
+
 def rotated(rows: DataFrame, flat: str, axis: str, key: str) -> DataFrame:
     """key and the Mandel stiffness (flat) turned so that its axis 1 points along the unit array ``axis``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scale = np.sqrt([1, 1, 1, 2, 2, 2])
         for frame in frames:
             if not len(frame):
                 continue
-            first = np.array(frame[axis].tolist())
-            helper = np.where(np.abs(first[:, :1]) > 0.9, [[0.0, 1.0, 0.0]], [[1.0, 0.0, 0.0]])
-            second = helper - first * np.einsum("ni,ni->n", helper, first)[:, None]
-            second /= np.linalg.norm(second, axis=1, keepdims=True)
-            turn = np.stack([first, second, np.cross(first, second)], axis=2)
-            #: The Mandel matrix of the rotation is orthogonal.
-            q = np.empty((len(frame), 6, 6))
-            for a, (i, j) in enumerate(PAIRS):
-                for b, (k, m) in enumerate(PAIRS):
-                    both = turn[:, i, k] * turn[:, j, m] + turn[:, i, m] * turn[:, j, k]
-                    q[:, a, b] = 0.5 * both * scale[a] * scale[b]
+            q = mandel_rotations(np.array(frame[axis].tolist()))
             c = np.array(frame[flat].tolist()).reshape(-1, 6, 6)
             yield pd.DataFrame({key: frame[key], flat: list((q @ c @ q.swapaxes(1, 2)).reshape(-1, 36))})
 

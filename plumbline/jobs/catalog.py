@@ -13,8 +13,9 @@ from plumbline.functions import materials as M
 from plumbline.functions import orientation as O
 from plumbline.functions import sequences as S
 from plumbline.functions import tensors as T
-from plumbline.jobs import reduced_model
-from plumbline.operators import linalg, relational, spatial, statistics
+from plumbline.jobs import fields, reduced_model
+from plumbline.operators import campaign, linalg, relational, spatial, statistics
+from plumbline.operators.quantiles import with_quantiles
 from plumbline.sources.tables import table
 from plumbline.streaming import online
 
@@ -84,9 +85,9 @@ def material_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.derived(materials(spark, sf_dir)).select("material_id", *_DERIVED), 6, *_DERIVED)
 
 
-@query("""WITH m AS (SELECT p_partkey AS material_id, p_size - 3.0 AS Em, p_size / 75.0 AS nu_m, p_retailprice - 1000 AS Ef_L, p_size * 25.0 - 100 AS Ef_T,
+@query("""WITH m AS (SELECT p_partkey AS material_id, CASE WHEN p_partkey % 29 <> 0 THEN p_size - 3.0 END AS Em, CASE WHEN p_partkey % 31 = 0 THEN 'nan'::DOUBLE ELSE p_size / 75.0 END AS nu_m, p_retailprice - 1000 AS Ef_L, p_size * 25.0 - 100 AS Ef_T,
  (p_partkey % 20) - 0.5 AS G_LT, (p_partkey % 11) / 2.0 AS nu_LT, (p_partkey % 13) / 20.0 AS nu_TT FROM part)
- SELECT reason, count(*) AS n FROM (SELECT CASE WHEN Em <= 0 THEN 'Em_non_positive' WHEN NOT (nu_m > -1 AND nu_m < 0.5) THEN 'nu_m_out_of_isotropic_range'
+ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN Em IS NULL THEN 'Em_missing' WHEN isnan(nu_m) THEN 'nu_m_missing' WHEN Em <= 0 THEN 'Em_non_positive' WHEN NOT (nu_m > -1 AND nu_m < 0.5) THEN 'nu_m_out_of_isotropic_range'
  WHEN least(Ef_L, Ef_T, G_LT) <= 0 THEN 'fiber_modulus_non_positive' WHEN Ef_L < Ef_T THEN 'Ef_L_less_than_Ef_T'
  WHEN NOT (nu_TT > -1 AND nu_TT < 0.5) THEN 'nu_TT_out_of_ti_range'
  WHEN NOT (nu_LT * nu_LT * Ef_T / Ef_L < 1 AND 1 - nu_TT - 2 * nu_LT * nu_LT * Ef_T / Ef_L > 0) THEN 'fiber_compliance_not_positive_definite' ELSE '' END AS reason FROM m) GROUP BY reason""")
@@ -94,8 +95,8 @@ def material_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many materials of a box wider than the valid one break which rule first."""
     parts = table(spark, sf_dir, "part")
     wide = parts.select(
-        (F.col("p_size") - 3.0).alias("Em"),
-        (F.col("p_size") / 75.0).alias("nu_m"),
+        F.when(F.col("p_partkey") % 29 != 0, F.col("p_size") - 3.0).alias("Em"),
+        F.when(F.col("p_partkey") % 31 == 0, F.lit(float("nan"))).otherwise(F.col("p_size") / 75.0).alias("nu_m"),
         (F.col("p_retailprice") - 1000).alias("Ef_L"),
         (F.col("p_size") * 25.0 - 100).alias("Ef_T"),
         ((F.col("p_partkey") % 20) - 0.5).alias("G_LT"),
@@ -116,6 +117,18 @@ def orientation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.withColumn("reason", O.reject_reason())
 
 
+@query("""WITH d AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 19 <> 0 THEN (p_partkey % 13) / 10.0::DOUBLE - 0.1::DOUBLE END AS a11, CASE WHEN p_partkey % 23 = 0 THEN 'nan'::DOUBLE ELSE (p_partkey % 11) / 10.0::DOUBLE - 0.1::DOUBLE END AS a22 FROM part),
+ t AS (SELECT *, CASE WHEN k % 17 = 0 THEN 0.25::DOUBLE ELSE round_even(1 - a11 - a22, 6) END AS a33 FROM d)
+ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN a11 IS NULL THEN 'a11_missing' WHEN isnan(a22) THEN 'a22_missing' WHEN a33 IS NULL OR isnan(a33) THEN 'a33_missing' WHEN a11 < 0 THEN 'a11_negative' WHEN a22 < 0 THEN 'a22_negative' WHEN a33 < 0 THEN 'a33_negative'
+ WHEN a11 > 1 THEN 'a11_greater_than_one' WHEN a22 > 1 THEN 'a22_greater_than_one' WHEN a33 > 1 THEN 'a33_greater_than_one' WHEN a11 + a22 > 1 + 1e-6 THEN 'a11_plus_a22_greater_than_one' WHEN abs(a11 + a22 + a33 - 1) > 1.1e-5 THEN 'orientation_trace_not_one' ELSE '' END AS reason FROM t) GROUP BY reason""")
+def orientation_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many diagonals of a range wider than the valid one break which rule first."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(key, F.when(key % 19 != 0, (key % 13) / F.lit(10.0) - 0.1).alias("a11"), F.when(key % 23 == 0, F.lit(float("nan"))).otherwise((key % 11) / F.lit(10.0) - 0.1).alias("a22"))
+    rows = rows.withColumn("a33", F.when(key % 17 == 0, F.lit(0.25)).otherwise(F.bround(1 - F.col("a11") - F.col("a22"), 6)))
+    return rows.groupBy(O.reject_reason().alias("reason")).agg(F.count("*").alias("n"))
+
+
 _SHAPE = """SELECT p_partkey, p_size / 150.0 AS vf, p_size / 2.0 AS ar, (p_partkey % 7) / 10.0 AS cl, (p_partkey % 10) / 10.0 AS a11, least((p_partkey % 4) / 10.0, 1 - (p_partkey % 10) / 10.0) AS a22 FROM part"""
 
 
@@ -196,14 +209,10 @@ def error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(quantile_cont(o_totalprice, 0.95), 4) AS p95_price, max(o_totalprice) AS max_price FROM orders GROUP BY 1, 2""")
 def grouped_multi_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several aggregates by two keys."""
-    price = F.col("o_totalprice")
-    out = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(
-        F.count("*").alias("n"),
-        F.avg((price > 150000).cast("int")).alias("share_large"),
-        F.percentile(price, F.lit(0.5)).alias("median_price"),
-        F.percentile(price, F.lit(0.95)).alias("p95_price"),
-        F.max(price).alias("max_price"),
-    )
+    price, keys = F.col("o_totalprice"), ["o_orderstatus", "o_orderpriority"]
+    orders = table(spark, sf_dir, "orders").select(*keys, "o_totalprice")
+    out = orders.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((price > 150000).cast("int")).alias("share_large"), F.max(price).alias("max_price"))
+    out = with_quantiles(out, orders, keys, "o_totalprice", {"median_price": 0.5, "p95_price": 0.95})
     return rounded(rounded(out, 6, "share_large"), 4, "median_price", "p95_price")
 
 
@@ -251,20 +260,22 @@ def output_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events), c AS (SELECT unnest([100, 200, 500, 1000, 2000, 5000, 10000, 50000, 100000])::BIGINT AS n)
- SELECT n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(1.96 * stddev_samp(value) / sqrt(n), 6) AS half_width FROM c JOIN n ON pos < n GROUP BY n HAVING count(*) = n""")
+, s AS (SELECT n, avg(value) AS mean, stddev_samp(value) AS std FROM c JOIN n ON pos < n GROUP BY n HAVING count(*) = n), l AS (SELECT arg_max(mean, n) AS m, arg_max(std, n) AS s FROM s)
+ SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(1.96 * std / sqrt(n), 6) AS half_width, round(abs(mean - m) / abs(m), 6) AS mean_gap, round(abs(std - l.s) / abs(l.s), 6) AS std_gap FROM s, l""")
 def prefix_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, deviation and interval over the first n events."""
+    """Mean, deviation and interval over the first n events, and against the longest prefix."""
     out = statistics.prefix_statistics(table(spark, sf_dir, "events"), "event_id", "value", [100, 200, 500, 1000, 2000, 5000, 10000, 50000, 100000])
-    return rounded(out, 6, "mean", "std", "half_width")
+    return rounded(out, 6, "mean", "std", "half_width", "mean_gap", "std_gap")
 
 
-@query("""WITH r AS (SELECT l_returnflag, l_linestatus, l_quantity::DOUBLE AS x, l_extendedprice AS y,
+@query("""WITH l AS (SELECT * FROM lineitem WHERE l_orderkey % 13 <> 0), r AS (SELECT l_returnflag, l_linestatus, l_quantity::DOUBLE AS x, l_extendedprice AS y,
  rank() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_linestatus, l_quantity) - 1) / 2.0::DOUBLE AS rx,
- rank() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_linestatus, l_extendedprice) - 1) / 2.0::DOUBLE AS ry FROM lineitem)
- SELECT l_returnflag, l_linestatus, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1, 2 HAVING count(*) >= 3""")
+ rank() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_linestatus, l_extendedprice) - 1) / 2.0::DOUBLE AS ry FROM l)
+ SELECT l_returnflag, l_linestatus, count(*) AS n, any_value(censored) AS censored, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r JOIN (SELECT l_returnflag, l_linestatus, count(*) FILTER (l_orderkey % 13 = 0) AS censored FROM lineitem GROUP BY 1, 2) USING (l_returnflag, l_linestatus) GROUP BY 1, 2 HAVING count(*) >= 3""")
 def rank_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pearson's and Spearman's correlation by two keys."""
-    out = statistics.correlations(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice")
+    """Pearson's and Spearman's correlation by two keys, where some quantities are missing (censored)."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.when(F.col("l_orderkey") % 13 != 0, F.col("l_quantity")).alias("l_quantity"), "l_extendedprice")
+    out = statistics.correlations(rows, ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice")
     return rounded(out, 6, "pearson", "spearman")
 
 
@@ -372,10 +383,11 @@ def ordered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.in_order_of(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", wanted, "position")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders."""
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Customers without a pending order."""
+    pending = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(pending, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -410,12 +422,69 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""SELECT o_orderkey, coalesce(lower(o_orderpriority) = lower(upper(o_orderpriority)) AND abs(o_totalprice - round(o_totalprice, 0)) <= 0.25 AND CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 2 = 0 END, false) AS same FROM orders""")
+_DONE = """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_custkey + (o_orderkey % 11 = 0)::INT AS box, CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE upper(o_orderpriority) END AS mode,
+ CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1e-3 ELSE o_totalprice END AS rtol, CASE o_orderkey % 6 WHEN 0 THEN 'True' WHEN 1 THEN 'no' WHEN 2 THEN ' yes' WHEN 3 THEN '0' WHEN 4 THEN '1' ELSE 'maybe' END AS restart FROM orders"""
+
+
+@query(f"""SELECT o_orderkey, coalesce(box = o_custkey AND lower(mode) = lower(o_orderpriority) AND abs(rtol - o_totalprice) <= 1e-4 AND
+ CASE WHEN lower(trim(restart)) IN ('true', '1', 'yes') THEN true WHEN lower(trim(restart)) IN ('false', '0', 'no') THEN false END = (o_orderkey % 2 = 0), false) AS same FROM ({_DONE})""")
 def resume_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a finished row has the settings that are asked for; anything missing counts as no."""
-    asked = F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey") % 2 == 0)
-    same = (F.lower("o_orderpriority") == F.lower(F.upper("o_orderpriority"))) & (F.abs(F.col("o_totalprice") - F.round("o_totalprice", 0)) <= 0.25) & asked
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(same, F.lit(False)).alias("same"))
+    """Whether a finished row has the settings that are asked for, for rows of which some differ or miss one."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    word = F.element_at(F.array(*map(F.lit, ("True", "no", " yes", "0", "1", "maybe"))), (key % 6 + 1).cast("int"))
+    done = {
+        "box": F.col("o_custkey") + (key % 11 == 0).cast("int"),
+        "mode": F.when(key % 7 == 0, F.lit("other")).otherwise(F.upper("o_orderpriority")),
+        "rtol": F.when(key % 8 != 0, F.when(key % 5 == 0, price + 1e-3).otherwise(price)),
+        "restart": word,
+    }
+    asked = {"box": F.col("o_custkey"), "mode": F.col("o_orderpriority"), "rtol": price, "restart": key % 2 == 0}
+    same = campaign.settings_match(done, asked, ["box"], ["mode"], ["rtol"], ["restart"], 1e-4)
+    return table(spark, sf_dir, "orders").select("o_orderkey", same.alias("same"))
+
+
+@query("SELECT o_orderkey AS run_id, o_custkey AS run_box_side, o_orderstatus AS run_box_solver_mode, '[' || o_custkey || ',' || o_orderkey || ']' AS run_grid, o_orderpriority AS label FROM orders")
+def flattened_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested settings as columns named by their path, lists as JSON."""
+    solver = F.struct(F.col("o_orderstatus").alias("mode"))
+    nested = F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("side"), solver.alias("solver")).alias("box"), F.array("o_custkey", "o_orderkey").alias("grid"))
+    return campaign.flattened(table(spark, sf_dir, "orders").select(nested.alias("run"), F.col("o_orderpriority").alias("label")))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000) WHERE k = 1""")
+def latest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's newest finished order over 100,000."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    valid = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000)
+    return campaign.latest_valid(orders, ["o_custkey"], valid, ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice < 200000 AND o_orderkey % 3 <> 0")
+def cached_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a record of the urgent profile that converged and has its fields."""
+    records = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_totalprice", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")).alias("result"))
+    return campaign.valid_records(records, "o_custkey", F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") < 200000, ["result"])
+
+
+@query("""WITH h AS (SELECT md5('{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '"}') AS h FROM part)
+ SELECT count(*) AS n, format('{:012x}', (sum(('0x' || substr(h, 1, 12))::HUGEINT) % (1::HUGEINT << 48))::BIGINT) || format('{:012x}', (sum(('0x' || substr(h, 13, 12))::HUGEINT) % (1::HUGEINT << 48))::BIGINT) AS digest FROM h""")
+def frozen_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest by which a frozen design is known again, in whatever order its rows come."""
+    return campaign.table_digest(table(spark, sf_dir, "part"), ["p_partkey", "p_brand"])
+
+
+@query("""SELECT i, s_suppkey, s_name FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS i FROM supplier) JOIN (SELECT s_name, row_number() OVER (ORDER BY s_name) - 1 AS i FROM supplier) USING (i)""")
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers from poor to rich beside suppliers' names in order."""
+    suppliers = table(spark, sf_dir, "supplier")
+    out = campaign.zipped(suppliers.select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"], suppliers.select("s_name"), ["s_name"], "i")
+    return out.select("i", "s_suppkey", "s_name")
+
+
+@query("SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS score_rank, p_partkey, p_retailprice FROM part")
+def ranking_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by descending price, with those of the logged columns that there are."""
+    return campaign.ranking_log(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size"), "p_retailprice", "p_partkey", ["p_partkey", "p_retailprice", "beta"], "score_rank")
 
 
 @query("""WITH v AS (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events)
@@ -453,12 +522,19 @@ def periodic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.periodic_pairs(points(spark, sf_dir), _BOX, 3.0), 6, "d2")
 
 
-@query(_PAIRS + ", n AS (SELECT i AS id, j, d2 FROM q WHERE d2 <= 9.0 UNION ALL SELECT j, i, d2 FROM q WHERE d2 <= 9.0) SELECT id, arg_min(j, (d2, j)) AS nearest, round(sqrt(min(d2)), 6) AS distance FROM n GROUP BY id")
+@query(_PAIRS + ", n AS (SELECT i AS id, j, d2 FROM q WHERE d2 <= 9.0 UNION ALL SELECT j, i, d2 FROM q WHERE d2 <= 9.0) SELECT p.id, arg_min(j, (d2, j)) AS nearest, round(sqrt(min(d2)), 6) AS distance FROM p LEFT JOIN n ON n.id = p.id GROUP BY p.id")
 def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each point's nearest one, if it is within a radius."""
+    """Every point, with its nearest one if that is within a radius."""
     return rounded(spatial.nearest_within(points(spark, sf_dir), _BOX, 3.0), 6, "distance")
 
 
+@query(f"""WITH p AS ({_POINTS}), q AS (SELECT a.id, b.id AS j, {_gap('x')} ** 2 + {_gap('y')} ** 2 + {_gap('z')} ** 2 AS d2 FROM p a JOIN p b ON a.id <> b.id)
+ SELECT id, arg_min(j, (d2, j)) AS nearest, round(sqrt(min(d2)), 6) AS distance FROM q GROUP BY id""")
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point's nearest other one, however far."""
+    return rounded(spatial.nearest(points(spark, sf_dir), _BOX), 6, "distance")
+
+
 @query(_PAIRS + ", n AS (SELECT i, j FROM q WHERE d2 <= 9.0 UNION ALL SELECT j, i FROM q WHERE d2 <= 9.0) SELECT i, count(*) AS degree, array_to_string(list(j ORDER BY j), ',') AS neighbours FROM n GROUP BY i")
 def pair_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of each point."""
@@ -557,14 +633,14 @@ def moment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linalg.moment_matrix(snapshots(spark, sf_dir), "v"), 4, "value")
 
 
-_PROBES = "SELECT vec_id AS probe, embedding AS p FROM embeddings WHERE vec_id % 20 = 0 ORDER BY vec_id LIMIT 25"
+_PROBES = "SELECT vec_id AS probe, embedding AS p FROM embeddings WHERE vec_id % 20 = 0"
 
 
 @query(f"""SELECT vec_id, probe, round(list_dot_product(embedding::DOUBLE[], p::DOUBLE[]), 6) AS value FROM embeddings, ({_PROBES})""")
 def gram_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inner products of all snapshots with a stated set of 25 probes."""
+    """Inner products of all snapshots with a stated set of probes, those whose id is divisible by 20."""
     rows = snapshots(spark, sf_dir)
-    return rounded(linalg.gram_entries(rows, "vec_id", "v", rows.filter("vec_id % 20 = 0").orderBy("vec_id").limit(25)), 6, "value")
+    return rounded(linalg.gram_entries(rows, "vec_id", "v", rows.filter("vec_id % 20 = 0")), 6, "value")
 
 
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, round(sqrt(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS relative FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -576,22 +652,63 @@ def neighbour_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "cosine", "relative")
 
 
-_CORNERS = [tuple((i * a % 97 + 1) / 97 for a in (31, 57, 83)) for i in range(1, 65)]
+_STEPS = (1327, 2311, 3571)
+_CORNERS = [tuple((i * a % 4001 + 1) / 4001 for a in _STEPS) for i in range(1, 4001)]
 
 
-@query(f"""WITH p AS ({_POINTS}), c(a, b, c) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in _CORNERS)}),
+@query(f"""WITH p AS ({_POINTS}), c AS (SELECT {", ".join(f"((i * {a}) % 4001 + 1) / 4001.0::DOUBLE AS {n}" for n, a in zip("abc", _STEPS, strict=True))} FROM (SELECT unnest(range(1, 4001)) AS i)),
  s AS (SELECT a, b, c, avg((x / {_BOX} <= a AND y / {_BOX} <= b AND z / {_BOX} <= c)::INT) AS share FROM p, c GROUP BY 1, 2, 3) SELECT round(max(abs(share - a * b * c)), 8) AS discrepancy FROM s""")
 def star_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the points are from uniform, over 64 stated boxes."""
+    """How far the points are from uniform, over 4,000 stated boxes."""
     return rounded(spatial.star_discrepancy(points(spark, sf_dir), _BOX, _CORNERS), 8, "discrepancy")
 
 
+_FIBRES = f"SELECT p.*, ux, uy, uz FROM ({_POINTS}) p JOIN ({_DIRECTIONS}) ON vec_id = id % (SELECT count(*) FROM embeddings)"
+
+
+def fibres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point with one of all directions in turn (their ids are 0, 1, 2, ...)."""
+    way = directions(spark, sf_dir)
+    return points(spark, sf_dir).withColumn("vec_id", F.col("id") % way.count()).join(way, "vec_id").select("id", "x", "y", "z", *_U)
+
+
 @query(f"""SELECT count(*) AS fibres, sum((x - abs(ux) * 5 < 0 OR x + abs(ux) * 5 > {_BOX} OR y - abs(uy) * 5 < 0 OR y + abs(uy) * 5 > {_BOX} OR z - abs(uz) * 5 < 0 OR z + abs(uz) * 5 > {_BOX})::INT)::BIGINT AS crossing
- FROM ({_POINTS}) JOIN ({_DIRECTIONS}) ON vec_id = id % 500""")
+ FROM ({_FIBRES})""")
 def crossing_fibres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fibres of length 10 around the points that leave the box."""
-    fibres = points(spark, sf_dir).withColumn("vec_id", F.col("id") % 500).join(directions(spark, sf_dir), "vec_id")
-    return spatial.crossing_count(fibres, _BOX, 10.0)
+    return spatial.crossing_count(fibres(spark, sf_dir), _BOX, 10.0)
+
+
+_HALF, _WIDTH = 1.2, 0.6
+
+
+def _at(s: str, t: str) -> str:
+    return f"(g2 + ({s}) ** 2 + ({t}) ** 2 - 2 * ({s}) * du + 2 * ({t}) * dv - 2 * ({s}) * ({t}) * b)"
+
+
+def _clip(x: str) -> str:
+    return f"least(greatest({x}, {-_HALF}::DOUBLE), {_HALF}::DOUBLE)"
+
+
+_OVERLAPS = (
+    f"WITH f AS ({_FIBRES}), g AS (SELECT a.id AS i, b.id AS j, a.ux AS u1, a.uy AS u2, a.uz AS u3, b.ux AS v1, b.uy AS v2, b.uz AS v3, {_gap('x')} AS g1, {_gap('y')} AS gy, {_gap('z')} AS gz FROM f a JOIN f b ON a.id < b.id AND abs({_gap('x')}) <= {2 * _HALF + _WIDTH}),"
+    " h AS (SELECT i, j, g1 * g1 + gy * gy + gz * gz AS g2, g1 * u1 + gy * u2 + gz * u3 AS du, g1 * v1 + gy * v2 + gz * v3 AS dv, u1 * v1 + u2 * v2 + u3 * v3 AS b FROM g),"
+    f" k AS (SELECT i, j, least({', '.join([_at(_clip(f'du + b * {t}'), str(t)) for t in (-_HALF, _HALF)] + [_at(str(s), _clip(f'b * {s} - dv')) for s in (-_HALF, _HALF)])},"
+    f" CASE WHEN 1 - b * b > 1e-12 AND abs((du - b * dv) / (1 - b * b)) <= {_HALF} AND abs((b * du - dv) / (1 - b * b)) <= {_HALF} THEN {_at('(du - b * dv) / (1 - b * b)', '(b * du - dv) / (1 - b * b)')} END) AS d2"
+    f" FROM h WHERE g2 <= {2 * _HALF + _WIDTH}::DOUBLE ** 2), o AS (SELECT i, j, {_WIDTH}::DOUBLE - sqrt(greatest(d2, 0)) AS overlap FROM k)"
+)
+
+
+@query(_OVERLAPS + " SELECT i, j, round(overlap, 6) AS overlap FROM o WHERE overlap > 0")
+def segment_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of fibres that overlap, by the distance of their axes."""
+    return rounded(spatial.segment_overlaps(fibres(spark, sf_dir), _BOX, 2 * _HALF, _WIDTH), 6, "overlap")
+
+
+@query(_OVERLAPS + " SELECT count(*) AS pairs, round(coalesce(max(overlap), 0), 6) AS overlap FROM o WHERE overlap > 0")
+def max_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of overlapping pairs of fibres and the largest overlap."""
+    return rounded(spatial.max_overlap(fibres(spark, sf_dir), _BOX, 2 * _HALF, _WIDTH), 6, "overlap")
 
 
 # Designs: part k takes point k of a Sobol sequence.
@@ -619,7 +736,14 @@ def sobol_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey")).select("p_partkey", *columns)
 
 
-@query()
+@query(
+    "WITH g AS (SELECT p_partkey, xor(p_partkey, p_partkey >> 1) AS g FROM part), s AS (SELECT p_partkey, "
+    + ", ".join(f"{M.BOX[n][0]}::DOUBLE + ({_sobol_sql(d)}) * {M.BOX[n][1] - M.BOX[n][0]!r}::DOUBLE AS {n}" if n in M.BOX else f"{_sobol_sql(d)} AS {n}" for d, n in enumerate(_NINE))
+    + " FROM g), f AS (SELECT *, CASE WHEN u + v > 1 THEN 1 - u ELSE u END AS b11, CASE WHEN u + v > 1 THEN 1 - v ELSE v END AS b22 FROM s), d AS (SELECT *, nu_LT * nu_LT * Ef_T / Ef_L AS k FROM f),"
+    + " r AS (SELECT *, CASE WHEN Ef_L < Ef_T THEN 'Ef_L_less_than_Ef_T' WHEN NOT (k < 1 AND 1 - nu_TT - 2 * k > 0) THEN 'fiber_compliance_not_positive_definite' ELSE '' END AS reject_reason FROM d)"
+    + f" SELECT p_partkey, {', '.join(M.BOX)}, round_even(b11, 6) AS a11, round_even(b22, 6) AS a22, greatest(round_even(1 - b11 - b22, 6), 0) AS a33, (ceil(2.0 * (5.0 + 20.0 * u) * 6.0 / 8) * 8)::INT AS nvox, reject_reason,"
+    + " CASE WHEN reject_reason = '' THEN (sum((reject_reason = '')::INT) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) - 1)::BIGINT END AS design_id FROM r"
+)
 def sobol_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool as designs: folded orientation, grid size, first broken rule, and ids of the operable ones."""
     pool = sobol_pool(spark, sf_dir)
@@ -634,12 +758,14 @@ def sobol_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Models, selections and streams. SQL cannot express these but for the first and the last.
 
 
-@query("WITH e AS (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT round(sum(v * v), 3) AS energy FROM e")
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64))::INT AS i FROM embeddings), m AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS value FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2)
+ SELECT round(sum(value) FILTER (i = j), 3) AS energy, round(sum(value * value) / (sum(value) FILTER (i = j)) ** 2, 8) AS concentration FROM m""")
 def mode_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The modes' energies, which add up to that of all snapshots."""
+    """Two sums over the modes' energies that the second moment's entries give as well: of them, and of their squares."""
     energies, _ = linalg.modes(snapshots(spark, sf_dir), "v")
     rows = spark.createDataFrame([(i, float(e)) for i, e in enumerate(energies)], "mode int, energy double")
-    return rows.agg(F.round(F.sum("energy"), 3).alias("energy"))
+    total = F.sum("energy")
+    return rows.agg(F.round(total, 3).alias("energy"), F.round(F.sum(F.col("energy") * F.col("energy")) / (total * total), 8).alias("concentration"))
 
 
 @query()
@@ -651,12 +777,14 @@ def projection_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.error_statistics(errors, ["rank"], "error", "vec_id")
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(64))::INT AS i FROM embeddings), m AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS value FROM e a JOIN e b USING (vec_id) WHERE a.label = 0 GROUP BY 1, 2),
+ p AS (SELECT e.vec_id, m.j, sum(e.v * m.value) AS w FROM e JOIN m USING (i) WHERE label <> 0 GROUP BY 1, 2)
+ SELECT p.vec_id, round(sum(p.w * e.v) / sum(e.v * e.v), 5) AS score FROM p JOIN e ON e.vec_id = p.vec_id AND e.i = p.j GROUP BY 1""")
 def influence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of label 0's snapshots lies along each other snapshot."""
     rows = snapshots(spark, sf_dir)
     moment = linalg.collected_matrix(linalg.moment_matrix(rows.filter("label = 0"), "v"))
-    return linalg.influence(rows.filter("label <> 0"), "vec_id", "v", moment)
+    return rounded(linalg.influence(rows.filter("label <> 0"), "vec_id", "v", moment), 5, "score")
 
 
 @query()
@@ -666,10 +794,65 @@ def maximin_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.farthest_points(parts, "p_partkey", ["size", "price"], 1, 10)
 
 
+# Fields: every snapshot is a voxel with the strains of ten fields (60 of its 64 numbers); labels from 5 on are fibres
+# along the voxel's direction.
+
+_RANK = 10
+
+
+def field_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, phase, axis and the strains of ten fields."""
+    rows = snapshots(spark, sf_dir).select("vec_id", (F.col("label") >= 5).cast("int").alias("phase"), F.slice("v", 1, 6 * _RANK).alias("v"))
+    return rows.join(directions(spark, sf_dir).drop("label"), "vec_id")
+
+
+_STRAINS = f"""WITH d AS ({_DIRECTIONS}), w AS (SELECT vec_id, label >= 5 AS fibre, ux, uy, uz, embedding::DOUBLE[] AS v FROM embeddings JOIN d USING (vec_id, label)),
+ k AS (SELECT vec_id, fibre, ux, uy, uz, k, v[6*k+1] AS e1, v[6*k+2] AS e2, v[6*k+3] AS e3, v[6*k+4] AS e4, v[6*k+5] AS e5, v[6*k+6] AS e6 FROM w, (SELECT unnest(range({_RANK}))::INT AS k)),
+ s AS (SELECT *, e1 + e2 + e3 AS tr, ux*ux*e1 + uy*uy*e2 + uz*uz*e3 + sqrt(2.0::DOUBLE) * (uy*uz*e4 + ux*uz*e5 + ux*uy*e6) AS en,
+  e1*ux + (e6*uy + e5*uz) / sqrt(2.0::DOUBLE) AS p1, e2*uy + (e6*ux + e4*uz) / sqrt(2.0::DOUBLE) AS p2, e3*uz + (e5*ux + e4*uy) / sqrt(2.0::DOUBLE) AS p3 FROM k)"""
+
+
+@query(_STRAINS + f""", n AS (SELECT count(*) AS n FROM w), p AS (SELECT a.fibre, a.k AS i, b.k AS j, a.tr AS ta, b.tr AS tb, a.en AS na, b.en AS nb, a.e1*b.e1 + a.e2*b.e2 + a.e3*b.e3 + a.e4*b.e4 + a.e5*b.e5 + a.e6*b.e6 AS dot,
+  a.p1*b.p1 + a.p2*b.p2 + a.p3*b.p3 - a.en*b.en AS shear FROM s a JOIN s b USING (vec_id)),
+ t AS (SELECT i, j, {", ".join(f"sum(CASE WHEN {'fibre' if q > 1 else 'NOT fibre'} THEN {e} ELSE 0 END) AS q{q}" for q, e in enumerate(("ta*tb", "2*dot", "dot - na*nb - 2*shear", "(ta-na)*(tb-nb) - (dot - na*nb - 2*shear)", "na*(tb-nb) + (ta-na)*nb", "na*nb", "4*shear")))} FROM p GROUP BY 1, 2)
+ SELECT q, i, j, round([q0, q1, q2, q3, q4, q5, q6][q + 1] / n, 6) AS value FROM t, n, (SELECT unnest(range(7))::INT AS q)""")
+def reduced_stiffness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven reduced stiffnesses of ten fields, summed over all voxels."""
+    found = fields.operators(field_voxels(spark, sf_dir), "v", _RANK)
+    return rounded(found.filter("part = 'K'").drop("part"), 6, "value")
+
+
+@query(_STRAINS + f""", n AS (SELECT count(*) AS n, count(*) FILTER (fibre) AS f FROM w), m AS (SELECT unnest(range(6))::INT AS j),
+ t AS (SELECT k AS i, sum(tr) AS tr, {", ".join(f"sum(e{c}) AS e{c}" for c in range(1, 7))} FROM s WHERE NOT fibre GROUP BY 1)
+ SELECT 'B' AS part, 0 AS q, i, j, round(CASE WHEN j < 3 THEN tr ELSE 0 END / n, 6) AS value FROM t, n, m UNION ALL SELECT 'B', 1, i, j, round(2 * [e1, e2, e3, e4, e5, e6][j + 1] / n, 6) FROM t, n, m
+ UNION ALL SELECT 'D', 0, a.j, b.j, round(CASE WHEN a.j < 3 AND b.j < 3 THEN (n - f) / n::DOUBLE ELSE 0 END, 6) FROM n, m a, m b UNION ALL SELECT 'D', 1, a.j, b.j, round(CASE WHEN a.j = b.j THEN 2 * (n - f) / n::DOUBLE ELSE 0 END, 6) FROM n, m a, m b""")
+def reduced_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reduced loads and constants of the matrix' two coefficients."""
+    found = fields.operators(field_voxels(spark, sf_dir), "v", _RANK)
+    return rounded(found.filter("part <> 'K' AND q < 2"), 6, "value")
+
+
+@query(_STRAINS + " SELECT a.k AS i, b.k AS j, round(sum(a.e1*b.e1 + a.e2*b.e2 + a.e3*b.e3 + a.e4*b.e4 + a.e5*b.e5 + a.e6*b.e6) / (6 * count(*)), 8) AS value FROM s a JOIN s b USING (vec_id) GROUP BY 1, 2")
+def snapshot_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner products of ten fields, by blocks of voxels."""
+    return rounded(fields.snapshot_gram(field_voxels(spark, sf_dir), "v", _RANK), 8, "value")
+
+
+@query(_STRAINS + """, g AS (SELECT a.k AS i, b.k AS j, sum(a.e1*b.e1 + a.e2*b.e2 + a.e3*b.e3 + a.e4*b.e4 + a.e5*b.e5 + a.e6*b.e6) / (6 * count(*)) AS value FROM s a JOIN s b USING (vec_id) GROUP BY 1, 2)
+ SELECT round(sum(value) FILTER (i = j), 6) AS energy, round(sum(value * value) / (sum(value) FILTER (i = j)) ** 2, 8) AS concentration FROM g""")
+def snapshot_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over the energies of ten fields' modes, and over their squares."""
+    gram = linalg.collected_matrix(fields.snapshot_gram(field_voxels(spark, sf_dir), "v", _RANK))
+    energies, _ = fields.snapshot_modes(gram)
+    rows = spark.createDataFrame([(i, float(e)) for i, e in enumerate(energies)], "mode int, energy double")
+    total = F.sum("energy")
+    return rows.agg(F.round(total, 6).alias("energy"), F.round(F.sum(F.col("energy") * F.col("energy")) / (total * total), 8).alias("concentration"))
+
+
 @query()
 def reduced_model_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of three outputs of the reduced model over all materials."""
-    model = reduced_model.assemble(snapshots(spark, sf_dir), "v", "label", 24)
+    model = fields.reduced_model(field_voxels(spark, sf_dir), "v", _RANK)
     answers = reduced_model.answer(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model)
     return reduced_model.uncertainty(answers, ["c11", "c22", "c44"])
 
@@ -677,21 +860,21 @@ def reduced_model_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def reduced_model_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error statistics of smaller models against the full one."""
-    model = reduced_model.assemble(snapshots(spark, sf_dir), "v", "label", 24)
-    return reduced_model.rank_curve(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model, [0, 4, 8, 16, 24])
+    model = fields.reduced_model(field_voxels(spark, sf_dir), "v", _RANK)
+    return reduced_model.rank_curve(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model, [0, 2, 4, 6, 8, 10])
 
 
 @query()
 def reduced_model_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each material's error and its bound with a small model."""
-    model = reduced_model.assemble(snapshots(spark, sf_dir), "v", "label", 24)
-    return reduced_model.certified(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model, 12)
+    model = fields.reduced_model(field_voxels(spark, sf_dir), "v", _RANK)
+    return reduced_model.certified(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model, 6)
 
 
 @query()
 def reduced_model_sensitivities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and largest norm of the outputs' derivative by each coefficient."""
-    model = reduced_model.assemble(snapshots(spark, sf_dir), "v", "label", 24)
+    model = fields.reduced_model(field_voxels(spark, sf_dir), "v", _RANK)
     slopes = reduced_model.sensitivities(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model)
     return slopes.groupBy("term").agg(F.avg("norm").alias("mean_norm"), F.max("norm").alias("max_norm"))
 
@@ -699,7 +882,7 @@ def reduced_model_sensitivities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def inverse_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients found back from every material's answer."""
-    model = reduced_model.assemble(snapshots(spark, sf_dir), "v", "label", 24)
+    model = fields.reduced_model(field_voxels(spark, sf_dir), "v", _RANK)
     rows = M.coefficients(materials(spark, sf_dir))
     answers = reduced_model.answer(rows, "material_id", list(COEFFICIENTS), model)
     bounds = rows.agg(*(F.min(c).alias(f"low_{c}") for c in COEFFICIENTS), *(F.max(c).alias(f"high_{c}") for c in COEFFICIENTS)).first()

@@ -1,12 +1,13 @@
 """Points and voxels in a periodic box: pairs by cell lists, pair statistics, blocks and interfaces.
 
 Points have columns id, x, y, z in [0, box). Neighbours within a radius are found by an equi-join on cells at
-least as wide as the radius: a point looks into the 27 cells around its own, and only into those. No pair
+least as wide as the radius: a point looks into its own cell and the cells around it, and only into those. No pair
 further apart than two cells is ever made.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import materialize
+
 
 def cell_of(value: Column, cells: int, box: float) -> Column:
     """Index of the cell that a coordinate is in."""
@@ -28,21 +31,27 @@ def periodic_gap(a: Column, b: Column, box: float) -> Column:
     return gap - F.lit(box) * F.rint(gap / F.lit(box))
 
 
+#: Half of a cell's neighbours: of two cells that touch, exactly one sees the other.
+_AHEAD = tuple(s for s in itertools.product((-1, 0, 1), repeat=3) if s > (0, 0, 0))
+
+
 def periodic_pairs(points: DataFrame, box: float, radius: float) -> DataFrame:
-    """i < j and d2 for all pairs of points within radius (at most a third of the box)."""
+    """i < j and d2 for all pairs of points within radius (at most a third of the box).
+
+    A point is met in its own cell and looks into the 13 cells ahead of it, so each pair is met once.
+    """
     cells = math.floor(box / radius)
     if cells < 3:
         raise ValueError("the radius is over a third of the box")
-    placed = points.select("id", "x", "y", "z", *(cell_of(F.col(c), cells, box).alias(f"c{c}") for c in "xyz"))
-    steps = F.array(*(F.lit(s) for s in (-1, 0, 1)))
-    seen = placed
-    for c in "xyz":
-        seen = seen.withColumn("__s", F.explode(steps)).withColumn(f"c{c}", F.pmod(F.col(f"c{c}") + F.col("__s"), F.lit(cells))).drop("__s")
-    a, b = seen.alias("a"), placed.alias("b")
-    same_cell = [F.col(f"a.c{c}") == F.col(f"b.c{c}") for c in "xyz"]
+    at = [cell_of(F.col(c), cells, box) for c in "xyz"]
+    packed = lambda step: sum((F.pmod(c + F.lit(d), F.lit(cells)).cast("long") * cells**k for k, (c, d) in enumerate(zip(at[1:], step[1:], strict=True), start=1)), F.pmod(at[0] + F.lit(step[0]), F.lit(cells)).cast("long"))
+    placed = points.select("id", "x", "y", "z", packed((0, 0, 0)).alias("cell"))
+    seen = F.explode(F.array(*(F.struct(packed(s).alias("cell"), F.lit(s == (0, 0, 0)).alias("own")) for s in ((0, 0, 0), *_AHEAD))))
+    a, b = points.select("id", "x", "y", "z", seen.alias("s")).select("id", "x", "y", "z", "s.cell", "s.own").alias("a"), placed.alias("b")
     gaps = [periodic_gap(F.col(f"a.{c}"), F.col(f"b.{c}"), box) for c in "xyz"]
     d2 = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
-    near = a.join(b, [*same_cell, F.col("a.id") < F.col("b.id")]).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), d2.alias("d2"))
+    met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (~F.col("a.own") | (F.col("a.id") < F.col("b.id"))))
+    near = met.select(F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j"), d2.alias("d2"))
     return near.filter(F.col("d2") <= radius * radius)
 
 
@@ -52,12 +61,82 @@ def adjacency(pairs: DataFrame) -> DataFrame:
     return both.groupBy("i").agg(F.count("*").alias("degree"), F.sort_array(F.collect_list("j")).alias("neighbours"))
 
 
+def _near(probes: DataFrame, points: DataFrame, box: float, radius: float) -> DataFrame:
+    """id and b (d2, j): each probe's nearest other point among those within the radius, by cells as wide as it."""
+    cells = math.floor(box / radius)
+    seen = probes.select("id", "x", "y", "z", *(cell_of(F.col(c), cells, box).alias(f"c{c}") for c in "xyz"))
+    for c in "xyz":
+        seen = seen.withColumn("__s", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(f"c{c}", F.pmod(F.col(f"c{c}") + F.col("__s"), F.lit(cells))).drop("__s")
+    key = lambda f: (F.col("cx").cast("long") * cells + F.col("cy")) * cells + F.col("cz")  # noqa: E731, ARG005
+    placed = points.select("id", "x", "y", "z", *(cell_of(F.col(c), cells, box).alias(f"c{c}") for c in "xyz"))
+    a, b = seen.withColumn("cell", key(seen)).alias("a"), placed.withColumn("cell", key(placed)).alias("b")
+    gaps = [periodic_gap(F.col(f"a.{c}"), F.col(f"b.{c}"), box) for c in "xyz"]
+    d2 = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+    met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("id"), d2.alias("d2"), F.col("b.id").alias("j"))
+    return met.filter(F.col("d2") <= radius * radius).groupBy("id").agg(F.min(F.struct("d2", "j")).alias("b"))
+
+
+def nearest(points: DataFrame, box: float) -> DataFrame:
+    """id, nearest id and distance of every point (null for a single one); smaller ids win ties.
+
+    Points that have found none within a radius look again within twice the radius, from a quarter of the mean
+    spacing on. Those that have none within a third of the box are further apart than that from each other, so
+    there are under 400 of them, and they are sent to all points.
+    """
+    n = points.count()
+    rest, radius, found = points.select("id", "x", "y", "z"), box / max(n, 1) ** (1 / 3) / 4, None
+    while 3 * radius <= box and n > 1:
+        some = materialize(_near(rest, points, box, radius), "nearest")
+        found = some if found is None else found.unionByName(some)
+        rest = materialize(rest.join(some, "id", "left_anti"), "nearest-rest")
+        if rest.isEmpty():
+            break
+        radius *= 2
+    a, b = F.broadcast(rest.alias("a")), points.alias("b")
+    gaps = [periodic_gap(F.col(f"a.{c}"), F.col(f"b.{c}"), box) for c in "xyz"]
+    far = b.join(a, F.col("a.id") != F.col("b.id")).select(F.col("a.id").alias("id"), F.struct((gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]).alias("d2"), F.col("b.id").alias("j")).alias("b")).groupBy("id").agg(F.min("b").alias("b"))
+    far = rest.select("id").join(far, "id", "left") if n else far
+    both = far if found is None else found.unionByName(far)
+    return both.select("id", F.col("b.j").alias("nearest"), F.sqrt("b.d2").alias("distance"))
+
+
+def segment_distance2(gap: Sequence[Column], u: Sequence[Column], v: Sequence[Column], half: float) -> Column:
+    """Squared distance of two segments of half-length ``half`` around centres that are ``gap`` apart, along u and v.
+
+    The least of what each end has to the other segment, and of the common perpendicular where it meets both.
+    """
+    inner = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    g2, du, dv, b = inner(gap, gap), inner(gap, u), inner(gap, v), inner(u, v)
+    at = lambda s, t: g2 + s * s + t * t - 2.0 * s * du + 2.0 * t * dv - 2.0 * s * t * b
+    inside = lambda c: F.least(F.greatest(c, F.lit(-half)), F.lit(half))
+    ends = [at(inside(du + b * F.lit(t)), F.lit(t)) for t in (-half, half)] + [at(F.lit(s), inside(b * F.lit(s) - dv)) for s in (-half, half)]
+    open_ = 1.0 - b * b
+    s, t = F.try_divide(du - b * dv, open_), F.try_divide(b * du - dv, open_)
+    crossing = F.when((open_ > 1e-12) & (F.abs(s) <= half) & (F.abs(t) <= half), at(s, t))
+    return F.greatest(F.least(*ends, crossing), F.lit(0.0))
+
+
+def segment_overlaps(fibres: DataFrame, box: float, length: float, diameter: float) -> DataFrame:
+    """i < j and overlap of all pairs of fibres (id, x, y, z, ux, uy, uz) that are nearer than a diameter.
+
+    Only fibres whose centres are within length + diameter can be; those pairs come from cells.
+    """
+    pairs = periodic_pairs(fibres, box, length + diameter).select("i", "j")
+    sides = [fibres.select(F.col("id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("x", "y", "z", "ux", "uy", "uz"))) for k in "ij"]
+    met = pairs.join(sides[0], "i").join(sides[1], "j")
+    gap = [periodic_gap(F.col(f"i_{c}"), F.col(f"j_{c}"), box) for c in "xyz"]
+    d2 = segment_distance2(gap, *([F.col(f"{k}_u{c}") for c in "xyz"] for k in "ij"), length / 2)
+    return met.select("i", "j", (F.lit(diameter) - F.sqrt(d2)).alias("overlap")).filter("overlap > 0")
+
+
+def max_overlap(fibres: DataFrame, box: float, length: float, diameter: float) -> DataFrame:
+    """pairs that overlap and the largest overlap (0 without any)."""
+    return segment_overlaps(fibres, box, length, diameter).agg(F.count("*").alias("pairs"), F.coalesce(F.max("overlap"), F.lit(0.0)).alias("overlap"))
+
+
 def nearest_within(points: DataFrame, box: float, radius: float) -> DataFrame:
-    """id, nearest id and distance of each point that has another within radius; smaller ids win ties."""
-    pairs = periodic_pairs(points, box, radius)
-    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d2"))
-    best = both.groupBy(F.col("i").alias("id")).agg(F.min(F.struct("d2", "j")).alias("b"))
-    return best.select("id", F.col("b.j").alias("nearest"), F.sqrt("b.d2").alias("distance"))
+    """id, nearest id and distance of each point; null where none is within the radius. Smaller ids win ties."""
+    return points.select("id").join(_near(points, points, box, radius), "id", "left").select("id", F.col("b.j").alias("nearest"), F.sqrt("b.d2").alias("distance"))
 
 
 def _shells(pairs: DataFrame, radii: Sequence[float]) -> DataFrame:

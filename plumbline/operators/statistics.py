@@ -4,86 +4,106 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordered import running_before
+from plumbline.operators.ordered import PART, range_parts, running_before
+from plumbline.operators.quantiles import with_average_rank, with_quantiles
 
 
 def error_statistics(rows: DataFrame, group: Sequence[str], error: str, key: str) -> DataFrame:
     """Mean, median, 95th percentile (linear), largest error and its first key, for each group."""
-    return rows.groupBy(*group).agg(
+    summary = rows.groupBy(*group).agg(
         F.avg(error).alias("error_mean"),
-        F.percentile(error, F.lit(0.5)).alias("error_median"),
-        F.percentile(error, F.lit(0.95)).alias("error_p95"),
         F.max(error).alias("error_max"),
         F.min_by(F.col(key), F.struct((-F.col(error)).alias("e"), F.col(key).alias("k"))).alias("error_max_key"),
     )
+    return with_quantiles(summary, rows, group, error, {"error_median": 0.5, "error_p95": 0.95})
 
 
 def summaries(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column: mean, std (n - 1), extremes and quantiles at 1, 5, 50, 95 and 99 per cent."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("output"), F.col(c).cast("double").alias("value")) for c in columns)))
-    levels = (0.01, 0.05, 0.5, 0.95, 0.99)
     tall = rows.select(pairs.alias("p")).select("p.*")
-    return tall.groupBy("output").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-        *(F.percentile("value", F.lit(q)).alias(f"q{round(100 * q):02d}") for q in levels),
-    )
+    summary = tall.groupBy("output").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return with_quantiles(summary, tall, ["output"], "value", {f"q{round(100 * q):02d}": q for q in (0.01, 0.05, 0.5, 0.95, 0.99)})
+
+
+def _merged(part: str, order: WindowSpec, last: int) -> tuple[Column, Column, Column]:
+    """Count, mean and sum of squared deviations of all parts up to the one ``last`` rows from this one.
+
+    A part has {part}c, {part}m and {part}q. Means are taken relative to the first part's, so large ones do not cancel.
+    """
+    upto = order.rowsBetween(Window.unboundedPreceding, last)
+    first = F.first(f"{part}m", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    gap = F.col(f"{part}m") - first
+    c, s = F.sum(f"{part}c").over(upto), F.sum(F.col(f"{part}c") * gap).over(upto)
+    return c, first + F.try_divide(s, c), F.sum(F.col(f"{part}q") + F.col(f"{part}c") * gap * gap).over(upto) - F.try_divide(s * s, c)
 
 
 def prefix_statistics(rows: DataFrame, order: str, value: str, checkpoints: Sequence[int]) -> DataFrame:
-    """Mean, deviation and half-width of a 95 % interval over the first n rows, for each checkpoint n.
+    """Mean, deviation, half-width of a 95 % interval over the first n rows, for each checkpoint n, and against the last.
 
     Rows are numbered by ranges and each row is summed once, under the first checkpoint that it is in; later
-    checkpoints add the sums of earlier ones.
+    checkpoints merge the centred moments of earlier ones. mean_gap and std_gap: relative to the longest prefix.
     """
     numbered = running_before(rows.select(order, value), [order], {"at": F.lit(1).cast("long")}, "prefix")
     step = F.lit(None).cast("long")
     for n in sorted(checkpoints, reverse=True):
         step = F.when(F.col("at") < n, F.lit(n).cast("long")).otherwise(step)
     v = F.col(value).cast("double")
-    parts = numbered.withColumn("n", step).filter("n IS NOT NULL").groupBy("n").agg(F.count("*").alias("c"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    upto = Window.orderBy("n")  # one row a checkpoint
-    sums = parts.select("n", *(F.sum(x).over(upto).alias(x) for x in ("c", "s", "q")))
-    mean = F.col("s") / F.col("c")
-    std = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * mean) / (F.col("c") - 1)))
-    return sums.filter("c = n").select("n", mean.alias("mean"), std.alias("std"), (1.96 * std / F.sqrt("n")).alias("half_width"))
-
-
-def average_rank(value: str, *group: str) -> Column:
-    """Rank within group, equal values sharing their mean rank."""
-    w = Window.partitionBy(*group)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2.0
+    parts = numbered.withColumn("n", step).filter("n IS NOT NULL").groupBy("n").agg(F.count(v).alias("__c"), F.avg(v).alias("__m"), (F.var_pop(v) * F.count(v)).alias("__q"), F.count("*").alias("rows"))
+    c, mean, q = _merged("__", Window.orderBy("n"), 0)  # one row a checkpoint
+    merged = parts.select("n", c.alias("c"), mean.alias("mean"), q.alias("q"), F.sum("rows").over(Window.orderBy("n")).alias("rows")).filter("rows = n")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.try_divide("q", F.col("c") - 1)))
+    out = merged.select("n", "mean", std.alias("std"), (1.96 * std / F.sqrt("c")).alias("half_width"))
+    last = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gap = lambda x: F.try_divide(F.abs(F.col(x) - F.last(x).over(last)), F.abs(F.last(x).over(last)))
+    return out.withColumns({"mean_gap": gap("mean"), "std_gap": gap("std")})
 
 
 def guarded_correlation(x: Column, y: Column) -> Column:
     """Pearson's correlation over the rows of a group; null if either is constant."""
-    n, sx, sy = F.count("*"), F.sum(x), F.sum(y)
-    top = n * F.sum(x * y) - sx * sy
-    below = F.greatest(n * F.sum(x * x) - sx * sx, F.lit(0.0)) * F.greatest(n * F.sum(y * y) - sy * sy, F.lit(0.0))
-    return F.try_divide(top, F.sqrt(below))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlations(rows: DataFrame, group: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """n, Pearson's and Spearman's correlation of each group with enough rows, pairs with a null dropped."""
+    """n, censored (pairs with a null, left out), Pearson's and Spearman's correlation of each group with enough rows."""
+    counted = rows.groupBy(*group).agg(F.count(F.when(F.col(x).isNull() | F.col(y).isNull(), 1)).alias("censored"))
     pairs = rows.dropna(subset=[x, y]).withColumns({x: F.col(x).cast("double"), y: F.col(y).cast("double")})
-    ranked = pairs.withColumns({"__x": average_rank(x, *group), "__y": average_rank(y, *group)})
+    ranked = with_average_rank(with_average_rank(pairs, group, x, "__x"), group, y, "__y")
     out = ranked.groupBy(*group).agg(
         F.count("*").alias("n"),
         guarded_correlation(F.col(x), F.col(y)).alias("pearson"),
         guarded_correlation(F.col("__x"), F.col("__y")).alias("spearman"),
     )
-    return out.filter(F.col("n") >= least)
+    match = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] or F.lit(True)
+    return out.alias("a").join(counted.alias("b"), match).select("a.*", "b.censored").filter(F.col("n") >= least)
+
+
+# Scans of groups: rows are dealt by ranges of (group, order), so that a hot group is spread. A range's rows of a group
+# are scanned on their own; what the group's other ranges add is one row a range and group.
+
+
+def _carried(parted: DataFrame, group: Sequence[str], values: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
+    """parted with ``carry`` (windows over a group's ranges) of ``values`` (aggregates of a range) added."""
+    ends = parted.groupBy(PART, *group).agg(*(v.alias(n) for n, v in values.items())).select(PART, *group, *(c.alias(n) for n, c in carry.items()))
+    match = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in (PART, *group)]
+    return parted.alias("a").join(ends.alias("b"), match).select("a.*", *(f"b.{n}" for n in carry))
+
+
+def _ranges(group: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
+    """A group's ranges before a range, and those after it."""
+    order = Window.partitionBy(*group).orderBy(PART)
+    return order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
 
 
 def suffix_max(rows: DataFrame, group: Sequence[str], rank: str, value: str, name: str) -> DataFrame:
     """rows with the largest value at their rank or later."""
-    w = Window.partitionBy(*group).orderBy(rank).rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn(name, F.max(value).over(w))
+    parted = range_parts(rows, [*group, rank], "suffix-max")
+    later = _carried(parted, group, {"__top": F.max(value)}, {"__tail": F.max("__top").over(_ranges(group)[1])})
+    w = Window.partitionBy(PART, *group).orderBy(rank).rowsBetween(0, Window.unboundedFollowing)
+    return later.withColumn(name, F.greatest(F.max(value).over(w), "__tail")).drop(PART, "__tail")
 
 
 def required_ranks(curve: DataFrame, group: Sequence[str], rank: str, error: str, threshold: float) -> DataFrame:
@@ -103,12 +123,23 @@ def cumulative_share(rows: DataFrame, keys: Sequence[str], value: str, name: str
     return summed.withColumn(name, F.try_divide(F.col(name) + F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.lit(total)))
 
 
+def _with_moments(parted: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    v = F.col(value).cast("double")
+    values = {"__c": F.count(v), "__m": F.avg(v), "__q": F.var_pop(v) * F.count(v)}
+    c, m, q = _merged("__", Window.partitionBy(group).orderBy(PART), -1)
+    rows = _carried(parted, [group], values, {"__c": F.coalesce(c, F.lit(0)), "__m": m, "__q": q})
+    w = Window.partitionBy(PART, group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__n": F.count(v).over(w), "__mean": F.avg(v).over(w), "__own": F.var_pop(v).over(w) * F.count(v).over(w)})
+    n, gap = F.col("__n") + F.col("__c"), F.coalesce(F.col("__mean") - F.col("__m"), F.lit(0.0))
+    mean = F.when(F.col("__c") == 0, F.col("__mean")).when(F.col("__n") == 0, F.col("__m")).otherwise(F.col("__m") + gap * F.col("__n") / n)
+    squares = F.coalesce("__own", F.lit(0.0)) + F.coalesce("__q", F.lit(0.0)) + F.try_divide(gap * gap * F.col("__n") * F.col("__c"), n)
+    std = F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares, n - 1))), F.lit(0.0))
+    return rows.withColumns({"n": n, "mean": mean, "std": std}).drop("__c", "__m", "__q", "__n", "__mean", "__own")
+
+
 def running_moments(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """rows with n, mean and std (n - 1; 0 for one row) of their group's values so far."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns(
-        {"n": F.count(value).over(w), "mean": F.avg(value).over(w), "std": F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0))}
-    )
+    return _with_moments(range_parts(rows, [group, order], "moments"), group, order, value).drop(PART)
 
 
 def online_stop(rows: DataFrame, group: str, order: str, value: str, tolerance: float, factor: float, n_min: int, stable_steps: int) -> DataFrame:
@@ -116,13 +147,14 @@ def online_stop(rows: DataFrame, group: str, order: str, value: str, tolerance:
 
     One row a group: n_stop (null if it never does), and mean and error there or at the last row.
     """
-    moments = running_moments(rows.select(group, order, value), group, order, value)
+    moments = _with_moments(range_parts(rows.select(group, order, value), [group, order], "online-stop"), group, order, value)
     error = F.when((F.col("n") >= n_min) & (F.abs("mean") > 1e-12), factor * F.col("std") / (F.sqrt("n") * F.abs("mean")))
-    w = Window.partitionBy(group).orderBy(order)
     judged = moments.withColumn("error", error).withColumn("ok", F.coalesce(F.col("error") <= tolerance, F.lit(False)))
     #: Rows since the last one that was not within the tolerance.
-    last_bad = F.max(F.when(~F.col("ok"), F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    steps = judged.withColumn("stable", F.col("n") - F.coalesce(last_bad, F.lit(0)))
+    bad = F.when(~F.col("ok"), F.col("n"))
+    judged = _carried(judged, [group], {"__bad": F.max(bad)}, {"__bad": F.max("__bad").over(_ranges([group])[0])})
+    w = Window.partitionBy(PART, group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    steps = judged.withColumn("stable", F.col("n") - F.coalesce(F.greatest(F.max(bad).over(w), "__bad"), F.lit(0)))
     stop = F.min(F.when(F.col("stable") >= stable_steps, F.struct("n", "mean", "error")))
     ends = steps.groupBy(group).agg(stop.alias("s"), F.max(F.struct("n", "mean", "error")).alias("e"))
     return ends.select(group, F.col("s.n").alias("n_stop"), F.coalesce("s.mean", "e.mean").alias("mean"), F.coalesce("s.error", "e.error").alias("error"))
@@ -130,7 +162,12 @@ def online_stop(rows: DataFrame, group: str, order: str, value: str, tolerance:
 
 def lag_difference(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """rows with their value less the one before in the group; null for the first."""
-    return rows.withColumn(name, F.col(value) - F.lag(value).over(Window.partitionBy(*group).orderBy(*order)))
+    parted = range_parts(rows, [*group, *order], "lag")
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))
+    carried = _carried(parted, group, {"__last": last}, {"__last": F.lag("__last").over(Window.partitionBy(*group).orderBy(PART))})
+    inside = Window.partitionBy(PART, *group).orderBy(*order)
+    before = F.when(F.row_number().over(inside) == 1, F.col("__last.v")).otherwise(F.lag(value).over(inside))
+    return carried.withColumn(name, F.col(value) - before).drop(PART, "__last")
 
 
 def without_nan(value: Column) -> Column:

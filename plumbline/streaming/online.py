@@ -62,6 +62,8 @@ def run_available(output: DataFrame, tag: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
+    #: A stream without rows makes no batch.
+    spark.createDataFrame([], output.schema).write.parquet(f"{folder}/batch=-1")
     query = output.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
     try:
         query.awaitTermination()

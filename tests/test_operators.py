@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.jobs import reduced_model
-from plumbline.operators import linalg, ordered, relational, spatial, statistics
+from plumbline.jobs import fields, reduced_model
+from plumbline.operators import campaign, linalg, ordered, quantiles, relational, spatial, statistics
 from plumbline.sources.arrays import NpySource
 from plumbline.sources.scratch import materialize, scratch_root
 from plumbline.streaming import online
@@ -172,3 +172,150 @@ def test_stream_in_batches_equals_one_pass(spark, tmp_path):
         end = stop or len(values)
         assert last[g].n == end and last[g].converged == (stop is not None)
         assert math.isclose(last[g].mean, np.mean(values[:end]), rel_tol=1e-9) and math.isclose(last[g].std, np.std(values[:end], ddof=1), rel_tol=1e-9)
+
+
+def test_quantiles_with_one_hot_group(spark):
+    rng = random.Random(3)
+    rows = [("hot" if i % 10 else None if i % 20 else "b", rng.choice([1e9 + rng.random(), 5.0, -2.0]), rng.randrange(5)) for i in range(600)] + [("c", 1.0, 0), ("c", None, 0)]
+    df = spark.createDataFrame(rows, "g string, v double, w int").repartition(5)
+    levels = {"q0": 0.0, "q10": 0.1, "half": 0.5, "q95": 0.95, "q1": 1.0}
+    got = {r.g: r for r in quantiles.quantiles(df, ["g"], "v", levels).collect()}
+    for g in {g for g, _, _ in rows}:
+        values = [v for h, v, _ in rows if h == g and v is not None]
+        assert all(math.isclose(got[g][n], np.quantile(values, q), rel_tol=1e-12) for n, q in levels.items())
+    ranks = quantiles.with_average_rank(df.filter("v is not null"), ["g"], "v", "r").collect()
+    for g in ("hot", None):
+        own = sorted(r.v for r in ranks if r.g == g)
+        assert all(r.r == np.mean([i + 1 for i, v in enumerate(own) if v == r.v]) for r in ranks if r.g == g)
+    assert quantiles.quantiles(df.limit(0), ["g"], "v", levels).count() == 0
+
+
+def test_large_means_do_not_cancel(spark):
+    rng = np.random.default_rng(1)
+    x = 1e9 + rng.normal(size=2000)
+    y = x + rng.normal(size=2000) / 2
+    df = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "g int, i long, x double, y double").repartition(4)
+    (row,) = statistics.correlations(df, ["g"], "x", "y").collect()
+    assert math.isclose(row.pearson, np.corrcoef(x, y)[0, 1], rel_tol=1e-6) and row.censored == 0
+    for r in statistics.prefix_statistics(df, "i", "x", [100, 1000, 2000, 3000]).collect():
+        assert math.isclose(r["std"], x[: r["n"]].std(ddof=1), rel_tol=1e-5) and math.isclose(r["mean"], x[: r["n"]].mean(), rel_tol=1e-12)
+        assert math.isclose(r.std_gap, abs(x[: r["n"]].std(ddof=1) / x.std(ddof=1) - 1), abs_tol=1e-5)
+
+
+def test_scans_of_a_hot_group(spark):
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 9 else "cold", i, 1e6 + float(rng.normal())) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i long, v double").repartition(4)
+    moments = {r.i: r for r in statistics.running_moments(df, "g", "i", "v").collect()}
+    tails = {r.i: r.top for r in statistics.suffix_max(df, ["g"], "i", "v", "top").collect()}
+    steps = {r.i: r.step for r in statistics.lag_difference(df, ["g"], ["i"], "v", "step").collect()}
+    for g in ("hot", "cold"):
+        own = [(i, v) for h, i, v in rows if h == g]
+        for k, (i, v) in enumerate(own):
+            part = np.array([w for _, w in own[: k + 1]])
+            assert moments[i].n == k + 1 and math.isclose(moments[i]["mean"], part.mean(), rel_tol=1e-12)
+            assert math.isclose(moments[i]["std"], part.std(ddof=1) if k else 0.0, rel_tol=1e-6, abs_tol=1e-9)
+            assert tails[i] == max(w for _, w in own[k:]) and (steps[i] is None if k == 0 else steps[i] == v - own[k - 1][1])
+
+
+def test_campaign_checks(spark):
+    rows = spark.createDataFrame([(1, "a", 2.0), (2, "b", None)], "k int, s string, x double")
+    assert campaign.require_columns(rows, ["k", "x"]) is rows
+    with pytest.raises(ValueError, match="missing columns: a, z"):
+        campaign.require_columns(rows, ["z", "k", "a"])
+    found = campaign.table_digest(rows, ["k", "s", "x"]).first()
+    again = campaign.table_digest(rows.orderBy(F.desc("k")).repartition(3), ["k", "s", "x"]).first()
+    assert found == again and found["n"] == 2
+    manifest = {"frozen": True, "n": 2, "digest": found["digest"]}
+    assert campaign.require_frozen(rows, ["k", "s", "x"], manifest) is rows
+    changed = rows.withColumn("x", F.coalesce("x", F.lit(0.0)))
+    for bad in ((changed, manifest), (rows, manifest | {"frozen": "yes"}), (rows, {})):
+        with pytest.raises(ValueError):
+            campaign.require_frozen(bad[0], ["k", "s", "x"], bad[1])
+    with pytest.raises(ValueError):
+        campaign.zipped(rows, ["k"], rows.limit(1), ["s"], "i")
+
+
+def test_nearest_points_however_far(spark):
+    rng = random.Random(4)
+    pts = [(i, *(rng.random() * 2 for _ in range(3))) for i in range(60)] + [(100, 9.0, 9.0, 9.0), (101, 5.0, 5.0, 5.0), (102, 5.0, 5.0, 5.0)]
+    df = spark.createDataFrame(pts, "id long, x double, y double, z double")
+    got = {r.id: (r.nearest, r.distance) for r in spatial.nearest(df, 10.0).collect()}
+    for a in pts:
+        d = {b[0]: math.sqrt(sum(min(abs(p - q), 10 - abs(p - q)) ** 2 for p, q in zip(a[1:], b[1:], strict=True))) for b in pts if b[0] != a[0]}
+        best = min(d, key=lambda k: (d[k], k))
+        assert math.isclose(got[a[0]][1], d[best], rel_tol=1e-9, abs_tol=1e-12) and math.isclose(d[got[a[0]][0]], d[best], rel_tol=1e-9, abs_tol=1e-12)
+    assert spatial.nearest(df.limit(0), 10.0).count() == 0 and spatial.nearest(df.filter("id = 100"), 10.0).first().nearest is None
+    two = spatial.nearest(df.filter("id in (100, 101)"), 10.0).collect()
+    assert {(r.id, r.nearest) for r in two} == {(100, 101), (101, 100)}
+
+
+def test_segments_against_many_points(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda: (lambda v: v / np.linalg.norm(v))(rng.normal(size=3))
+    pts = [(i, *map(float, rng.random(3) * 6), *map(float, unit())) for i in range(60)]
+    pts += [(100, 3.0, 3.0, 3.0, 1.0, 0.0, 0.0), (101, 3.0, 3.2, 3.0, 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(pts, "id long, x double, y double, z double, ux double, uy double, uz double")
+    got = {(r.i, r.j): r.overlap for r in spatial.segment_overlaps(df, 6.0, 1.0, 0.5).collect()}
+    s = np.linspace(-0.5, 0.5, 201)
+    for m, a in enumerate(pts):
+        for b in pts[m + 1 :]:
+            gap = np.array(b[1:4]) - np.array(a[1:4])
+            gap -= 6 * np.round(gap / 6)
+            p, q = s[:, None] * np.array(a[4:]), gap + s[:, None] * np.array(b[4:])
+            d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2)).min()
+            found = got.get((a[0], b[0]), 0.0)
+            assert (0.5 - d <= found + 1e-9 and found <= 0.5 - d + 6e-3) or (found == 0.0 and d >= 0.5 - 1e-9) or (found > 0 and found <= 0.5 - d + 6e-3)
+    assert math.isclose(got[100, 101], 0.3)
+
+
+def test_operators_from_fields(spark):
+    rng = np.random.default_rng(5)
+    n, r = 40, 3
+    v, phase = rng.normal(size=(n, r, 6)), rng.integers(0, 2, n)
+    axes = rng.normal(size=(n, 3))
+    axes /= np.linalg.norm(axes, axis=1, keepdims=True)
+    rows = [(int(p), *map(float, a), [float(x) for x in w.ravel()]) for p, a, w in zip(phase, axes, v, strict=True)] + [(0, 1.0, 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "phase int, ux double, uy double, uz double, v array<double>").repartition(4)
+    model = fields.reduced_model(df, "v", r)
+    k, b, d = np.zeros((7, r, r)), np.zeros((7, r, 6)), np.zeros((7, 6, 6))
+    for p, a, w in zip(phase, axes, v, strict=True):
+        turn = fields.mandel_rotations(a[None])[0]
+        for q in range(7):
+            if (q < 2) == (p == 0):
+                c = fields.matrix_atoms()[q] if p == 0 else turn @ fields.fibre_atoms()[q - 2] @ turn.T
+                k[q] += w @ c @ w.T / n
+                b[q] += w @ c / n
+                d[q] += c / n
+    assert np.allclose(model.stiffness, k) and np.allclose(model.loads, b) and np.allclose(model.constants, d)
+    gram = linalg.collected_matrix(fields.snapshot_gram(df, "v", r))
+    flat = v.transpose(1, 0, 2).reshape(r, -1)
+    assert np.allclose(gram, flat @ flat.T / (6 * n))
+    energies, weights = fields.snapshot_modes(gram)
+    modes = weights @ flat
+    assert np.allclose(modes @ modes.T / (6 * n), np.eye(r)) and np.allclose(energies, np.linalg.svd(flat, compute_uv=False) ** 2 / (6 * n))
+
+
+def test_probes_in_blocks(spark):
+    x, rows = vectors(spark)
+    got = {(r.id, r.probe): r.value for r in linalg.gram_entries(rows, "id", "v", rows.filter("id % 5 = 0"), block=5).collect()}
+    assert len(got) == 60 * 12 and all(math.isclose(got[i, j], x[i] @ x[j], rel_tol=1e-9, abs_tol=1e-12) for i, j in got)
+    assert linalg.gram_entries(rows, "id", "v", rows.limit(0)).count() == 0
+
+
+def test_empty_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("i long, g string, v double").parquet(str(tmp_path / "in"))
+    assert online.run_available(online.online_convergence(stream, "g", "i", "v", 0.05, 1.96, 5, 3), "empty").count() == 0
+
+
+def test_missing_values_have_reasons(spark):
+    from plumbline.functions import materials as M
+    from plumbline.functions import orientation as O
+
+    names = list(M.BOX)
+    rows = [(*([1.0] * 7),), (*([None] * 7),), (float("nan"), *([1.0] * 6))]
+    got = [r[0] for r in spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).select(M.reject_reason()).collect()]
+    assert got[0] != "" and got[1:] == ["Em_missing", "Em_missing"]
+    flat = spark.createDataFrame([(None, 0.2), (0.3, float("nan")), (0.3, 0.2)], "u double, v double").select(*(c.alias(n) for n, c in O.folded_triangle(F.col("u"), F.col("v")).items()))
+    assert [r[0] for r in flat.select(O.reject_reason()).collect()] == ["a11_missing", "a11_missing", ""]
