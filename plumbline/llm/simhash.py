@@ -19,10 +19,9 @@ Two uses, both by segment tables, small balls in each segment, and verification
   more, raise it with the logarithm of their number (and SEGMENTS with it), so that entries stay short.
 
 Hot entries of ``similar_copies``: the sets of an entry are not paired with each other, which would grow with the
-square of a group of copies. They stand in a row, in an order by hash that differs from entry to entry, and each is
-compared with the one before it. While an entry holds several components, its sets outside the largest one are
-compared with the set that has the most links there, and with a neighbour in a new order; this goes on until a
-round finds no link. So an entry of two is compared whole, a round costs no more than its entries have rows, and a
+square of a group of copies. They stand in a row, in an order by hash, and each is compared with the one before it. While an entry holds several components, its sets outside the largest one are
+compared with that one's set with the most links, and with each other's neighbours in a new order; this goes on
+until a round finds no link. So an entry of two is compared whole, a round costs no more than its entries have rows, and a
 copy of a large group is found by its neighbours in dozens of entries and by the group's centre. It is not certain:
 the recall against all pairs is measured in the tests (README).
 
@@ -190,9 +189,12 @@ def open_pairs(crowds: DataFrame, links: DataFrame, turn: int) -> DataFrame:
     rooted = crowds.join(roots, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
     counts = rooted.groupBy("entry", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("entry").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    open_ = materialize(rooted.join(main, "entry").join(degrees, "node", "left").select("entry", "node", "root", "main", F.coalesce("degree", F.lit(0)).alias("degree")), "copy-open")
-    centre = open_.groupBy("entry").agg(F.max_by(F.struct(F.col("node").alias("centre"), F.col("root").alias("centre_root")), F.struct("degree", "node")).alias("c"))
-    to_centre = open_.join(centre, "entry").filter(F.col("root") != F.col("c.centre_root")).select("node", F.col("c.centre").alias("other"))
+    #: Of an entry's largest component only the set with the most links takes part in the round.
+    ranked = rooted.join(degrees, "node", "left").select("entry", "node", "root", F.coalesce("degree", F.lit(0)).alias("degree"))
+    centre = ranked.groupBy("entry", "root").agg(F.max_by("node", F.struct("degree", "node")).alias("centre")).join(main, "entry").filter("root = main").select("entry", "centre", "main")
+    outside = rooted.join(centre, "entry").filter("root <> main")
+    open_ = materialize(outside.select("entry", "node", "root", "centre", F.col("main").alias("centre_root")), "copy-open")
+    to_centre = open_.select("node", F.col("centre").alias("other"))
     order = Window.partitionBy("entry").orderBy(F.xxhash64("entry", "node", F.lit(turn)), "node")
     row = open_.select("node", "root", F.lag("node").over(order).alias("other"), F.lag("root").over(order).alias("other_root"))
     return _pairs(to_centre.unionByName(row.filter(F.col("root") != F.col("other_root")).select("node", "other")), "node", "other")
@@ -202,7 +204,8 @@ def similar_links(feats: DataFrame, similarity: float) -> DataFrame:
     """Verified links u, v that connect sets that are similar and share an entry. feats: see ``with_sets``."""
     sets = feats.select("node", "set")
     nodes = materialize(feats.filter("size > 0").select("node", *(f"f{k}" for k in range(LONGS))).distinct(), "copy-nodes")
-    order = Window.partitionBy("entry").orderBy(F.xxhash64("entry", "node"), "node")
+    #: By node, which is a hash itself: an expression would go through the shuffle as one more number a row.
+    order = Window.partitionBy("entry").orderBy("node")
     near = [F.lag("node", k).over(order) for k in (1, 2)], [F.lead("node", k).over(order) for k in (1, 2)]
     several = near[0][1].isNotNull() | near[1][1].isNotNull() | (near[0][0].isNotNull() & near[1][0].isNotNull())
     shared = segment_entries(nodes).select("entry", "node", near[0][0].alias("other"), near[1][0].isNotNull().alias("__next"), several.alias("several"))
