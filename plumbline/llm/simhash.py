@@ -154,10 +154,10 @@ def _distance(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}.f{k} ^ {b}.f{k})" for k in range(LONGS)))
 
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose complete fingerprints are near."""
+def near_pairs(pairs: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """The pairs (u, v) whose complete fingerprints are near, with the distance d if it is asked for."""
     left, right = nodes.withColumnRenamed("node", "u").alias("a"), nodes.withColumnRenamed("node", "v").alias("b")
-    return pairs.join(left, "u").join(right, "v").filter(_distance("a", "b") <= LIMIT).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").withColumn("d", _distance("a", "b")).filter(F.col("d") <= LIMIT).select("u", "v", *more)
 
 
 def similar_pairs(pairs: DataFrame, feats: DataFrame, similarity: float) -> DataFrame:
@@ -182,22 +182,35 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
 
 
-def open_pairs(crowds: DataFrame, links: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u > v) of different components to compare in one round. crowds: entry and node of entries of three or more."""
-    roots = materialize(components(links), "copy-roots")
-    degrees = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    rooted = crowds.join(roots, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
-    counts = rooted.groupBy("entry", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy("entry").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
+def node_links(links: DataFrame) -> DataFrame:
+    """node, root (of its component) and degree (its number of links) of every node of links."""
+    ends = links.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n")).unionByName(links.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n")))
+    return materialize(components(links).join(ends.groupBy("node").agg(F.sum("n").alias("degree")), "node"), "copy-roots")
+
+
+def open_pairs(crowds: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u > v) of different components to compare in one round, and the entries that are still open.
+
+    crowds: entry and node of entries of three or more. One that holds a single component stays so and is dropped.
+    """
+    rooted = crowds.join(node_links(links), "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    rooted = materialize(rooted, "copy-rooted")
+    parts = rooted.groupBy("entry", "root").agg(F.count("*").alias("n"), F.max_by("node", F.struct("degree", "node")).alias("centre"))
+    main = parts.groupBy("entry").agg(F.max_by(F.struct(F.col("root").alias("main"), "centre"), F.struct("n", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1")
     #: Of an entry's largest component only the set with the most links takes part in the round.
-    ranked = rooted.join(degrees, "node", "left").select("entry", "node", "root", F.coalesce("degree", F.lit(0)).alias("degree"))
-    centre = ranked.groupBy("entry", "root").agg(F.max_by("node", F.struct("degree", "node")).alias("centre")).join(main, "entry").filter("root = main").select("entry", "centre", "main")
-    outside = rooted.join(centre, "entry").filter("root <> main")
-    open_ = materialize(outside.select("entry", "node", "root", "centre", F.col("main").alias("centre_root")), "copy-open")
-    to_centre = open_.select("node", F.col("centre").alias("other"))
+    open_ = materialize(rooted.join(main.select("entry", "m.main", "m.centre"), "entry").select("entry", "node", "root", "main", "centre"), "copy-open")
+    release(rooted)
+    outside = open_.filter("root <> main")
     order = Window.partitionBy("entry").orderBy(F.xxhash64("entry", "node", F.lit(turn)), "node")
-    row = open_.select("node", "root", F.lag("node").over(order).alias("other"), F.lag("root").over(order).alias("other_root"))
-    return _pairs(to_centre.unionByName(row.filter(F.col("root") != F.col("other_root")).select("node", "other")), "node", "other")
+    row = outside.select("node", "root", F.lag("node").over(order).alias("other"), F.lag("root").over(order).alias("other_root"))
+    pairs = outside.select("node", F.col("centre").alias("other")).unionByName(row.filter(F.col("root") != F.col("other_root")).select("node", "other"))
+    return _pairs(pairs, "node", "other"), open_.select("entry", "node")
+
+
+def nearest_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) that are near, each u's nearest one; the others' components meet again in later rounds."""
+    near = near_pairs(pairs, nodes, "d")
+    return near.groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v"))
 
 
 def similar_links(feats: DataFrame, similarity: float) -> DataFrame:
@@ -211,16 +224,15 @@ def similar_links(feats: DataFrame, similarity: float) -> DataFrame:
     shared = segment_entries(nodes).select("entry", "node", near[0][0].alias("other"), near[1][0].isNotNull().alias("__next"), several.alias("several"))
     shared = materialize(shared.filter("other is not null or __next").drop("__next"), "copy-entries")
     crowds = shared.filter("several").select("entry", "node")
-    tried = materialize(_pairs(shared.filter("other is not null"), "node", "other"), "copy-tried")
-    links = materialize(similar_pairs(materialize(near_pairs(tried, nodes), "copy-near"), sets, similarity), "copy-links")
+    links = materialize(similar_pairs(materialize(nearest_pairs(_pairs(shared.filter("other is not null"), "node", "other"), nodes), "copy-near"), sets, similarity), "copy-links")
     turn = 1
     while True:
-        fresh = materialize(open_pairs(crowds, links, turn).join(tried, ["u", "v"], "left_anti"), "copy-fresh")
+        fresh, crowds = open_pairs(crowds, links, turn)
         found = materialize(similar_pairs(materialize(near_pairs(fresh, nodes), "copy-near"), sets, similarity), "copy-links")
         if found.isEmpty():
-            release(shared, fresh)
+            release(shared)
             return links
-        tried, links, turn = tried.unionByName(fresh), links.unionByName(found), turn + 1
+        links, turn = links.unionByName(found).distinct(), turn + 1
 
 
 def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
