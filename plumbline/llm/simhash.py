@@ -63,6 +63,8 @@ WIDTH, SEGMENTS, LONGS = 28, 13, 6
 LIMIT = 82
 #: Two sketches are the last 32 bits of two fingerprints: 4.8 bits differ at similarity 0.8, 16 by chance.
 SKETCH_LIMIT = 11
+#: So many set numbers (8 bytes each) are sent to all executors at most; more are joined by a shuffle.
+BROADCAST_NODES = 1 << 21
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 14
 _LITTLE = np.dtype("<u8")
@@ -182,7 +184,10 @@ def similar_pairs(pairs: DataFrame, feats: DataFrame, similarity: float) -> Data
                 good.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    used = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "copy-used")
+    if used.count() <= BROADCAST_NODES:
+        #: The sets of all documents stay where they are; only those of the pairs are dealt.
+        used = F.broadcast(used)
     sets = materialize(feats.join(used, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "copy-sets")
     x, y = sets.select(F.col("node").alias("u"), F.col("set").alias("x")), sets.select(F.col("node").alias("v"), F.col("set").alias("y"))
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")

@@ -76,6 +76,15 @@ def test_stage_takes_near_copies_that_op7_leaves(spark):
     assert sum(i % 2 == 0 for i in kept) == 40 and sum(i % 2 for i in kept) <= 2
 
 
+def test_sets_by_shuffle_and_by_broadcast_agree(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[i % 3 * 30 :], f"x{i}"])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = sorted(N.similar_copies(docs).collect())
+    monkeypatch.setattr(N, "BROADCAST_NODES", 0)
+    assert sorted(N.similar_copies(docs).collect()) == sent and len({r.component_id for r in sent}) == 3
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").limit(0)
     assert N.similar_copies(docs).count() == 0 and N.one_of_each(docs).count() == 0
