@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, imatch, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, token_files, url_filters
+from plumbline.llm import bpe, imatch, mixing, pieces, quality_classifier, quality_rules, simhash, spelling, surrogates, token_counts, token_files, url_filters
 from plumbline.sources.scratch import scratch_path
 from plumbline.sources.tables import table
 
@@ -82,6 +82,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word's near words, form and root."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's pieces and of the text they decode to."""
     return pieces.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
@@ -100,6 +105,7 @@ QUERIES = {
         op8_pii_surrogates,
         op9_imatch_fingerprints,
         op10_bpe_round_trip,
+        op11_spelling_variants,
         op13_sentencepiece_round_trip,
     )
 }
