@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, imatch, mixing, pieces, quality_classifier, quality_rules, simhash, spelling, surrogates, token_counts, token_files, url_filters
+from plumbline.llm import bpe, collocations, imatch, mixing, pieces, quality_classifier, quality_rules, simhash, spelling, surrogates, token_counts, token_files, url_filters
 from plumbline.sources.scratch import scratch_path
 from plumbline.sources.tables import table
 
@@ -87,6 +87,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases."""
+    return collocations.phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's pieces and of the text they decode to."""
     return pieces.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
@@ -106,6 +111,7 @@ QUERIES = {
         op9_imatch_fingerprints,
         op10_bpe_round_trip,
         op11_spelling_variants,
+        op12_phrase_mining,
         op13_sentencepiece_round_trip,
     )
 }
@@ -135,4 +141,22 @@ WITH items AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''),
 SELECT i.doc_id, i.size, b.source_size, b.target,
  ((b.whole + CASE WHEN b.budget > 0 AND (s.cum < b.budget OR s.cum - s.g < b.budget AND 2 * (b.budget - (s.cum - s.g)) >= s.g) THEN 1 ELSE 0 END) * i.size)::BIGINT AS taken
 FROM items i JOIN budgets b ON i.source IS NOT DISTINCT FROM b.source JOIN sums s ON s.source IS NOT DISTINCT FROM i.source AND s.h = i.h""",
+    "op12_phrase_mining": r"""
+WITH pieces AS (SELECT doc_id, coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+ totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM lists GROUP BY lang),
+ grams AS (SELECT lang, k, list_aggregate(g, 'string_agg', ' ') AS phrase, count(*) AS f FROM (
+   SELECT lang, k, ws[i : i + k - 1] AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM lists, (VALUES (1), (2), (3), (4)) sizes(k) WHERE len(ws) >= k)
+  ) GROUP BY lang, k, phrase HAVING count(*) >= 30),
+ cuts AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM grams WHERE k > 1),
+ halves AS (SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS score FROM cuts c
+  JOIN grams x ON x.lang = c.lang AND x.phrase = list_aggregate(c.ws[1 : c.cut], 'string_agg', ' ') AND x.k = c.cut
+  JOIN grams y ON y.lang = c.lang AND y.phrase = list_aggregate(c.ws[c.cut + 1 :], 'string_agg', ' ') AND y.k = c.k - c.cut),
+ scored AS (SELECT lang, k, phrase, a, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, min(score) AS score FROM halves GROUP BY ALL),
+ inner_parts AS (SELECT lang, j, list_aggregate(ws[i : i + j - 1], 'string_agg', ' ') AS phrase, max(f) AS f FROM (
+   SELECT lang, ws, f, j, unnest(range(1, k - j + 2)) AS i FROM (SELECT lang, k, f, string_split(phrase, ' ') AS ws FROM grams WHERE k > 2), (VALUES (2), (3)) parts(j) WHERE j < k) GROUP BY ALL),
+ kept AS (SELECT s.* FROM scored s LEFT JOIN inner_parts p ON p.lang = s.lang AND p.j = s.k AND p.phrase = s.phrase WHERE p.f IS NULL OR 100::HUGEINT * p.f < 80::HUGEINT * s.a),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
