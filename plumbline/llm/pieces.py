@@ -198,14 +198,17 @@ class PieceModel:
         symbols = np.where(self.chars[codes] >= 0, self.chars[codes], -2 - codes)
         of = unit[np.flatnonzero(np.r_[True, cut])] if len(codes) else unit
         symbols, segment = self.merge(symbols, segment)
-        unit, out = of[segment], []
-        ends = np.cumsum(np.bincount(unit, minlength=len(units)))
-        for a, z in zip(np.r_[0, ends[:-1]], ends):
-            ids = symbols[a:z]
-            if len(ids) and ids.min() < 0 or (ids >= len(self.surface)).any():
-                ids = np.concatenate([[s] if 0 <= s < len(self.surface) else self._as_bytes(s) for s in ids.tolist()])
-            out.append(ids.astype("<i4").tobytes())
-        return out
+        unit = of[segment]
+        odd = np.flatnonzero((symbols < 0) | (symbols >= len(self.surface)))
+        if len(odd):
+            spelled = [self._as_bytes(s) for s in symbols[odd].tolist()]
+            sizes = np.ones(len(symbols), dtype=np.int64)
+            sizes[odd] = [len(x) for x in spelled]
+            unit, symbols = np.repeat(unit, sizes), np.repeat(symbols, sizes)
+            symbols[np.repeat(np.isin(np.arange(len(sizes)), odd), sizes)] = np.concatenate(spelled)
+        data = symbols.astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(unit, minlength=len(units)))).tolist()
+        return [data[a:z] for a, z in zip([0, *ends], ends)]
 
     def _as_bytes(self, symbol: int) -> np.ndarray:
         """Byte pieces of a character that is no piece."""
