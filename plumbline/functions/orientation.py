@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.eigen import with_eigenpairs
+
 #: Names of the three axes.
 AXES = ("x", "y", "z")
 #: Parts of a label, each with the bounds of its first and second word; the third is between them.
@@ -12,6 +16,9 @@ DENSITY = (("dilute", 0.13), ("dense", 0.25), "mid-vf")
 LENGTH = (("short", 10.0), ("long", 20.0), "medium-ar")
 SPATIAL = (("uniform", 0.10), ("clustered", 0.50), "mild-cluster")
 ALIGNED, PLANAR = 0.65, 0.10
+#: Names of a symmetric tensor's six entries; fixed value: the least eigenvalue of one that is made valid.
+TENSOR = ("a11", "a12", "a13", "a22", "a23", "a33")
+LEAST_EIGENVALUE = 1e-8
 #: Names of the rules of a valid diagonal, in the order in which they are tried.
 REASONS = (
     "a11_missing",
@@ -76,3 +83,29 @@ def morphology_label(fraction: Column, aspect: Column, cluster: Column, *diagona
         .otherwise("triaxial")
     )
     return F.concat_ws("_", *parts, orient)
+
+
+def sanitised(rows: DataFrame, entries: Sequence[str]) -> DataFrame:
+    """rows with TENSOR: the symmetric matrix of entries (11, 12, 13, 22, 23, 33) made an orientation tensor.
+
+    Its eigenvalues are raised to LEAST_EIGENVALUE at least and divided by their sum; its eigenvectors stay.
+    """
+    found = with_eigenpairs(rows, entries, "__a")
+    cut = {f"__c{k}": F.greatest(F.col(f"__a{k}"), F.lit(LEAST_EIGENVALUE)) for k in (1, 2, 3)}
+    cut["__sum"] = sum(cut.values(), F.lit(0.0))
+    value = lambda i, j: sum((F.col(f"__c{k}") * F.col(f"__a{AXES[i]}{k}") * F.col(f"__a{AXES[j]}{k}") for k in (1, 2, 3)), F.lit(0.0)) / F.col("__sum")
+    kept = [c for c in rows.columns if c not in TENSOR]
+    #: Entries that were null stay null: greatest() passes over nulls.
+    whole = F.col("__a1").isNotNull()
+    out = [F.when(whole, value(i, j)).alias(f"a{i + 1}{j + 1}") for i in range(3) for j in range(i, 3)]
+    return found.withColumns(cut).select(*kept, *out)
+
+
+def orthotropic_closure(rows: DataFrame, entries: Sequence[str]) -> DataFrame:
+    """rows with a1111, a1112, .. a3333 (21 numbers): the fourth-order tensor closed from a second-order one.
+
+    In the frame of the tensor's axes it has the products of pairs of eigenvalues; turned back, that is the product of
+    the tensor with itself. entries: 11, 12, 13, 22, 23, 33.
+    """
+    pairs = [f"{i + 1}{j + 1}" for i in range(3) for j in range(i, 3)]
+    return rows.withColumns({f"a{a}{b}": F.col(entries[i]) * F.col(entries[j]) for i, a in enumerate(pairs) for j, b in enumerate(pairs) if i <= j})
