@@ -14,8 +14,9 @@ from plumbline.functions import orientation as O
 from plumbline.functions import sequences as S
 from plumbline.functions import tensors as T
 from plumbline.jobs import fields, reduced_model
-from plumbline.operators import campaign, linalg, relational, spatial, statistics
+from plumbline.operators import bases, campaign, linalg, relational, spatial, statistics
 from plumbline.operators.quantiles import with_quantiles
+from plumbline.sources.scratch import materialize
 from plumbline.sources.tables import table
 from plumbline.streaming import online
 
@@ -794,54 +795,90 @@ def maximin_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.farthest_points(parts, "p_partkey", ["size", "price"], 1, 10)
 
 
-# Fields: every snapshot is a voxel with the strains of ten fields (60 of its 64 numbers); labels from 5 on are fibres
-# along the voxel's direction.
+# Fields: every snapshot is a voxel with the strains of eleven fields (its 64 numbers and two zeros); labels from 5 on are
+# fibres along the voxel's direction.
 
-_RANK = 10
+_RANK = 11
 
 
 def field_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, phase, axis and the strains of ten fields."""
-    rows = snapshots(spark, sf_dir).select("vec_id", (F.col("label") >= 5).cast("int").alias("phase"), F.slice("v", 1, 6 * _RANK).alias("v"))
+    """vec_id, phase, axis and the strains of eleven fields."""
+    rows = snapshots(spark, sf_dir).select("vec_id", (F.col("label") >= 5).cast("int").alias("phase"), F.concat("v", F.array(F.lit(0.0), F.lit(0.0))).alias("v"))
     return rows.join(directions(spark, sf_dir).drop("label"), "vec_id")
 
 
-_STRAINS = f"""WITH d AS ({_DIRECTIONS}), w AS (SELECT vec_id, label >= 5 AS fibre, ux, uy, uz, embedding::DOUBLE[] AS v FROM embeddings JOIN d USING (vec_id, label)),
+_STRAINS = f"""WITH d AS ({_DIRECTIONS}), w AS (SELECT vec_id, label >= 5 AS fibre, ux, uy, uz, list_concat(embedding::DOUBLE[], [0.0, 0.0]::DOUBLE[]) AS v FROM embeddings JOIN d USING (vec_id, label)),
  k AS (SELECT vec_id, fibre, ux, uy, uz, k, v[6*k+1] AS e1, v[6*k+2] AS e2, v[6*k+3] AS e3, v[6*k+4] AS e4, v[6*k+5] AS e5, v[6*k+6] AS e6 FROM w, (SELECT unnest(range({_RANK}))::INT AS k)),
  s AS (SELECT *, e1 + e2 + e3 AS tr, ux*ux*e1 + uy*uy*e2 + uz*uz*e3 + sqrt(2.0::DOUBLE) * (uy*uz*e4 + ux*uz*e5 + ux*uy*e6) AS en,
   e1*ux + (e6*uy + e5*uz) / sqrt(2.0::DOUBLE) AS p1, e2*uy + (e6*ux + e4*uz) / sqrt(2.0::DOUBLE) AS p2, e3*uz + (e5*ux + e4*uy) / sqrt(2.0::DOUBLE) AS p3 FROM k)"""
 
 
-@query(_STRAINS + f""", n AS (SELECT count(*) AS n FROM w), p AS (SELECT a.fibre, a.k AS i, b.k AS j, a.tr AS ta, b.tr AS tb, a.en AS na, b.en AS nb, a.e1*b.e1 + a.e2*b.e2 + a.e3*b.e3 + a.e4*b.e4 + a.e5*b.e5 + a.e6*b.e6 AS dot,
-  a.p1*b.p1 + a.p2*b.p2 + a.p3*b.p3 - a.en*b.en AS shear FROM s a JOIN s b USING (vec_id)),
- t AS (SELECT i, j, {", ".join(f"sum(CASE WHEN {'fibre' if q > 1 else 'NOT fibre'} THEN {e} ELSE 0 END) AS q{q}" for q, e in enumerate(("ta*tb", "2*dot", "dot - na*nb - 2*shear", "(ta-na)*(tb-nb) - (dot - na*nb - 2*shear)", "na*(tb-nb) + (ta-na)*nb", "na*nb", "4*shear")))} FROM p GROUP BY 1, 2)
- SELECT q, i, j, round([q0, q1, q2, q3, q4, q5, q6][q + 1] / n, 6) AS value FROM t, n, (SELECT unnest(range(7))::INT AS q)""")
+_FORMS = ("ta*tb", "2*dot", "dot - na*nb - 2*shear", "(ta-na)*(tb-nb) - (dot - na*nb - 2*shear)", "na*(tb-nb) + (ta-na)*nb", "na*nb", "4*shear")
+#: Sums of all forms over fields and, from 100 on, unit strains: K is of two fields, B of a field and a unit, D of two units.
+_OPERATORS = _STRAINS + f""", units AS (SELECT i AS u, {", ".join(f"(i = {c})::INT::DOUBLE AS e{c}" for c in range(1, 7))} FROM (SELECT unnest(range(1, 7)) AS i)),
+ joint AS (SELECT vec_id, fibre, ux, uy, uz, k, e1, e2, e3, e4, e5, e6 FROM k UNION ALL SELECT vec_id, fibre, ux, uy, uz, 99 + u, e1, e2, e3, e4, e5, e6 FROM w, units),
+ z AS (SELECT *, e1 + e2 + e3 AS tr, ux*ux*e1 + uy*uy*e2 + uz*uz*e3 + sqrt(2.0::DOUBLE) * (uy*uz*e4 + ux*uz*e5 + ux*uy*e6) AS en,
+  e1*ux + (e6*uy + e5*uz) / sqrt(2.0::DOUBLE) AS p1, e2*uy + (e6*ux + e4*uz) / sqrt(2.0::DOUBLE) AS p2, e3*uz + (e5*ux + e4*uy) / sqrt(2.0::DOUBLE) AS p3 FROM joint),
+ n AS (SELECT count(*) AS n FROM w), p AS (SELECT a.fibre, a.k AS i, b.k AS j, a.tr AS ta, b.tr AS tb, a.en AS na, b.en AS nb, a.e1*b.e1 + a.e2*b.e2 + a.e3*b.e3 + a.e4*b.e4 + a.e5*b.e5 + a.e6*b.e6 AS dot,
+  a.p1*b.p1 + a.p2*b.p2 + a.p3*b.p3 - a.en*b.en AS shear FROM z a JOIN z b USING (vec_id)),
+ t AS (SELECT i, j, {", ".join(f"sum(CASE WHEN {'fibre' if q > 1 else 'NOT fibre'} THEN {e} ELSE 0 END) AS q{q}" for q, e in enumerate(_FORMS))} FROM p GROUP BY 1, 2),
+ o AS (SELECT CASE WHEN i < 100 AND j < 100 THEN 'K' WHEN i < 100 THEN 'B' WHEN j >= 100 THEN 'D' END AS part, q, i % 100 AS i, j % 100 AS j, round([q0, q1, q2, q3, q4, q5, q6][q + 1] / n, 6) + 0.0::DOUBLE AS value FROM t, n, (SELECT unnest(range(7))::INT AS q))"""
+
+
+@query(_OPERATORS + " SELECT q, i, j, value FROM o WHERE part = 'K'")
 def reduced_stiffness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seven reduced stiffnesses of ten fields, summed over all voxels."""
+    """The seven reduced stiffnesses of eleven fields, summed over all voxels."""
     found = fields.operators(field_voxels(spark, sf_dir), "v", _RANK)
     return rounded(found.filter("part = 'K'").drop("part"), 6, "value")
 
 
-@query(_STRAINS + f""", n AS (SELECT count(*) AS n, count(*) FILTER (fibre) AS f FROM w), m AS (SELECT unnest(range(6))::INT AS j),
- t AS (SELECT k AS i, sum(tr) AS tr, {", ".join(f"sum(e{c}) AS e{c}" for c in range(1, 7))} FROM s WHERE NOT fibre GROUP BY 1)
- SELECT 'B' AS part, 0 AS q, i, j, round(CASE WHEN j < 3 THEN tr ELSE 0 END / n, 6) AS value FROM t, n, m UNION ALL SELECT 'B', 1, i, j, round(2 * [e1, e2, e3, e4, e5, e6][j + 1] / n, 6) FROM t, n, m
- UNION ALL SELECT 'D', 0, a.j, b.j, round(CASE WHEN a.j < 3 AND b.j < 3 THEN (n - f) / n::DOUBLE ELSE 0 END, 6) FROM n, m a, m b UNION ALL SELECT 'D', 1, a.j, b.j, round(CASE WHEN a.j = b.j THEN 2 * (n - f) / n::DOUBLE ELSE 0 END, 6) FROM n, m a, m b""")
+@query(_OPERATORS + " SELECT part, q, i, j, value FROM o WHERE part IN ('B', 'D')")
 def reduced_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reduced loads and constants of the matrix' two coefficients."""
+    """Reduced loads and constants of all seven coefficients."""
     found = fields.operators(field_voxels(spark, sf_dir), "v", _RANK)
-    return rounded(found.filter("part <> 'K' AND q < 2"), 6, "value")
+    return rounded(found.filter("part <> 'K'"), 6, "value")
+
+
+@query(_OPERATORS + " SELECT part, q, i, j, value FROM o WHERE part IS NOT NULL")
+def extended_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operators of eleven fields, from those of the first six and what the other five add."""
+    voxels = field_voxels(spark, sf_dir)
+    stored = materialize(fields.operators(voxels, "v", 6), "operators")
+    return rounded(fields.extended(stored, voxels, "v", _RANK, 6), 6, "value")
+
+
+@query(_STRAINS + f""", f AS (SELECT vec_id, k, e1, e2, e3, e4, e5, e6 FROM k UNION ALL SELECT a.vec_id, {_RANK}, {", ".join(f"a.e{c} - 2 * b.e{c}" for c in range(1, 7))} FROM k a JOIN k b USING (vec_id) WHERE a.k = 0 AND b.k = 3),
+ g AS (SELECT a.k AS i, b.k AS j, sum(a.e1*b.e1 + a.e2*b.e2 + a.e3*b.e3 + a.e4*b.e4 + a.e5*b.e5 + a.e6*b.e6) / (6 * count(*)) AS value FROM f a JOIN f b USING (vec_id) GROUP BY 1, 2)
+ SELECT i, j, round(value, 8) AS product, CASE WHEN i < {_RANK} AND j < {_RANK} THEN (i = j)::INT::DOUBLE END AS overlap FROM g""")
+def orthonormal_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve fields, one a combination of two others, by their parts along an orthonormal basis; and the basis' products.
+
+    product: of two fields, by their parts along the basis, which is the fields' own product if it spans them. overlap:
+    of two basis fields. Half of the basis is appended to the other half.
+    """
+    voxels, half = field_voxels(spark, sf_dir), 6
+    component = lambda f, c: F.col("v")[6 * f + c]
+    whole = voxels.withColumn("v", F.concat("v", F.array(*(component(0, c) - 2.0 * component(3, c) for c in range(6)))))
+    split = whole.select("vec_id", "v", F.slice("v", 1, 6 * half).alias("basis"), F.slice("v", 6 * half + 1, 6 * (_RANK + 1 - half)).alias("fresh"))
+    first, kept = bases.orthonormalised(split, "basis", half, 6)
+    both, added = bases.appended(first, "basis", "fresh", (len(kept), _RANK + 1 - half), 6)
+    n = len(kept) + len(added)
+    parts, own = bases.products(both, "basis", "v", (n, _RANK + 1), 6), bases.products(both, "basis", "basis", (n, n), 6)
+    product = parts.T @ parts
+    rows = [(i, j, round(float(product[i, j]), 8) + 0.0, round(float(own[i, j]), 11) + 0.0 if max(i, j) < n else None) for i in range(_RANK + 1) for j in range(_RANK + 1)]
+    return spark.createDataFrame(rows, "i int, j int, product double, overlap double")
 
 
 @query(_STRAINS + " SELECT a.k AS i, b.k AS j, round(sum(a.e1*b.e1 + a.e2*b.e2 + a.e3*b.e3 + a.e4*b.e4 + a.e5*b.e5 + a.e6*b.e6) / (6 * count(*)), 8) AS value FROM s a JOIN s b USING (vec_id) GROUP BY 1, 2")
 def snapshot_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inner products of ten fields, by blocks of voxels."""
+    """Inner products of eleven fields, by blocks of voxels."""
     return rounded(fields.snapshot_gram(field_voxels(spark, sf_dir), "v", _RANK), 8, "value")
 
 
 @query(_STRAINS + """, g AS (SELECT a.k AS i, b.k AS j, sum(a.e1*b.e1 + a.e2*b.e2 + a.e3*b.e3 + a.e4*b.e4 + a.e5*b.e5 + a.e6*b.e6) / (6 * count(*)) AS value FROM s a JOIN s b USING (vec_id) GROUP BY 1, 2)
  SELECT round(sum(value) FILTER (i = j), 6) AS energy, round(sum(value * value) / (sum(value) FILTER (i = j)) ** 2, 8) AS concentration FROM g""")
 def snapshot_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over the energies of ten fields' modes, and over their squares."""
+    """Sums over the energies of eleven fields' modes, and over their squares."""
     gram = linalg.collected_matrix(fields.snapshot_gram(field_voxels(spark, sf_dir), "v", _RANK))
     energies, _ = fields.snapshot_modes(gram)
     rows = spark.createDataFrame([(i, float(e)) for i, e in enumerate(energies)], "mode int, energy double")
@@ -861,7 +898,7 @@ def reduced_model_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reduced_model_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error statistics of smaller models against the full one."""
     model = fields.reduced_model(field_voxels(spark, sf_dir), "v", _RANK)
-    return reduced_model.rank_curve(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model, [0, 2, 4, 6, 8, 10])
+    return reduced_model.rank_curve(M.coefficients(materials(spark, sf_dir)), "material_id", list(COEFFICIENTS), model, [0, 2, 4, 6, 8, 10, 11])
 
 
 @query()

@@ -41,14 +41,15 @@ def fibre_atoms() -> np.ndarray:
     return out
 
 
-def operator_sums(fields: DataFrame, values: str, rank: int) -> DataFrame:
+def operator_sums(fields: DataFrame, values: str, rank: int, start: int = 0) -> DataFrame:
     """part (K, B, D or n), q, i, j, value: sums over voxels of V^T C_q V, V^T C_q and C_q, and their number.
 
-    fields: phase, ux, uy, uz and the values. Rows whose values are null are left out.
+    fields: phase, ux, uy, uz and the values. Rows whose values are null are left out. With a start only the columns
+    of K and the rows of B from there on are formed, and no D.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k, b, d, n = np.zeros((TERMS, rank, rank)), np.zeros((TERMS, rank, LOADS)), np.zeros((TERMS, LOADS, LOADS)), 0
+        k, b, d, n = np.zeros((TERMS, rank, rank - start)), np.zeros((TERMS, rank - start, LOADS)), np.zeros((TERMS, LOADS, LOADS)), 0
         for frame in frames:
             for at in range(0, len(frame), BLOCK):
                 part = frame.iloc[at : at + BLOCK]
@@ -60,29 +61,46 @@ def operator_sums(fields: DataFrame, values: str, rank: int) -> DataFrame:
                     turn = mandel_rotations(part.loc[solid, ["ux", "uy", "uz"]].to_numpy(dtype=float))
                     stiff += [(q, atom, v[solid], turn @ atom @ turn.swapaxes(1, 2)) for q, atom in enumerate(fibre_atoms(), start=2)]
                 for q, _, own, c in stiff:
-                    stress = own @ c
-                    k[q] += np.tensordot(stress, own, axes=([0, 2], [0, 2]))
+                    stress = own[:, start:] @ c
+                    k[q] += np.tensordot(own, stress, axes=([0, 2], [0, 2]))
                     b[q] += stress.sum(axis=0)
                     d[q] += c.sum(axis=0)
-        for name, sums in (("K", k), ("B", b), ("D", d)):
+        for name, sums, below, beside in (("K", k, 0, start), ("B", b, start, 0), ("D", d, 0, 0))[: 2 if start else 3]:
             q, i, j = np.indices(sums.shape)
-            yield pd.DataFrame({"part": name, "q": q.ravel(), "i": i.ravel(), "j": j.ravel(), "value": sums.ravel()})
+            yield pd.DataFrame({"part": name, "q": q.ravel(), "i": i.ravel() + below, "j": j.ravel() + beside, "value": sums.ravel()})
         yield pd.DataFrame({"part": ["n"], "q": [0], "i": [0], "j": [0], "value": [float(n)]})
 
     used = fields.filter(F.col(values).isNotNull()).select("phase", "ux", "uy", "uz", values)
     return used.mapInPandas(run, "part string, q int, i int, j int, value double").groupBy("part", "q", "i", "j").agg(F.sum("value").alias("value"))
 
 
-def operators(fields: DataFrame, values: str, rank: int) -> DataFrame:
-    """part (K, B or D), q, i, j, value: the sums over the number of voxels; K and D are made symmetric."""
-    sums = operator_sums(fields, values, rank)
+def operators(fields: DataFrame, values: str, rank: int, start: int = 0) -> DataFrame:
+    """part (K, B or D), q, i, j, value: the sums over the number of voxels; K and D are made symmetric.
+
+    With a start: only what the fields from there on add (see ``extended``).
+    """
+    sums = operator_sums(fields, values, rank, start)
     n = F.max(F.when(F.col("part") == "n", F.col("value"))).alias("n")
     both = sums.filter("part <> 'n'")
     swapped = both.filter("part <> 'B'").select("part", "q", F.col("j").alias("i"), F.col("i").alias("j"), "value")
-    halved = both.unionByName(both.filter("part = 'B'")).unionByName(swapped).groupBy("part", "q", "i", "j").agg((F.sum("value") / 2).alias("value"))
+    halved = both.unionByName(swapped).groupBy("part", "q", "i", "j").agg(F.avg("value").alias("value"))
     return halved.crossJoin(F.broadcast(sums.agg(n))).select("part", "q", "i", "j", F.try_divide("value", "n").alias("value"))  # one number
 
 
+def extended(stored: DataFrame, fields: DataFrame, values: str, rank: int, old: int) -> DataFrame:
+    """The operators of ``rank`` fields from the stored ones of the first ``old``: only new rows and columns are formed.
+
+    stored: what ``operators`` gave for these voxels and the first fields; its rows are passed on as they are. An error
+    if it is not of that rank.
+    """
+    if not 0 < old < rank:
+        raise ValueError("there is nothing to extend, or nothing to add")
+    (found,) = stored.filter("part = 'K'").agg(F.max("i")).first()
+    if found != old - 1:
+        raise ValueError("the stored operators have another rank")
+    return stored.unionByName(operators(fields, values, rank, old))
+
+
 def reduced_model(fields: DataFrame, values: str, rank: int) -> ReducedModel:
     """The operators as arrays: 7 (r^2 + 6 r + 36) numbers."""
     shapes = {"K": (TERMS, rank, rank), "B": (TERMS, rank, LOADS), "D": (TERMS, LOADS, LOADS)}

@@ -1,9 +1,8 @@
 """A reduced-order model as Spark jobs: assembly by aggregation, then batched online queries.
 
 The model is affine in q: K(q) = sum_k q_k K_k with K_k of size r x r, and right-hand sides B(q) likewise. An
-answer is the output tensor D(q) - B(q)^T K(q)^-1 B(q). Operators come from data: basis modes and, per group
-of snapshots, their second moments in that basis, all summed by Spark. They have 7 (r^2 + 6 r + 36) numbers,
-which is what tasks receive.
+answer is the output tensor D(q) - B(q)^T K(q)^-1 B(q). Operators come from field tables, see ``jobs.fields``. They
+have 7 (r^2 + 6 r + 36) numbers, which is what tasks receive.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import linalg, statistics
+from plumbline.operators import statistics
 
 TERMS = 7
 LOADS = 6
@@ -40,23 +39,6 @@ class ReducedModel:
         return (out + out.swapaxes(1, 2)) / 2, left
 
 
-def assemble(snapshots: DataFrame, vector: str, group: str, rank: int) -> ReducedModel:
-    """Operators in the first ``rank`` modes after the six that serve as loads.
-
-    Term k has the second moment of the snapshots whose group modulo 7 is k, with a multiple of the identity
-    that keeps every term positive definite.
-    """
-    _, basis = linalg.modes(snapshots, vector)
-    frame = basis[: rank + LOADS]
-    terms = []
-    for k in range(TERMS):
-        moment = linalg.collected_matrix(linalg.moment_matrix(snapshots.filter(F.pmod(F.col(group), F.lit(TERMS)) == k), vector))
-        full = frame @ moment @ frame.T if len(moment) else np.zeros((len(frame), len(frame)))
-        terms.append(full / max(np.trace(full), 1e-12) + np.eye(len(frame)) / len(frame))
-    all_ = np.array(terms)
-    return ReducedModel(all_[:, LOADS:, LOADS:], all_[:, LOADS:, :LOADS], all_[:, :LOADS, :LOADS])
-
-
 def answer(materials: DataFrame, key: str, coefficients: list[str], model: ReducedModel) -> DataFrame:
     """key, 36 output columns c11..c66, residual and least eigenvalue for each material, in batches."""
     names = [f"c{i + 1}{j + 1}" for i in range(LOADS) for j in range(LOADS)]

@@ -115,7 +115,9 @@ def test_farthest_points(spark):
 
 def test_reduced_model_answers(spark):
     _, rows = vectors(spark, 80, 12)
-    model = reduced_model.assemble(rows, "v", "label", 6)
+    roots = np.random.default_rng(6).normal(size=(7, 12, 12))
+    whole = roots @ roots.swapaxes(1, 2) / 12 + np.eye(12) / 12
+    model = reduced_model.ReducedModel(whole[:, 6:, 6:], whole[:, 6:, :6], whole[:, :6, :6])
     q = np.random.default_rng(5).random((9, 7)) + 0.1
     table = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(q)], "id long, " + ", ".join(f"q{k} double" for k in range(7)))
     names = [f"q{k}" for k in range(7)]
