@@ -132,7 +132,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
     """The rows of docs as often as the mix takes them. Texts meet only the sources' plan, not each other."""
     items = docs.select(source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
-    plan = mix_plan(materialize(items, "mix-items"), weights, share, repeats).select(F.col("key").alias("__key"), F.struct("whole", "edge").alias("__plan"))
-    keyed = docs.withColumns({"__key": source_key(F.col("source")), "__h": id_hash(F.col("doc_id"))}).join(plan, "__key")
-    taken = keyed.withColumn("__copies", _copies("__h", "__plan.whole", "__plan.edge")).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    #: Columns of our own, under names that the documents do not have.
+    taken, own = {c.lower() for c in docs.columns}, []
+    for name in ("key", "h", "plan", "copy"):
+        while name in taken:
+            name = f"_{name}"
+        own.append(name)
+    key, h, planned, copy = own
+    plan = mix_plan(materialize(items, "mix-items"), weights, share, repeats).select(F.col("key").alias(key), F.struct("whole", "edge").alias(planned))
+    keyed = docs.withColumns({key: source_key(F.col("source")), h: id_hash(F.col("doc_id"))}).join(plan, key)
+    copies = _copies(h, f"{planned}.whole", f"{planned}.edge")
+    each = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
+    return keyed.withColumn(copy, F.explode(each)).select(*docs.columns)
