@@ -15,25 +15,33 @@ Two uses, both by segment tables, small balls in each segment, and verification
   meet in table s if their segments s differ in 2 bits or fewer. The complete distance is verified (at most
   LIMIT, four standard deviations above what 0.8 gives), then the similarity itself on the sets, held as 32 bits
   a shingle. Distances up to 3 SEGMENTS - 1 meet for certain, larger ones if one of the segments is near:
-  at similarity 0.8, 0.85 and 0.9 expect 93, 99 and 99.9 %. WIDTH is meant for up to some 10^8 distinct sets; for
+  at similarity 0.8, 0.85 and 0.9 expect 96, 99.6 and 99.9 %. WIDTH is meant for up to some 10^8 distinct sets; for
   more, raise it with the logarithm of their number (and SEGMENTS with it), so that entries stay short.
 
+  Bits of small sets differ more than that, so sets of up to SHORT shingles meet in another way, by which no similar
+  pair is missed: two sets share one of the first n - ceil(similarity n) + 1 of their n hashes in ascending order.
+  No fingerprint is asked there. A pair beyond both bounds (SHORT, and similarity x SHORT from which on segments are
+  used) does not exist.
+
 A set's number (its node) is a sketch, the fingerprint's last 32 bits, before 32 bits of the set's hash. So what meets
 by chance is told by the two numbers alone where it meets: sketches that differ in over SKETCH_LIMIT bits go (0.2 %
-of the pairs at similarity 0.8, none to speak of at 0.85; 5 % of what meets by chance stays).
+of the pairs at similarity 0.8, none to speak of at 0.85; 5 % of what meets by chance stays). Different sets with one
+number are found by their 64-bit hashes and numbered anew, until no two are left.
 
 Hot entries of ``similar_copies``: the sets of an entry are not paired with each other, which would grow with the
 square of a group of copies. They stand in a row, in the order of their numbers, and each is compared with the two
-before it, so an entry of two or three is compared whole. In larger ones, the crowds, only the nearest one by sketch of
-all that a set met is verified at first. While a crowd holds several components, its sets outside the largest one are
-compared with that one's set with the most links, and with each other's neighbours in a new order; this goes on
-until a round finds no link. So a round costs no more than its entries have rows, and a
-copy of a large group is found by its neighbours in dozens of entries and by the group's centre. It is not certain:
-the recall against all pairs is measured in the tests (README).
-
-Equal fingerprints, or equal sets, are one node from the start. Two different sets share a number if both halves agree:
-of 13 million unlike sets hardly one pair, of m near copies with one and the same sketch about m * m / 2 ** 33 pairs,
-which are then one node without being verified.
+before it, so an entry of two or three is compared whole (short sets: of up to FEW). In larger ones, the crowds, only
+the nearest one by sketch of all that a set met is verified at first. While a crowd holds several components, its sets
+outside the largest one are compared with that one's set with the most links, and with each other's neighbours in a new
+order; this goes on until a round finds no link. So a round costs no more than its entries have rows, and a copy of a
+large group is found by its neighbours in dozens of entries and by the group's centre. It is not certain: the recall
+against all pairs is measured in the tests (README). ``every`` compares all pairs of all entries instead, which finds
+all links of what meets, at the square of a group's size.
+
+Segments are used twice: first without balls, a thirtieth of the entries, which joins most groups of copies; then with
+balls, where only sets of different components are compared.
+
+Equal fingerprints, or equal sets, are one node from the start.
 Components come from alternating large-star and
 small-star rounds over the links, each round a scratch table in the cluster's shared folder.
 
@@ -45,7 +53,7 @@ no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +67,12 @@ from plumbline.sources.scratch import materialize, release
 
 SEED = 42
 #: The long fingerprint's segments, and the 64-bit words that hold them.
-WIDTH, SEGMENTS, LONGS = 28, 13, 6
-LIMIT = 82
+WIDTH, SEGMENTS, LONGS = 28, 16, 7
+LIMIT = 98
 #: Two sketches are the last 32 bits of two fingerprints: 4.8 bits differ at similarity 0.8, 16 by chance.
 SKETCH_LIMIT = 11
+#: Shingles of a set that meets others by its first hashes, and sets of such an entry that are compared whole.
+SHORT, FEW = 250, 16
 #: So many set numbers (8 bytes each) are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_NODES = 1 << 21
 #: Hashes whose bits are counted at a time.
@@ -123,21 +133,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments
 
 
 def with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, fingerprint words f0.., size and set (sorted 32-bit shingle hashes) of every row of docs."""
-    names = ["node", *(f"f{k}" for k in range(LONGS)), "size", "set"]
+    """doc_id, node, full (the set's 64-bit hash), fingerprint words f0.., size and set (sorted 32-bit shingle hashes)."""
+    names = ["node", "full", *(f"f{k}" for k in range(LONGS)), "size", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            nodes, prints, sizes, sets = [], [], [], []
+            nodes, full, prints, sizes, sets = [], [], [], [], []
             for text in batch.column("text"):
                 hashes = np.unique(shingle_hashes(text.as_py(), words))
                 prints.append(majority(hashes, LONGS))
-                nodes.append(int(prints[-1][-1]) >> 32 << 32 | xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED) >> 32)
+                full.append(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED))
+                nodes.append(int(prints[-1][-1]) >> 32 << 32 | full[-1] >> 32)
                 small = np.unique((hashes >> np.uint64(32)).astype("<u4"))
                 sizes.append(len(small))
                 sets.append(small.tobytes())
             table = np.array(prints, dtype=np.uint64).reshape(-1, LONGS).view(np.int64)
-            columns = [batch.column("doc_id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), *(pa.array(c) for c in table.T.copy()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())]
+            columns = [batch.column("doc_id"), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, full)), *(pa.array(c) for c in table.T.copy()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -145,9 +156,24 @@ def with_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {longs}, size int, set binary")
 
 
-def segment_entries(nodes: DataFrame) -> DataFrame:
-    """node and entry (segment number and value, in 32 bits) for every segment's ball of radius 1."""
-    masks = np.array([0, *(1 << b for b in range(WIDTH))], dtype=np.uint32)
+def numbered_apart(feats: DataFrame) -> DataFrame:
+    """feats with other numbers for sets that share one; the sketch in the number stays. As a rule there are none."""
+    turn = 0
+    while True:
+        clashes = feats.groupBy("node").agg(F.min("full").alias("a"), F.max("full").alias("b")).filter("a <> b").select("node", F.lit(True).alias("clash"))
+        if clashes.isEmpty():
+            return feats
+        turn += 1
+        other = F.col("node").bitwiseAND(~0xFFFFFFFF).bitwiseOR(F.xxhash64("full", F.lit(turn)).bitwiseAND(0xFFFFFFFF))
+        apart = feats.join(clashes, "node", "left").withColumn("node", F.when(F.col("clash"), other).otherwise(F.col("node")))
+        apart = materialize(apart.select(*feats.columns), "copy-feats")
+        release(feats)
+        feats = apart
+
+
+def segment_entries(nodes: DataFrame, balls: bool) -> DataFrame:
+    """node, root and entry (segment number and value, in 32 bits) for every segment, or its ball of radius 1."""
+    masks = np.array([0, *(1 << b for b in range(WIDTH if balls else 0))], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -156,10 +182,27 @@ def segment_entries(nodes: DataFrame) -> DataFrame:
             values = (bits.reshape(-1, SEGMENTS, WIDTH) @ (np.int64(1) << np.arange(WIDTH, dtype=np.int64))).astype(np.uint32)
             tables = np.arange(SEGMENTS, dtype=np.uint32) << np.uint32(WIDTH)
             entries = (values[:, :, None] ^ masks) | tables[None, :, None]
-            node = np.repeat(batch.column("node").to_numpy(), SEGMENTS * len(masks))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(entries.reshape(-1).view(np.int32))], ["node", "entry"])
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), SEGMENTS * len(masks)))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(rows), batch.column("root").take(rows), pa.array(entries.reshape(-1).view(np.int32))], ["node", "root", "entry"])
+
+    return nodes.select("node", "root", *(f"f{k}" for k in range(LONGS))).mapInArrow(run, "node long, root long, entry int")
+
 
-    return nodes.mapInArrow(run, "node long, entry int")
+def prefix_entries(feats: DataFrame, similarity: float) -> DataFrame:
+    """node, root (null) and entry for the first hashes of short sets, of which two similar sets share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            nodes, entries = [], [np.empty(0, "<i4")]
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist()):
+                n = len(data) // 4
+                first = np.frombuffer(data, "<i4")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                nodes += [node] * len(first)
+                entries.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([None] * len(nodes), pa.int64()), pa.array(np.concatenate(entries))], ["node", "root", "entry"])
+
+    short = feats.filter((F.col("size") > 0) & (F.col("size") <= SHORT)).select("node", "set").dropDuplicates(["node"])
+    return short.mapInArrow(run, "node long, root long, entry int")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -197,9 +240,9 @@ def _sketch_distance(a: str, b: str) -> Column:
     return F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 32))
 
 
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The distinct pairs u > v of rows whose sketches, the upper halves of their numbers, are near."""
-    return rows.filter((F.col(a) != F.col(b)) & (_sketch_distance(a, b) <= SKETCH_LIMIT)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+def _pairs(rows: DataFrame, a: str, b: str, limit: int) -> DataFrame:
+    """The distinct pairs u > v of rows whose sketches, the upper halves of their numbers, differ in ``limit`` bits or fewer."""
+    return rows.filter((F.col(a) != F.col(b)) & (_sketch_distance(a, b) <= limit)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
 
 def node_links(links: DataFrame) -> DataFrame:
@@ -208,7 +251,7 @@ def node_links(links: DataFrame) -> DataFrame:
     return materialize(components(links).join(ends.groupBy("node").agg(F.sum("n").alias("degree")), "node"), "copy-roots")
 
 
-def open_pairs(crowds: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def open_pairs(crowds: DataFrame, links: DataFrame, turn: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (u > v) of different components to compare in one round, and the entries that are still open.
 
     crowds: entry and node of entries of four or more. One that holds a single component stays so and is dropped.
@@ -223,14 +266,14 @@ def open_pairs(crowds: DataFrame, links: DataFrame, turn: int) -> tuple[DataFram
     order = Window.partitionBy("entry").orderBy(F.xxhash64("entry", "node", F.lit(turn)), "node")
     row = outside.select("node", "root", F.lag("node").over(order).alias("other"), F.lag("root").over(order).alias("other_root"))
     pairs = outside.select("node", F.col("centre").alias("other")).unionByName(row.filter(F.col("root") != F.col("other_root")).select("node", "other"))
-    return _pairs(pairs, "node", "other"), open_.select("entry", "node")
+    return _pairs(pairs, "node", "other", limit), open_.select("entry", "node")
 
 
-def first_pairs(shared: DataFrame) -> DataFrame:
+def first_pairs(shared: DataFrame, limit: int) -> DataFrame:
     """Pairs (u > v) of the first round: all of small entries, of crowds each set's nearest by sketch."""
     met = shared.select("node", "several", F.explode(F.array("one", "two")).alias("other")).filter("other is not null")
     nearest = met.filter("several").groupBy("node").agg(F.min_by("other", F.struct(_sketch_distance("node", "other").alias("d"), "other")).alias("other"))
-    return _pairs(met.filter("not several").select("node", "other").unionByName(nearest), "node", "other")
+    return _pairs(met.filter("not several").select("node", "other").unionByName(nearest), "node", "other", limit)
 
 
 def distinct_crowds(rows: DataFrame) -> DataFrame:
@@ -239,39 +282,87 @@ def distinct_crowds(rows: DataFrame) -> DataFrame:
     return materialize(rows.select(members.alias("entry"), "node").distinct(), "copy-crowds")
 
 
-def similar_links(feats: DataFrame, similarity: float) -> DataFrame:
-    """Verified links u, v that connect sets that are similar and share an entry. feats: see ``with_sets``."""
-    sets = feats.select("node", "set")
-    nodes = materialize(feats.filter("size > 0").select("node", *(f"f{k}" for k in range(LONGS))).distinct(), "copy-nodes")
+def entry_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """u > v: all pairs of the sets of one component each that share an entry of up to ``most`` sets (0: of any size)."""
+    if most:
+        rows = rows.join(rows.groupBy("entry").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= most)).select("entry"), "entry", "left_semi")
+    u, v = rows.select("entry", F.col("node").alias("u"), F.coalesce("root", "node").alias("a")), rows.select("entry", F.col("node").alias("v"), F.coalesce("root", "node").alias("b"))
+    return u.join(v, "entry").filter("u > v and a <> b").select("u", "v").distinct()
+
+
+def entry_links(rows: DataFrame, links: DataFrame | None, verify: Callable[[DataFrame], DataFrame], limit: int, few: int, every: bool) -> DataFrame:
+    """links, and verified links of sets of different components that share an entry.
+
+    rows: entry, node and root (null: the set itself). Entries of over ``few`` sets are crowds; with ``few`` 3 the
+    others' pairs come from the windows that find the crowds.
+    """
+    if every:
+        found = verify(entry_pairs(rows, 0))
+        return found if links is None else links.unionByName(found).distinct()
     #: By node, which is a sketch and a hash itself: an expression would go through the shuffle as one more number a row.
-    order = Window.partitionBy("entry").orderBy("node")
+    order, entry = Window.partitionBy("entry").orderBy("node"), Window.partitionBy("entry")
+    own = F.coalesce("root", "node")
     back, ahead = ([step("node", k).over(order) for k in (1, 2, 3)] for step in (F.lag, F.lead))
     several = back[2].isNotNull() | ahead[2].isNotNull() | (back[1].isNotNull() & ahead[0].isNotNull()) | (back[0].isNotNull() & ahead[1].isNotNull())
-    rows = segment_entries(nodes).select("entry", "node", back[0].alias("one"), back[1].alias("two"), several.alias("several"))
+    if few > 3:
+        several = F.count("*").over(entry) > few
+    before = [F.lag(own, k).over(order) for k in (1, 2)]
+    rows_ = rows.select("entry", "node", *(F.when(b != own, n).alias(a) for a, n, b in zip(("one", "two"), back, before)), (several & (F.min(own).over(entry) != F.max(own).over(entry))).alias("several"))
     #: Sets that met by chance go here, before anything else is shuffled.
-    near = {k: F.when(_sketch_distance("node", k) <= SKETCH_LIMIT, F.col(k)) for k in ("one", "two")}
-    shared = materialize(rows.withColumns(near).filter("several or one is not null or two is not null"), "copy-entries")
+    near = {k: F.when(_sketch_distance("node", k) <= limit, F.col(k)) for k in ("one", "two")}
+    shared = materialize(rows_.withColumns(near).filter("several or one is not null or two is not null"), "copy-entries")
     crowds = distinct_crowds(shared.filter("several"))
-    links = materialize(similar_pairs(materialize(near_pairs(first_pairs(shared), nodes), "copy-near"), sets, similarity), "copy-links")
+    if few > 3:
+        nearest = first_pairs(shared.filter("several"), limit)
+        pairs = nearest.unionByName(entry_pairs(rows, few)).distinct()
+    else:
+        pairs = first_pairs(shared, limit)
+    found = verify(pairs)
     release(shared)
-    turn = 1
+    links, turn = found if links is None else links.unionByName(found).distinct(), 1
     while True:
-        fresh, still = open_pairs(crowds, links, turn)
-        found = materialize(similar_pairs(materialize(near_pairs(fresh, nodes), "copy-near"), sets, similarity), "copy-links")
+        fresh, still = open_pairs(crowds, links, turn, limit)
+        found = verify(fresh)
         release(crowds)
         if found.isEmpty():
+            release(still)
             return links
         links, crowds, turn = links.unionByName(found).distinct(), still, turn + 1
 
 
-def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of every row of docs (columns doc_id, text), by the similarity of shingle sets."""
-    feats = materialize(with_sets(docs, words), "copy-feats")
-    roots = materialize(components(similar_links(feats, similarity)), "copy-components")
-    ids = feats.groupBy("node").agg(F.min("doc_id").alias("least"))
+def similar_links(feats: DataFrame, similarity: float, every: bool = False) -> DataFrame:
+    """Verified links u, v that connect sets that are similar and share an entry. feats: see ``with_sets``."""
+    sets = feats.select("node", "set")
+    long_ = feats.filter(F.col("size") >= similarity * SHORT)
+    nodes = materialize(long_.select("node", F.lit(None).cast("long").alias("root"), *(f"f{k}" for k in range(LONGS))).dropDuplicates(["node"]), "copy-nodes")
+
+    def verify_sets(pairs: DataFrame) -> DataFrame:
+        return materialize(similar_pairs(materialize(pairs, "copy-near"), sets, similarity), "copy-links")
+
+    def verify_both(pairs: DataFrame) -> DataFrame:
+        return verify_sets(near_pairs(pairs, nodes))
+
+    links = entry_links(materialize(prefix_entries(feats, similarity), "copy-short"), None, verify_sets, 32, FEW, every)
+    if not every:
+        links = entry_links(segment_entries(nodes, False), links, verify_both, SKETCH_LIMIT, 3, False)
+    rooted = nodes if every else nodes.drop("root").join(components(links), "node", "left")
+    return entry_links(segment_entries(rooted, True), links, verify_both, SKETCH_LIMIT, 3, every)
+
+
+def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, every: bool = False) -> DataFrame:
+    """doc_id and component_id of every row of docs (columns doc_id, text), by the similarity of shingle sets.
+
+    every: see the module's docstring.
+    """
+    feats = numbered_apart(materialize(with_sets(docs, words), "copy-feats"))
+    roots = materialize(components(similar_links(feats, similarity, every)), "copy-components")
+    named = materialize(feats.select("doc_id", "node"), "copy-named")
+    #: The sets are as large as the texts; nothing reads them from here on.
+    release(feats)
+    ids = named.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = materialize(ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "copy-rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return feats.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return named.join(ids, "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from plumbline.llm import simhash as N
 
 
@@ -76,6 +77,61 @@ def test_stage_takes_near_copies_that_op7_leaves(spark):
     assert sum(i % 2 == 0 for i in kept) == 40 and sum(i % 2 for i in kept) <= 2
 
 
+def separate_pairs(rng, n_words, pairs):
+    """Texts that are similar to one other text only, by 0.8 to 0.85 (as near to that as so few words can be)."""
+    texts = []
+    while len(texts) < 2 * pairs:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n_words)]
+        copy = list(base)
+        if n_words < 15:
+            copy.append(f"w{rng.randrange(10**6)}")
+        else:
+            for _ in range(max(1, round(n_words / 45))):
+                copy[rng.randrange(len(copy))] = "edited"
+            while jaccard(shingles(" ".join(base)), shingles(" ".join(copy))) > 0.85:
+                copy.append(f"w{rng.randrange(10**6)}")
+        if jaccard(shingles(" ".join(base)), shingles(" ".join(copy))) >= 0.8:
+            texts += [" ".join(base), " ".join(copy)]
+    return texts
+
+
+def test_recall_at_every_length(spark):
+    """Pairs at the bound of similarity, alone: all of the short ones, 0.9 and more of the long ones."""
+    rng, found = random.Random(8), {}
+    lengths = (8, 12, 24, 60, 150, 400, 900)
+    texts = [t for n in lengths for t in separate_pairs(rng, n, 100)]
+    got = {r.doc_id: r.component_id for r in N.similar_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()}
+    for k, n in enumerate(lengths):
+        found[n] = sum(got[i] == got[i + 1] for i in range(200 * k, 200 * k + 200, 2))
+    print("recall of 100", found)
+    assert all(found[n] == 100 for n in (8, 12, 24, 60, 150)) and all(found[n] >= 90 for n in (400, 900))
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
+def test_short_hot_group(spark):
+    """A group of short texts, each similar to a base, and a chain in which only neighbours are similar."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*base, f"x{rng.randrange(10**6)}", f"y{i}"]) for i in range(150)]
+    chain = [f"c{i}" for i in range(400)]
+    texts += [" ".join(chain[i : i + 44]) for i in range(0, 120, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for every in (False, True):
+        got = {r.doc_id: r.component_id for r in N.similar_copies(docs, every=every).collect()}
+        assert {got[i] for i in range(150)} == {0} and {got[i] for i in range(150, 190)} == {150}
+
+
+def test_sets_that_share_a_number_are_told_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i} b c d e f g") for i in range(30)] + [(99, "a3 b c d e f g")], "doc_id long, text string")
+    plain = N.with_sets
+    clashing = lambda docs, words: plain(docs, words).withColumn("node", F.lit(7 << 32).cast("long"))
+    feats = N.numbered_apart(clashing(docs, 5)).collect()
+    assert len({r.node for r in feats}) == len({r.full for r in feats}) == 30 and {r.node >> 32 for r in feats} == {7}
+    expected = sorted(N.similar_copies(docs).collect())
+    monkeypatch.setattr(N, "with_sets", clashing)
+    assert sorted(N.similar_copies(docs).collect()) == expected
+
+
 def test_sets_by_shuffle_and_by_broadcast_agree(spark, monkeypatch):
     words = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join([*words[i % 3 * 30 :], f"x{i}"])) for i in range(12)]
