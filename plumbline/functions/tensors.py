@@ -21,6 +21,33 @@ def shear_scale(flat: Column, to_mandel: bool = True) -> Column:
     return F.zip_with(flat, F.array(*(F.lit(a * b) for a in one for b in one)), lambda c, s: c * s)
 
 
+#: Places of a flat 6x6 array's upper triangle, by row; and with the diagonal first.
+UPPER = tuple((i, j) for i in range(6) for j in range(i, 6))
+DIAGONAL_FIRST = tuple((i, i) for i in range(6)) + tuple((i, j) for i, j in UPPER if i < j)
+
+
+def packed(flat: Column) -> Column:
+    """The 21 numbers of a symmetric flat 6x6 array's upper triangle, by row."""
+    return F.array(*(flat[6 * i + j] for i, j in UPPER))
+
+
+def unpacked(upper: Column) -> Column:
+    """The flat 6x6 array of 21 packed numbers."""
+    return F.array(*(upper[UPPER.index((min(i, j), max(i, j)))] for i in range(6) for j in range(6)))
+
+
+def packed_product(upper: Column, vector: Column) -> Column:
+    """The product of a packed symmetric 6x6 array with an array of six numbers."""
+    row = lambda i: sum((upper[UPPER.index((min(i, j), max(i, j)))] * vector[j] for j in range(6)), F.lit(0.0))
+    return F.array(*(row(i) for i in range(6)))
+
+
+def weighted_vector(flat: Column) -> Column:
+    """21 numbers of a flat 6x6 array's symmetric part, diagonal first, the others times sqrt(2): its norm is the array's."""
+    even = lambda i, j: (flat[6 * i + j] + flat[6 * j + i]) / 2.0
+    return F.array(*(even(i, j) * (1.0 if i == j else 2.0**0.5) for i, j in DIAGONAL_FIRST))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)

@@ -260,13 +260,16 @@ def output_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4, "mean", "std", *_SUMMARY[4:])
 
 
-@query("""WITH n AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events), c AS (SELECT unnest([100, 200, 500, 1000, 2000, 5000, 10000, 50000, 100000])::BIGINT AS n)
-, s AS (SELECT n, avg(value) AS mean, stddev_samp(value) AS std FROM c JOIN n ON pos < n GROUP BY n HAVING count(*) = n), l AS (SELECT arg_max(mean, n) AS m, arg_max(std, n) AS s FROM s)
- SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(1.96 * std / sqrt(n), 6) AS half_width, round(abs(mean - m) / abs(m), 6) AS mean_gap, round(abs(std - l.s) / abs(l.s), 6) AS std_gap FROM s, l""")
+@query("""WITH n AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS pos, count(*) OVER () AS total FROM events),
+ c AS (SELECT DISTINCT least(total, unnest([100, 300, 1000, 3000, 10000, 30000, 50000, 100000])) AS n FROM (SELECT any_value(total) AS total FROM n)),
+ s AS (SELECT n, avg(value) AS mean, stddev_samp(value) AS std, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95 FROM c JOIN n ON pos < n GROUP BY n),
+ l AS (SELECT avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, 0.05) AS a, quantile_cont(value, 0.95) AS b FROM n)
+ SELECT n::BIGINT AS n, round(mean, 6) AS mean, round(std, 6) AS std, round(1.96 * std / sqrt(n), 6) AS half_width, round(q05, 6) AS q05, round(q95, 6) AS q95, round(abs(mean - m) / abs(m), 6) AS mean_gap, round(abs(std - l.s) / abs(l.s), 6) AS std_gap,
+  round(abs(q05 - a) / abs(a), 6) AS q05_gap, round(abs(q95 - b) / abs(b), 6) AS q95_gap FROM s, l""")
 def prefix_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, deviation and interval over the first n events, and against the longest prefix."""
-    out = statistics.prefix_statistics(table(spark, sf_dir, "events"), "event_id", "value", [100, 200, 500, 1000, 2000, 5000, 10000, 50000, 100000])
-    return rounded(out, 6, "mean", "std", "half_width", "mean_gap", "std_gap")
+    """Mean, deviation, interval and outer quantiles over the first n events, and against all events."""
+    out = statistics.prefix_statistics(table(spark, sf_dir, "events"), "event_id", "value", [100, 300, 1000, 3000, 10000, 30000, 50000, 100000])
+    return rounded(out, 6, *(c for c in out.columns if c != "n"))
 
 
 @query("""WITH l AS (SELECT * FROM lineitem WHERE l_orderkey % 13 <> 0), r AS (SELECT l_returnflag, l_linestatus, l_quantity::DOUBLE AS x, l_extendedprice AS y,

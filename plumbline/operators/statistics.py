@@ -42,24 +42,32 @@ def _merged(part: str, order: WindowSpec, last: int) -> tuple[Column, Column, Co
 
 
 def prefix_statistics(rows: DataFrame, order: str, value: str, checkpoints: Sequence[int]) -> DataFrame:
-    """Mean, deviation, half-width of a 95 % interval over the first n rows, for each checkpoint n, and against the last.
+    """n, mean, std, half_width (of a 95 % interval), q05 and q95 of the first n rows for each checkpoint, and their gaps.
 
+    Checkpoints beyond the rows are the number of rows. mean_gap, std_gap, q05_gap and q95_gap: relative to all rows.
     Rows are numbered by ranges and each row is summed once, under the first checkpoint that it is in; later
-    checkpoints merge the centred moments of earlier ones. mean_gap and std_gap: relative to the longest prefix.
+    checkpoints merge the centred moments of earlier ones. Quantiles are exact; each row is counted for every
+    checkpoint that it is in.
     """
     numbered = running_before(rows.select(order, value), [order], {"at": F.lit(1).cast("long")}, "prefix")
+    total = numbered.count()
+    wanted = sorted({min(total, n) for n in checkpoints if n > 0})
+    marks = sorted({*wanted, total})
     step = F.lit(None).cast("long")
-    for n in sorted(checkpoints, reverse=True):
+    for n in reversed(marks):
         step = F.when(F.col("at") < n, F.lit(n).cast("long")).otherwise(step)
     v = F.col(value).cast("double")
-    parts = numbered.withColumn("n", step).filter("n IS NOT NULL").groupBy("n").agg(F.count(v).alias("__c"), F.avg(v).alias("__m"), (F.var_pop(v) * F.count(v)).alias("__q"), F.count("*").alias("rows"))
+    parts = numbered.withColumn("n", step).filter("n IS NOT NULL").groupBy("n").agg(F.count(v).alias("__c"), F.avg(v).alias("__m"), (F.var_pop(v) * F.count(v)).alias("__q"))
     c, mean, q = _merged("__", Window.orderBy("n"), 0)  # one row a checkpoint
-    merged = parts.select("n", c.alias("c"), mean.alias("mean"), q.alias("q"), F.sum("rows").over(Window.orderBy("n")).alias("rows")).filter("rows = n")
+    merged = parts.select("n", c.alias("c"), mean.alias("mean"), q.alias("q"))
     std = F.sqrt(F.greatest(F.lit(0.0), F.try_divide("q", F.col("c") - 1)))
     out = merged.select("n", "mean", std.alias("std"), (1.96 * std / F.sqrt("c")).alias("half_width"))
+    inside = numbered.select(v.alias("v"), F.explode(F.filter(F.array(*(F.lit(n).cast("long") for n in marks)), lambda n: F.col("at") < n)).alias("n"))
+    out = with_quantiles(out, inside, ["n"], "v", {"q05": 0.05, "q95": 0.95})
     last = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gap = lambda x: F.try_divide(F.abs(F.col(x) - F.last(x).over(last)), F.abs(F.last(x).over(last)))
-    return out.withColumns({"mean_gap": gap("mean"), "std_gap": gap("std")})
+    gaps = out.withColumns({f"{x}_gap": gap(x) for x in ("mean", "std", "q05", "q95")})
+    return gaps.filter(F.col("n").isin(wanted)) if wanted != marks else gaps
 
 
 def guarded_correlation(x: Column, y: Column) -> Column:

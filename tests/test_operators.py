@@ -199,7 +199,11 @@ def test_large_means_do_not_cancel(spark):
     df = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "g int, i long, x double, y double").repartition(4)
     (row,) = statistics.correlations(df, ["g"], "x", "y").collect()
     assert math.isclose(row.pearson, np.corrcoef(x, y)[0, 1], rel_tol=1e-6) and row.censored == 0
-    for r in statistics.prefix_statistics(df, "i", "x", [100, 1000, 2000, 3000]).collect():
+    got = statistics.prefix_statistics(df, "i", "x", [100, 1000, 3000, 5000]).orderBy("n").collect()
+    assert [r.n for r in got] == [100, 1000, 2000] and (got[-1].mean_gap, got[-1].std_gap, got[-1].q05_gap, got[-1].q95_gap) == (0, 0, 0, 0)
+    assert [r.n for r in statistics.prefix_statistics(df, "i", "x", [100]).collect()] == [100] and statistics.prefix_statistics(df.limit(0), "i", "x", [100]).count() == 0
+    for r in got:
+        assert np.allclose([r.q05, r.q95], np.quantile(x[: r["n"]], [0.05, 0.95]), rtol=1e-15)
         assert math.isclose(r["std"], x[: r["n"]].std(ddof=1), rel_tol=1e-5) and math.isclose(r["mean"], x[: r["n"]].mean(), rel_tol=1e-12)
         assert math.isclose(r.std_gap, abs(x[: r["n"]].std(ddof=1) / x.std(ddof=1) - 1), abs_tol=1e-5)
 
