@@ -684,6 +684,8 @@ def crossing_fibres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HALF, _WIDTH = 1.2, 0.6
+#: Cells of the box along an axis in SQL: as wide as two fibres reach at least.
+_CELLS = int(_BOX / (2 * _HALF + _WIDTH))
 
 
 def _at(s: str, t: str) -> str:
@@ -695,7 +697,9 @@ def _clip(x: str) -> str:
 
 
 _OVERLAPS = (
-    f"WITH f AS ({_FIBRES}), g AS (SELECT a.id AS i, b.id AS j, a.ux AS u1, a.uy AS u2, a.uz AS u3, b.ux AS v1, b.uy AS v2, b.uz AS v3, {_gap('x')} AS g1, {_gap('y')} AS gy, {_gap('z')} AS gz FROM f a JOIN f b ON a.id < b.id AND abs({_gap('x')}) <= {2 * _HALF + _WIDTH}),"
+    f"WITH f AS ({_FIBRES}), c AS (SELECT *, {', '.join(f'least(floor({a} / {_BOX} * {_CELLS})::INT, {_CELLS - 1}) AS c{a}' for a in 'xyz')} FROM f), w AS (SELECT unnest([-1, 0, 1]) AS w),"
+    f" d AS (SELECT id, x, y, z, ux, uy, uz, {', '.join(f'(c{a} + {a}{a}.w + {_CELLS}) % {_CELLS} AS c{a}' for a in 'xyz')} FROM c, w xx, w yy, w zz), e AS (SELECT * FROM c),"
+    f" g AS (SELECT a.id AS i, b.id AS j, a.ux AS u1, a.uy AS u2, a.uz AS u3, b.ux AS v1, b.uy AS v2, b.uz AS v3, {_gap('x')} AS g1, {_gap('y')} AS gy, {_gap('z')} AS gz FROM d a JOIN e b ON a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz AND a.id < b.id),"
     " h AS (SELECT i, j, g1 * g1 + gy * gy + gz * gz AS g2, g1 * u1 + gy * u2 + gz * u3 AS du, g1 * v1 + gy * v2 + gz * v3 AS dv, u1 * v1 + u2 * v2 + u3 * v3 AS b FROM g),"
     f" k AS (SELECT i, j, least({', '.join([_at(_clip(f'du + b * {t}'), str(t)) for t in (-_HALF, _HALF)] + [_at(str(s), _clip(f'b * {s} - dv')) for s in (-_HALF, _HALF)])},"
     f" CASE WHEN 1 - b * b > 1e-12 AND abs((du - b * dv) / (1 - b * b)) <= {_HALF} AND abs((b * du - dv) / (1 - b * b)) <= {_HALF} THEN {_at('(du - b * dv) / (1 - b * b)', '(b * du - dv) / (1 - b * b)')} END) AS d2"

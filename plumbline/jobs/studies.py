@@ -12,7 +12,7 @@ from plumbline.functions import samples as R
 from plumbline.functions import tensors as T
 from plumbline.jobs import fields, reduced_model
 from plumbline.jobs.catalog import _COEFFICIENTS, _MATERIALS, _RANK, COEFFICIENTS, field_voxels, materials, query, rounded
-from plumbline.operators import sampling, stencils
+from plumbline.operators import metric, sampling, stencils
 from plumbline.sources.tables import table
 
 _SEED = 19
@@ -173,3 +173,20 @@ def sensitivity_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = reduced_model.answer(points, "point", list(COEFFICIENTS), model).select("point.*", *(f"c{n}" for n in names))
     reference = stencils.differences(answers, ["material_id", "name"], [f"c{n}" for n in names])
     return stencils.error_table(analytic, reference, ["material_id", "name"], [f"c{n}" for n in names])
+
+
+# Descriptors: an embedding's first nine numbers.
+
+_NINE = tuple(f"d{i}" for i in range(9))
+
+
+@query(
+    f"WITH d AS (SELECT vec_id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS d{i}' for i in range(9))} FROM embeddings), r AS (SELECT {', '.join(f'min({d}) AS l_{d}, max({d}) - min({d}) AS w_{d}' for d in _NINE)} FROM d),"
+    + f" n AS (SELECT vec_id, {', '.join(f'({d} - l_{d}) / CASE WHEN w_{d} <= 1e-14 THEN 1 ELSE w_{d} END AS {d}' for d in _NINE)} FROM d, r),"
+    + f" p AS (SELECT a.vec_id, min(sqrt({' + '.join(f'(a.{d} - b.{d}) ** 2' for d in _NINE)})) AS distance FROM n a JOIN n b ON a.vec_id <> b.vec_id GROUP BY 1)"
+    + " SELECT vec_id, round(distance, 9) AS distance, distance > 0.15 AS separated FROM p"
+)
+def realised_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each descriptor to the nearest other one, and whether they are far enough apart."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(_NINE)))
+    return rounded(metric.separated(rows, "vec_id", _NINE).drop("compared"), 9, "distance")
