@@ -13,6 +13,8 @@ from plumbline.functions import tensors as T
 from plumbline.jobs import fields, reduced_model
 from plumbline.jobs.catalog import _COEFFICIENTS, _MATERIALS, _RANK, COEFFICIENTS, field_voxels, materials, query, rounded
 from plumbline.operators import metric, sampling, stencils
+from plumbline.sources import arrays, logs
+from plumbline.sources.scratch import scratch_path
 from plumbline.sources.tables import table
 
 _SEED = 19
@@ -190,3 +192,31 @@ def realised_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of each descriptor to the nearest other one, and whether they are far enough apart."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(_NINE)))
     return rounded(metric.separated(rows, "vec_id", _NINE).drop("compared"), 9, "distance")
+
+
+# Arrays and logs: written, and read back.
+
+
+@query("SELECT vec_id, i::INT AS i, round(embedding[i + 1]::DOUBLE, 9) AS value FROM embeddings, (SELECT unnest(range(64)) AS i)")
+def array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, written as arrays and read back by ranges."""
+    spark.dataSource.register(arrays.NpySource)
+    folder = scratch_path(spark, "arrays")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("position"), F.col("embedding").cast("array<double>").alias("values"))
+    rows.repartitionByRange("position").write.format("npy").mode("append").save(folder)
+    back = arrays.written_rows(spark, folder)
+    return back.select(F.col("position").alias("vec_id"), F.posexplode("values").alias("i", "value")).withColumn("value", F.round("value", 9))
+
+
+_BATCHES = 8
+
+
+@query(_COEFFICIENTS + f" SELECT material_id, {', '.join(f'round({c}, 6) AS {c}' for c in COEFFICIENTS)}, 'batch-' || lpad(((row_number() OVER (ORDER BY material_id) - 1) // (SELECT (count(*) + {_BATCHES - 1}) // {_BATCHES} FROM part))::VARCHAR, 6, '0') AS batch FROM c")
+def resumed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coefficients of all materials by a log in batches whose run stops after three and is then taken up again."""
+    rows = materials(spark, sf_dir).drop("p_brand")
+    log = logs.Log(spark, scratch_path(spark, "log"), ["material_id"])
+    size = -(-rows.count() // _BATCHES)
+    for most in (3, None):
+        log.run(rows, size, lambda own: M.coefficients(own).select("material_id", *COEFFICIENTS), most)
+    return rounded(log.read(), 6, *COEFFICIENTS)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline.jobs import fields, reduced_model
 from plumbline.operators import campaign, linalg, ordered, quantiles, relational, spatial, statistics
-from plumbline.sources.arrays import NpySource
 from plumbline.sources.scratch import materialize, scratch_root
 from plumbline.streaming import online
 
@@ -144,16 +143,6 @@ def test_reduced_model_answers(spark):
     assert picked[0].id == int(np.argmax([np.linalg.norm(r.v) for r in rows.orderBy("id").collect()]))
 
 
-def test_npy_source(spark, tmp_path):
-    arrays = {"a": np.arange(24.0).reshape(2, 3, 4), "b": np.ones((1, 2), dtype=np.uint8)}
-    for name, value in arrays.items():
-        np.save(tmp_path / f"{name}.npy", value)
-    spark.dataSource.register(NpySource)
-    got = spark.read.format("npy").load(str(tmp_path)).orderBy("name", "position").collect()
-    assert [(r.name, r.position, r.shape) for r in got] == [("a", 0, [2, 3, 4]), ("a", 1, [2, 3, 4]), ("b", 0, [1, 2])]
-    assert got[1]["values"] == list(arrays["a"][1].ravel())
-
-
 def test_stream_in_batches_equals_one_pass(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, f"g{i % 3}", rng.gauss(10, 1 + i % 3)) for i in range(240)]
