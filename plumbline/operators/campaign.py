@@ -37,6 +37,71 @@ def flattened(rows: DataFrame, separator: str = "_") -> DataFrame:
     return rows.select(*walk(rows.schema, ()))
 
 
+#: Names of value types in a table of settings.
+TYPES = {"string": "str", "boolean": "bool", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float"}
+
+
+def settings_rows(rows: DataFrame, key: Sequence[str], separator: str = "_") -> DataFrame:
+    """key, parameter, value (text) and value_type of every setting of rows, nested ones by their path.
+
+    A null is an empty text of type NoneType; times and other kinds are named as Spark names them.
+    """
+    flat = flattened(rows, separator)
+    entries = []
+    for field in flat.schema.fields:
+        if field.name in key:
+            continue
+        column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+        value = F.struct(F.lit(field.name).alias("parameter"), F.coalesce(column.cast("string"), F.lit("")).alias("value"), F.when(column.isNull(), "NoneType").otherwise(TYPES.get(kind, kind)).alias("value_type"))
+        entries.append(value)
+    return flat.select(*key, F.explode(F.array(*entries)).alias("e")).select(*key, "e.*")
+
+
+def finite(rows: DataFrame) -> DataFrame:
+    """rows with NaN and infinite numbers as nulls, inside arrays and structs too."""
+
+    def clean(column: Column, kind) -> Column:
+        if kind.simpleString() in ("double", "float"):
+            return F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column)
+        if isinstance(kind, ArrayType):
+            return F.transform(column, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, StructType):
+            whole = F.struct(*(clean(column[f.name], f.dataType).alias(f.name) for f in kind.fields))
+            return F.when(column.isNotNull(), whole)
+        return column
+
+    return rows.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields))
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """value: each row as JSON with its columns in the order of their names; what is not finite is null."""
+    return finite(rows).select(F.to_json(F.struct(*(f"`{c}`" for c in sorted(rows.columns))), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def require_disjoint(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows, if none of their keys is in the others."""
+    match = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    shared = rows.alias("a").join(others.select(*keys).alias("b"), match, "left_semi")
+    if not shared.isEmpty():
+        raise ValueError(f"{shared.count()} rows are in both tables")
+    return rows
+
+
+def require_causal(rows: DataFrame, flag: str) -> DataFrame:
+    """rows, if none was chosen by what is known only afterwards; a row without the flag does not pass."""
+    if flag not in rows.columns or not rows.filter(F.coalesce(F.col(flag).cast("boolean"), F.lit(True))).isEmpty():
+        raise ValueError(f"rows were chosen with {flag}, or it is not known")
+    return rows
+
+
+def require_rows(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """The first ``count`` rows by key; an error if there are fewer."""
+    first = rows.orderBy(key).limit(count)
+    if first.count() < count:
+        raise ValueError(f"there are fewer than {count} rows")
+    return first
+
+
 def as_flag(text: Column) -> Column:
     """A flag that was written as text: true, 1, yes (any case) or false, 0, no; null for anything else."""
     low = F.lower(F.trim(text.cast("string")))

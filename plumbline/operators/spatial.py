@@ -76,15 +76,44 @@ def _near(probes: DataFrame, points: DataFrame, box: float, radius: float) -> Da
     return met.filter(F.col("d2") <= radius * radius).groupBy("id").agg(F.min(F.struct("d2", "j")).alias("b"))
 
 
+#: Points that a cell may hold at the radius from which the nearest ones are looked for.
+CROWD = 64
+
+
+def _calm_radius(places: DataFrame, box: float, radius: float) -> float:
+    """The radius, or a smaller one at which no cell of the (different) places holds over CROWD of them."""
+    while True:
+        cells = math.floor(box / radius)
+        at = [F.least(F.floor(F.col(c) / F.lit(box) * cells), F.lit(cells - 1)).alias(f"c{c}") for c in "xyz"]
+        most = places.groupBy(*at).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        #: Doubles of the box tell no smaller cells apart.
+        if most is None or most <= CROWD or 4 * cells > 1 << 20:
+            return radius
+        radius /= 4
+
+
 def nearest(points: DataFrame, box: float) -> DataFrame:
     """id, nearest id and distance of every point (null for a single one); smaller ids win ties.
 
-    Points that have found none within a radius look again within twice the radius, from a quarter of the mean
-    spacing on. Those that have none within a third of the box are further apart than that from each other, so
-    there are under 400 of them, and they are sent to all points.
+    Points at one place are each other's nearest. The others look within a radius at which no cell is crowded, a
+    quarter of the mean spacing at most; those that have found none look again within twice the radius. So a cell that
+    is crowded by then is looked into by points that are far from each other only. Those that have none within a third
+    of the box are further apart than that from each other, so there are under 400 of them, and they are sent to all
+    points.
     """
+    place = ["x", "y", "z"]
+    same = points.groupBy(*place).agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    same = materialize(same, "nearest-places")
+    both = points.select("id", *place).join(same.filter("n > 1").select(*place, "least"), place)
+    second = both.filter("id <> least").groupBy("least").agg(F.min("id").alias("second"))
+    twins = both.join(second, "least").select("id", F.struct(F.lit(0.0).alias("d2"), F.when(F.col("id") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("j")).alias("b"))
+    found = materialize(twins, "nearest") if not same.filter("n > 1").isEmpty() else None
+    #: A place's least id stands for it: it wins ties against the place's others.
+    points = same.select(F.col("least").alias("id"), *place)
     n = points.count()
-    rest, radius, found = points.select("id", "x", "y", "z"), box / max(n, 1) ** (1 / 3) / 4, None
+    rest, radius = same.filter("n = 1").select(F.col("least").alias("id"), *place), box / max(n, 1) ** (1 / 3) / 4
+    if n > 1:
+        radius = _calm_radius(points, box, radius)
     while 3 * radius <= box and n > 1:
         some = materialize(_near(rest, points, box, radius), "nearest")
         found = some if found is None else found.unionByName(some)
@@ -95,7 +124,7 @@ def nearest(points: DataFrame, box: float) -> DataFrame:
     a, b = F.broadcast(rest.alias("a")), points.alias("b")
     gaps = [periodic_gap(F.col(f"a.{c}"), F.col(f"b.{c}"), box) for c in "xyz"]
     far = b.join(a, F.col("a.id") != F.col("b.id")).select(F.col("a.id").alias("id"), F.struct((gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]).alias("d2"), F.col("b.id").alias("j")).alias("b")).groupBy("id").agg(F.min("b").alias("b"))
-    far = rest.select("id").join(far, "id", "left") if n else far
+    far = rest.select("id").join(far, "id", "left")
     both = far if found is None else found.unionByName(far)
     return both.select("id", F.col("b.j").alias("nearest"), F.sqrt("b.d2").alias("distance"))
 

@@ -70,6 +70,22 @@ def prefix_statistics(rows: DataFrame, order: str, value: str, checkpoints: Sequ
     return gaps.filter(F.col("n").isin(wanted)) if wanted != marks else gaps
 
 
+def online_summary(rows: DataFrame, group: Sequence[str], seconds: str, width: str, bound: float = 1e-4) -> DataFrame:
+    """What queries of each group took, and how wide their certificates were.
+
+    query_count, total_s, median_ms, p95_ms, max_ms, queries_per_s; median, p95 and max of the relative width and of the
+    relative error it implies (width / (1 - width)), and the number of queries within the bound. No nulls.
+    """
+    measured = rows.select(*group, F.col(seconds).cast("double").alias("s"), F.col(width).cast("double").alias("w")).withColumn("e", F.col("w") / F.greatest(1.0 - F.col("w"), F.lit(2.2250738585072014e-308)))
+    total = F.sum("s")
+    out = measured.groupBy(*group).agg(
+        F.count("*").alias("query_count"), total.alias("total_s"), (1000.0 * F.max("s")).alias("max_ms"), F.try_divide(F.count("*"), total).alias("queries_per_s"), F.max("w").alias("width_max"), F.max("e").alias("implied_max"), F.count_if(F.col("e") <= bound).alias("within_bound")
+    )
+    for name, column in (("ms", "s"), ("width", "w"), ("implied", "e")):
+        out = with_quantiles(out, measured, group, column, {f"{name}_median": 0.5, f"{name}_p95": 0.95})
+    return out.withColumns({"median_ms": 1000.0 * F.col("ms_median"), "p95_ms": 1000.0 * F.col("ms_p95")}).drop("ms_median", "ms_p95")
+
+
 def guarded_correlation(x: Column, y: Column) -> Column:
     """Pearson's correlation over the rows of a group; null if either is constant."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from plumbline.jobs import catalog, geometry, studies  # noqa: F401
+from plumbline.jobs import catalog, designs, geometry, studies  # noqa: F401
 
 
 def plain(value):

@@ -245,6 +245,19 @@ def test_nearest_points_however_far(spark):
     assert {(r.id, r.nearest) for r in two} == {(100, 101), (101, 100)}
 
 
+def test_nearest_points_in_a_cluster(spark):
+    rng = np.random.default_rng(11)
+    x = np.vstack([50 + 0.01 * rng.random((1200, 3)), 100 * rng.random((60, 3)), np.tile([[50.005, 50.005, 50.005]], (40, 1)), [[99.99, 50, 50], [0.01, 50, 50]]])
+    got = {r.id: (r.nearest, r.distance) for r in spatial.nearest(spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double, z double").repartition(4), 100.0).collect()}
+    assert len(got) == len(x)
+    for i, p in enumerate(x):
+        gap = x - p
+        d2 = ((gap - 100 * np.rint(gap / 100)) ** 2).sum(axis=1)
+        d2[i] = np.inf
+        assert math.isclose(got[i][1], d2.min() ** 0.5, rel_tol=1e-9) and math.isclose(d2[got[i][0]], d2.min(), rel_tol=1e-9)
+    assert got[1260][0] == 1261 and {got[i][0] for i in range(1261, 1300)} == {1260} and got[1300][0] == 1301
+
+
 def test_segments_against_many_points(spark):
     rng = np.random.default_rng(7)
     unit = lambda: (lambda v: v / np.linalg.norm(v))(rng.normal(size=3))
