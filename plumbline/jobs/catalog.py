@@ -935,6 +935,20 @@ def inverse_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduced_model.identify(answers, "material_id", names, model, low, high)
 
 
+@query(_STRAINS + """, f AS (SELECT vec_id, k, [e1, e2, e3, e4, e5, e6] AS e FROM k), p AS (SELECT k, sqrt(sum(list_dot_product(e, e)) / (6 * count(*))) AS score FROM f GROUP BY k)
+ SELECT (row_number() OVER (ORDER BY score DESC, k) - 1)::INT AS position, k::INT AS field, round(score, 8) AS score FROM p ORDER BY score DESC, k LIMIT 3""")
+def first_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first batch of the fields' selection: the three largest."""
+    found = fields.adaptive_fields(field_voxels(spark, sf_dir), "vec_id", "v", _RANK, 3, 1, 1e-6)
+    return rounded(found, 8, "score")
+
+
+@query()
+def adaptive_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields chosen three at a time, each the worst represented so far."""
+    return fields.adaptive_fields(field_voxels(spark, sf_dir), "vec_id", "v", _RANK, 3, 4, 1e-6)
+
+
 @query()
 def adaptive_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots chosen in batches, each the worst represented so far."""
@@ -944,7 +958,7 @@ def adaptive_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files (a pattern, since a stream's source is no single file)."""
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(f"""WITH r AS (SELECT *, CASE WHEN n >= 10 AND abs(mean) > 1e-12 THEN 1.96 * std / (sqrt(n) * abs(mean)) END AS error FROM ({_RUNNING})),

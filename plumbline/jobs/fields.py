@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.tensors import mandel_rotations
 from plumbline.jobs.reduced_model import LOADS, TERMS, ReducedModel
+from plumbline.operators import bases
 
 #: Voxels that a task works on at a time.
 BLOCK = 2048
@@ -139,3 +140,32 @@ def snapshot_modes(gram: np.ndarray, tolerance: float = 1e-12) -> tuple[np.ndarr
     energies, vectors = np.maximum(energies[::-1], 0.0), vectors[:, ::-1].T
     kept = energies > max(tolerance * (energies[0] if len(energies) else 0.0), 1e-300)
     return energies[kept], vectors[kept] / np.sqrt(energies[kept])[:, None]
+
+
+def adaptive_fields(fields: DataFrame, key: str, values: str, count: int, batch: int, rounds: int, tolerance: float) -> DataFrame:
+    """position, field and score of fields chosen in batches, each the worst represented by those chosen before.
+
+    fields: one row a voxel with ``count`` candidate fields; key: a column that stays. A score is the root mean square of
+    what a candidate has beyond the basis of the chosen ones. The basis is a column of the voxels' table that each
+    batch extends; the driver sees inner products only. It ends when no score is over the tolerance.
+    """
+    rows = fields.filter(F.col(values).isNotNull()).select(key, values)
+    power = np.diag(bases.products(rows, values, values, (count, count), LOADS)).copy()
+    chosen: list[tuple[int, int, float]] = []
+    size, left = 0, power.copy()
+    for _ in range(rounds):
+        scores = np.sqrt(np.maximum(left, 0.0))
+        scores[[f for _, f, _ in chosen]] = 0.0
+        order = sorted(range(count), key=lambda f: (-scores[f], f))[:batch]
+        new = [f for f in order if scores[f] > tolerance]
+        if not new:
+            break
+        chosen += [(len(chosen) + k, f, float(scores[f])) for k, f in enumerate(new)]
+        fresh = F.concat(*(F.slice(values, LOADS * f + 1, LOADS) for f in new))
+        if size:
+            rows, added = bases.appended(rows.withColumn("fresh", fresh), "basis", "fresh", (size, len(new)), LOADS)
+        else:
+            rows, added = bases.orthonormalised(rows.withColumn("basis", fresh), "basis", len(new), LOADS)
+        size += len(added)
+        left = power - (bases.products(rows, "basis", values, (size, count), LOADS) ** 2).sum(axis=0)
+    return fields.sparkSession.createDataFrame(chosen, "position int, field int, score double")

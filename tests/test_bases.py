@@ -92,3 +92,21 @@ def test_extended_operators_equal_full_ones_and_keep_the_old(spark):
     for rank, start in ((5, 5), (8, 0), (8, 4)):
         with pytest.raises(ValueError):
             fields.extended(stored, table, "v", rank, start)
+
+
+def test_fields_are_chosen_by_what_the_chosen_miss(spark):
+    rng = np.random.default_rng(23)
+    values = rng.normal(size=(9, 6, 60)) * np.array([1, 5, 2, 0.1, 4, 3, 1, 1, 1])[:, None, None]
+    values[6] = values[1] - values[4]
+    values[7], values[8] = 2 * values[1], 0
+    got = [(r.position, r.field, r.score) for r in fields.adaptive_fields(voxel_table(spark, values), "k", "v", 9, 2, 10, 1e-6).orderBy("position").collect()]
+    flat, expected, basis = values.reshape(9, -1), [], np.zeros((0, 360))
+    while True:
+        left = flat - (flat @ basis.T / 360) @ basis
+        scores = np.sqrt((left**2).mean(axis=1))
+        new = [f for f in sorted(range(9), key=lambda f: (-round(scores[f], 9), f))[:2] if scores[f] > 1e-6]
+        if not new:
+            break
+        expected += [(len(expected) + k, f, scores[f]) for k, f in enumerate(new)]
+        basis = np.linalg.qr(np.vstack([basis, flat[new]]).T)[0].T[: np.linalg.matrix_rank(np.vstack([basis, flat[new]]))] * 360**0.5
+    assert [g[:2] for g in got] == [e[:2] for e in expected] and np.allclose([g[2] for g in got], [e[2] for e in expected], atol=1e-6)

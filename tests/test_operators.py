@@ -165,6 +165,31 @@ def test_stream_in_batches_equals_one_pass(spark, tmp_path):
         assert math.isclose(last[g].mean, np.mean(values[:end]), rel_tol=1e-9) and math.isclose(last[g].std, np.std(values[:end], ddof=1), rel_tol=1e-9)
 
 
+def test_stream_with_one_hot_group(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    n = 27_000
+    group = np.where(np.arange(n) % 3 == 0, 0, np.arange(n) % 500 + 1)
+    value = 1e7 + 4e7 * rng.normal(size=n)
+    rows = [(int(i), int(g), None if i % 101 == 0 else float(v)) for i, g, v in zip(range(n), group, value)]
+    for k in range(2):
+        spark.createDataFrame(rows[k * n // 2 : (k + 1) * n // 2], "i long, g int, v double").repartition(3).write.parquet(str(tmp_path / f"in/part={k}"))
+    stream = spark.readStream.schema("i long, g int, v double").option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in/*"))
+    out = online.run_available(online.online_convergence(stream, "g", "i", "v", 0.09, 1.96, 100, 40), "hot-stream")
+    last = {r.g: r for r in out.groupBy("g").agg(F.max_by(F.struct("n", "mean", "std", "converged"), F.struct("n", "converged")).alias("s")).select("g", "s.*").collect()}
+    for g in (0, 1, 77):
+        values, stable, end = np.array([v for _, h, v in rows if h == g and v is not None]), 0, None
+        for m in range(1, len(values) + 1):
+            if m >= 100:
+                part = values[:m]
+                stable = stable + 1 if 1.96 * part.std(ddof=1) / m**0.5 / abs(part.mean()) <= 0.09 else 0
+                if stable == 40:
+                    end = m
+                    break
+        stop = end or len(values)
+        assert (last[g].n, last[g].converged) == (stop, end is not None) and math.isclose(last[g].mean, values[:stop].mean(), rel_tol=1e-9) and math.isclose(last[g].std, values[:stop].std(ddof=1), rel_tol=1e-9)
+    assert last[0].converged and last[0].n > 4096
+
+
 def test_quantiles_with_one_hot_group(spark):
     rng = random.Random(3)
     rows = [("hot" if i % 10 else None if i % 20 else "b", rng.choice([1e9 + rng.random(), 5.0, -2.0]), rng.randrange(5)) for i in range(600)] + [("c", 1.0, 0), ("c", None, 0)]
