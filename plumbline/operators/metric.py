@@ -1,6 +1,6 @@
 """Exact nearest neighbours in many dimensions, by pivots and the triangle inequality.
 
-Some points are pivots, a number that does not grow with the rows. Each point belongs to its nearest pivot's cell; a
+Some points are pivots, PIVOTS of them at most. Each point belongs to its nearest pivot's cell; a
 cell's points are cut by their distance to the pivot into shells of at most ``most`` points, so a crowded cell is many
 groups. A point's nearest one in its own shell bounds its distance from above. Then it visits the shells that may hold
 a nearer one: a shell with distances from low to high to its pivot is no nearer than d - high or low - d, for d the
@@ -88,7 +88,9 @@ def nearest_neighbours(points: DataFrame, key: str, most: int = 4096, seed: int
     if n < 2:
         return rows.select(key, F.lit(None).cast("double").alias("distance"), F.lit(0).cast("long").alias("compared"))
     most = max(most, n // SHELLS)
-    pivots = np.array([r["v"] for r in exact_sample(rows, key, min(PIVOTS, int(np.ceil(n**0.5))), seed).collect()], dtype=float)
+    #: Some cells for each shell's worth of points: more would tell no more apart, and a point visits each one by one.
+    wanted = min(PIVOTS, n, max(8, 4 * n // most))
+    pivots = np.array([r["v"] for r in exact_sample(rows, key, wanted, seed).collect()], dtype=float)
     placed = running_before(_celled(rows, key, kind, pivots), ["cell", "r", key], {"at": F.lit(1).cast("long")}, "metric-order")
     placed = materialize(placed.withColumn("shell", F.floor(F.col("at") / most)).drop("at"), "metric-shells")
     shells = placed.groupBy("cell", "shell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).toArrow()
