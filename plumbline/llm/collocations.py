@@ -41,6 +41,8 @@ from plumbline.sources.scratch import materialize, release
 SENT = 1 << 21
 #: Distinct words, and joined phrases, that a task counts before it hands them on.
 COUNTED_WORDS, COUNTED_PHRASES = 200_000, 1 << 21
+#: Words, of all languages, whose keys a task remembers.
+KNOWN_WORDS = 600_000
 _UPPER, _CUTS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(_UPPER + _CUTS + b"\t", _UPPER.lower() + b"." * len(_CUTS) + b" ")
 _NUMBERS = "<i4"
@@ -160,7 +162,8 @@ def word_relation(docs: DataFrame, seed: int, groups: DataFrame) -> DataFrame:
     def keys_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
         lang = row["lang"]
         known = memo.setdefault(lang, {b".": 0})
-        if len(known) > 4 * COUNTED_WORDS:
+        if sum(map(len, memo.values())) > KNOWN_WORDS:
+            memo.clear()
             memo[lang] = known = {b".": 0}
         own = slots(row["text"])
         for w in set(own).difference(known):
