@@ -204,6 +204,13 @@ def test_quantiles_with_one_hot_group(spark):
         own = sorted(r.v for r in ranks if r.g == g)
         assert all(r.r == np.mean([i + 1 for i, v in enumerate(own) if v == r.v]) for r in ranks if r.g == g)
     assert quantiles.quantiles(df.limit(0), ["g"], "v", levels).count() == 0
+    #: One value, values of no finite range, no group, many groups.
+    odd = spark.createDataFrame([("one", 3.0)] * 5 + [("far", x) for x in (float("-inf"), 1.0, 2.0, float("inf"), 1e300)], "g string, v double")
+    assert {r.g: (r.half, r.q95) for r in quantiles.quantiles(odd, ["g"], "v", {"half": 0.5, "q95": 0.75}).collect()} == {"one": (3.0, 3.0), "far": (2.0, 1e300)}
+    (all_,) = quantiles.quantiles(df, [], "v", levels).collect()
+    assert math.isclose(all_.q10, np.quantile([v for _, v, _ in rows if v is not None], 0.1), rel_tol=1e-12)
+    many = spark.range(30_000).selectExpr("id % 6000 AS g", "id * 1.0 AS v")
+    assert {(r.half - r.g) for r in quantiles.quantiles(many, ["g"], "v", {"half": 0.5}).collect()} == {12_000.0}
 
 
 def test_large_means_do_not_cancel(spark):
