@@ -59,6 +59,15 @@ def normal_quantile(u: Column) -> Column:
     return F.when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, MIDDLE)).when(q < 0, -far).otherwise(far)
 
 
+def normal_quantiles(us: Column) -> Column:
+    """``normal_quantile`` of an array's numbers. Each step is an array of its own: in a lambda nothing is computed once for several uses."""
+    bent = F.transform(us, lambda u: F.struct((u - 0.5).alias("q"), F.sqrt(-F.log(F.least(u, 1.0 - u))).alias("tail")))
+    x = lambda p: F.when(F.abs(p["q"]) <= 0.425, 0.180625 - p["q"] * p["q"]).when(p["tail"] <= 5.0, p["tail"] - 1.6).otherwise(p["tail"] - 5.0)
+    placed = F.transform(bent, lambda p: F.struct(p["q"].alias("q"), p["tail"].alias("tail"), x(p).alias("x")))
+    far = lambda p: F.when(p["tail"] <= 5.0, _ratio(p["x"], TAIL)).otherwise(_ratio(p["x"], FAR)) * F.when(p["q"] < 0, -1.0).otherwise(1.0)
+    return F.transform(placed, lambda p: F.when(F.abs(p["q"]) <= 0.425, p["q"] * _ratio(p["x"], MIDDLE)).otherwise(far(p)))
+
+
 def truncated_normal(u: Column, mean: float, sd: float, low: float, high: float) -> Column:
     """The quantile of u of a normal distribution that is cut at low and high."""
     whole = NormalDist(mean, sd)
@@ -75,11 +84,12 @@ def derived_seeds(seed: int, key: Column, count: int) -> Column:
 
 def noise(flat: Column, share: float, seed: int, key: Column) -> Column:
     """A symmetric flat 6x6 array of normal numbers whose Frobenius norm is ``share`` of flat's."""
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: normal_quantile(uniform(seed, i, key)))
+    drawn = normal_quantiles(F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: uniform(seed, i, key)))
     even = lambda a: F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: (a[i] + a[(i % 6) * 6 + F.floor(i / 6).cast("int")]) / 2.0)
     size = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
     #: Each step is the one element of an array, so that it is computed once.
-    scaled = F.transform(F.transform(F.array(drawn), even), lambda a: F.transform(a, lambda x: F.try_divide(x * share * size(flat), size(a))))
+    sized = F.transform(F.transform(F.array(drawn), even), lambda a: F.struct(a.alias("a"), size(flat).alias("whole"), size(a).alias("own")))
+    scaled = F.transform(sized, lambda s: F.transform(s["a"], lambda x: F.try_divide(x * share * s["whole"], s["own"])))
     return scaled[0]
 
 

@@ -13,6 +13,7 @@ from plumbline.functions import tensors as T
 from plumbline.jobs import fields, reduced_model
 from plumbline.jobs.catalog import _COEFFICIENTS, _MATERIALS, _RANK, COEFFICIENTS, field_voxels, materials, query, rounded
 from plumbline.operators import metric, sampling, stencils
+from plumbline.operators.ordered import spread
 from plumbline.sources import arrays, logs
 from plumbline.sources.scratch import scratch_path
 from plumbline.sources.tables import table
@@ -109,7 +110,7 @@ def stiffnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def noisy_stiffness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symmetric noise of a stated share of each stiffness, and the share it has."""
-    rows = stiffnesses(spark, sf_dir).withColumn("n", R.noise(F.col("c"), _SHARE, _SEED, F.col("material_id")))
+    rows = spread(stiffnesses(spark, sf_dir)).withColumn("n", R.noise(F.col("c"), _SHARE, _SEED, F.col("material_id")))
     share = F.sqrt(T.dot(F.col("n"), F.col("n"))) / F.sqrt(T.dot(F.col("c"), F.col("c")))
     out = rows.select("material_id", F.round(share, 9).alias("share"), T.packed(F.col("n")).alias("n"))
     return out.select("material_id", "share", *(F.round(F.col("n")[k], 6).alias(f"n{i + 1}{j + 1}") for k, (i, j) in enumerate(T.UPPER)))
