@@ -16,11 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import statistics
+from plumbline.operators.ordered import spread
 
 TERMS = 7
 LOADS = 6
 
 
+def _summed(q: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """(n, i, j): sums of the terms (7, i, j) weighted by each row of q (n, 7), as one product."""
+    return (q @ terms.reshape(len(terms), -1)).reshape(len(q), *terms.shape[1:])
+
+
 @dataclass(frozen=True)
 class ReducedModel:
     """stiffness (7, r, r), loads (7, r, 6), constants (7, 6, 6)."""
@@ -31,11 +37,10 @@ class ReducedModel:
 
     def solve(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Outputs (n, 6, 6) and relative residuals (n) for coefficients (n, 7)."""
-        k = np.einsum("nq,qij->nij", q, self.stiffness)
-        b = np.einsum("nq,qij->nij", q, self.loads)
+        k, b = _summed(q, self.stiffness), _summed(q, self.loads)
         x = np.linalg.solve(k, b)
         left = np.linalg.norm(k @ x - b, axis=(1, 2)) / np.maximum(np.linalg.norm(b, axis=(1, 2)), 1e-300)
-        out = np.einsum("nq,qij->nij", q, self.constants) - b.swapaxes(1, 2) @ x
+        out = _summed(q, self.constants) - b.swapaxes(1, 2) @ x
         return (out + out.swapaxes(1, 2)) / 2, left
 
 
@@ -54,7 +59,7 @@ def answer(materials: DataFrame, key: str, coefficients: list[str], model: Reduc
 
     kind = materials.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, " + ", ".join(f"{n} double" for n in (*names, "residual", "least_eigenvalue"))
-    return materials.select(key, *coefficients).mapInPandas(run, schema)
+    return spread(materials.select(key, *coefficients)).mapInPandas(run, schema)
 
 
 def uncertainty(answers: DataFrame, outputs: list[str], tolerance: float = 1e-8) -> DataFrame:
@@ -78,7 +83,7 @@ def rank_curve(materials: DataFrame, key: str, coefficients: list[str], model: R
                 yield pd.DataFrame({"rank": r, key: frame[key], "error": gap})
 
     kind = materials.schema[key].dataType.simpleString()
-    errors = materials.select(key, *coefficients).mapInPandas(run, f"rank int, {key} {kind}, error double")
+    errors = spread(materials.select(key, *coefficients)).mapInPandas(run, f"rank int, {key} {kind}, error double")
     return statistics.error_statistics(errors, ["rank"], "error", key)
 
 
@@ -127,7 +132,8 @@ def _by_batch(rows: DataFrame, key: str, columns: list[str], schema: str, make)
             if len(frame):
                 yield make(frame[key].to_numpy(), frame[columns].to_numpy(dtype=float))
 
-    return rows.select(key, *columns).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+    #: Rows are few bytes and much work.
+    return spread(rows.select(key, *columns)).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
 
 
 def certified(materials: DataFrame, key: str, coefficients: list[str], model: ReducedModel, rank: int) -> DataFrame:
@@ -171,9 +177,13 @@ def sensitivities(materials: DataFrame, key: str, coefficients: list[str], model
 
 def _slopes(model: ReducedModel, q: np.ndarray) -> np.ndarray:
     """(n, 7, 6, 6): D_k - B_k^T X - X^T B_k + X^T K_k X with X = K^-1 B."""
-    x = np.linalg.solve(np.einsum("nq,qij->nij", q, model.stiffness), np.einsum("nq,qij->nij", q, model.loads))
-    cross = np.einsum("qri,nrj->nqij", model.loads, x)
-    inner = np.einsum("nri,qrs,nsj->nqij", x, model.stiffness, x, optimize=True)
+    x = np.linalg.solve(_summed(q, model.stiffness), _summed(q, model.loads))
+    n, r = x.shape[:2]
+    flat = np.ascontiguousarray(x.swapaxes(1, 2)).reshape(n * LOADS, r)
+    #: Row (n, j) of flat is column j of X: products with all terms at once.
+    cross = (flat @ model.loads.transpose(1, 0, 2).reshape(r, TERMS * LOADS)).reshape(n, LOADS, TERMS, LOADS).transpose(0, 2, 3, 1)
+    pushed = (flat @ model.stiffness.transpose(2, 0, 1).reshape(r, TERMS * r)).reshape(n, LOADS, TERMS, r).transpose(0, 2, 3, 1)
+    inner = flat.reshape(n, 1, LOADS, r) @ pushed
     return model.constants[None] - cross - cross.swapaxes(2, 3) + inner
 
 
@@ -193,19 +203,21 @@ def identify(targets: DataFrame, key: str, outputs: list[str], model: ReducedMod
         gap = (model.solve(q)[0] - goal).reshape(len(q), -1) / size[:, None]
         damping, steps = np.full(len(q), 1e-3), np.zeros(len(q), dtype=np.int32)
         for _ in range(rounds):
-            active = (np.linalg.norm(gap, axis=1) > 1e-12) & (damping < 1e12)
-            if not active.any():
+            active = np.flatnonzero((np.linalg.norm(gap, axis=1) > 1e-12) & (damping < 1e12))
+            if not len(active):
                 break
-            slope = _slopes(model, q).reshape(len(q), TERMS, -1) / size[:, None, None] * (upper - lower)[None, :, None]
+            #: Only the rows that are not done take part.
+            own, scale_, left = q[active], size[active], gap[active]
+            slope = _slopes(model, own).reshape(len(own), TERMS, -1) / scale_[:, None, None] * (upper - lower)[None, :, None]
             normal = slope @ slope.swapaxes(1, 2)
             scale = np.einsum("nii->ni", normal) + 1e-12
-            move = np.linalg.solve(normal + damping[:, None, None] * np.einsum("ni,ij->nij", scale, np.eye(TERMS)), -(slope @ gap[:, :, None]))[:, :, 0]
-            tried = np.clip(q + move * (upper - lower), lower, upper)
-            new = (model.solve(tried)[0] - goal).reshape(len(q), -1) / size[:, None]
-            better = active & (np.linalg.norm(new, axis=1) < np.linalg.norm(gap, axis=1))
-            q[better], gap[better] = tried[better], new[better]
-            damping = np.where(active, np.where(better, np.maximum(damping / 5, 1e-14), damping * 4), damping)
-            steps += active
+            move = np.linalg.solve(normal + damping[active, None, None] * np.einsum("ni,ij->nij", scale, np.eye(TERMS)), -(slope @ left[:, :, None]))[:, :, 0]
+            tried = np.clip(own + move * (upper - lower), lower, upper)
+            new = (model.solve(tried)[0] - goal[active]).reshape(len(own), -1) / scale_[:, None]
+            better = np.linalg.norm(new, axis=1) < np.linalg.norm(left, axis=1)
+            q[active[better]], gap[active[better]] = tried[better], new[better]
+            damping[active] = np.where(better, np.maximum(damping[active] / 5, 1e-14), damping[active] * 4)
+            steps[active] += 1
         return pd.DataFrame({key: keys} | {n: q[:, k] for k, n in enumerate(names)} | {"misfit": np.linalg.norm(gap, axis=1), "steps": steps})
 
     return _by_batch(targets, key, outputs, ", ".join(f"{n} double" for n in names) + ", misfit double, steps int", make)
