@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordered import spread
+
 #: Share of the room to a bound that a step may take, so that two steps stay inside.
 ROOM = 0.45
 
@@ -49,7 +51,7 @@ def stencils(rows: DataFrame, names: Sequence[str], rel_step: float, bounds: Map
                 ]
         fields = [F.struct(F.lit(name).alias("name"), d.alias("direction"), s.alias("step"), p.alias("points")) for _, d, s, p in choice]
         kinds.append(reduce(lambda other, pair: F.when(pair[0], pair[1]).otherwise(other), reversed([(c[0], f) for c, f in zip(choice[:-1], fields[:-1])]), fields[-1]))
-    each = rows.withColumn("__s", F.explode(F.array(*kinds)))
+    each = spread(rows).withColumn("__s", F.explode(F.array(*kinds)))
     checked = F.when(F.col("__s.step") > 0, F.col("__s.points")).otherwise(F.raise_error(F.concat(F.lit("no room to move "), F.col("__s.name"))))
     each = each.withColumn("__p", F.explode(checked))
     moved = {n: F.when(F.col("__s.name") == n, F.col("__p.moved")).otherwise(F.col(n)) for n in names}
@@ -64,7 +66,8 @@ def differences(results: DataFrame, keys: Sequence[str], outputs: Sequence[str])
 def error_table(found: DataFrame, reference: DataFrame, keys: Sequence[str], outputs: Sequence[str]) -> DataFrame:
     """keys with the norms of both rows of outputs, and the absolute and relative error, for keys of both tables."""
     size = lambda cells: F.sqrt(sum((c * c for c in cells), F.lit(0.0)))
-    both = found.alias("a").join(reference.alias("b"), list(keys))
+    #: Both tables are as long as each other; the size of the files that they come from says nothing of that.
+    both = found.alias("a").join(reference.hint("merge").alias("b"), list(keys))
     a, b = ([F.col(f"{s}.{o}") for o in outputs] for s in "ab")
     #: Written as columns first: each is used by several results.
     sized = both.select(*keys, size(a).alias("norm"), size(b).alias("reference_norm"), size([x - y for x, y in zip(a, b, strict=True)]).alias("absolute_error"))
