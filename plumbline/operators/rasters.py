@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.eigen import leading, with_eigenpairs
 from plumbline.functions.tensors import PAIRS, mandel_rotations
 from plumbline.operators.campaign import require_columns
-from plumbline.operators.ordered import running_before
-from plumbline.sources.scratch import materialize
+from plumbline.operators.ordered import running_before, spread
+from plumbline.sources.scratch import materialize, release
 
 SIDE = 4
 AXES = ("x", "y", "z")
@@ -108,10 +108,14 @@ def rasterised(touches: DataFrame, order: str) -> DataFrame:
 
 def raster_until(fibres: DataFrame, order: str, n: int, length: float, radius: float, target: float) -> tuple[DataFrame, DataFrame]:
     """The voxels of the fibres that are used up to a target (see ``rasterised``), and ``fibre_counts``."""
-    touches = materialize(fibre_touches(fibres, order, n, length, radius).distinct(), "raster-touches")
+    #: Each fibre becomes thousands of rows in its task. What is counted takes a voxel that comes twice as once.
+    fibres = spread(fibres)
+    touches = materialize(fibre_touches(fibres, order, n, length, radius).select(order, *CELL), "raster-touches")
     counts = materialize(fibre_counts(touches, order, target), "raster-used")
+    release(touches)
     left_out = counts.filter(~F.col("used")).agg(F.min(order)).first()[0]
-    return rasterised(touches if left_out is None else touches.filter(F.col(order) < left_out), order), counts
+    #: The used fibres are few where there is a target, so their voxels are found again, with directions.
+    return rasterised(fibre_touches(fibres if left_out is None else fibres.filter(F.col(order) < left_out), order, n, length, radius), order), counts
 
 
 def raster_summary(voxels: DataFrame, n: int) -> DataFrame:
