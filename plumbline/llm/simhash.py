@@ -4,42 +4,35 @@ Words: A-Z lower-cased, runs without \\x20, \\x09-\\x0D. A shingle is some words
 shingle has: the whole sequence is the one shingle. A fingerprint's bit is 1 if it is set in over half of the
 XXH64 values (seed 42) of the shingles. No words: fingerprint zero.
 
-Two uses, both by segment tables, small balls in each segment, and verification of the complete distance:
+Two uses, both by segment tables and verification:
 
 - ``near_duplicates``: 64-bit fingerprints over all shingles, repeats included, linked at ``distance`` or fewer
   differing bits. All such links are found, see ``multi_index``.
 - ``similar_copies``: links of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
   A short fingerprint is too coarse for that: at 0.8 every bit differs with a probability of 0.15. So the
   fingerprint has SEGMENTS x WIDTH bits over the set, each shingle once (XXH64 and mixes of it for further
-  words). Table s has each set under its segment s and under the ball of radius 1 of that segment, so two sets
-  meet in table s if their segments s differ in 2 bits or fewer. The complete distance is verified (at most
-  LIMIT, four standard deviations above what 0.8 gives), then the similarity itself on the sets, held as 32 bits
-  a shingle. Distances up to 3 SEGMENTS - 1 meet for certain, larger ones if one of the segments is near:
-  at similarity 0.8, 0.85 and 0.9 expect 96, 99.6 and 99.9 %. WIDTH is meant for up to some 10^8 distinct sets; for
-  more, raise it with the logarithm of their number (and SEGMENTS with it), so that entries stay short.
-
-  Bits of small sets differ more than that, so sets of up to SHORT shingles meet in another way, by which no similar
-  pair is missed: two sets share one of the first n - ceil(similarity n) + 1 of their n hashes in ascending order.
-  No fingerprint is asked there. A pair beyond both bounds (SHORT, and similarity x SHORT from which on segments are
-  used) does not exist.
-
-A set's number (its node) is a sketch, the fingerprint's last 32 bits, before 32 bits of the set's hash. So what meets
-by chance is told by the two numbers alone where it meets: sketches that differ in over SKETCH_LIMIT bits go (0.2 %
-of the pairs at similarity 0.8, none to speak of at 0.85; 5 % of what meets by chance stays). Different sets with one
-number are found by their 64-bit hashes and numbered anew, until no two are left.
-
-Hot entries of ``similar_copies``: the sets of an entry are not paired with each other, which would grow with the
-square of a group of copies. They stand in a row, in the order of their numbers, and each is compared with the two
-before it, so an entry of two or three is compared whole (short sets: of up to FEW). In larger ones, the crowds, only
-the nearest one by sketch of all that a set met is verified at first. While a crowd holds several components, its sets
-outside the largest one are compared with that one's set with the most links, and with each other's neighbours in a new
-order; this goes on until a round finds no link. So a round costs no more than its entries have rows, and a copy of a
-large group is found by its neighbours in dozens of entries and by the group's centre. It is not certain: the recall
-against all pairs is measured in the tests (README). ``every`` compares all pairs of all entries instead, which finds
-all links of what meets, at the square of a group's size.
-
-Segments are used twice: first without balls, a thirtieth of the entries, which joins most groups of copies; then with
-balls, where only sets of different components are compared.
+  words). Table s has each set under its segment s; the sets of an entry stand in a row, in the order of their numbers,
+  and each is compared with the two before it, on the sets themselves (48 bits a shingle). This joins most
+  groups of copies, and costs no more than the entries have rows.
+
+  Then every link is looked for that this has left. All shingles have one order; two similar sets share one of their
+  first n - ceil(similarity n) + 1 shingles in it, whatever the order is, so sets are entered under these. Of a pair
+  that shares the shingles at places i and j, at most min(n - i, m - j) shingles can be common from there on; for the
+  first common shingle that is all of them, so a pair is compared where that is enough. All pairs of sets of different
+  components that share an entry and pass this are compared: no similar pair ends in two components.
+
+The order puts last what is frequent in an eighth of the sets, most frequent last, so that lines which many texts share
+are entries of few of them; the others are in the order of their hashes. An order only decides how many pairs meet,
+never which links are found, so the HOT most frequent of them are enough.
+
+Where the pairs of an entry's different components would be many more than its rows, each set is first compared with
+the one before it in some order, and what is linked is joined, until a round finds no link or few pairs are left. So
+groups of copies are not paired with themselves. What stays is pairs of sets that share rare shingles and are not
+joined: these are compared one by one, their number is not bounded by the rows.
+
+A set's number (its node) is a sketch, the fingerprint's last 32 bits, before 32 bits of the set's hash. By the segments
+only sets meet whose sketches differ in SKETCH_LIMIT bits or fewer. Different sets with one number are found by their
+64-bit hashes and numbered anew, until no two are left.
 
 Equal fingerprints, or equal sets, are one node from the start.
 Components come from alternating large-star and
@@ -53,7 +46,7 @@ no part.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +61,12 @@ from plumbline.sources.scratch import materialize, release
 SEED = 42
 #: The long fingerprint's segments, and the 64-bit words that hold them.
 WIDTH, SEGMENTS, LONGS = 28, 16, 7
-LIMIT = 98
 #: Two sketches are the last 32 bits of two fingerprints: 4.8 bits differ at similarity 0.8, 16 by chance.
 SKETCH_LIMIT = 11
-#: Shingles of a set that meets others by its first hashes, and sets of such an entry that are compared whole.
-SHORT, FEW = 250, 16
+#: Frequent shingles (8 bytes each) that are told to all tasks at most, and how often an eighth of the sets has one.
+HOT, HOT_LEAST = 1 << 17, 3
+#: So many pairs for each row of an entry are compared at once; before more, what neighbours link is joined.
+FEW = 4
 #: So many set numbers (8 bytes each) are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_NODES = 1 << 21
 #: Hashes whose bits are counted at a time.
@@ -132,8 +126,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """48-bit numbers, six bytes each."""
+    return hashes.astype(_LITTLE).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    """The numbers of ``packed``."""
+    parts = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(parts), 8), np.uint8)
+    out[:, :6] = parts
+    return out.view(_LITTLE).reshape(-1)
+
+
 def with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, full (the set's 64-bit hash), fingerprint words f0.., size and set (sorted 32-bit shingle hashes)."""
+    """doc_id, node, full (the set's 64-bit hash), fingerprint words f0.., size and set (see ``packed``)."""
     names = ["node", "full", *(f"f{k}" for k in range(LONGS)), "size", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +151,9 @@ def with_sets(docs: DataFrame, words: int) -> DataFrame:
                 prints.append(majority(hashes, LONGS))
                 full.append(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED))
                 nodes.append(int(prints[-1][-1]) >> 32 << 32 | full[-1] >> 32)
-                small = np.unique((hashes >> np.uint64(32)).astype("<u4"))
+                small = np.unique(hashes >> np.uint64(16))
                 sizes.append(len(small))
-                sets.append(small.tobytes())
+                sets.append(packed(small))
             table = np.array(prints, dtype=np.uint64).reshape(-1, LONGS).view(np.int64)
             columns = [batch.column("doc_id"), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, full)), *(pa.array(c) for c in table.T.copy()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
@@ -171,67 +178,77 @@ def numbered_apart(feats: DataFrame) -> DataFrame:
         feats = apart
 
 
-def segment_entries(nodes: DataFrame, balls: bool) -> DataFrame:
-    """node, root and entry (segment number and value, in 32 bits) for every segment, or its ball of radius 1."""
-    masks = np.array([0, *(1 << b for b in range(WIDTH if balls else 0))], dtype=np.uint32)
+def segment_entries(nodes: DataFrame) -> DataFrame:
+    """node and entry (segment number and value, in 32 bits) for every segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in slices(batches):
             prints = np.stack([batch.column(f"f{k}").to_numpy() for k in range(LONGS)], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * WIDTH]
             values = (bits.reshape(-1, SEGMENTS, WIDTH) @ (np.int64(1) << np.arange(WIDTH, dtype=np.int64))).astype(np.uint32)
-            tables = np.arange(SEGMENTS, dtype=np.uint32) << np.uint32(WIDTH)
-            entries = (values[:, :, None] ^ masks) | tables[None, :, None]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), SEGMENTS * len(masks)))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(rows), batch.column("root").take(rows), pa.array(entries.reshape(-1).view(np.int32))], ["node", "root", "entry"])
+            entries = values | (np.arange(SEGMENTS, dtype=np.uint32) << np.uint32(WIDTH))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), SEGMENTS))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(rows), pa.array(entries.reshape(-1).view(np.int32))], ["node", "entry"])
 
-    return nodes.select("node", "root", *(f"f{k}" for k in range(LONGS))).mapInArrow(run, "node long, root long, entry int")
+    return nodes.select("node", *(f"f{k}" for k in range(LONGS))).mapInArrow(run, "node long, entry int")
 
 
-def prefix_entries(feats: DataFrame, similarity: float) -> DataFrame:
-    """node, root (null) and entry for the first hashes of short sets, of which two similar sets share one."""
+def frequent_shingles(feats: DataFrame) -> np.ndarray:
+    """The shingles that are frequent in an eighth of the sets, HOT at most, most frequent last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            nodes, entries = [], [np.empty(0, "<i4")]
-            for node, data in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist()):
-                n = len(data) // 4
-                first = np.frombuffer(data, "<i4")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                nodes += [node] * len(first)
-                entries.append(first)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([None] * len(nodes), pa.int64()), pa.array(np.concatenate(entries))], ["node", "root", "entry"])
-
-    short = feats.filter((F.col("size") > 0) & (F.col("size") <= SHORT)).select("node", "set").dropDuplicates(["node"])
-    return short.mapInArrow(run, "node long, root long, entry int")
+        for batch in slices(batches, 256):
+            found = [unpacked(data.as_buffer()) for data in batch.column("set")]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
 
+    some = feats.filter(F.col("node").bitwiseAND(7) == 0).select("set").mapInArrow(run, "shingle long")
+    counted = some.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_LEAST)
+    return counted.orderBy(F.desc("n"), "shingle").limit(HOT).toArrow().column("shingle").to_numpy().view(np.uint64)[::-1].copy()
 
-def _distance(a: str, b: str) -> Column:
-    return F.expr(" + ".join(f"bit_count({a}.f{k} ^ {b}.f{k})" for k in range(LONGS)))
 
+def prefix_entries(feats: DataFrame, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """node, size, entry and at for the first shingles of each set, of which two similar sets share one; at: its place."""
+    order = np.argsort(frequent)
+    known = frequent[order]
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose complete fingerprints are near."""
-    left, right = nodes.withColumnRenamed("node", "u").alias("a"), nodes.withColumnRenamed("node", "v").alias("b")
-    return pairs.join(left, "u").join(right, "v").filter(_distance("a", "b") <= LIMIT).select("u", "v")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            entries, counts = [np.empty(0, np.uint64)], []
+            for data in batch.column("set"):
+                found = unpacked(data.as_buffer())
+                n = len(found)
+                if n and len(known):
+                    place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    found = found[np.argsort(np.where(known[place] == found, order[place], -1), kind="stable")]
+                entries.append(found[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
+                counts.append(len(entries[-1]))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            at = np.concatenate([np.empty(0, np.int32), *(np.arange(c, dtype=np.int32) for c in counts)])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(rows), batch.column("size").take(rows), pa.array(np.concatenate(entries).view(np.int64)), pa.array(at)], ["node", "size", "entry", "at"])
+
+    return feats.filter("size > 0").select("node", "size", "set").mapInArrow(run, "node long, size int, entry long, at int")
+
+
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """The distinct rows of entries that hold two sets or more."""
+    entry = Window.partitionBy("entry")
+    several = entries.withColumn("several", F.min("node").over(entry) != F.max("node").over(entry)).filter("several")
+    return several.select("node", "size", "entry", "at").distinct()
 
 
-def similar_pairs(pairs: DataFrame, feats: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets are similar. feats: node and set."""
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are similar. sets: node and set, each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             good = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                a, b = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                a, b = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    used = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "copy-used")
-    if used.count() <= BROADCAST_NODES:
-        #: The sets of all documents stay where they are; only those of the pairs are dealt.
-        used = F.broadcast(used)
-    sets = materialize(feats.join(used, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "copy-sets")
     x, y = sets.select(F.col("node").alias("u"), F.col("set").alias("x")), sets.select(F.col("node").alias("v"), F.col("set").alias("y"))
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
@@ -240,125 +257,97 @@ def _sketch_distance(a: str, b: str) -> Column:
     return F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 32))
 
 
-def _pairs(rows: DataFrame, a: str, b: str, limit: int) -> DataFrame:
-    """The distinct pairs u > v of rows whose sketches, the upper halves of their numbers, differ in ``limit`` bits or fewer."""
-    return rows.filter((F.col(a) != F.col(b)) & (_sketch_distance(a, b) <= limit)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+def _pairs(rows: DataFrame) -> DataFrame:
+    """The distinct pairs u > v of rows (node, other)."""
+    return rows.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 
 
-def node_links(links: DataFrame) -> DataFrame:
-    """node, root (of its component) and degree (its number of links) of every node of links."""
-    ends = links.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n")).unionByName(links.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n")))
-    return materialize(components(links).join(ends.groupBy("node").agg(F.sum("n").alias("degree")), "node"), "copy-roots")
+def segment_pairs(entries: DataFrame) -> DataFrame:
+    """u > v: each set with the two before it in an entry of segments, if their sketches are near."""
+    order = Window.partitionBy("entry").orderBy("node")
+    met = entries.select("node", *(F.lag("node", k).over(order).alias(name) for k, name in ((1, "one"), (2, "two"))))
+    near = met.select("node", F.explode(F.array("one", "two")).alias("other")).filter("other is not null")
+    return _pairs(near.filter((F.col("node") != F.col("other")) & (_sketch_distance("node", "other") <= SKETCH_LIMIT)))
 
 
-def open_pairs(crowds: DataFrame, links: DataFrame, turn: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u > v) of different components to compare in one round, and the entries that are still open.
+def _can_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets (structs) of one entry can be similar and this is the first shingle that they share."""
+    size, at = ((F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ("size", "at"))
+    return F.least(size[0] - at[0], size[1] - at[1]) >= (size[0] + size[1]) * F.lit(similarity / (1 + similarity)) - 1e-6
 
-    crowds: entry and node of entries of four or more. One that holds a single component stays so and is dropped.
-    """
-    rooted = crowds.join(node_links(links), "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    entry = Window.partitionBy("entry")
-    #: Of an entry's largest component only the set with the most links takes part in the round.
-    sized = rooted.withColumn("n", F.count("*").over(Window.partitionBy("entry", "root")))
-    seen = sized.select("entry", "node", "root", F.max(F.struct("n", "root", "degree", "node")).over(entry).alias("m"), (F.min("root").over(entry) != F.max("root").over(entry)).alias("open"))
-    open_ = materialize(seen.filter("open").select("entry", "node", "root", F.col("m.root").alias("main"), F.col("m.node").alias("centre")), "copy-open")
-    outside = open_.filter("root <> main")
-    order = Window.partitionBy("entry").orderBy(F.xxhash64("entry", "node", F.lit(turn)), "node")
-    row = outside.select("node", "root", F.lag("node").over(order).alias("other"), F.lag("root").over(order).alias("other_root"))
-    pairs = outside.select("node", F.col("centre").alias("other")).unionByName(row.filter(F.col("root") != F.col("other_root")).select("node", "other"))
-    return _pairs(pairs, "node", "other", limit), open_.select("entry", "node")
 
+def open_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """The entries that hold sets of different components of links, with the root of each set's component."""
+    entry = Window.partitionBy("entry")
+    rooted = entries.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return materialize(rooted.withColumn("open", F.min("root").over(entry) != F.max("root").over(entry)).filter("open").drop("open"), "copy-open")
 
-def first_pairs(shared: DataFrame, limit: int) -> DataFrame:
-    """Pairs (u > v) of the first round: all of small entries, of crowds each set's nearest by sketch."""
-    met = shared.select("node", "several", F.explode(F.array("one", "two")).alias("other")).filter("other is not null")
-    nearest = met.filter("several").groupBy("node").agg(F.min_by("other", F.struct(_sketch_distance("node", "other").alias("d"), "other")).alias("other"))
-    return _pairs(met.filter("not several").select("node", "other").unionByName(nearest), "node", "other", limit)
 
+def pairs_to_compare(entries: DataFrame) -> tuple[int, int]:
+    """Pairs of sets of different components in open entries, and rows of these."""
+    sized = entries.groupBy("entry", "root").agg(F.count("*").alias("n")).groupBy("entry").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    found = sized.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+    return found["pairs"] or 0, found["rows"] or 0
 
-def distinct_crowds(rows: DataFrame) -> DataFrame:
-    """entry and node of rows, with one entry for all that hold the same sets: its number is theirs, mixed."""
-    members = F.bit_xor(F.xxhash64("node")).over(Window.partitionBy("entry"))
-    return materialize(rows.select(members.alias("entry"), "node").distinct(), "copy-crowds")
 
+def neighbour_pairs(entries: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """u > v: each set with the one before it in an open entry, by an order of this turn, if their components differ."""
+    order = Window.partitionBy("entry").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    row = entries.withColumn("a", F.struct("node", "root", "size", "at")).withColumn("b", F.lag("a").over(order))
+    met = row.filter("b is not null and a.root <> b.root").filter(_can_be_similar("a", "b", similarity))
+    return _pairs(met.select("a.node", F.col("b.node").alias("other")))
 
-def entry_pairs(rows: DataFrame, most: int) -> DataFrame:
-    """u > v: all pairs of the sets of one component each that share an entry of up to ``most`` sets (0: of any size)."""
-    if most:
-        rows = rows.join(rows.groupBy("entry").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= most)).select("entry"), "entry", "left_semi")
-    u, v = rows.select("entry", F.col("node").alias("u"), F.coalesce("root", "node").alias("a")), rows.select("entry", F.col("node").alias("v"), F.coalesce("root", "node").alias("b"))
-    return u.join(v, "entry").filter("u > v and a <> b").select("u", "v").distinct()
 
-
-def entry_links(rows: DataFrame, links: DataFrame | None, verify: Callable[[DataFrame], DataFrame], limit: int, few: int, every: bool) -> DataFrame:
-    """links, and verified links of sets of different components that share an entry.
-
-    rows: entry, node and root (null: the set itself). Entries of over ``few`` sets are crowds; with ``few`` 3 the
-    others' pairs come from the windows that find the crowds.
-    """
-    if every:
-        found = verify(entry_pairs(rows, 0))
-        return found if links is None else links.unionByName(found).distinct()
-    #: By node, which is a sketch and a hash itself: an expression would go through the shuffle as one more number a row.
-    order, entry = Window.partitionBy("entry").orderBy("node"), Window.partitionBy("entry")
-    own = F.coalesce("root", "node")
-    back, ahead = ([step("node", k).over(order) for k in (1, 2, 3)] for step in (F.lag, F.lead))
-    several = back[2].isNotNull() | ahead[2].isNotNull() | (back[1].isNotNull() & ahead[0].isNotNull()) | (back[0].isNotNull() & ahead[1].isNotNull())
-    if few > 3:
-        several = F.count("*").over(entry) > few
-    before = [F.lag(own, k).over(order) for k in (1, 2)]
-    rows_ = rows.select("entry", "node", *(F.when(b != own, n).alias(a) for a, n, b in zip(("one", "two"), back, before)), (several & (F.min(own).over(entry) != F.max(own).over(entry))).alias("several"))
-    #: Sets that met by chance go here, before anything else is shuffled.
-    near = {k: F.when(_sketch_distance("node", k) <= limit, F.col(k)) for k in ("one", "two")}
-    shared = materialize(rows_.withColumns(near).filter("several or one is not null or two is not null"), "copy-entries")
-    crowds = distinct_crowds(shared.filter("several"))
-    if few > 3:
-        nearest = first_pairs(shared.filter("several"), limit)
-        pairs = nearest.unionByName(entry_pairs(rows, few)).distinct()
-    else:
-        pairs = first_pairs(shared, limit)
-    found = verify(pairs)
-    release(shared)
-    links, turn = found if links is None else links.unionByName(found).distinct(), 1
-    while True:
-        fresh, still = open_pairs(crowds, links, turn, limit)
-        found = verify(fresh)
-        release(crowds)
-        if found.isEmpty():
-            release(still)
-            return links
-        links, crowds, turn = links.unionByName(found).distinct(), still, turn + 1
+def all_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """u > v: all pairs of sets of different components in open entries that can be similar."""
+    rows = entries.select("entry", F.struct("node", "root", "size", "at").alias("a"))
+    met = rows.join(rows.withColumnRenamed("a", "b"), "entry").filter("a.node > b.node and a.root <> b.root").filter(_can_be_similar("a", "b", similarity))
+    return _pairs(met.select("a.node", F.col("b.node").alias("other")))
 
 
 def similar_links(feats: DataFrame, similarity: float, every: bool = False) -> DataFrame:
-    """Verified links u, v that connect sets that are similar and share an entry. feats: see ``with_sets``."""
-    sets = feats.select("node", "set")
-    long_ = feats.filter(F.col("size") >= similarity * SHORT)
-    nodes = materialize(long_.select("node", F.lit(None).cast("long").alias("root"), *(f"f{k}" for k in range(LONGS))).dropDuplicates(["node"]), "copy-nodes")
+    """Verified links u, v: similar sets are of one component of these. feats: see ``with_sets``; deleted on the way."""
+    shared = materialize(shared_entries(prefix_entries(feats, similarity, frequent_shingles(feats))), "copy-entries")
+    used = materialize(shared.select("node").distinct(), "copy-used")
+    if used.count() <= BROADCAST_NODES:
+        #: The sets of all documents stay where they are; only those that met another are dealt.
+        used = F.broadcast(used)
+    names = [*(f"f{k}" for k in range(LONGS)), "set"]
+    sets = materialize(feats.join(used, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in names)), "copy-sets")
+    #: The sets are as large as the texts; nothing reads those of texts that met no other from here on.
+    release(feats)
 
-    def verify_sets(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         return materialize(similar_pairs(materialize(pairs, "copy-near"), sets, similarity), "copy-links")
 
-    def verify_both(pairs: DataFrame) -> DataFrame:
-        return verify_sets(near_pairs(pairs, nodes))
-
-    links = entry_links(materialize(prefix_entries(feats, similarity), "copy-short"), None, verify_sets, 32, FEW, every)
+    links = sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     if not every:
-        links = entry_links(segment_entries(nodes, False), links, verify_both, SKETCH_LIMIT, 3, False)
-    rooted = nodes if every else nodes.drop("root").join(components(links), "node", "left")
-    return entry_links(segment_entries(rooted, True), links, verify_both, SKETCH_LIMIT, 3, every)
+        links = verify(segment_pairs(segment_entries(sets)))
+    turn = 0
+    while True:
+        still = open_entries(shared, links)
+        release(shared)
+        shared, (pairs, rows) = still, pairs_to_compare(still)
+        if every or pairs <= FEW * rows:
+            break
+        found = verify(neighbour_pairs(shared, turn, similarity))
+        if found.isEmpty():
+            break
+        links, turn = links.unionByName(found), turn + 1
+    links = links.unionByName(verify(all_pairs(shared, similarity)))
+    release(shared, sets)
+    return links
 
 
 def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, every: bool = False) -> DataFrame:
     """doc_id and component_id of every row of docs (columns doc_id, text), by the similarity of shingle sets.
 
-    every: see the module's docstring.
+    every: all pairs are compared at once, also those that the segments or neighbours would have joined. The result is
+    the same, at the square of a group's size.
     """
     feats = numbered_apart(materialize(with_sets(docs, words), "copy-feats"))
-    roots = materialize(components(similar_links(feats, similarity, every)), "copy-components")
     named = materialize(feats.select("doc_id", "node"), "copy-named")
-    #: The sets are as large as the texts; nothing reads them from here on.
-    release(feats)
+    roots = materialize(components(similar_links(feats, similarity, every)), "copy-components")
     ids = named.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = materialize(ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "copy-rooted")
     ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")

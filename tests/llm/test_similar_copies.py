@@ -144,3 +144,10 @@ def test_sets_by_shuffle_and_by_broadcast_agree(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").limit(0)
     assert N.similar_copies(docs).count() == 0 and N.one_of_each(docs).count() == 0
+
+
+def test_no_link_is_lost_in_long_texts(spark):
+    """Pairs of long texts at the bound of similarity, whose segments often all differ: every one is found."""
+    texts = separate_pairs(random.Random(18), 400, 150)
+    got = {r.doc_id: r.component_id for r in N.similar_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(300)}
