@@ -29,7 +29,6 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +46,8 @@ NULL_ID = -(1 << 63)
 SUFFIXES = ("bin", "idx")
 #: Words that a task remembers, of about 200 bytes each.
 MEMO = 900_000
+#: New words that are encoded in one go.
+TOGETHER = 256
 #: Separators that Python's split() takes for white space and the pre-tokenizer does not.
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[^\t-\r ]+")
@@ -66,8 +67,13 @@ class WordEncoder:
         self.memo = Memo(self._encode_words, MEMO)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
+        """Ids of each word: many words are one encoding, which tells each id's word."""
+        out, parts = [], [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for part, found in zip(parts, self.library.encode_batch(parts, is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            at = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1))).tolist()
+            out += [ids[a:b] for a, b in zip(at, at[1:])]
+        return out
 
     def encode_all(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from plumbline.llm import token_files
+from plumbline.llm.queries import tokenizer_path
 
 
 def test_wide_vocabulary(spark, tmp_path):
@@ -22,3 +23,14 @@ def test_wide_vocabulary(spark, tmp_path):
         token_files.write_token_files(docs, path, f"file://{tmp_path}/narrow", width=2)
     with pytest.raises(ValueError):
         token_files.write_token_files(docs, path, f"file://{tmp_path}/end", end=1 << 32)
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    """Ids of words, special strings among them, are the library's, with one encoding for many words."""
+    encoder = token_files.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    special = [t.content for t in encoder.library.get_added_tokens_decoder().values()]
+    words = [*special, *(f"a{s}b{s}" for s in special), "\u200b", "e\u0301", "\x00", "a\x1cb", "\xa0x", "\U0001f642,x.", *(f"word{i}" for i in range(600))]
+    expected = [np.array(encoder.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
+    encodings, plain = [], token_files.np.searchsorted
+    monkeypatch.setattr(token_files.np, "searchsorted", lambda *a: encodings.append(1) or plain(*a))
+    assert encoder._encode_words(words) == expected and len(encodings) == -(-len(words) // 256)
