@@ -17,7 +17,7 @@ from plumbline.operators.ordered import running_before
 from plumbline.sources.scratch import materialize
 
 
-def _match(a: str, b: str, names: Sequence[str]):
+def matching(a: str, b: str, names: Sequence[str]):
     same = [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
     return reduce(lambda x, y: x & y, same) if same else F.lit(True)
 
@@ -25,10 +25,15 @@ def _match(a: str, b: str, names: Sequence[str]):
 def value_places(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """group, value, __equal (rows with this value), __at (rows of the group before it), __all (of the group). No nulls."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__equal"))
+    return placed_values(counts, group, value)
+
+
+def placed_values(counts: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """``value_places`` of counts: each value of a group once, with __equal; further columns stay."""
     placed = running_before(counts, [*group, value], {"__before": F.col("__equal")}, "places")
     totals = placed.groupBy(*group).agg(F.sum("__equal").alias("__all"), F.min("__before").alias("__first"))
-    joined = placed.alias("a").join(totals.alias("b"), _match("a", "b", group))
-    return joined.select(*(f"a.{g}" for g in group), f"a.{value}", "a.__equal", (F.col("a.__before") - F.col("b.__first")).alias("__at"), "b.__all")
+    joined = placed.alias("a").join(totals.alias("b"), matching("a", "b", group))
+    return joined.select(*(f"a.{c}" for c in counts.columns), (F.col("a.__before") - F.col("b.__first")).alias("__at"), "b.__all")
 
 
 #: Equal bins of a group's range, and groups up to which their ranges are told to all tasks.
@@ -55,19 +60,19 @@ def _near_places(rows: DataFrame, group: Sequence[str], value: str, levels: Mapp
     v = F.col(f"a.{value}").cast("double")
     share = F.try_divide(v - F.col("b.__low"), F.col("b.__high") - F.col("b.__low"))
     bin_ = F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int").alias("__bin")
-    told = rows.filter(F.col(value).isNotNull()).alias("a").join(F.broadcast(spans).alias("b"), _match("a", "b", group))
+    told = rows.filter(F.col(value).isNotNull()).alias("a").join(F.broadcast(spans).alias("b"), matching("a", "b", group))
     binned = told.select(*(f"a.{g}" for g in group), f"a.{value}", bin_)
     counts = binned.groupBy(*group, "__bin").agg(F.count("*").alias("__n"))
     order = Window.partitionBy(*group).orderBy("__bin")
     before = counts.select(*group, "__bin", "__n", (F.sum("__n").over(order) - F.col("__n")).alias("__before"))
-    known = before.alias("a").join(F.broadcast(spans).alias("b"), _match("a", "b", group)).select("a.*", "b.__all")
+    known = before.alias("a").join(F.broadcast(spans).alias("b"), matching("a", "b", group)).select("a.*", "b.__all")
     holds = reduce(lambda x, y: x | y, ((F.col("__before") <= at) & (at < F.col("__before") + F.col("__n")) for _, at in _places(levels, "__all")))
     #: At most two bins a level and group.
     wanted = materialize(known.filter(holds).select(*group, "__bin", "__before", "__all"), "quantile-bins")
     keys = [*group, "__bin"]
-    chosen = binned.alias("a").join(F.broadcast(wanted).alias("b"), _match("a", "b", keys)).select("a.*")
+    chosen = binned.alias("a").join(F.broadcast(wanted).alias("b"), matching("a", "b", keys)).select("a.*")
     placed = value_places(chosen, keys, value).drop("__all")
-    return placed.alias("a").join(F.broadcast(wanted).alias("b"), _match("a", "b", keys)).select(*(f"a.{g}" for g in group), f"a.{value}", "a.__equal", (F.col("a.__at") + F.col("b.__before")).alias("__at"), "b.__all")
+    return placed.alias("a").join(F.broadcast(wanted).alias("b"), matching("a", "b", keys)).select(*(f"a.{g}" for g in group), f"a.{value}", "a.__equal", (F.col("a.__at") + F.col("b.__before")).alias("__at"), "b.__all")
 
 
 def quantiles(rows: DataFrame, group: Sequence[str], value: str, levels: Mapping[str, float]) -> DataFrame:
@@ -89,10 +94,10 @@ def quantiles(rows: DataFrame, group: Sequence[str], value: str, levels: Mapping
 def with_quantiles(summary: DataFrame, rows: DataFrame, group: Sequence[str], value: str, levels: Mapping[str, float]) -> DataFrame:
     """summary (one row a group) with quantiles of value added."""
     found = quantiles(rows, group, value, levels)
-    return summary.alias("a").join(found.alias("b"), _match("a", "b", group), "left").select("a.*", *(f"b.{n}" for n in levels))
+    return summary.alias("a").join(found.alias("b"), matching("a", "b", group), "left").select("a.*", *(f"b.{n}" for n in levels))
 
 
 def with_average_rank(rows: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """rows (no null value) with their rank in the group, from 1, equal values sharing their mean rank."""
     ranks = value_places(rows, group, value).withColumn(name, F.col("__at") + (F.col("__equal") + 1) / 2.0)
-    return rows.alias("a").join(ranks.alias("b"), _match("a", "b", [*group, value])).select("a.*", f"b.{name}")
+    return rows.alias("a").join(ranks.alias("b"), matching("a", "b", [*group, value])).select("a.*", f"b.{name}")

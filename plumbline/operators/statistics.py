@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import PART, range_parts, running_before
-from plumbline.operators.quantiles import with_average_rank, with_quantiles
+from plumbline.operators.quantiles import matching, placed_values, value_places, with_quantiles
+from plumbline.sources.scratch import materialize
+
+#: Distinct values of groups whose ranks are told to all tasks at most.
+TOLD_VALUES = 1 << 16
 
 
 def error_statistics(rows: DataFrame, group: Sequence[str], error: str, key: str) -> DataFrame:
@@ -93,16 +97,23 @@ def guarded_correlation(x: Column, y: Column) -> Column:
 
 def correlations(rows: DataFrame, group: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     """n, censored (pairs with a null, left out), Pearson's and Spearman's correlation of each group with enough rows."""
-    counted = rows.groupBy(*group).agg(F.count(F.when(F.col(x).isNull() | F.col(y).isNull(), 1)).alias("censored"))
-    pairs = rows.dropna(subset=[x, y]).withColumns({x: F.col(x).cast("double"), y: F.col(y).cast("double")})
-    ranked = with_average_rank(with_average_rank(pairs, group, x, "__x"), group, y, "__y")
-    out = ranked.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        guarded_correlation(F.col(x), F.col(y)).alias("pearson"),
-        guarded_correlation(F.col("__x"), F.col("__y")).alias("spearman"),
-    )
-    match = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] or F.lit(True)
-    return out.alias("a").join(counted.alias("b"), match).select("a.*", "b.censored").filter(F.col("n") >= least)
+    #: Rows are not dealt by their values: the ranks of x are told to all tasks where they are few, and of each value of y
+    #: the number and the sum of x's ranks are enough. Ranks are taken less their mean, which is known.
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    counted = rows.withColumns({x: F.when(both, F.col(x).cast("double")), y: F.when(both, F.col(y).cast("double"))})
+    plain = counted.groupBy(*group).agg(F.count(x).alias("n"), F.count(F.when(F.col(x).isNull(), 1)).alias("censored"), guarded_correlation(F.col(x), F.col(y)).alias("pearson"))
+    pairs = counted.filter(F.col(x).isNotNull())
+    rank = F.col("__at") + (F.col("__equal") - F.col("__all")) / 2.0
+    x_ranks = materialize(value_places(pairs, group, x).select(*group, x, "__equal", rank.alias("__x")), "x-ranks")
+    few = x_ranks.limit(TOLD_VALUES + 1).count() <= TOLD_VALUES
+    ranked = pairs.alias("a").join((F.broadcast(x_ranks) if few else x_ranks).alias("b"), matching("a", "b", [*group, x])).select(*(f"a.{g}" for g in group), f"a.{y}", "b.__x")
+    sums = materialize(ranked.groupBy(*group, y).agg(F.count("*").alias("__equal"), F.sum("__x").alias("__sum")), "rank-sums")
+    placed = placed_values(sums, group, y).select(*group, "__equal", "__sum", rank.alias("__y"))
+    across = placed.groupBy(*group).agg(F.sum(F.col("__sum") * F.col("__y")).alias("__xy"), F.sum(F.col("__equal") * F.col("__y") * F.col("__y")).alias("__yy"))
+    own = x_ranks.groupBy(*group).agg(F.sum(F.col("__equal") * F.col("__x") * F.col("__x")).alias("__xx"))
+    out = plain.filter(F.col("n") >= least).alias("a").join(across.alias("b"), matching("a", "b", group)).select("a.*", "b.__xy", "b.__yy")
+    out = out.alias("a").join(own.alias("b"), matching("a", "b", group)).select("a.*", "b.__xx")
+    return out.select(*group, "n", "pearson", F.try_divide(F.col("__xy"), F.sqrt("__xx") * F.sqrt("__yy")).alias("spearman"), "censored")
 
 
 # Scans of groups: rows are dealt by ranges of (group, order), so that a hot group is spread. A range's rows of a group

@@ -56,6 +56,34 @@ def test_constant_columns_have_no_correlation(spark):
     assert some.n == 5 and np.isclose(some.pearson, np.corrcoef(range(1, 6), [(i % 3) - 1 for i in range(1, 6)])[0, 1])
 
 
+def test_rank_correlations_do_not_deal_rows_by_value(spark):
+    """Against all ranks, with ties, nulls and a null group; no join shuffles the rows by their values."""
+    rng = np.random.default_rng(4)
+    data = [(("a", None)[i % 2], float(rng.integers(9)) if i % 7 else None, float(rng.integers(30))) for i in range(400)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for told in ("-1", before):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", told)
+            out = statistics.correlations(spark.createDataFrame(data, "g string, x double, y double"), ["g"], "x", "y")
+            got = {r.g: r for r in out.collect()}
+            for g in ("a", None):
+                x, y = (np.array(v) for v in zip(*((a, b) for k, a, b in data if k == g and a is not None)))
+                rank = lambda v: (v[:, None] > v).sum(1) + ((v[:, None] == v).sum(1) + 1) / 2
+                assert got[g].n == len(x) and got[g].censored == 200 - len(x)
+                assert np.isclose(got[g].spearman, np.corrcoef(rank(x), rank(y))[0, 1]) and np.isclose(got[g].pearson, np.corrcoef(x, y)[0, 1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    written = []
+    keep = statistics.materialize
+    statistics.materialize = lambda df, tag: written.append((tag, keep(df, tag))) or written[-1][1]
+    try:
+        statistics.correlations(spark.createDataFrame(data, "g string, x double, y double"), ["g"], "x", "y")
+    finally:
+        statistics.materialize = keep
+    full = [(g, a, b) for g, a, b in data if a is not None]
+    assert {tag: df.count() for tag, df in written} == {"x-ranks": len({(g, a) for g, a, _ in full}), "rank-sums": len({(g, b) for g, _, b in full})}
+
+
 def test_required_ranks(spark):
     curve = spark.createDataFrame([(1, r, e) for r, e in ((1, 0.5), (2, 0.05), (3, 0.2), (4, 0.04), (5, 0.01))] + [(2, 1, 0.9)], "g int, rank int, error double")
     got = {r.g: (r.first_rank, r.stable_rank, r.achieved) for r in statistics.required_ranks(curve, ["g"], "rank", "error", 0.1).collect()}
