@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.batches import slices
+from plumbline.llm.batches import slices, store
 from plumbline.llm.bpe_units import Memo, groups
 
 #: Fixed value: the mark that stands for a space.
@@ -42,7 +42,7 @@ LONG = 512
 _UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 _PROBES = ("a", " a  b ", "①ﬁＡ́", "\t\n\x00\x7f 　​", MARK, "ÄÄ \U0001f600")
 _NONE = np.int64(1) << np.int64(40)
-_known: dict[str, PieceModel] = {}
+_known: dict[str, PieceModel] = store()
 
 
 def _bytewise(error: UnicodeError) -> tuple[str, int]:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import slices
+from plumbline.llm.batches import forget, slices
 
 PIECE = 1024
 LEVEL = 3
@@ -170,6 +170,7 @@ def score_quality(docs: DataFrame, model: CompressionModel) -> DataFrame:
     """doc_id and score of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         score = model.scorer()
         for batch in slices(batches):
             values = score(batch.column("text").to_pylist())
@@ -183,6 +184,7 @@ def keep_quality(docs: DataFrame, model: CompressionModel, least: float = 0.3) -
     """The rows of docs, whole, whose score is at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         score = model.scorer()
         for batch in slices(batches):
             yield batch.filter(pa.array(score(batch.column("text").to_pylist()) >= least, pa.bool_()))

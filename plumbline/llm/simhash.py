@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import slices
+from plumbline.llm.batches import forget, slices
 from plumbline.llm.multi_index import components, mixed, near_links
 from plumbline.sources.scratch import materialize, release
 
@@ -139,13 +139,31 @@ def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
     return out.view(_LITTLE).reshape(-1)
 
 
+def parities(numbers: np.ndarray) -> bytes:
+    """One bit for each remainder by a power of two, not less than the count: whether an odd number of the set has it."""
+    width = max(64, 1 << (len(numbers) - 1).bit_length()) if len(numbers) else 64
+    counts = np.bincount((numbers & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """From two sets' parities, how many numbers only one of the sets has, at least."""
+    if len(a) > len(b):
+        a, b = b, a
+    few, many, width = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 4 * len(b)
+    while 2 * width > 8 * len(a):
+        many, width = many >> width ^ many & (1 << width) - 1, width // 2
+    return (few ^ many).bit_count()
+
+
 def with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, full (the set's 64-bit hash), fingerprint words f0.., size and set (see ``packed``)."""
-    names = ["node", "full", *(f"f{k}" for k in range(LONGS)), "size", "set"]
+    """doc_id, node, full (the set's 64-bit hash), fingerprint words f0.., size, parities and set (see ``packed``)."""
+    names = ["node", "full", *(f"f{k}" for k in range(LONGS)), "size", "odd", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, 512):
-            nodes, full, prints, sizes, sets = [], [], [], [], []
+            nodes, full, prints, sizes, odd, sets = [], [], [], [], [], []
             for text in batch.column("text"):
                 hashes = np.unique(shingle_hashes(text.as_py(), words))
                 prints.append(majority(hashes, LONGS))
@@ -153,14 +171,15 @@ def with_sets(docs: DataFrame, words: int) -> DataFrame:
                 nodes.append(int(prints[-1][-1]) >> 32 << 32 | full[-1] >> 32)
                 small = np.unique(hashes >> np.uint64(16))
                 sizes.append(len(small))
+                odd.append(parities(small))
                 sets.append(packed(small))
             table = np.array(prints, dtype=np.uint64).reshape(-1, LONGS).view(np.int64)
-            columns = [batch.column("doc_id"), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, full)), *(pa.array(c) for c in table.T.copy()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())]
+            columns = [batch.column("doc_id"), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, full)), *(pa.array(c) for c in table.T.copy()), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    longs = ", ".join(f"{n} long" for n in names[:-2])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {longs}, size int, set binary")
+    longs = ", ".join(f"{n} long" for n in names[:-3])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {longs}, size int, odd binary, set binary")
 
 
 def numbered_apart(feats: DataFrame) -> DataFrame:
@@ -237,6 +256,19 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return several.select("node", "size", "entry", "at").distinct()
 
 
+def not_too_different(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) without those whose sets' parities differ too often for similar sets. sets: node, size and odd."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            most = (1 - similarity) / (1 + similarity) * (batch.column("m").to_numpy() + batch.column("n").to_numpy()) + 1e-6
+            least = [least_difference(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["u", "v"]).filter(pa.array(np.array(least, dtype=np.int64) <= most))
+
+    x, y = (sets.select(F.col("node").alias(a), F.col("size").alias(b), F.col("odd").alias(c)) for a, b, c in ("umx", "vny"))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "m", "n", "x", "y").mapInArrow(run, "u long, v long")
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets are similar. sets: node and set, each node once."""
 
@@ -305,20 +337,24 @@ def all_pairs(entries: DataFrame, similarity: float) -> DataFrame:
     return _pairs(met.select("a.node", F.col("b.node").alias("other")))
 
 
+def one_row(feats: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:
+    """One row (node and the columns names) of each of nodes."""
+    if nodes.count() <= BROADCAST_NODES:
+        #: The sets of all documents stay where they are; only those that are asked for are dealt.
+        nodes = F.broadcast(nodes)
+    return feats.select("node", *names).join(nodes, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in names))
+
+
 def similar_links(feats: DataFrame, similarity: float, every: bool = False) -> DataFrame:
     """Verified links u, v: similar sets are of one component of these. feats: see ``with_sets``; deleted on the way."""
     shared = materialize(shared_entries(prefix_entries(feats, similarity, frequent_shingles(feats))), "copy-entries")
-    used = materialize(shared.select("node").distinct(), "copy-used")
-    if used.count() <= BROADCAST_NODES:
-        #: The sets of all documents stay where they are; only those that met another are dealt.
-        used = F.broadcast(used)
-    names = [*(f"f{k}" for k in range(LONGS)), "set"]
-    sets = materialize(feats.join(used, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in names)), "copy-sets")
-    #: The sets are as large as the texts; nothing reads those of texts that met no other from here on.
-    release(feats)
+    names = [*(f"f{k}" for k in range(LONGS)), "size", "odd"]
+    sets = materialize(one_row(feats, materialize(shared.select("node").distinct(), "copy-used"), names), "copy-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return materialize(similar_pairs(materialize(pairs, "copy-near"), sets, similarity), "copy-links")
+        near = materialize(not_too_different(pairs, sets, similarity), "copy-near")
+        met = materialize(near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "copy-met")
+        return materialize(similar_pairs(near, one_row(feats, met, ["set"]), similarity), "copy-links")
 
     links = sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     if not every:
@@ -335,7 +371,7 @@ def similar_links(feats: DataFrame, similarity: float, every: bool = False) -> D
             break
         links, turn = links.unionByName(found), turn + 1
     links = links.unionByName(verify(all_pairs(shared, similarity)))
-    release(shared, sets)
+    release(shared, sets, feats)
     return links
 
 

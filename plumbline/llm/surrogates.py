@@ -44,7 +44,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import slices
+from plumbline.llm.batches import forget, slices
 from plumbline.sources.scratch import materialize, release
 
 #: Classes of letters that stand for each other.
@@ -414,6 +414,7 @@ def with_surrogates(docs: DataFrame, key: bytes, rounds: Mapping[str, int], made
     kind = pa.list_(pa.struct([("entity", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         use = surrogates(key, turns)
         for batch in slices(batches, 512):
             done = [(None, []) if t is None else use.replace(t) for t in batch.column(place).to_pylist()]

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.batches import slices
+from plumbline.llm.batches import slices, store
 from plumbline.llm.bpe_units import Memo, Pretokens, groups, load_vocabulary, units
 
-_counters: dict[str, Counter] = {}
+_counters: dict[str, Counter] = store()
 
 
 class Counter:

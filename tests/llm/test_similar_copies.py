@@ -151,3 +151,40 @@ def test_no_link_is_lost_in_long_texts(spark):
     texts = separate_pairs(random.Random(18), 400, 150)
     got = {r.doc_id: r.component_id for r in N.similar_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
     assert got == {i: i // 2 * 2 for i in range(300)}
+
+
+def test_parities_bound_the_difference():
+    rng = N.np.random.default_rng(3)
+    for n, m, common in ((0, 0, 0), (0, 5, 0), (1, 1, 1), (64, 65, 60), (100, 3000, 80), (500, 520, 460), (4096, 4097, 4000), (900, 900, 0)):
+        pool = rng.permutation(N.np.unique(rng.integers(0, 1 << 48, 12_000, dtype=N.np.uint64)))
+        a, b = pool[:n], pool[n - common : n - common + m]
+        least = N.least_difference(N.parities(a), N.parities(b))
+        assert least == N.least_difference(N.parities(b), N.parities(a)) <= n + m - 2 * common
+    assert least > (n + m) / 9
+
+
+def test_only_sets_that_may_be_similar_are_brought_together(spark, monkeypatch):
+    """Texts that share a rare shingle and nothing else do not reach the comparison of their sets; a copy does."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = [" ".join(["one rare line of text", *(word() for _ in range(20))]) for _ in range(12)]
+    texts += [" ".join(texts[0].split()[:-1])]
+    got, plain = [], N.similar_pairs
+    monkeypatch.setattr(N, "similar_pairs", lambda pairs, *rest: got.append(pairs.count()) or plain(pairs, *rest))
+    found = {r.doc_id: r.component_id for r in N.similar_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), every=True).collect()}
+    assert found == {**{i: i for i in range(12)}, 12: 0} and got == [1]
+
+
+def test_tasks_forget_what_other_stages_remember(spark):
+    """A task of near-dedup lets go the codec that its process has of an earlier stage."""
+    from plumbline.llm import bpe
+    from plumbline.llm.queries import tokenizer_path
+
+    class Task:
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, kind: run
+
+    run = N.with_sets(Task(), 5)
+    bpe.codec(tokenizer_path("byte_bpe_50k.json"))
+    assert len(bpe._codecs) == 1 and list(run(iter([]))) == [] and bpe._codecs == {}
