@@ -17,7 +17,8 @@ bytes of some documents at a time are read from their place in the store.
 
 Encoding is the tokenizers library's without added special tokens, plus one end id a document. Words
 (runs without ASCII white space, which that pre-tokenizer never joins) are encoded once and kept in a bounded
-memo of ids.
+memo of ids. A new word of Latin letters and perhaps punctuation after them is two units to a pre-tokenizer that cuts
+there and ignores case (PARTS): both are remembered, so that a stem is encoded once for all words that it is in.
 
 Defined results: a null text is empty and has the end id only. Null doc_ids come first; equal doc_ids are
 ordered by text. An empty table writes no shard. Extra columns play no part.
@@ -25,6 +26,7 @@ ordered by text. An empty table writes no shard. Extra columns play no part.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import slices
+from plumbline.llm.batches import slices, store
 from plumbline.llm.bpe_units import Memo, groups
 from plumbline.operators.ordered import shuffle_partitions
 from plumbline.sources.scratch import materialize
@@ -51,7 +53,19 @@ TOGETHER = 256
 #: Separators that Python's split() takes for white space and the pre-tokenizer does not.
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[^\t-\r ]+")
-_encoders: dict[str, WordEncoder] = {}
+#: Lower-cased stems and ends of words that a task remembers.
+STEMS = 800_000
+#: A stem of letters that NFC leaves alone and an end without letters, digits, apostrophes and characters of special strings.
+_STEM = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!\"#$%&()*+,./:;=?@^_`{}~\\[\\]\\\\-]*)")
+#: Normalizers and pre-tokenizers to which these two are units of their own.
+PARTS = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
+_encoders: dict[str, WordEncoder] = store()
 
 
 class WordEncoder:
@@ -65,8 +79,41 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.memo = Memo(self._encode_words, MEMO)
+        self.stems = Memo(self._encode_stems, STEMS)
+        self.last = self._last_ids(path)
+
+    def _last_ids(self, path: str) -> np.ndarray | None:
+        """Whether each id is the last of a unit, if the vocabulary cuts as PARTS says and marks those."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        parts = tuple((spec[name] or {}).get(kinds) for name, kinds in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        suffix = spec["model"].get("end_of_word_suffix")
+        if parts != PARTS or spec["post_processor"] or not suffix or spec["model"].get("dropout") or spec["model"].get("unk_token"):
+            return None
+        return np.array([(self.library.id_to_token(i) or "").endswith(suffix) for i in range(1 + max(self.library.get_vocab().values()))])
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        if self.last is None:
+            return self._encode_whole(words)
+        cut = [(m[1].lower(), m[2]) if (m := _STEM.fullmatch(w)) else None for w in words]
+        known = self.stems.learn({part for parts in cut if parts for part in parts if part})
+        whole = iter(self._encode_whole([w for w, parts in zip(words, cut) if not parts]))
+        return [(known[parts[0]] + known[parts[1]] if parts[1] else known[parts[0]]) if parts else next(whole) for parts in cut]
+
+    def _encode_stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of each of these units: many are one text, in which a unit ends with an id that only ends have."""
+        out, parts = [], [stems[at : at + TOGETHER] for at in range(0, len(stems), TOGETHER)]
+        for part, found in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) != len(part):
+                raise ValueError(f"{len(part)} units have {len(ends)} ends")
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _encode_whole(self, words: list[str]) -> list[bytes]:
         """Ids of each word: many words are one encoding, which tells each id's word."""
         out, parts = [], [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
         for part, found in zip(parts, self.library.encode_batch(parts, is_pretokenized=True, add_special_tokens=False), strict=True):
