@@ -25,10 +25,12 @@ The order puts last what is frequent in an eighth of the sets, most frequent las
 are entries of few of them; the others are in the order of their hashes. An order only decides how many pairs meet,
 never which links are found, so the HOT most frequent of them are enough.
 
-Where the pairs of an entry's different components would be many more than its rows, each set is first compared with
-the one before it in some order, and what is linked is joined, until a round finds no link or few pairs are left. So
-groups of copies are not paired with themselves. What stays is pairs of sets that share rare shingles and are not
-joined: these are compared one by one, their number is not bounded by the rows.
+With the segments' pairs, each set is compared with one centre of each of its entries: the set of about its size that
+has the fewest shingles before the entry's, so the fewest that others lack. What is linked is joined. Where the pairs of
+different components that can be similar would still be many more than the rows, other centres follow, until a
+round finds no link or few pairs are left. So groups of copies are not paired with themselves. What stays is pairs of
+sets of different components that share shingles and pass the bound above: these are compared one by one, their number is
+not bounded by the rows.
 
 A set's number (its node) is a sketch, the fingerprint's last 32 bits, before 32 bits of the set's hash. By the segments
 only sets meet whose sketches differ in SKETCH_LIMIT bits or fewer. Different sets with one number are found by their
@@ -65,7 +67,7 @@ WIDTH, SEGMENTS, LONGS = 28, 16, 7
 SKETCH_LIMIT = 11
 #: Frequent shingles (8 bytes each) that are told to all tasks at most, and how often an eighth of the sets has one.
 HOT, HOT_LEAST = 1 << 17, 3
-#: So many pairs for each row of an entry are compared at once; before more, what neighbours link is joined.
+#: So many pairs for each row of an entry are compared at once; before more, what centres link is joined.
 FEW = 4
 #: So many set numbers (8 bytes each) are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_NODES = 1 << 21
@@ -249,11 +251,15 @@ def prefix_entries(feats: DataFrame, similarity: float, frequent: np.ndarray) ->
     return feats.filter("size > 0").select("node", "size", "set").mapInArrow(run, "node long, size int, entry long, at int")
 
 
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """The distinct rows of entries that hold two sets or more."""
+def shared_entries(entries: DataFrame, similarity: float) -> DataFrame:
+    """The distinct rows of entries that hold two sets or more, with root (the set itself so far).
+
+    Without rows that come too late for a set as small as the entry's smallest: no pair of theirs can be similar.
+    """
     entry = Window.partitionBy("entry")
-    several = entries.withColumn("several", F.min("node").over(entry) != F.max("node").over(entry)).filter("several")
-    return several.select("node", "size", "entry", "at").distinct()
+    several = entries.withColumn("several", F.min("node").over(entry) != F.max("node").over(entry)).withColumn("least", F.min("size").over(entry)).filter("several")
+    early = several.filter(F.col("size") - F.col("at") >= _least_common(F.col("size") + F.col("least"), similarity))
+    return early.select("node", "size", "entry", "at").distinct().withColumn("root", F.col("node"))
 
 
 def not_too_different(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -302,39 +308,59 @@ def segment_pairs(entries: DataFrame) -> DataFrame:
     return _pairs(near.filter((F.col("node") != F.col("other")) & (_sketch_distance("node", "other") <= SKETCH_LIMIT)))
 
 
+def _least_common(sizes: Column, similarity: float) -> Column:
+    """How many shingles two similar sets share at least, by the sum of their sizes."""
+    return sizes * F.lit(similarity / (1 + similarity)) - 1e-6
+
+
 def _can_be_similar(a: str, b: str, similarity: float) -> Column:
     """Whether two sets (structs) of one entry can be similar and this is the first shingle that they share."""
     size, at = ((F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ("size", "at"))
-    return F.least(size[0] - at[0], size[1] - at[1]) >= (size[0] + size[1]) * F.lit(similarity / (1 + similarity)) - 1e-6
+    return F.least(size[0] - at[0], size[1] - at[1]) >= _least_common(size[0] + size[1], similarity)
 
 
-def open_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """The entries that hold sets of different components of links, with the root of each set's component."""
+def open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of entries that hold sets of different components, with the root of each set's. roots: see ``components``."""
     entry = Window.partitionBy("entry")
-    rooted = entries.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = entries.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return materialize(rooted.withColumn("open", F.min("root").over(entry) != F.max("root").over(entry)).filter("open").drop("open"), "copy-open")
 
 
-def pairs_to_compare(entries: DataFrame) -> tuple[int, int]:
-    """Pairs of sets of different components in open entries, and rows of these."""
+def pairs_to_compare(entries: DataFrame, similarity: float) -> tuple[float, int]:
+    """Pairs of sets of different components in open entries that can be similar, and rows of these.
+
+    Where pairs are many, those that can be similar are estimated by the pairs of a part of the sets, no more than rows.
+    """
     sized = entries.groupBy("entry", "root").agg(F.count("*").alias("n")).groupBy("entry").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
     found = sized.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-    return found["pairs"] or 0, found["rows"] or 0
+    pairs, rows = found["pairs"] or 0, found["rows"] or 0
+    if pairs <= FEW * rows:
+        return pairs, rows
+    part = int(np.ceil(np.sqrt(pairs / rows)))
+    some = entries.filter(F.pmod(F.xxhash64("node"), F.lit(part)) == 0)
+    return part * part * met_pairs(some, similarity).count(), rows
+
 
+def centre_pairs(entries: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """u > v: each set with one of another component that has about its size, from each of its open entries.
 
-def neighbour_pairs(entries: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """u > v: each set with the one before it in an open entry, by an order of this turn, if their components differ."""
-    order = Window.partitionBy("entry").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    row = entries.withColumn("a", F.struct("node", "root", "size", "at")).withColumn("b", F.lag("a").over(order))
-    met = row.filter("b is not null and a.root <> b.root").filter(_can_be_similar("a", "b", similarity))
+    In turn 0 that is the one with the fewest shingles before the entry's, so with the fewest that others do not have;
+    in later turns any.
+    """
+    width = max(0.01, float(-np.log(similarity)))
+    rows = entries.select("entry", F.floor(F.log("size") / width + turn / 2).alias("class"), "root", F.struct("node", "root", "size", "at").alias("a"))
+    first = F.max(F.struct(*([] if turn else [-F.col("a.at")]), F.xxhash64("a.node", F.lit(turn)), "a"))
+    centres = rows.groupBy("entry", "class").agg(first.alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    centres = materialize(centres.filter("low <> high").select("entry", "class", F.col("first.a").alias("b")), "copy-centres")
+    met = rows.drop("root").join(centres, ["entry", "class"]).filter("a.root <> b.root").filter(_can_be_similar("a", "b", similarity))
     return _pairs(met.select("a.node", F.col("b.node").alias("other")))
 
 
-def all_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """u > v: all pairs of sets of different components in open entries that can be similar."""
+def met_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """node and other, once for each entry, for all pairs of sets of different components that can be similar."""
     rows = entries.select("entry", F.struct("node", "root", "size", "at").alias("a"))
     met = rows.join(rows.withColumnRenamed("a", "b"), "entry").filter("a.node > b.node and a.root <> b.root").filter(_can_be_similar("a", "b", similarity))
-    return _pairs(met.select("a.node", F.col("b.node").alias("other")))
+    return met.select("a.node", F.col("b.node").alias("other"))
 
 
 def one_row(feats: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:
@@ -347,7 +373,7 @@ def one_row(feats: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:
 
 def similar_links(feats: DataFrame, similarity: float, every: bool = False) -> DataFrame:
     """Verified links u, v: similar sets are of one component of these. feats: see ``with_sets``; deleted on the way."""
-    shared = materialize(shared_entries(prefix_entries(feats, similarity, frequent_shingles(feats))), "copy-entries")
+    shared = materialize(shared_entries(prefix_entries(feats, similarity, frequent_shingles(feats)), similarity), "copy-entries")
     names = [*(f"f{k}" for k in range(LONGS)), "size", "odd"]
     sets = materialize(one_row(feats, materialize(shared.select("node").distinct(), "copy-used"), names), "copy-sets")
 
@@ -356,21 +382,20 @@ def similar_links(feats: DataFrame, similarity: float, every: bool = False) -> D
         met = materialize(near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "copy-met")
         return materialize(similar_pairs(near, one_row(feats, met, ["set"]), similarity), "copy-links")
 
-    links = sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    if not every:
-        links = verify(segment_pairs(segment_entries(sets)))
-    turn = 0
-    while True:
-        still = open_entries(shared, links)
+    links, turn = sets.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0), 0
+    found = None if every else verify(segment_pairs(segment_entries(sets)).union(centre_pairs(shared, turn, similarity)).distinct())
+    while found is not None and not found.isEmpty():
+        roots = components(links.unionByName(found))
+        #: What is linked so far, by one link a set.
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        still = open_entries(shared, roots)
         release(shared)
-        shared, (pairs, rows) = still, pairs_to_compare(still)
-        if every or pairs <= FEW * rows:
-            break
-        found = verify(neighbour_pairs(shared, turn, similarity))
-        if found.isEmpty():
+        shared, (pairs, rows) = still, pairs_to_compare(still, similarity)
+        if pairs <= FEW * rows:
             break
-        links, turn = links.unionByName(found), turn + 1
-    links = links.unionByName(verify(all_pairs(shared, similarity)))
+        turn += 1
+        found = verify(centre_pairs(shared, turn, similarity))
+    links = links.unionByName(verify(_pairs(met_pairs(shared, similarity))))
     release(shared, sets, feats)
     return links
 
@@ -378,7 +403,7 @@ def similar_links(feats: DataFrame, similarity: float, every: bool = False) -> D
 def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, every: bool = False) -> DataFrame:
     """doc_id and component_id of every row of docs (columns doc_id, text), by the similarity of shingle sets.
 
-    every: all pairs are compared at once, also those that the segments or neighbours would have joined. The result is
+    every: all pairs are compared at once, also those that the segments or centres would have joined. The result is
     the same, at the square of a group's size.
     """
     feats = numbered_apart(materialize(with_sets(docs, words), "copy-feats"))

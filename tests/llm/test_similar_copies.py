@@ -188,3 +188,29 @@ def test_tasks_forget_what_other_stages_remember(spark):
     run = N.with_sets(Task(), 5)
     bpe.codec(tokenizer_path("byte_bpe_50k.json"))
     assert len(bpe._codecs) == 1 and list(run(iter([]))) == [] and bpe._codecs == {}
+
+
+def test_crowd_that_is_not_joined_is_not_paired(spark, monkeypatch):
+    """Near copies of one text, many too far from all others to be joined: few rounds, and far fewer comparisons than pairs."""
+    rng = random.Random(23)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        copy = list(base)
+        for place in rng.sample(range(150), 1 + i % 6):
+            copy[place] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    root = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert sum(i == r for i, r in enumerate(root)) > 100 and sum(r == root[0] for r in root) > 150
+    compared, plain = [], N.not_too_different
+    monkeypatch.setattr(N, "not_too_different", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in N.similar_copies(docs).collect()} == dict(enumerate(root))
+    print("compared", compared)
+    assert len(compared) <= 3 and sum(compared) < 400 * 399 / 2 / 8
