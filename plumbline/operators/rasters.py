@@ -1,8 +1,9 @@
 """Fibres on a periodic voxel grid: capsules to voxels, the last writer, first touches and a stopping rule; coarse blocks.
 
-A fibre becomes rows in two steps of generated code: the blocks of SIDE^3 voxels that its bounding box meets and its
-capsule may reach, then the voxels of these blocks. No task holds a grid: what is kept of a voxel is an aggregation
-over the fibres that touch it, and the count at which fibres stop is a running sum in two phases.
+A fibre becomes rows in its task, many fibres at a time: the planes along x that its capsule reaches, the lines along y
+in these near the part of the fibre that is near the plane, then the voxels of these lines. No task holds a grid: what
+is kept of a voxel is an aggregation over the fibres that touch it, and the count at which fibres stop is a running sum
+in two phases.
 
 A voxel that a fibre reaches on both sides of the box counts once. Fibres of (almost) no length have no voxels.
 """
@@ -13,7 +14,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.eigen import leading, with_eigenpairs
@@ -22,7 +24,8 @@ from plumbline.operators.campaign import require_columns
 from plumbline.operators.ordered import running_before, spread
 from plumbline.sources.scratch import materialize, release
 
-SIDE = 4
+#: Places of voxels that a task looks at at a time.
+CANDIDATES = 1 << 18
 AXES = ("x", "y", "z")
 CELL = ("ix", "iy", "iz")
 U = ("ux", "uy", "uz")
@@ -55,32 +58,73 @@ def checked_fibres(fibres: DataFrame, order: str, box: float, resolution: float)
     return fibres.select(order, *centre, *((F.col(u) / size).alias(u) for u in U)), n, found["low_L_um"] * resolution, 0.5 * found["low_d_um"] * resolution
 
 
-def _distance2(at: Sequence[Column], length: float) -> Column:
-    """Squared distance of a point to a fibre's axis; p0x.. is where the axis begins."""
-    gap = [a - F.col(f"p0{c}") for a, c in zip(at, AXES, strict=True)]
-    along = F.least(F.greatest(sum((g * F.col(u) for g, u in zip(gap, U, strict=True)), F.lit(0.0)), F.lit(0.0)), F.lit(length))
-    off = [g - along * F.col(u) for g, u in zip(gap, U, strict=True)]
-    return off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row its number once for each whole number from low to high, and these numbers."""
+    low = np.ceil(low).astype(np.int64)
+    counts = np.maximum(np.floor(high).astype(np.int64) - low + 1, 0)
+    rows = np.repeat(np.arange(len(low)), counts)
+    return rows, low[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _planes(start: np.ndarray, way: np.ndarray, axis: int, rows: np.ndarray, span: Sequence[np.ndarray], reach: float) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Rows of an earlier axis once for each plane along this axis that their part of the fibre reaches, and its place.
+
+    span: where this part begins and ends along the fibre; it comes back as the part that is within reach of the plane.
+    """
+    p, u = start[rows, axis], way[rows, axis]
+    ends = [p + s * u for s in span]
+    again, at = _ranges(np.minimum(*ends) - reach, np.maximum(*ends) + reach)
+    p, u, (first, last) = p[again], u[again], (s[again] for s in span)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        cuts = [np.where(u == 0, side, (at + d - p) / u) for d, side in ((-reach, -np.inf), (reach, np.inf))]
+    first, last = np.maximum(first, np.minimum(*cuts)), np.minimum(last, np.maximum(*cuts))
+    kept = first <= last
+    return again[kept], at[kept], (first[kept], last[kept])
+
+
+def _voxels(start: np.ndarray, way: np.ndarray, length: float, radius: float) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows of fibres and whole places x, y, z of all voxel centres within ``radius`` of their axes, CANDIDATES looked at at a time."""
+    reach = radius + 1e-6
+    x_rows, x, span = _planes(start, way, 0, np.arange(len(start)), (np.zeros(len(start)), np.full(len(start), length)), reach)
+    again, y, span = _planes(start, way, 1, x_rows, span, reach)
+    rows, x = x_rows[again], x[again]
+    ends = [start[rows, 2] + s * way[rows, 2] for s in span]
+    low, high = np.minimum(*ends) - reach, np.maximum(*ends) + reach
+    parts = np.cumsum(high - low + 1) // CANDIDATES
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(parts)) + 1):
+        again, z = _ranges(low[part], high[part])
+        again = part[again]
+        own, at = rows[again], [x[again], y[again], z]
+        p, u = start[own], way[own]
+        gap = [at[k] - p[:, k] for k in range(3)]
+        along = np.minimum(np.maximum(gap[0] * u[:, 0] + gap[1] * u[:, 1] + gap[2] * u[:, 2], 0.0), length)
+        off = [gap[k] - along * u[:, k] for k in range(3)]
+        inside = off[0] * off[0] + off[1] * off[1] + off[2] * off[2] <= radius * radius
+        yield own[inside], [a[inside] for a in at]
 
 
 def fibre_touches(fibres: DataFrame, order: str, n: int, length: float, radius: float) -> DataFrame:
-    """order, ix, iy, iz and direction of every voxel centre of the periodic grid within ``radius`` of a fibre's axis.
+    """order, ix, iy, iz of every voxel centre of the periodic grid within ``radius`` of a fibre's axis.
 
     fibres: order, x, y, z in voxels and a unit direction.
     """
-    rows = fibres.select(order, *U, *((F.col(a) - 0.5 * length * F.col(u)).alias(f"p0{a}") for a, u in zip(AXES, U, strict=True)))
+    rows = fibres.select(order, *((F.col(a) - 0.5 * length * F.col(u)).alias(f"p0{a}") for a, u in zip(AXES, U, strict=True)), *U)
     if length * length <= 1e-12:
         rows = rows.limit(0)
-    for a, u in zip(AXES, U, strict=True):
-        ends = [F.col(f"p0{a}"), F.col(f"p0{a}") + length * F.col(u)]
-        low, high = F.floor((F.least(*ends) - radius) / SIDE), F.floor((F.greatest(*ends) + radius) / SIDE)
-        rows = rows.withColumn(f"b{a}", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    half = (SIDE - 1) / 2
-    reach = (radius + 3**0.5 * half + 1e-6) ** 2
-    rows = rows.filter(_distance2([F.col(f"b{a}") * SIDE + half for a in AXES], length) <= reach).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(SIDE**3 - 1))))
-    at = [F.col(f"b{a}") * SIDE + F.floor(F.col("__k") / SIDE**i).cast("int") % SIDE for i, a in enumerate(AXES)]
-    inside = rows.filter(_distance2([a.cast("double") for a in at], length) <= radius * radius)
-    return inside.select(order, *(F.pmod(a, F.lit(n)).cast("int").alias(c) for a, c in zip(at, CELL, strict=True)), *U)
+    #: Fibres at a time, by the columns of voxels that one may reach.
+    step = max(1, int(CANDIDATES / (length + 2 * radius + 2) ** 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                table = np.stack([some.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7)], axis=1)
+                good = np.flatnonzero(np.isfinite(table).all(axis=1))
+                for own, places in _voxels(table[good, :3], table[good, 3:], length, radius):
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(good[own])), *(pa.array((a % n).astype(np.int32)) for a in places)], [order, *CELL])
+
+    kind = fibres.schema[order].dataType.simpleString()
+    return rows.mapInArrow(run, f"{order} {kind}, " + ", ".join(f"{c} int" for c in CELL))
 
 
 def fibre_counts(touches: DataFrame, order: str, target: float) -> DataFrame:
@@ -100,22 +144,23 @@ def fibre_counts(touches: DataFrame, order: str, target: float) -> DataFrame:
     return summed.select(order, "new", "total", (F.lit(True) if end is None else F.col("place") <= end).alias("used"))
 
 
-def rasterised(touches: DataFrame, order: str) -> DataFrame:
+def rasterised(touches: DataFrame, fibres: DataFrame, order: str) -> DataFrame:
     """ix, iy, iz with the order and direction of the last fibre that touches the voxel."""
-    last = F.max_by(F.struct(order, *U), order)
-    return touches.groupBy(*CELL).agg(last.alias("last")).select(*CELL, f"last.{order}", *(f"last.{u}" for u in U))
+    last = touches.groupBy(*CELL).agg(F.max(order).alias(order))
+    return last.join(fibres.select(order, *U).dropDuplicates([order]), order).select(*CELL, order, *U)
 
 
 def raster_until(fibres: DataFrame, order: str, n: int, length: float, radius: float, target: float) -> tuple[DataFrame, DataFrame]:
     """The voxels of the fibres that are used up to a target (see ``rasterised``), and ``fibre_counts``."""
-    #: Each fibre becomes thousands of rows in its task. What is counted takes a voxel that comes twice as once.
+    #: Each fibre becomes many rows in its task. What is counted takes a voxel that comes twice as once.
     fibres = spread(fibres)
-    touches = materialize(fibre_touches(fibres, order, n, length, radius).select(order, *CELL), "raster-touches")
+    touches = materialize(fibre_touches(fibres, order, n, length, radius), "raster-touches")
     counts = materialize(fibre_counts(touches, order, target), "raster-used")
-    release(touches)
     left_out = counts.filter(~F.col("used")).agg(F.min(order)).first()[0]
-    #: The used fibres are few where there is a target, so their voxels are found again, with directions.
-    return rasterised(fibre_touches(fibres if left_out is None else fibres.filter(F.col(order) < left_out), order, n, length, radius), order), counts
+    used = F.lit(True) if left_out is None else F.col(order) < left_out
+    voxels = materialize(rasterised(touches.filter(used), fibres.filter(used), order), "raster-voxels")
+    release(touches)
+    return voxels, counts
 
 
 def raster_summary(voxels: DataFrame, n: int) -> DataFrame:

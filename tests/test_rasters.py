@@ -139,3 +139,31 @@ def test_blocks_and_their_stiffness_equal_plain_ones(spark):
         rasters.coarse_blocks(voxels, 8, 3)
     with pytest.raises(ValueError):
         rasters.composite_stiffness(blocks, cm, cf, "reuss")
+
+
+@pytest.mark.parametrize("most", [1 << 18, 40])
+def test_voxels_of_many_fibres_equal_all_places_tried(monkeypatch, most):
+    """Also fibres along an axis or in a plane of the grid, and lines of voxels that are looked at in parts."""
+    monkeypatch.setattr(rasters, "CANDIDATES", most)
+    rng = np.random.default_rng(11)
+    way = np.concatenate([rng.normal(size=(20, 3)), np.eye(3), -np.eye(3), [[1, 1, 0], [0, -1, 1], [1, 1e-12, 0], [1e-300, 1, 0]]])
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    start = np.concatenate([rng.uniform(-3, 3, (20, 3)), rng.integers(-3, 3, (10, 3)).astype(float)])
+    got = {(int(f), *map(int, p)) for own, at in rasters._voxels(start, way, 6.0, 1.0) for f, *p in zip(own, *at)}
+    places = np.stack(np.meshgrid(*[np.arange(-12, 13)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    expected = set()
+    for f, (p, u) in enumerate(zip(start, way)):
+        gap = [places[:, k] - p[k] for k in range(3)]
+        along = np.clip(gap[0] * u[0] + gap[1] * u[1] + gap[2] * u[2], 0.0, 6.0)
+        off = [gap[k] - along * u[k] for k in range(3)]
+        expected |= {(f, *map(int, q)) for q in places[off[0] * off[0] + off[1] * off[1] + off[2] * off[2] <= 1.0]}
+    assert got == expected
+
+
+def test_touches_are_made_many_at_a_time_and_not_sorted(spark):
+    rows = spark.createDataFrame(some_fibres(20), NAMES)
+    fibres, n, length, radius = rasters.checked_fibres(rows, "id", 4.0, 4.0)
+    touches = rasters.fibre_touches(fibres, "id", n, length, radius)
+    plan = rasters.rasterised(touches, fibres, "id")._jdf.queryExecution().executedPlan().toString()
+    #: An explode for each axis and place runs an expression too long to be compiled, once for each place.
+    assert "MapInArrow" in plan and "Generate" not in plan and "SortAggregate" not in plan
