@@ -101,8 +101,12 @@ def expanded(rows: DataFrame, parts: int, balls: bool) -> DataFrame:
 
 
 def verified(looked: DataFrame, tables: DataFrame, distance: int) -> DataFrame:
-    """u > v for what was looked up and found in a table, if the complete distance is small enough."""
-    met = looked.select("entry", F.col("fp").alias("u")).join(tables.select("entry", F.col("fp").alias("v")), "entry")
+    """u > v for what was looked up and found in a table, if the complete distance is small enough.
+
+    Both sides are dealt by entry: Spark takes what was looked up for as small as the rows that it was made of, a ball's
+    size too small, and would broadcast it.
+    """
+    met = looked.select("entry", F.col("fp").alias("u")).join(tables.select("entry", F.col("fp").alias("v")).hint("merge"), "entry")
     return met.filter((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).select("u", "v")
 
 

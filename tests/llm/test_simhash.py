@@ -121,3 +121,11 @@ def test_empty_and_one_of_each(spark):
 def test_bad_distance(spark):
     with pytest.raises(ValueError):
         M.near_links(spark.range(1).select(F.col("id").alias("fp")), -1, 2)
+
+
+def test_what_is_looked_up_is_not_broadcast(spark):
+    """A ball has many more rows than the table that it is made of, whose size Spark takes for it."""
+    fps = spark.range(100).select(F.xxhash64("id").alias("fp"))
+    start = fps.select(F.lit(0).cast("long").alias("entry"), "fp", F.lit(-1).cast("long").alias("free"), F.lit(2).alias("left"))
+    plan = M.verified(M.expanded(start, 2, True), M.expanded(start, 2, False), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
