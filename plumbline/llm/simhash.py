@@ -71,6 +71,8 @@ HOT, HOT_LEAST = 1 << 17, 3
 FEW = 4
 #: So many set numbers (8 bytes each) are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_NODES = 1 << 21
+#: A column that no table of documents has.
+ROW = "__plumbline row"
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 14
 _LITTLE = np.dtype("<u8")
@@ -272,7 +274,8 @@ def not_too_different(pairs: DataFrame, sets: DataFrame, similarity: float) -> D
             yield batch.select(["u", "v"]).filter(pa.array(np.array(least, dtype=np.int64) <= most))
 
     x, y = (sets.select(F.col("node").alias(a), F.col("size").alias(b), F.col("odd").alias(c)) for a, b, c in ("umx", "vny"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "m", "n", "x", "y").mapInArrow(run, "u long, v long")
+    #: Pairs are more than the rows that Spark takes them for, so they are not broadcast by its estimate.
+    return pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select("u", "v", "m", "n", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -415,21 +418,26 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, eve
     return named.join(ids, "node").select("doc_id", "component_id")
 
 
+def row_name() -> Column:
+    """What tells a row of documents from others: its doc_id, and its text (a hash). Those without doc_id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("key"))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, whole, with one document (the smallest doc_id) of each component of similar copies.
 
-    Repeated rows of that doc_id stay once. Rows without doc_id cannot be chosen by id: they stay, one a text.
+    Equal rows (doc_id and text) stay once. Rows of one doc_id with texts of different components stay, one a component.
+    Rows without doc_id are compared like others; one stays where its component has no row with a doc_id.
     """
-    return first_rows(docs, similar_copies(docs.filter(F.col("doc_id").isNotNull()), words, similarity))
+    return first_rows(docs, similar_copies(docs.select(row_name().alias("doc_id"), "text"), words, similarity))
 
 
 def first_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component_id in named, once each, and those without doc_id, one a text."""
+    """The rows of docs whose name (see ``row_name``) is its component_id in named, once each."""
     least = named.filter("doc_id = component_id")
     found = materialize(least.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
-    #: The kept ids grow with the documents, so both are dealt by doc_id whatever their size.
-    kept = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if not found.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    nameless = docs.filter(F.col("doc_id").isNull())
-    return kept if nameless.isEmpty() else kept.unionByName(nameless.dropDuplicates(["text"]))
+    #: The kept ids grow with the documents, so both are dealt by doc_id and text whatever their size.
+    left, right = docs.alias("__docs"), found.select(F.col("doc_id.doc_id").alias("id"), "doc_id.key").alias("__found").hint("merge")
+    same = F.col("__docs.doc_id").eqNullSafe(F.col("__found.id")) & (F.xxhash64("__docs.text") == F.col("__found.key"))
+    kept = left.join(right, same, "left_semi").select(*(F.col(f"__docs.`{c}`") for c in docs.columns))
+    return kept if found.filter("n > 1").isEmpty() else kept.withColumn(ROW, row_name()).dropDuplicates([ROW]).drop(ROW)

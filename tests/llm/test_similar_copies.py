@@ -214,3 +214,17 @@ def test_crowd_that_is_not_joined_is_not_paired(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in N.similar_copies(docs).collect()} == dict(enumerate(root))
     print("compared", compared)
     assert len(compared) <= 3 and sum(compared) < 400 * 399 / 2 / 8
+
+
+def test_rows_without_or_with_one_doc_id_are_all_compared(spark):
+    """No different text is dropped for its doc_id, and near copies are found among rows that have none."""
+    rng = random.Random(31)
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(6)]
+    text = lambda k, edits: " ".join([*bases[k][: 60 - edits], *(f"e{i}" for i in range(edits))])
+    #: One id with three texts, two of them near copies; a near copy without id of a named row; three rows without ids, two of them near copies.
+    rows = [(7, text(0, 0)), (7, text(1, 0)), (7, text(1, 1)), (3, text(2, 0)), (None, text(2, 1)), (None, text(3, 0)), (None, text(3, 1)), (None, text(4, 0)), (9, text(5, 0)), (9, text(5, 0))]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, `key` string, `a.b` string").repartition(3)
+    kept = N.one_of_each(docs)
+    assert kept.columns == docs.columns
+    which = lambda r: (r.doc_id, next(k for k in range(6) if r.text.startswith(" ".join(bases[k][:50]))))
+    assert sorted(map(which, kept.collect()), key=lambda x: x[1]) == [(7, 0), (7, 1), (3, 2), (None, 3), (None, 4), (9, 5)]
